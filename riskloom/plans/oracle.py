@@ -51,3 +51,118 @@ oracle(
         f"round(avg(CASE WHEN RiskCategory = {S.q(C.HIGH_RISK)} THEN 1.0 ELSE 0.0 END), 9) AS high_risk_share FROM scored)",
     ),
 )
+
+# --- filters, search, views ---------------------------------------------------------------
+
+from riskloom.plans.queries import (  # noqa: E402
+    COUNT_SEARCH, FILTER_DEPARTMENT, FILTER_RISK, FILTER_ROLE, NO_MATCH_TERM, SEARCH_TERM,
+)
+from riskloom.sources.fixtures import EMPLOYEES_COLUMNS  # noqa: E402
+
+SCORED_COLUMNS = EMPLOYEES_COLUMNS + ["PredictedAttritionRisk", "PredictedOutcome", "RiskCategory"]
+RESULT = ", ".join(C.RESULT_VIEW_COLUMNS)
+ROW_TEXT = "lower(concat_ws(' ', " + ", ".join(f"COALESCE(CAST({c} AS VARCHAR), '')" for c in SCORED_COLUMNS) + "))"
+
+
+def _contains(term: str) -> str:
+    return f"contains({ROW_TEXT}, {S.q(term.strip().lower())})"
+
+
+oracle(
+    "filter_employees",
+    S.with_scored(ENS, f"SELECT {RESULT} FROM scored WHERE RiskCategory = {S.q(FILTER_RISK)} "
+    f"AND CAST(Department AS VARCHAR) = {S.q(FILTER_DEPARTMENT)} AND CAST(JobRole AS VARCHAR) = {S.q(FILTER_ROLE)}"),
+)
+oracle("search_text", S.with_scored(ENS, f"SELECT {RESULT} FROM scored WHERE {_contains(SEARCH_TERM)}"))
+oracle(
+    "filter_or_all",
+    S.with_scored(ENS, f"SELECT {RESULT} FROM scored WHERE {_contains(NO_MATCH_TERM)} "
+    f"OR (SELECT count(*) FROM scored WHERE {_contains(NO_MATCH_TERM)}) = 0"),
+)
+oracle(
+    "filter_counts",
+    S.with_scored(ENS, f"SELECT count(*) FILTER (WHERE CAST(Department AS VARCHAR) = {S.q(FILTER_DEPARTMENT)} AND {_contains(COUNT_SEARCH)}) AS matched, count(*) AS total FROM scored"),
+)
+oracle("filtered_view", S.with_scored(ENS, f"SELECT {RESULT} FROM scored WHERE CAST(Department AS VARCHAR) = {S.q(FILTER_DEPARTMENT)}"))
+oracle(
+    "highest_risk",
+    S.with_scored(ENS, f"SELECT {RESULT} FROM scored WHERE PredictedAttritionRisk > {S.d(C.LOW_RISK_MAX)} "
+    f"ORDER BY PredictedAttritionRisk DESC, EmployeeNumber LIMIT {C.HIGHEST_RISK_ROWS}"),
+)
+oracle(
+    "history_top30",
+    S.with_scored(ENS, "SELECT " + ", ".join(C.HISTORY_VIEW_COLUMNS) + f", CASE WHEN Attrition = 'Yes' THEN {S.q(C.STATUS_LEFT)} ELSE {S.q(C.STATUS_ACTIVE)} END AS HistoricalStatus "
+    f"FROM scored ORDER BY PredictedAttritionRisk DESC, EmployeeNumber LIMIT {C.HISTORY_ROWS}"),
+)
+oracle("template_rows", f"WITH {S.EMP} SELECT * FROM employees ORDER BY EmployeeNumber LIMIT {C.TEMPLATE_ROWS}")
+oracle(
+    "risk_percentile",
+    S.with_scored(ENS, "SELECT id, PredictedAttritionRisk, round(p, 9) AS percentile, printf('%.0f%%', round(p, 0)) AS percentile_text FROM "
+    "(SELECT EmployeeNumber AS id, PredictedAttritionRisk, cume_dist() OVER (ORDER BY PredictedAttritionRisk) * 100.0 AS p FROM scored)"),
+)
+oracle(
+    "risk_vs_average",
+    S.with_scored(ENS, "SELECT EmployeeNumber AS id, PredictedAttritionRisk, round(a.m, 9) AS dataset_avg, round(PredictedAttritionRisk - a.m, 9) AS diff_from_avg "
+    "FROM scored CROSS JOIN (SELECT avg(PredictedAttritionRisk) AS m FROM scored) a"),
+)
+_pct = S.pct_sql("PredictedAttritionRisk")
+oracle(
+    "employee_labels",
+    S.with_scored(ENS, "SELECT EmployeeNumber AS id, "
+    f"concat_ws(' | ', CAST(EmployeeNumber AS VARCHAR), 'Employee ' || CAST(EmployeeNumber AS VARCHAR), COALESCE(CAST(Department AS VARCHAR), ''), RiskCategory, {_pct}) AS history_label, "
+    f"concat_ws(' | ', CAST(EmployeeNumber AS VARCHAR), 'Employee ' || CAST(EmployeeNumber AS VARCHAR), RiskCategory, {_pct}) AS upload_label, "
+    f"concat_ws(' | ', CAST(EmployeeNumber AS VARCHAR), 'Uploaded row ' || CAST(EmployeeNumber AS VARCHAR), RiskCategory, {_pct}) AS row_label FROM scored"),
+)
+oracle(
+    "distinct_options",
+    S.with_scored(ENS, "SELECT DISTINCT 'Department' AS field, CAST(Department AS VARCHAR) AS option FROM scored WHERE Department IS NOT NULL "
+    "UNION SELECT DISTINCT 'JobRole', CAST(JobRole AS VARCHAR) FROM scored WHERE JobRole IS NOT NULL"),
+)
+oracle(
+    "label_counts",
+    f"WITH {S.EMP} SELECT Attrition, count(*) AS n, round(count(*) / (SELECT count(*) FROM employees), 9) AS share FROM employees GROUP BY Attrition",
+)
+oracle(
+    "overtime_crosstab",
+    f"WITH {S.EMP} SELECT OverTime, count(*) FILTER (WHERE Attrition = 'No') AS No, count(*) FILTER (WHERE Attrition = 'Yes') AS Yes FROM employees GROUP BY OverTime",
+)
+oracle(
+    "label_match_rate",
+    S.with_scored(ENS, "SELECT *, " + S.pct_sql("actual_rate") + " AS actual_rate_text, " + S.pct_sql("match_rate") + " AS match_rate_text FROM ("
+    "SELECT count(*) AS labelled, round(avg(actual), 9) AS actual_rate, round(avg(CASE WHEN pred = actual THEN 1.0 ELSE 0.0 END), 9) AS match_rate FROM ("
+    "SELECT CASE WHEN (SELECT count(*) FROM scored WHERE Attrition IN ('Yes', 'No')) > 0 "
+    "THEN (CASE WHEN Attrition = 'Yes' THEN 1.0 WHEN Attrition = 'No' THEN 0.0 END) ELSE TRY_CAST(Attrition AS DOUBLE) END AS actual, "
+    f"CAST(CAST(PredictedAttritionRisk > {S.d(C.DECISION_THRESHOLD)} AS INTEGER) AS DOUBLE) AS pred FROM scored) WHERE actual IS NOT NULL)"),
+)
+oracle(
+    "label_truth",
+    f"WITH {S.EMP} SELECT EmployeeNumber AS id, Attrition, lower(CAST(Attrition AS VARCHAR)) IN ('yes', '1', '1.0') AS is_leaver, "
+    f"CASE WHEN Attrition = 'Yes' THEN {S.q(C.STATUS_LEFT)} ELSE {S.q(C.STATUS_ACTIVE)} END AS HistoricalStatus FROM employees",
+)
+oracle(
+    "profile_long",
+    f"WITH {S.EMP} " + " UNION ALL ".join(
+        f"SELECT EmployeeNumber AS id, {S.q(f)} AS field, CAST({f} AS VARCHAR) AS value FROM employees" for f in C.PROFILE_COLUMNS
+    ),
+)
+_rec_parts = []
+for _feat, _op, _val, _text in C.RECOMMENDATION_RULES:
+    _rec_parts.append(f"CASE WHEN {_feat} {'=' if _op == '==' else _op} {S.d(_val)} THEN {S.q(_text)} END")
+oracle(
+    "recommendations",
+    S.with_model(
+        "SELECT id, CAST(" + " + ".join(f"(CASE WHEN ({p}) IS NULL THEN 0 ELSE 1 END)" for p in _rec_parts) + " AS INTEGER) AS n_recommendations, "
+        f"COALESCE(NULLIF(concat_ws(chr(10), {', '.join(_rec_parts)}), ''), {S.q(C.NO_CONCERNS)}) AS recommendations FROM mfi"
+    ),
+)
+oracle(
+    "profile_shape",
+    f"WITH {S.EMP} SELECT EmployeeNumber AS id, "
+    + ", ".join(f"COALESCE(TRY_CAST(CAST({f} AS VARCHAR) AS DOUBLE), 0.0) / 4.0 AS {f}_shape" for f in C.PROFILE_SHAPE_FIELDS)
+    + " FROM employees",
+)
+oracle(
+    "coerce_numeric",
+    f"WITH {S.EMP}, {S.WORKERS} SELECT emp_code, TRY_CAST(happiness AS DOUBLE) AS happiness_num, "
+    "TRY_CAST(CAST(annual_income AS VARCHAR) AS DOUBLE) AS annual_income_num, CAST(hire_date AS DATE) AS hire_date_parsed FROM workers",
+)

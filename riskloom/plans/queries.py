@@ -104,3 +104,215 @@ def upload_summary(spark, sf_dir):
         F.count_if(F.col(RISK) > C.DECISION_THRESHOLD).alias("projected_attrition"),
         F.round(F.avg((F.col("RiskCategory") == C.HIGH_RISK).cast("double")), 9).alias("high_risk_share"),
     ).withColumn("avg_risk_text", percent_text(F.col("avg_risk")))
+
+
+# --- filters, search, views --------------------------------------------------------
+
+from riskloom.functions.expressions import label_truthy  # noqa: E402
+from riskloom.operators import actions as A  # noqa: E402
+from riskloom.operators import profile as PR  # noqa: E402
+from riskloom.operators import views as V  # noqa: E402
+
+# Filter parameters used by the registered views (values present in the fixture).
+FILTER_RISK = C.MEDIUM_RISK
+FILTER_DEPARTMENT = "BUILDING"
+FILTER_ROLE = "1-URGENT"
+SEARCH_TERM = "  Urgent "
+NO_MATCH_TERM = "no-such-employee"
+COUNT_SEARCH = "2-high"
+
+
+def _result_view(df):
+    return df.select(*V.present(df, C.RESULT_VIEW_COLUMNS))
+
+
+@query("filter_employees")
+def filter_employees(spark, sf_dir):
+    """Risk category, department and role equality."""
+    s = wb(spark, sf_dir).scored
+    pred = V.filter_predicate(s, FILTER_RISK, FILTER_DEPARTMENT, FILTER_ROLE)
+    return _result_view(s.where(pred))
+
+
+@query("search_text")
+def search_text(spark, sf_dir):
+    """Trimmed, case-insensitive literal substring over every column's text."""
+    s = wb(spark, sf_dir).scored
+    return _result_view(s.where(V.filter_predicate(s, search=SEARCH_TERM)))
+
+
+@query("filter_or_all")
+def filter_or_all(spark, sf_dir):
+    """nothing matches -> the whole table (decided in-plan by a scalar subquery)."""
+    s = wb(spark, sf_dir).scored
+    return _result_view(V.filter_or_all(s, V.filter_predicate(s, search=NO_MATCH_TERM)))
+
+
+@query("filter_counts")
+def filter_counts(spark, sf_dir):
+    """Matched vs total after department + search filters."""
+    s = wb(spark, sf_dir).scored
+    return V.filter_counts(s, V.filter_predicate(s, department=FILTER_DEPARTMENT, search=COUNT_SEARCH))
+
+
+@query("filtered_view")
+def filtered_view(spark, sf_dir):
+    """Department-filtered rows, preferred columns, highest risk first."""
+    s = wb(spark, sf_dir).scored
+    v = s.where(V.filter_predicate(s, department=FILTER_DEPARTMENT))
+    return _result_view(v.orderBy(F.col(RISK).desc(), F.col("EmployeeNumber")))
+
+
+@query("highest_risk")
+def highest_risk(spark, sf_dir):
+    """Top 15 with risk above 0.30."""
+    s = wb(spark, sf_dir).scored
+    return V.top_by_risk(s.where(F.col(RISK) > C.LOW_RISK_MAX), C.HIGHEST_RISK_ROWS, RISK, "EmployeeNumber", V.present(s, C.RESULT_VIEW_COLUMNS))
+
+
+@query("history_top30")
+def history_top30(spark, sf_dir):
+    """The 30 highest-risk history rows with their recorded status."""
+    s = wb(spark, sf_dir).scored.withColumn(
+        "HistoricalStatus", F.when(F.col(C.LABEL) == "Yes", F.lit(C.STATUS_LEFT)).otherwise(F.lit(C.STATUS_ACTIVE))
+    )
+    return V.top_by_risk(s, C.HISTORY_ROWS, RISK, "EmployeeNumber", V.present(s, C.HISTORY_VIEW_COLUMNS) + ["HistoricalStatus"])
+
+
+@query("template_rows")
+def template_rows(spark, sf_dir):
+    """The first 25 rows (by id) as an upload template."""
+    e = wb(spark, sf_dir).employees
+    return e.orderBy("EmployeeNumber").limit(C.TEMPLATE_ROWS)
+
+
+@query("risk_percentile")
+def risk_percentile(spark, sf_dir):
+    """Share of the population at or below each row's risk (x100), distributed."""
+    s = wb(spark, sf_dir).scored.select(F.col("EmployeeNumber").alias("id"), RISK)
+    p = V.risk_percentile(s, RISK)
+    return p.select(
+        "id", RISK, F.round("percentile", 9).alias("percentile"),
+        F.format_string("%.0f%%", F.round("percentile", 0)).alias("percentile_text"),
+    )
+
+
+@query("risk_vs_average")
+def risk_vs_average(spark, sf_dir):
+    """Each row's risk next to the population average."""
+    s = wb(spark, sf_dir).scored.select(F.col("EmployeeNumber").alias("id"), RISK)
+    a = V.with_average(s, RISK)
+    return a.select(
+        "id", RISK, F.round("dataset_avg", 9).alias("dataset_avg"),
+        F.round(F.col(RISK) - F.col("dataset_avg"), 9).alias("diff_from_avg"),
+    )
+
+
+@query("employee_labels")
+def employee_labels(spark, sf_dir):
+    """Selection labels with and without department."""
+    s = wb(spark, sf_dir).scored.withColumn("id", F.col("EmployeeNumber"))
+    return s.select(
+        "id",
+        V.selection_label("id", "EmployeeNumber", RISK, True).alias("history_label"),
+        V.selection_label("id", "EmployeeNumber", RISK, False).alias("upload_label"),
+        V.selection_label("id", None, RISK, False).alias("row_label"),
+    )
+
+
+@query("distinct_options")
+def distinct_options(spark, sf_dir):
+    """Department and role option lists."""
+    return V.distinct_options(wb(spark, sf_dir).scored, ["Department", "JobRole"])
+
+
+# --- labels and counts ---------------------------------------------------------------
+
+
+@query("label_counts")
+def label_counts(spark, sf_dir):
+    """A3/A4: label value counts and rates."""
+    return PR.value_counts(wb(spark, sf_dir).employees, C.LABEL).select(
+        F.col("value").alias(C.LABEL), "n", "share"
+    )
+
+
+@query("overtime_crosstab")
+def overtime_crosstab(spark, sf_dir):
+    """A5: OverTime x Attrition counts."""
+    return PR.crosstab(wb(spark, sf_dir).employees, "OverTime", C.LABEL, ["No", "Yes"])
+
+
+@query("label_match_rate")
+def label_match_rate(spark, sf_dir):
+    """Actual rate and model match rate over labelled rows. Yes/No labels map
+    to 1/0; only if that maps nothing, numbers are parsed instead (a column-level switch)."""
+    s = wb(spark, sf_dir).scored
+    yes_no = F.when(F.col(C.LABEL) == "Yes", F.lit(1.0)).when(F.col(C.LABEL) == "No", F.lit(0.0))
+    mapped_any = s.select(F.count(yes_no)).scalar()
+    actual = F.when(mapped_any > 0, yes_no).otherwise(F.col(C.LABEL).cast("string").try_cast("double"))
+    pred = predicted_class(F.col(RISK)).cast("double")
+    lab = s.select(actual.alias("actual"), pred.alias("pred")).where(F.col("actual").isNotNull())
+    return lab.agg(
+        F.count(F.lit(1)).alias("labelled"),
+        F.round(F.avg("actual"), 9).alias("actual_rate"),
+        F.round(F.avg((F.col("pred") == F.col("actual")).cast("double")), 9).alias("match_rate"),
+    ).select("*", percent_text(F.col("actual_rate")).alias("actual_rate_text"), percent_text(F.col("match_rate")).alias("match_rate_text"))
+
+
+@query("label_truth")
+def label_truth(spark, sf_dir):
+    """Actual label truthiness and status text per row."""
+    e = wb(spark, sf_dir).employees
+    return e.select(
+        F.col("EmployeeNumber").alias("id"),
+        F.col(C.LABEL),
+        label_truthy(F.col(C.LABEL)).alias("is_leaver"),
+        F.when(F.col(C.LABEL) == "Yes", F.lit(C.STATUS_LEFT)).otherwise(F.lit(C.STATUS_ACTIVE)).alias("HistoricalStatus"),
+    )
+
+
+# --- per-row profile outputs ------------------------------------------------------------
+
+
+@query("profile_long")
+def profile_long(spark, sf_dir):
+    """Every row's profile fields transposed to (id, field, value) — all ids at once."""
+    e = wb(spark, sf_dir).employees
+    fields = V.present(e, C.PROFILE_COLUMNS)
+    return e.select(
+        F.col("EmployeeNumber").alias("id"),
+        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("kv"),
+    ).select("id", "kv.field", "kv.value")
+
+
+@query("recommendations")
+def q_recommendations(spark, sf_dir):
+    """Retention recommendations from the model-frame values."""
+    f = wb(spark, sf_dir).filled_frame
+    return f.select(
+        "id",
+        F.size(A.recommendations(f)).alias("n_recommendations"),
+        A.recommendation_text(f).alias("recommendations"),
+    )
+
+
+@query("profile_shape")
+def q_profile_shape(spark, sf_dir):
+    """C20: radar data — satisfaction fields / 4, null -> 0."""
+    e = wb(spark, sf_dir).employees
+    return e.select(F.col("EmployeeNumber").alias("id"), *A.profile_shape(e))
+
+
+@query("coerce_numeric")
+def coerce_numeric(spark, sf_dir):
+    """Text -> number and text -> date coercion, bad values -> null."""
+    from riskloom.functions.expressions import to_number, to_timestamp_lenient
+
+    w = wb(spark, sf_dir).workers
+    return w.select(
+        "emp_code",
+        to_number(F.col("happiness")).alias("happiness_num"),
+        to_number(F.col("annual_income")).alias("annual_income_num"),
+        F.to_date(to_timestamp_lenient(F.col("hire_date"))).alias("hire_date_parsed"),
+    )

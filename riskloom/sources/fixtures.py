@@ -108,3 +108,19 @@ FIXED_FOREST_NODES: list[tuple] = [
     (2, 7, None, None, None, None, 40.0, 0.90),
     (2, 8, None, None, None, None, 30.0, 0.70),
 ]
+
+# Column lists of the two fixture layouts (checked against the Spark schemas in tests).
+EMPLOYEES_COLUMNS = [
+    "EmployeeNumber", "EmployeeCount", "Over18", "StandardHours", "Age", "BusinessTravel", "DailyRate",
+    "Department", "DistanceFromHome", "Education", "EducationField", "EnvironmentSatisfaction", "Gender",
+    "HourlyRate", "JobInvolvement", "JobLevel", "JobRole", "JobSatisfaction", "MaritalStatus", "MonthlyIncome",
+    "MonthlyRate", "NumCompaniesWorked", "OverTime", "PercentSalaryHike", "PerformanceRating",
+    "RelationshipSatisfaction", "StockOptionLevel", "TotalWorkingYears", "TrainingTimesLastYear",
+    "WorkLifeBalance", "YearsAtCompany", "YearsInCurrentRole", "YearsSinceLastPromotion",
+    "YearsWithCurrManager", "Attrition",
+]
+WORKERS_COLUMNS = [
+    "emp_code", "birth_date", "hire_date", "dept", "job_titel", "sex", "annual_income", "over_time",
+    "commute_distanse", "happiness", "work_life_score", "relationship_status", "pay_grade", "badge_color",
+    "attrition",
+]
