@@ -79,7 +79,7 @@ class Dictionary:
         if not cats:
             return F.lit(None).cast("int")
         mapping = F.create_map(*[x for i, cat in enumerate(cats) for x in (F.lit(cat), F.lit(i))])
-        return F.element_at(mapping, value.cast("string"))
+        return F.try_element_at(mapping, value.cast("string"))
 
     def join_codes(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
         """Add ``__code_<col>`` for large-dictionary columns through joins."""

@@ -91,7 +91,7 @@ def map_columns(catalog: DataFrame, overrides: DataFrame | None = None, strict_r
         "dataset", "col_name", "col_ord", "ov_target", "clean",
         F.col("_best.score").alias("score"),
         F.when(F.col("_best.score") > 0, F.col("_best.target")).alias("best"),
-        (F.lit(None).cast("string") if strict_reference else F.element_at(derive_map, F.col("clean"))).alias("derive_target"),
+        (F.lit(None).cast("string") if strict_reference else F.try_element_at(derive_map, F.col("clean"))).alias("derive_target"),
     )
     features = F.array(*[F.lit(f) for f in C.STANDARD_FEATURES])
     ov_feature = F.col("ov_target").isNotNull() & F.array_contains(features, F.col("ov_target"))
@@ -120,7 +120,7 @@ def map_columns(catalog: DataFrame, overrides: DataFrame | None = None, strict_r
     kind = (
         F.when(F.col("ov_target") == C.IGNORE, F.lit("ignored"))
         .when(ov_feature, F.lit("mapped"))
-        .when(F.col("ov_target").isNotNull() & F.element_at(role, F.col("ov_target")).isNotNull(), F.element_at(role, F.col("ov_target")))
+        .when(F.col("ov_target").isNotNull() & F.try_element_at(role, F.col("ov_target")).isNotNull(), F.try_element_at(role, F.col("ov_target")))
         .when(F.col("ov_target").isNotNull(), F.lit("dropped"))
         .when(F.col("_kind").isNotNull(), F.col("_kind"))
         .otherwise(F.lit("unknown"))
@@ -133,7 +133,7 @@ def map_columns(catalog: DataFrame, overrides: DataFrame | None = None, strict_r
     methods = F.create_map(*[x for k, v in C.DERIVATION_METHODS.items() for x in (F.lit(k), F.lit(v))])
     method = (
         F.when(F.col("ov_target").isNotNull(), F.lit("override"))
-        .when(F.col("_kind") == "derive", F.element_at(methods, F.col("derive_target")))
+        .when(F.col("_kind") == "derive", F.try_element_at(methods, F.col("derive_target")))
         .when(F.col("_kind") == "mapped", F.when(F.col("score") >= 1.0, F.lit("exact")).otherwise(F.lit("fuzzy")))
         .when(F.col("score") > 0, F.lit("best below threshold or taken"))
     )
@@ -160,7 +160,7 @@ def suggest_mapping(catalog: DataFrame) -> DataFrame:
         kws,
         lambda e: F.contains(clean, e["k"]) | (similarity_of_clean(clean, clean_string(e["k"])) > C.SUGGEST_THRESHOLD),
     )
-    first = F.element_at(hits, 1)
+    first = F.try_element_at(hits, F.lit(1))
     return catalog.select(
         "dataset",
         "col_name",

@@ -72,24 +72,22 @@ def derived_column(target: str, source: Column, as_of: str) -> Column:
     raise ValueError(target)
 
 
-def harmonize(upload: DataFrame, plan: Plan, as_of: str) -> DataFrame:
+def harmonize(upload: DataFrame, plan: Plan, as_of: str, keep: Sequence[str] = ()) -> DataFrame:
     """Rename mapped columns to standard names and add derived features, keeping only the
-    standard features (plus ``_id`` and ``_label`` roles when present). The survey rescale
-    needs the column maximum: one small aggregate."""
-    cols: list[Column] = []
+    standard features (plus ``_id`` and ``_label`` roles when present, and ``keep``). The
+    survey rescale needs the column maximum: a scalar subquery inside the same plan."""
+    cols: list[Column] = [F.col(c) for c in keep]
     if plan.id_col:
         cols.append(F.col(plan.id_col).cast("string").alias("_id"))
     if plan.label:
         cols.append(F.col(plan.label).cast("string").alias("_label"))
     for raw, target in plan.mapped.items():
         cols.append(F.col(raw).alias(target))
-    survey_max = None
-    if "JobSatisfaction" in plan.derived:
-        survey_max = upload.agg(F.max(to_number(F.col(plan.derived["JobSatisfaction"])))).collect()[0][0]
     for target, raw in plan.derived.items():
         expr = derived_column(target, F.col(raw), as_of)
-        if target == "JobSatisfaction" and survey_max is not None and survey_max > 4:
-            expr = F.bround(expr / F.lit(float(survey_max)) * F.lit(3.0) + F.lit(1.0), 0)
+        if target == "JobSatisfaction":
+            mx = upload.select(F.max(to_number(F.col(raw)))).scalar()
+            expr = F.when(mx > 4, F.bround(expr / mx * F.lit(3.0) + F.lit(1.0), 0)).otherwise(expr)
         cols.append(expr.alias(target))
     return upload.select(*cols)
 

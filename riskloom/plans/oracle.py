@@ -166,3 +166,227 @@ oracle(
     f"WITH {S.EMP}, {S.WORKERS} SELECT emp_code, TRY_CAST(happiness AS DOUBLE) AS happiness_num, "
     "TRY_CAST(CAST(annual_income AS VARCHAR) AS DOUBLE) AS annual_income_num, CAST(hire_date AS DATE) AS hire_date_parsed FROM workers",
 )
+
+# --- harmonisation -----------------------------------------------------------------------------
+
+from riskloom.sources.fixtures import WORKERS_AS_OF, WORKERS_COLUMNS, WORKERS_OVERRIDES  # noqa: E402
+from riskloom.sources.tables import TABLES  # noqa: E402
+
+FIXTURE_CATALOG = S.catalog_values({"employees": EMPLOYEES_COLUMNS, "workers_custom": WORKERS_COLUMNS})
+NO_OVERRIDES = "ov AS (SELECT CAST(NULL AS VARCHAR) AS dataset, CAST(NULL AS VARCHAR) AS col_name, CAST(NULL AS VARCHAR) AS ov_target WHERE false)"
+WORKER_OVERRIDES = S.overrides_values("workers_custom", WORKERS_OVERRIDES)
+WORKERS_ONLY_CATALOG = S.catalog_values({"workers_custom": WORKERS_COLUMNS})
+INFO_CATALOG = (
+    "cat AS (SELECT table_name AS dataset, column_name AS col_name, CAST(ordinal_position - 1 AS INTEGER) AS col_ord "
+    "FROM information_schema.columns WHERE table_name IN (" + ", ".join(S.q(t) for t in TABLES) + "))"
+)
+REQ = S.values_sql("req", "f, o", [(f, i) for i, f in enumerate(C.STANDARD_FEATURES)])
+
+oracle(
+    "schema_check",
+    f"WITH {FIXTURE_CATALOG}, {REQ}, ds AS (SELECT DISTINCT dataset FROM cat), "
+    "m AS (SELECT ds.dataset, count(*) AS n, string_agg(req.f, ', ' ORDER BY req.o) AS names FROM ds CROSS JOIN req "
+    "WHERE NOT EXISTS (SELECT 1 FROM cat WHERE cat.dataset = ds.dataset AND cat.col_name = req.f) GROUP BY ds.dataset) "
+    "SELECT ds.dataset, COALESCE(m.n, 0) = 0 AS is_standard, CAST(COALESCE(m.n, 0) AS INTEGER) AS missing_count, "
+    "COALESCE(m.names, '') AS missing_features FROM ds LEFT JOIN m ON m.dataset = ds.dataset",
+)
+oracle("fuzzy_column_map", f"WITH {FIXTURE_CATALOG}, {WORKER_OVERRIDES}, {S.mapping_ctes()} SELECT * FROM mapping")
+oracle("catalog_column_map", f"WITH {INFO_CATALOG}, {NO_OVERRIDES}, {S.mapping_ctes()} SELECT * FROM mapping")
+FEATS = S.values_sql("feats", "target", [(f,) for f in C.STANDARD_FEATURES])
+oracle(
+    "string_similarity",
+    f"WITH {FIXTURE_CATALOG}, {FEATS}, x AS (SELECT dataset, col_name, target, {S.clean_sql('col_name')} AS a, {S.clean_sql('target')} AS b "
+    f"FROM cat CROSS JOIN feats) SELECT dataset, col_name, target, round({S.sim_sql('a', 'b')}, 9) AS similarity FROM x",
+)
+KW = S.values_sql("kw", "o, k, t, n", [(i, k, t, n) for i, (k, t, n) in enumerate(C.SUGGESTIONS)])
+oracle(
+    "suggest_mapping",
+    f"WITH {FIXTURE_CATALOG}, {KW}, c AS (SELECT dataset, col_name, {S.clean_sql('col_name')} AS clean FROM cat), "
+    f"hits AS (SELECT c.dataset, c.col_name, kw.o, kw.t, kw.n FROM c CROSS JOIN kw WHERE contains(c.clean, kw.k) "
+    f"OR {S.sim_sql('c.clean', 'kw.k')} > {S.d(C.SUGGEST_THRESHOLD)}), "
+    "first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, col_name ORDER BY o) AS rk FROM hits) WHERE rk = 1) "
+    f"SELECT c.dataset, c.col_name, f.t AS suggested_target, COALESCE(f.n, {S.q(C.NO_SUGGESTION_NOTE)}) AS note "
+    "FROM c LEFT JOIN first f ON f.dataset = c.dataset AND f.col_name = c.col_name",
+)
+oracle(
+    "effective_mapping",
+    f"WITH {WORKERS_ONLY_CATALOG}, {WORKER_OVERRIDES}, {S.mapping_ctes()} SELECT m.dataset, m.col_name, m.col_ord, "
+    f"COALESCE(ov.ov_target, CASE WHEN m.kind = 'ignored' THEN {S.q(C.IGNORE)} WHEN m.kind = 'mapped' THEN m.target END, {S.q(C.IGNORE)}) AS decision "
+    "FROM mapping m LEFT JOIN ov ON ov.dataset = m.dataset AND ov.col_name = m.col_name",
+)
+
+# Profile of the custom upload (no overrides).
+_NUMERIC_TYPES = "('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'HUGEINT', 'FLOAT', 'DOUBLE', 'UTINYINT', 'USMALLINT', 'UINTEGER', 'UBIGINT')"
+_TYPES = "types AS (" + " UNION ALL ".join(
+    f"SELECT {S.q(c)} AS c, {i} AS o, typeof(any_value({c})) AS t FROM workers" for i, c in enumerate(WORKERS_COLUMNS)
+) + ")"
+_NULLS = " + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in WORKERS_COLUMNS)
+_NCOL = len(WORKERS_COLUMNS)
+_missing_feats = "(30 - mapped - derived)"
+_raw_score = (
+    f"(100.0 - {_missing_feats} * {S.d(C.PENALTY_PER_MISSING_FEATURE)} - missing_pct * {S.d(C.PENALTY_PER_MISSING_PCT)} "
+    f"- CAST(unknown AS DOUBLE) / {_NCOL} * {S.d(C.PENALTY_UNKNOWN_SHARE)})"
+)
+_clamped = f"greatest(0.0, least(100.0, {_raw_score}))"
+oracle(
+    "profile_summary",
+    f"WITH {S.EMP}, {S.WORKERS}, {WORKERS_ONLY_CATALOG}, {NO_OVERRIDES}, {S.mapping_ctes()}, {REQ}, {_TYPES}, "
+    f"st AS (SELECT count(*) AS rows, sum({_NULLS}) AS missing FROM workers), "
+    "cnt AS (SELECT CAST(count(*) FILTER (WHERE kind = 'mapped') AS INTEGER) AS mapped, CAST(count(*) FILTER (WHERE kind = 'derive') AS INTEGER) AS derived, "
+    "CAST(count(*) FILTER (WHERE kind = 'unknown') AS INTEGER) AS unknown FROM mapping), "
+    "miss AS (SELECT COALESCE(string_agg(f, ', ' ORDER BY o), '') AS names FROM (SELECT f, o FROM req WHERE f NOT IN "
+    "(SELECT target FROM mapping WHERE kind IN ('mapped', 'derive') AND target IS NOT NULL) ORDER BY o LIMIT 3)), "
+    f"base AS (SELECT st.rows, {_NCOL} AS columns, st.missing / (st.rows * {_NCOL}) * 100.0 AS missing_pct, cnt.*, miss.names FROM st, cnt, miss), "
+    f"qs AS (SELECT *, {_clamped} AS clamped FROM base) "
+    f"SELECT rows, CAST(columns AS INTEGER) AS columns, round(missing_pct, 6) AS missing_pct, "
+    f"(SELECT string_agg(c, ', ' ORDER BY o) FROM types WHERE t IN {_NUMERIC_TYPES}) AS numeric_columns, "
+    f"(SELECT string_agg(c, ', ' ORDER BY o) FROM types WHERE t NOT IN {_NUMERIC_TYPES}) AS categorical_columns, "
+    "mapped AS mapped_columns_count, derived AS derived_columns_count, unknown AS unknown_columns_count, "
+    "CAST(round_even(clamped, 0) AS INTEGER) AS score, concat_ws(chr(10), "
+    f"CASE WHEN {_missing_feats} > 0 THEN {S.q(C.SUGGEST_MISSING_FEATURES.split('{}')[0])} || CAST({_missing_feats} AS VARCHAR) || "
+    f"{S.q(C.SUGGEST_MISSING_FEATURES.split('{}')[1])} || names END, "
+    f"CASE WHEN missing_pct > {S.d(C.MISSING_PCT_WARN)} THEN {S.q(C.SUGGEST_MISSING_CELLS.split('{}')[0])} || printf('%.1f', round(missing_pct, 1)) || {S.q(C.SUGGEST_MISSING_CELLS.split('{}')[1])} END, "
+    f"CASE WHEN unknown > 0 THEN {S.q(C.SUGGEST_UNKNOWN.split('{}')[0])} || CAST(unknown AS VARCHAR) || {S.q(C.SUGGEST_UNKNOWN.split('{}')[1])} END, "
+    f"CASE WHEN clamped > {C.SCORE_EXCELLENT} THEN {S.q(C.SUGGEST_EXCELLENT)} WHEN clamped > {C.SCORE_GOOD} THEN {S.q(C.SUGGEST_GOOD)} ELSE {S.q(C.SUGGEST_POOR)} END"
+    ") AS suggestions FROM qs",
+)
+_NUMERIC_SET = set()
+oracle(
+    "column_profile",
+    f"WITH {S.EMP}, {S.WORKERS}, {_TYPES}, n AS (SELECT count(*) AS rows FROM workers), cnt AS ("
+    + " UNION ALL ".join(f"SELECT {S.q(c)} AS col_name, {i} AS col_ord, count({c}) AS non_null FROM workers" for i, c in enumerate(WORKERS_COLUMNS))
+    + f") SELECT cnt.col_name, cnt.col_ord, types.t IN {_NUMERIC_TYPES} AS is_numeric, cnt.non_null, n.rows - cnt.non_null AS nulls, "
+    "cnt.non_null = 0 AS all_null, cnt.non_null < n.rows AS any_null FROM cnt JOIN types ON types.c = cnt.col_name CROSS JOIN n",
+)
+
+# Derivations on the custom upload (as_of fixed).
+_AS_OF = f"DATE '{WORKERS_AS_OF}'"
+_AGE = f"CAST(CAST(trunc(datediff('day', CAST(birth_date AS DATE), {_AS_OF}) / 365.25) AS INTEGER) AS DOUBLE)"
+_TENURE = f"CAST(year({_AS_OF}) - year(CAST(hire_date AS DATE)) AS DOUBLE)"
+_INCOME = "(TRY_CAST(CAST(annual_income AS VARCHAR) AS DOUBLE) / 12.0)"
+_SURVEY_RAW = "TRY_CAST(CAST(happiness AS VARCHAR) AS DOUBLE)"
+_SURVEY = f"(CASE WHEN (SELECT max({_SURVEY_RAW}) FROM workers) > 4 THEN round_even({_SURVEY_RAW} / (SELECT max({_SURVEY_RAW}) FROM workers) * 3.0 + 1.0, 0) ELSE {_SURVEY_RAW} END)"
+oracle(
+    "derive_features",
+    f"WITH {S.EMP}, {S.WORKERS} SELECT emp_code, {_AGE} AS Age, {_SURVEY} AS JobSatisfaction, {_INCOME} AS MonthlyIncome, {_TENURE} AS YearsAtCompany FROM workers",
+)
+
+# Expected decisions for the custom fixture with the override fixture (FIXTURES.md §3).
+EXPECTED_MAPPED = {
+    "dept": "Department", "job_titel": "JobRole", "sex": "Gender", "over_time": "OverTime",
+    "commute_distanse": "DistanceFromHome", "work_life_score": "WorkLifeBalance",
+    "relationship_status": "MaritalStatus", "pay_grade": "JobLevel",
+}
+EXPECTED_DERIVED = {"Age": _AGE, "YearsAtCompany": _TENURE, "MonthlyIncome": _INCOME, "JobSatisfaction": _SURVEY}
+_H = {t: r for r, t in EXPECTED_MAPPED.items()}
+HARMONIZED = (
+    "h AS (SELECT CAST(emp_code AS VARCHAR) AS _id, CAST(attrition AS VARCHAR) AS _label, "
+    + ", ".join(f"{r} AS {t}" for r, t in EXPECTED_MAPPED.items())
+    + ", " + ", ".join(f"{e} AS {t}" for t, e in EXPECTED_DERIVED.items())
+    + " FROM workers)"
+)
+_PRESENT = list(EXPECTED_MAPPED.values()) + list(EXPECTED_DERIVED)
+oracle(
+    "harmonize",
+    f"WITH {S.EMP}, {S.WORKERS}, {HARMONIZED} SELECT * FROM h",
+)
+
+
+def _default_sql(f):
+    v = C.INTELLIGENT_DEFAULTS.get(f, 0)
+    return S.q(v) if isinstance(v, str) else repr(v)
+
+
+oracle(
+    "impute_defaults",
+    f"WITH {S.EMP}, {S.WORKERS}, {HARMONIZED} SELECT _id, "
+    + ", ".join(
+        (f"CAST(COALESCE({f}, {_default_sql(f)}) AS VARCHAR) AS {f}" if f in _PRESENT else f"CAST({_default_sql(f)} AS VARCHAR) AS {f}")
+        for f in C.STANDARD_FEATURES
+    )
+    + " FROM h",
+)
+
+
+def _encoded_feature(f: str) -> str:
+    """Lenient-encoded, median-imputed value of feature f in the harmonized upload ``h``."""
+    if f in C.CATEGORICAL_FEATURES:
+        if f in _PRESENT:
+            return f"COALESCE((SELECT code FROM dict WHERE dict.feature = {S.q(f)} AND dict.category = CAST(h.{f} AS VARCHAR)), 0)"
+        return f"CAST(trunc(med.{f}) AS INTEGER)"
+    if f in _PRESENT:
+        return f"COALESCE(TRY_CAST(CAST(COALESCE(CAST(h.{f} AS DOUBLE), med.{f}) AS VARCHAR) AS DOUBLE), 0.0)"
+    return f"med.{f}"
+
+
+PREPARED = "prep AS (SELECT h._id, h._label, " + ", ".join(
+    f"CAST({_encoded_feature(f)} AS DOUBLE) AS {f}" for f in C.STANDARD_FEATURES
+) + " FROM h CROSS JOIN med)"
+oracle(
+    "encode_categories",
+    S.with_model(
+        "SELECT _id, " + ", ".join(f"CAST({f} AS INTEGER) AS {f}" for f in C.CATEGORICAL_FEATURES) + " FROM prep",
+        f"{S.WORKERS}, {HARMONIZED}, {PREPARED}",
+    ),
+)
+oracle(
+    "preprocess_custom",
+    S.with_model(
+        "SELECT _id, _label, " + ", ".join(f"round({f}, 9) AS {f}" for f in C.STANDARD_FEATURES) + " FROM prep",
+        f"{S.WORKERS}, {HARMONIZED}, {PREPARED}",
+    ),
+)
+oracle(
+    "preprocess_standard",
+    S.with_model("SELECT id, " + ", ".join(f"round({f}, 9) AS {f}" for f in C.STANDARD_FEATURES) + " FROM mfi"),
+)
+_CAT_PRESENT = [f for f in C.CATEGORICAL_FEATURES if f in _PRESENT]
+oracle(
+    "unknown_categories",
+    S.with_model(
+        "SELECT names.feature, CAST(count(u.category) AS BIGINT) AS unknown_count, "
+        "COALESCE(array_to_string(list_slice(list_sort(list(u.category) FILTER (WHERE u.category IS NOT NULL)), 1, 8), ', '), '') AS unknown_shown "
+        "FROM names LEFT JOIN u ON u.feature = names.feature GROUP BY names.feature",
+        f"{S.WORKERS}, {HARMONIZED}, "
+        + S.values_sql("names", "feature", [(f,) for f in _CAT_PRESENT])
+        + ", obs AS (" + " UNION ".join(
+            f"SELECT DISTINCT {S.q(f)} AS feature, CAST({f} AS VARCHAR) AS category FROM h WHERE {f} IS NOT NULL" for f in _CAT_PRESENT
+        ) + "), u AS (SELECT * FROM obs WHERE NOT EXISTS (SELECT 1 FROM dict WHERE dict.feature = obs.feature AND dict.category = obs.category))",
+    ),
+)
+_imputed_rows = []
+for _f in C.STANDARD_FEATURES:
+    if _f not in _PRESENT:
+        _imputed_rows.append(f"SELECT NULL AS raw_col, 'imputed' AS kind, {S.q(_f)} AS target, CAST(NULL AS DOUBLE) AS score, "
+                             f"'training median (' || CAST(med.{_f} AS VARCHAR) || ')' AS method FROM med")
+    else:
+        _imputed_rows.append(f"SELECT NULL, 'imputed', {S.q(_f)}, CAST(NULL AS DOUBLE), 'training median for subset (' || CAST(med.{_f} AS VARCHAR) || ')' "
+                             f"FROM med WHERE (SELECT count({_f}) < count(*) FROM h)")
+oracle(
+    "mapping_report",
+    S.with_model(
+        "SELECT col_name AS raw_col, kind, target, score, method FROM mapping UNION ALL " + " UNION ALL ".join(_imputed_rows),
+        f"{S.WORKERS}, {HARMONIZED}, {WORKERS_ONLY_CATALOG}, {WORKER_OVERRIDES}, {S.mapping_ctes()}",
+    ),
+)
+oracle(
+    "score_custom_upload",
+    S.with_model(
+        f"SELECT _id, PredictedAttritionRisk, {S.outcome_sql('PredictedAttritionRisk')} AS PredictedOutcome, "
+        f"{S.bucket_sql('PredictedAttritionRisk')} AS RiskCategory FROM (SELECT _id, {S.score_sql(ENS)} AS PredictedAttritionRisk FROM prep)",
+        f"{S.WORKERS}, {HARMONIZED}, {PREPARED}",
+    ),
+)
+oracle(
+    "percentile_vs_reference",
+    S.with_model(
+        "SELECT u._id, u.r AS PredictedAttritionRisk, round(COALESCE((SELECT max(c) FROM cum WHERE cum.r <= u.r), 0) / "
+        "(SELECT count(*) FROM mfi) * 100.0, 9) AS percentile FROM up u",
+        f"{S.WORKERS}, {HARMONIZED}, {PREPARED}, up AS (SELECT _id, {S.score_sql(ENS)} AS r FROM prep), "
+        f"hist AS (SELECT {S.score_sql(ENS)} AS r, count(*) AS n FROM mfi GROUP BY 1), cum AS (SELECT r, sum(n) OVER (ORDER BY r) AS c FROM hist)",
+    ),
+)
+oracle(
+    "resolve_ids",
+    f"WITH {S.EMP}, {S.WORKERS} SELECT emp_code, 'EMP-' || CAST(row_number() OVER (ORDER BY emp_code) + 1000 AS VARCHAR) AS EmployeeNumber FROM workers",
+)

@@ -316,3 +316,187 @@ def coerce_numeric(spark, sf_dir):
         to_number(F.col("annual_income")).alias("annual_income_num"),
         F.to_date(to_timestamp_lenient(F.col("hire_date"))).alias("hire_date_parsed"),
     )
+
+
+# --- harmonisation ------------------------------------------------------------------------
+
+from riskloom.operators import encode as EN  # noqa: E402
+from riskloom.operators import mapping as MP  # noqa: E402
+from riskloom.operators import prepare as PP  # noqa: E402
+from riskloom.plans import workbench as W  # noqa: E402
+from riskloom.sources.fixtures import WORKERS_AS_OF, WORKERS_OVERRIDES  # noqa: E402
+
+
+@query("schema_check")
+def schema_check(spark, sf_dir):
+    """Standard-schema detection and the missing required names, per table."""
+    return MP.schema_check(W.fixture_catalog(wb(spark, sf_dir)))
+
+
+@query("fuzzy_column_map")
+def fuzzy_column_map(spark, sf_dir):
+    """Mapping decisions for both fixture layouts (overrides on the custom one)."""
+    b = wb(spark, sf_dir)
+    ov = MP.overrides_of(spark, W.WORKERS, WORKERS_OVERRIDES)
+    return MP.map_columns(W.fixture_catalog(b), ov)
+
+
+@query("catalog_column_map")
+def catalog_column_map(spark, sf_dir):
+    """H2 over a catalog: every column of every given table mapped in one job."""
+    return MP.map_columns(W.table_catalog(wb(spark, sf_dir)))
+
+
+@query("string_similarity")
+def string_similarity(spark, sf_dir):
+    """Similarity of every fixture column name to every standard feature name."""
+    from riskloom.functions.expressions import clean_string, similarity_of_clean
+
+    cat = W.fixture_catalog(wb(spark, sf_dir))
+    names = F.array(*[F.lit(f) for f in C.STANDARD_FEATURES])
+    clean = clean_string(F.col("col_name"))
+    return cat.select("dataset", "col_name", F.explode(names).alias("target")).select(
+        "dataset", "col_name", "target",
+        F.round(similarity_of_clean(clean, clean_string(F.col("target"))), 9).alias("similarity"),
+    )
+
+
+@query("suggest_mapping")
+def suggest_mapping(spark, sf_dir):
+    """H3: keyword suggestions for every fixture column."""
+    return MP.suggest_mapping(W.fixture_catalog(wb(spark, sf_dir)))
+
+
+@query("effective_mapping")
+def effective_mapping(spark, sf_dir):
+    """Override, else automatic target, else Ignore — for every upload column."""
+    b = wb(spark, sf_dir)
+    cat = MP.catalog_of(spark, {W.WORKERS: b.workers})
+    ov = MP.overrides_of(spark, W.WORKERS, WORKERS_OVERRIDES)
+    return MP.effective_mapping(cat, MP.map_columns(cat, ov), ov)
+
+
+@query("profile_summary")
+def profile_summary(spark, sf_dir):
+    """One-row profile and quality score of the custom upload."""
+    b = wb(spark, sf_dir)
+    return PR.profile_summary(spark, b.workers, W.workers_decisions(b, False), W.WORKERS)
+
+
+@query("column_profile")
+def column_profile(spark, sf_dir):
+    """Per-column non-null counts and null flags in one pass."""
+    return PR.column_profile(wb(spark, sf_dir).workers)
+
+
+@query("derive_features")
+def derive_features(spark, sf_dir):
+    """Tenure, age, monthly income and rescaled survey derived from source columns."""
+    b = wb(spark, sf_dir)
+    plan = W.workers_plan(b, False)
+    h = PP.harmonize(b.workers, plan, WORKERS_AS_OF, keep=["emp_code"])
+    return h.select("emp_code", *sorted(plan.derived))
+
+
+@query("harmonize")
+def harmonize(spark, sf_dir):
+    """Raw columns renamed to standard names (with overrides), derived features added."""
+    b = wb(spark, sf_dir)
+    return PP.harmonize(b.workers, W.workers_plan(b, True), WORKERS_AS_OF)
+
+
+@query("impute_defaults")
+def impute_defaults(spark, sf_dir):
+    """H5 without training medians: absent / null features get the built-in defaults."""
+    b = wb(spark, sf_dir)
+    h = PP.harmonize(b.workers, W.workers_plan(b, True), WORKERS_AS_OF)
+    out, _ = PP.impute(h, None)
+    return out.select("_id", *[F.col(f).cast("string").alias(f) for f in C.STANDARD_FEATURES])
+
+
+@query("encode_categories")
+def encode_categories(spark, sf_dir):
+    """Lenient encoding of the upload's text features with the history dictionary."""
+    b = wb(spark, sf_dir)
+    h = PP.harmonize(b.workers, W.workers_plan(b, True), WORKERS_AS_OF)
+    imputed, _ = PP.impute(h, b.medians)
+    enc = EN.encode_lenient(imputed, b.dictionary, C.STANDARD_FEATURES)
+    return enc.select("_id", *[F.col(f).cast("int").alias(f) for f in C.CATEGORICAL_FEATURES])
+
+
+@query("preprocess_custom")
+def preprocess_custom(spark, sf_dir):
+    """H12 (custom): map -> derive -> rename -> impute -> encode -> align."""
+    frame, _ = W.workers_prepared(wb(spark, sf_dir), True)
+    return frame.select("_id", "_label", *[F.round(f, 9).alias(f) for f in C.STANDARD_FEATURES])
+
+
+@query("preprocess_standard")
+def preprocess_standard(spark, sf_dir):
+    """H12 (standard)/H7/H8: strict encoding (unknown categories raise), median fill."""
+    b = wb(spark, sf_dir)
+    e = b.employees
+    model = e.select(F.col("EmployeeNumber").alias("id"), *C.STANDARD_FEATURES)
+    enc = EN.encode_strict(model, b.dictionary, C.STANDARD_FEATURES)
+    filled = EN.fill_medians(enc, b.medians)
+    return filled.select("id", *[F.round(f, 9).alias(f) for f in C.STANDARD_FEATURES])
+
+
+@query("unknown_categories")
+def unknown_categories(spark, sf_dir):
+    """Upload categories absent from the history dictionary (first 8 shown)."""
+    b = wb(spark, sf_dir)
+    h = PP.harmonize(b.workers, W.workers_plan(b, True), WORKERS_AS_OF)
+    cols = [c for c in C.CATEGORICAL_FEATURES if c in h.columns]
+    return EN.unknown_categories(h, b.dictionary, cols)
+
+
+@query("mapping_report")
+def mapping_report(spark, sf_dir):
+    """H9: mapped / derived / ignored / unknown decisions plus imputed features, long form."""
+    b = wb(spark, sf_dir)
+    dec = W.workers_decisions(b, True)
+    _, report = W.workers_prepared(b, True)
+    imputed = spark.createDataFrame(
+        [(None, "imputed", r.feature, None, r.method) for r in report],
+        "raw_col string, kind string, target string, score double, method string",
+    )
+    return dec.select(F.col("col_name").alias("raw_col"), "kind", "target", "score", "method").unionByName(imputed)
+
+
+@query("score_custom_upload")
+def score_custom_upload(spark, sf_dir):
+    """Upload flow: custom upload prepared and scored with the forest."""
+    b = wb(spark, sf_dir)
+    frame, _ = W.workers_prepared(b, True)
+    s = frame.select("_id", b.score_frame(frame).alias(RISK))
+    return W.with_risk_columns(s)
+
+
+@query("percentile_vs_reference")
+def percentile_vs_reference(spark, sf_dir):
+    """Each uploaded row's risk percentile against the scored history."""
+    b = wb(spark, sf_dir)
+    frame, _ = W.workers_prepared(b, True)
+    up = frame.select("_id", b.score_frame(frame).alias(RISK))
+    ref = b.scored.select(F.col(RISK).alias("ref_risk"))
+    p = V.percentile_vs_reference(up, RISK, ref, "ref_risk")
+    return p.select("_id", RISK, F.round("percentile", 9).alias("percentile"))
+
+
+@query("resolve_ids")
+def resolve_ids(spark, sf_dir):
+    """Row ids — mapped id column if any, else sequential EMP-n by an explicit order
+    (distributed positions, no single-task row_number)."""
+    from riskloom.operators.stats import dense_positions
+
+    b = wb(spark, sf_dir)
+    plan = W.workers_plan(b, False)
+    w = b.workers
+    if plan.id_col is None:
+        id_cols = [c for c in w.columns if c.lower() in C.ID_COLUMN_NAMES]
+        plan.id_col = id_cols[0] if id_cols else None
+    if plan.id_col is not None:
+        return w.select("emp_code", F.col(plan.id_col).cast("string").alias(C.ID_ROLE))
+    pos = dense_positions(w.select("emp_code"), ["emp_code"], out="_pos")
+    return pos.select("emp_code", F.concat(F.lit("EMP-"), (F.col("_pos") + 1000).cast("string")).alias(C.ID_ROLE))

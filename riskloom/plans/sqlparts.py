@@ -148,3 +148,89 @@ def contributions_ctes(ens: TreeEnsemble, frame: str = "mfi") -> str:
         "LEFT JOIN (SELECT id, feature, sum(v) AS v FROM pl GROUP BY id, feature) s ON s.id = r.id AND s.feature = fl.feature)",
     ]
     return ", ".join(parts)
+
+
+# --- harmonisation -----------------------------------------------------------------------
+
+
+def clean_sql(x: str) -> str:
+    return f"regexp_replace(lower(COALESCE(CAST({x} AS VARCHAR), '')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+def sim_sql(a: str, b: str) -> str:
+    """Similarity of two already cleaned strings."""
+    return (
+        f"(CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0 WHEN {a} = {b} THEN 1.0 "
+        f"ELSE 1.0 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) END)"
+    )
+
+
+def values_sql(name: str, cols: str, rows: list[tuple]) -> str:
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return q(v)
+        return repr(v)
+
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"{name}({cols}) AS (VALUES {body})"
+
+
+def catalog_values(tables: dict[str, list[str]]) -> str:
+    rows = [(t, c, i) for t, cols in tables.items() for i, c in enumerate(cols)]
+    return values_sql("cat", "dataset, col_name, col_ord", rows)
+
+
+def overrides_values(dataset: str, overrides: dict[str, str]) -> str:
+    rows = [(dataset, k, v) for k, v in overrides.items()] or [(None, None, None)]
+    return values_sql("ov", "dataset, col_name, ov_target", rows)
+
+
+def mapping_ctes() -> str:
+    """Given CTEs ``cat`` and ``ov``: CTEs ending in ``mapping(dataset, col_name, col_ord, kind, target, score, method)``."""
+    alias_rows = []
+    for target, aliases in C.STANDARD_ALIASES.items():
+        for name in [target, *aliases]:
+            alias_rows.append((len(alias_rows), target, name))
+    derive_rows, seen = [], set()
+    for target, sources in C.DERIVATION_SOURCES.items():
+        for s in sources:
+            key = "".join(ch for ch in s.lower() if ch.isalnum())
+            if key not in seen:
+                seen.add(key)
+                derive_rows.append((key, target))
+    feats = "(" + ", ".join(q(f) for f in C.STANDARD_FEATURES) + ")"
+    methods = "CASE derive_target " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in C.DERIVATION_METHODS.items()) + " END"
+    return ", ".join([
+        values_sql("al", "o, target, name", alias_rows),
+        values_sql("ds", "dclean, derive_target", derive_rows),
+        f"c AS (SELECT cat.dataset, cat.col_name, cat.col_ord, ov.ov_target, {clean_sql('cat.col_name')} AS clean "
+        "FROM cat LEFT JOIN ov ON ov.dataset = cat.dataset AND ov.col_name = cat.col_name)",
+        f"an AS (SELECT o, target, {clean_sql('name')} AS aclean FROM al)",
+        f"sc AS (SELECT c.dataset, c.col_name, an.o, an.target, {sim_sql('c.clean', 'an.aclean')} AS score FROM c CROSS JOIN an)",
+        "best AS (SELECT dataset, col_name, score, CASE WHEN score > 0 THEN target END AS best FROM "
+        "(SELECT *, row_number() OVER (PARTITION BY dataset, col_name ORDER BY score DESC, o) AS rk FROM sc) WHERE rk = 1)",
+        "c2 AS (SELECT c.*, b.score, b.best, ds.derive_target FROM c JOIN best b ON b.dataset = c.dataset AND b.col_name = c.col_name "
+        "LEFT JOIN ds ON ds.dclean = c.clean)",
+        f"claimed AS (SELECT DISTINCT dataset, ov_target AS best FROM c2 WHERE ov_target IN {feats})",
+        f"auto AS (SELECT * FROM c2 WHERE ov_target IS NULL AND derive_target IS NULL AND score >= {d(C.AUTO_MAP_THRESHOLD)} "
+        "AND NOT EXISTS (SELECT 1 FROM claimed k WHERE k.dataset = c2.dataset AND k.best = c2.best))",
+        "auto_won AS (SELECT dataset, col_name, best FROM (SELECT *, row_number() OVER (PARTITION BY dataset, best ORDER BY col_ord) AS rk FROM auto) WHERE rk = 1)",
+        "taken AS (SELECT dataset, best FROM claimed UNION SELECT dataset, best FROM auto_won)",
+        "der AS (SELECT * FROM c2 WHERE ov_target IS NULL AND derive_target IS NOT NULL "
+        "AND NOT EXISTS (SELECT 1 FROM taken k WHERE k.dataset = c2.dataset AND k.best = c2.derive_target))",
+        "der_won AS (SELECT dataset, col_name FROM (SELECT *, row_number() OVER (PARTITION BY dataset, derive_target ORDER BY col_ord) AS rk FROM der) WHERE rk = 1)",
+        "dec AS (SELECT c2.*, CASE WHEN aw.col_name IS NOT NULL THEN 'mapped' WHEN dw.col_name IS NOT NULL THEN 'derive' END AS kind0 FROM c2 "
+        "LEFT JOIN auto_won aw ON aw.dataset = c2.dataset AND aw.col_name = c2.col_name "
+        "LEFT JOIN der_won dw ON dw.dataset = c2.dataset AND dw.col_name = c2.col_name)",
+        "mapping AS (SELECT dataset, col_name, col_ord, "
+        f"CASE WHEN ov_target = {q(C.IGNORE)} THEN 'ignored' WHEN ov_target IN {feats} THEN 'mapped' "
+        f"WHEN ov_target = {q(C.LABEL)} THEN 'label' WHEN ov_target = {q(C.ID_ROLE)} THEN 'id' "
+        "WHEN ov_target IS NOT NULL THEN 'dropped' WHEN kind0 IS NOT NULL THEN kind0 ELSE 'unknown' END AS kind, "
+        f"CASE WHEN ov_target IS NOT NULL AND ov_target <> {q(C.IGNORE)} THEN ov_target WHEN kind0 = 'derive' THEN derive_target "
+        "WHEN ov_target IS NULL THEN best END AS target, round(score, 6) AS score, "
+        f"CASE WHEN ov_target IS NOT NULL THEN 'override' WHEN kind0 = 'derive' THEN {methods} "
+        "WHEN kind0 = 'mapped' THEN (CASE WHEN score >= 1.0 THEN 'exact' ELSE 'fuzzy' END) "
+        "WHEN score > 0 THEN 'best below threshold or taken' END AS method FROM dec)",
+    ])

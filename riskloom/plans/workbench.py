@@ -107,3 +107,38 @@ def with_risk_columns(df: DataFrame, p: str = RISK) -> DataFrame:
     return df.withColumns(
         {"PredictedOutcome": predicted_outcome(F.col(p)), "RiskCategory": risk_bucket(F.col(p))}
     )
+
+
+# --- custom-layout uploads ------------------------------------------------------------------
+
+from riskloom.operators import mapping as MP  # noqa: E402
+from riskloom.operators import prepare as PP  # noqa: E402
+from riskloom.sources.fixtures import WORKERS_AS_OF, WORKERS_OVERRIDES  # noqa: E402
+
+WORKERS = "workers_custom"
+
+
+def fixture_catalog(wbench: Workbench) -> DataFrame:
+    """(dataset, col_name, col_ord) of the two fixture layouts."""
+    return MP.catalog_of(wbench.spark, {"employees": wbench.employees, WORKERS: wbench.workers})
+
+
+def table_catalog(wbench: Workbench) -> DataFrame:
+    """(dataset, col_name, col_ord) of every given table (a data-lake scan for employee-like tables)."""
+    return MP.catalog_of(wbench.spark, {t: wbench.table(t) for t in tables.TABLES})
+
+
+def workers_decisions(wbench: Workbench, with_overrides: bool) -> DataFrame:
+    ov = MP.overrides_of(wbench.spark, WORKERS, WORKERS_OVERRIDES if with_overrides else None)
+    cat = MP.catalog_of(wbench.spark, {WORKERS: wbench.workers})
+    return MP.map_columns(cat, ov)
+
+
+def workers_plan(wbench: Workbench, with_overrides: bool) -> PP.Plan:
+    return PP.Plan.from_decisions(workers_decisions(wbench, with_overrides), WORKERS, wbench.workers.columns)
+
+
+def workers_prepared(wbench: Workbench, with_overrides: bool = True):
+    """Custom path on the fixture upload: (model frame with _id/_label, imputation report)."""
+    plan = workers_plan(wbench, with_overrides)
+    return PP.prepare_custom(wbench.workers, plan, wbench.dictionary, wbench.medians, WORKERS_AS_OF)
