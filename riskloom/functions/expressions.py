@@ -73,8 +73,8 @@ def percent_text(p: Column, decimals: int = 2) -> Column:
 
 
 def signed_text(x: Column, decimals: int = 4) -> Column:
-    """``{x:+.4f}`` style text, pre-rounded."""
-    return F.format_string(f"%+.{decimals}f", F.round(x, decimals))
+    """``{x:+.4f}`` style text, pre-rounded (and -0.0 folded into +0.0)."""
+    return F.format_string(f"%+.{decimals}f", F.round(x, decimals) + F.lit(0.0))
 
 
 def slug(c: Column) -> Column:

@@ -57,6 +57,7 @@ class TreeEnsemble:
     def __init__(self, features: Sequence[str], trees: list[Tree]):
         self.features = list(features)
         self.trees = trees
+        self._paths: list[LeafPaths] | None = None
 
     # -- construction ---------------------------------------------------------
 
@@ -161,6 +162,11 @@ class TreeEnsemble:
     # -- contributions --------------------------------------------------------
 
     def leaf_paths(self) -> list[LeafPaths]:
+        if self._paths is None:
+            self._paths = self._build_leaf_paths()
+        return self._paths
+
+    def _build_leaf_paths(self) -> list[LeafPaths]:
         out = []
         for tree in self.trees:
             leaves = []  # (value, {feature: [lo, hi, z]})
@@ -246,62 +252,73 @@ class TreeEnsemble:
                 phi[s : s + step] += contrib.reshape(len(Xb), L * D) @ onehot
         return phi / len(self.trees)
 
-    def explain(self, df: DataFrame, id_col: str = "id", features: Sequence[str] | None = None) -> DataFrame:
-        """(id, score, base, phi array<double> in ``self.features`` order) for every row.
-
-        One Arrow batch at a time inside the executors; the forest travels with the
-        task closure (model-sized)."""
+    def explain(
+        self,
+        df: DataFrame,
+        id_col: str = "id",
+        features: Sequence[str] | None = None,
+        carry: Sequence[str] = (),
+    ) -> DataFrame:
+        """(id, *carry, score, base, phi array<double> in ``self.features`` order) for every row.
+
+        One Arrow batch at a time inside the executors; the forest travels with the task
+        closure (model-sized). ``carry`` columns pass through untouched, so per-row outputs
+        (top-k, raw values, reports) need no join back."""
         features = list(features or self.features)
         ensemble = self
+        self.leaf_paths()  # computed once on the driver, shipped with the closure
         base = self.base_value()
-        id_type = df.schema[id_col].dataType.simpleString()
-        schema = f"{id_col} {id_type}, score double, base double, phi array<double>"
+        keep = [id_col, *carry]
+        fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", score double, base double, phi array<double>"
+        feat_cols = [f"__x{i}" for i in range(len(features))]
 
         def run(batches):
             for pdf in batches:
-                X = pdf[features].to_numpy(dtype=float)
+                X = pdf[feat_cols].to_numpy(dtype=float)
                 phi = ensemble.contributions_numpy(X)
-                yield pd.DataFrame(
-                    {
-                        id_col: pdf[id_col],
-                        "score": ensemble.predict_numpy(X),
-                        "base": base,
-                        "phi": list(phi),
-                    }
-                )
-
-        return df.select(id_col, *[F.col(f).cast("double") for f in features]).mapInPandas(run, schema)
-
-
-def explanations_long(explained: DataFrame, features: Sequence[str], id_col: str = "id", decimals: int = 12) -> DataFrame:
-    """(id, feature, phi, rank): rank 1 = largest |phi|, ties by feature name. No shuffle:
-    ranks come from sorting each row's own array."""
-    names = F.array(*[F.lit(f) for f in features])
-    pairs = F.arrays_zip(names.alias("feature"), F.col("phi").alias("phi"))
-    rounded = F.transform(
-        pairs, lambda p: F.struct(p["feature"].alias("feature"), F.round(p["phi"], decimals).alias("phi"))
+                out = {c: pdf[c] for c in keep}
+                out.update({"score": ensemble.predict_numpy(X), "base": base, "phi": list(phi)})
+                yield pd.DataFrame(out)
+
+        inputs = df.select(*keep, *[F.col(f).cast("double").alias(n) for f, n in zip(features, feat_cols)])
+        return inputs.mapInPandas(run, schema)
+
+
+def ranked_contributions(features: Sequence[str], phi: str = "phi", decimals: int = 12) -> Column:
+    """array<struct<feature, phi, idx>> of one row, sorted by |phi| desc then feature name.
+    phi is rounded to ``decimals`` first so float noise cannot reorder ties."""
+    entries = F.array(
+        *[
+            F.struct(F.lit(f).alias("feature"), F.round(F.col(phi)[i], decimals).alias("phi"), F.lit(i + 1).alias("idx"))
+            for i, f in enumerate(features)
+        ]
     )
-    ordered = F.array_sort(
-        rounded,
+    return F.array_sort(
+        entries,
         lambda a, b: F.when(F.abs(a["phi"]) > F.abs(b["phi"]), F.lit(-1))
         .when(F.abs(a["phi"]) < F.abs(b["phi"]), F.lit(1))
         .when(a["feature"] < b["feature"], F.lit(-1))
         .when(a["feature"] > b["feature"], F.lit(1))
         .otherwise(F.lit(0)),
     )
-    return explained.select(id_col, F.posexplode(ordered).alias("pos", "kv")).select(
+
+
+def explanations_long(explained: DataFrame, features: Sequence[str], id_col: str = "id", k: int | None = None) -> DataFrame:
+    """(id, feature, phi, rank, idx): rank 1 = largest |phi|. No shuffle — each row sorts its
+    own array and explodes; ``k`` keeps the top-k per row."""
+    ranked = ranked_contributions(features)
+    if k is not None:
+        ranked = F.slice(ranked, 1, k)
+    return explained.select(id_col, F.posexplode(ranked).alias("pos", "kv")).select(
         id_col,
         F.col("kv.feature").alias("feature"),
         F.col("kv.phi").alias("phi"),
         (F.col("pos") + 1).cast("int").alias("rank"),
+        F.col("kv.idx").alias("idx"),
     )
 
 
-def top_contributions(explained: DataFrame, features: Sequence[str], k: int, id_col: str = "id", decimals: int = 12) -> DataFrame:
-    """Top-k per row by |phi| (ties by feature), without a shuffle."""
-    return explanations_long(explained, features, id_col, decimals).where(F.col("rank") <= k)
-
-
 FOREST_NODE_SCHEMA = T.StructType(
     [
         T.StructField("tree", T.IntegerType()),

@@ -390,3 +390,119 @@ oracle(
     "resolve_ids",
     f"WITH {S.EMP}, {S.WORKERS} SELECT emp_code, 'EMP-' || CAST(row_number() OVER (ORDER BY emp_code) + 1000 AS VARCHAR) AS EmployeeNumber FROM workers",
 )
+
+# --- explanations, assessments, reports ------------------------------------------------------
+
+from riskloom.plans.queries import SPARSE_FEATURES  # noqa: E402
+from riskloom.sources.fixtures import SCENARIOS  # noqa: E402
+
+_RANKED = (
+    "rk AS (SELECT id, feature, round(phi, 12) AS p, "
+    "row_number() OVER (PARTITION BY id ORDER BY abs(round(phi, 12)) DESC, feature) AS rank FROM phi)"
+)
+oracle(
+    "explain_all",
+    S.with_model("SELECT id, feature, round(p, 9) AS phi, CAST(rank AS INTEGER) AS rank FROM rk",
+                 f"{S.contributions_ctes(ENS, 'mfi')}, {_RANKED}"),
+)
+_RAW_VALUES = "rv AS (" + " UNION ALL ".join(
+    f"SELECT e.EmployeeNumber AS id, {S.q(f)} AS feature, COALESCE(CAST(e.{f} AS VARCHAR), CAST(m.{f} AS VARCHAR)) AS value "
+    "FROM employees e JOIN mfi m ON m.id = e.EmployeeNumber"
+    for f in C.STANDARD_FEATURES
+) + ")"
+_DIR = "CASE WHEN p > 0 THEN 'increases flight risk' ELSE 'decreases flight risk' END"
+oracle(
+    "explain_topk",
+    S.with_model(
+        f"SELECT rk.id, CAST(rk.rank AS INTEGER) AS rank, rk.feature, round(rk.p, 9) AS phi, rv.value, {_DIR} AS direction, "
+        f"rk.feature || ' = ' || COALESCE(rv.value, '') || ' ' || {_DIR} || ' (impact: ' || {S.signed_sql('rk.p')} || ')' AS driver "
+        f"FROM rk JOIN rv ON rv.id = rk.id AND rv.feature = rk.feature WHERE rk.rank <= {C.TOP_DRIVERS}",
+        f"{S.contributions_ctes(ENS, 'mfi')}, {_RANKED}, {_RAW_VALUES}",
+    ),
+)
+oracle(
+    "global_explanations",
+    S.with_model(
+        "SELECT feature, round(avg(abs(p)), 9) AS mean_abs_phi, round(avg(p), 9) AS mean_phi, round(min(p), 9) AS min_phi, "
+        "round(max(p), 9) AS max_phi FROM rk GROUP BY feature",
+        f"{S.contributions_ctes(ENS, 'mfi')}, {_RANKED}",
+    ),
+)
+oracle(
+    "risk_report_text",
+    S.with_model(
+        "SELECT sc.id, 'employee_' || CAST(sc.id AS VARCHAR) || '_risk_report.txt' AS file_name, concat_ws(chr(10), "
+        "'Employee: Employee ' || CAST(sc.id AS VARCHAR), 'Risk category: ' || " + S.bucket_sql("sc.s") + ", "
+        "'Probability of leaving: ' || " + S.pct_sql("sc.s") + ", 'Probability of staying: ' || " + S.pct_sql("(1.0 - sc.s)") + ", "
+        "'', 'Top personalized drivers:', dr.lines) AS report_text FROM sc JOIN dr ON dr.id = sc.id",
+        f"{S.contributions_ctes(ENS, 'mfi')}, {_RANKED}, sc AS (SELECT id, {S.score_sql(ENS)} AS s FROM mfi), "
+        f"dr AS (SELECT id, string_agg('- ' || feature || ': ' || {S.signed_sql('p')}, chr(10) ORDER BY rank) AS lines "
+        f"FROM rk WHERE rank <= {C.TOP_DRIVERS} GROUP BY id)",
+    ),
+)
+_SPARSE = "sp AS (SELECT id, " + ", ".join(
+    (f"COALESCE(CAST({f} AS DOUBLE), 0.0) AS {f}" if f in SPARSE_FEATURES else f"0.0 AS {f}") for f in C.STANDARD_FEATURES
+) + " FROM mf)"
+oracle(
+    "score_sparse_records",
+    S.with_model(
+        f"SELECT id, r AS PredictedAttritionRisk, {S.bucket_sql('r')} AS risk_level FROM (SELECT id, {S.score_sql(ENS)} AS r FROM sp)",
+        _SPARSE,
+    ),
+)
+oracle(
+    "assess_risk",
+    S.with_model(
+        f"SELECT s.id, {S.bucket_sql('s.r')} AS risk_level, {S.pct_sql('s.r')} AS probability, f.txt AS top_factors "
+        "FROM (SELECT id, " + S.score_sql(ENS) + " AS r FROM sp) s JOIN (SELECT id, string_agg(feature || ' (' || "
+        "CASE WHEN p > 0 THEN 'increases' ELSE 'decreases' END || ' risk)', '; ' ORDER BY rank) AS txt FROM rk "
+        f"WHERE rank <= {C.TOP_FACTORS} GROUP BY id) f ON f.id = s.id",
+        f"{_SPARSE}, {S.contributions_ctes(ENS, 'sp')}, {_RANKED}",
+    ),
+)
+_SC_KEYS = [k for k in SCENARIOS[0] if k != "scenario"]
+_SCEN = S.values_sql("scen", "scenario, " + ", ".join(_SC_KEYS), [tuple(s[k] for k in ["scenario", *_SC_KEYS]) for s in SCENARIOS])
+_WI = "wi AS (SELECT m.id, s.scenario, " + ", ".join(
+    (f"COALESCE(CAST(s.{f} AS DOUBLE), m.{f}) AS {f}" if f in _SC_KEYS else f"m.{f}") for f in C.STANDARD_FEATURES
+) + f", {S.score_sql(ENS, 'm.')} AS base_risk FROM mfi m CROSS JOIN scen s)"
+oracle(
+    "what_if",
+    S.with_model(
+        f"SELECT id, scenario, round(base_risk, 9) AS base_risk, round({S.score_sql(ENS)}, 9) AS risk, "
+        f"round({S.score_sql(ENS)} - base_risk, 9) AS delta FROM wi",
+        f"{_SCEN}, {_WI}",
+    ),
+)
+_LP = f"lp AS (SELECT CASE Attrition WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS label, CAST(PredictedAttritionRisk > {S.d(C.DECISION_THRESHOLD)} AS INTEGER) AS pred FROM scored)"
+oracle(
+    "confusion_matrix",
+    S.with_scored(ENS, f", {_LP} SELECT label, count(*) FILTER (WHERE pred = 0) AS pred_0, count(*) FILTER (WHERE pred = 1) AS pred_1 FROM lp WHERE label IS NOT NULL GROUP BY label").replace(" , lp AS", ", lp AS").replace(") , lp AS", "), lp AS"),
+)
+
+
+def _ratio(a, b):
+    return f"(CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END)"
+
+
+_p0, _r0 = _ratio("tn", "(tn + fn)"), _ratio("tn", "(tn + fp)")
+_p1, _r1 = _ratio("tp", "(tp + fp)"), _ratio("tp", "(tp + fn)")
+_f0, _f1 = _ratio(f"2 * {_p0} * {_r0}", f"({_p0} + {_r0})"), _ratio(f"2 * {_p1} * {_r1}", f"({_p1} + {_r1})")
+_s0, _s1, _n = "(tn + fp)", "(fn + tp)", "((tn + fp) + (fn + tp))"
+oracle(
+    "classification_report",
+    S.with_scored(
+        ENS,
+        "SELECT class, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1_score, 9) AS f1_score, CAST(support AS BIGINT) AS support FROM ("
+        f"SELECT 'Stayed' AS class, {_p0} AS precision, {_r0} AS recall, {_f0} AS f1_score, {_s0} AS support FROM cm UNION ALL "
+        f"SELECT 'Left', {_p1}, {_r1}, {_f1}, {_s1} FROM cm UNION ALL "
+        f"SELECT 'accuracy', NULL, NULL, {_ratio('(tn + tp)', _n)}, {_n} FROM cm UNION ALL "
+        f"SELECT 'macro avg', ({_p0} + {_p1}) / 2, ({_r0} + {_r1}) / 2, ({_f0} + {_f1}) / 2, {_n} FROM cm UNION ALL "
+        f"SELECT 'weighted avg', {_ratio(f'({_p0} * {_s0} + {_p1} * {_s1})', _n)}, {_ratio(f'({_r0} * {_s0} + {_r1} * {_s1})', _n)}, "
+        f"{_ratio(f'({_f0} * {_s0} + {_f1} * {_s1})', _n)}, {_n} FROM cm)",
+    ).replace(
+        " SELECT class,",
+        f", {_LP}, cm AS (SELECT CAST(count(*) FILTER (WHERE label = 0 AND pred = 0) AS DOUBLE) AS tn, CAST(count(*) FILTER (WHERE label = 0 AND pred = 1) AS DOUBLE) AS fp, "
+        "CAST(count(*) FILTER (WHERE label = 1 AND pred = 0) AS DOUBLE) AS fn, CAST(count(*) FILTER (WHERE label = 1 AND pred = 1) AS DOUBLE) AS tp FROM lp WHERE label IS NOT NULL) SELECT class,",
+        1,
+    ),
+)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import config as C
-from riskloom.functions.expressions import percent_text, predicted_class
+from riskloom.functions.expressions import percent_text, predicted_class, risk_bucket
 from riskloom.operators.encode import fit_dictionary
 from riskloom.operators.stats import exact_medians
 from riskloom.plans.workbench import RISK, Workbench
@@ -500,3 +500,174 @@ def resolve_ids(spark, sf_dir):
         return w.select("emp_code", F.col(plan.id_col).cast("string").alias(C.ID_ROLE))
     pos = dense_positions(w.select("emp_code"), ["emp_code"], out="_pos")
     return pos.select("emp_code", F.concat(F.lit("EMP-"), (F.col("_pos") + 1000).cast("string")).alias(C.ID_ROLE))
+
+
+# --- explanations, assessments, reports ------------------------------------------------------
+
+from riskloom.operators import forest as FO  # noqa: E402
+from riskloom.sources.fixtures import SCENARIOS  # noqa: E402
+
+# Features present in the sparse scoring records (the rest are absent -> 0).
+SPARSE_FEATURES = [
+    "Age", "MonthlyIncome", "OverTime", "JobSatisfaction", "YearsAtCompany", "TotalWorkingYears",
+    "DistanceFromHome", "NumCompaniesWorked", "JobLevel", "EnvironmentSatisfaction", "WorkLifeBalance",
+]
+
+
+@query("explain_all")
+def explain_all(spark, sf_dir):
+    """Additive contributions of every feature for every row, ranked by |phi|."""
+    b = wb(spark, sf_dir)
+    ex = W.explained_history(b)
+    return FO.explanations_long(ex, b.ensemble.features).select(
+        "id", "feature", F.round("phi", 9).alias("phi"), "rank"
+    )
+
+
+@query("explain_topk")
+def explain_topk(spark, sf_dir):
+    """Top-5 drivers per row with the raw value and the driver sentence."""
+    b = wb(spark, sf_dir)
+    ex = W.explained_history(b, carry_raw=True)
+    ranked = F.slice(FO.ranked_contributions(b.ensemble.features), 1, C.TOP_DRIVERS)
+    rows = ex.select("id", "raw_values", F.posexplode(ranked).alias("pos", "kv")).select(
+        "id",
+        (F.col("pos") + 1).cast("int").alias("rank"),
+        F.col("kv.feature").alias("feature"),
+        F.col("kv.phi").alias("phi"),
+        F.element_at("raw_values", F.col("kv.idx")).alias("value"),
+    )
+    return rows.select(
+        "id", "rank", "feature", F.round("phi", 9).alias("phi"), "value",
+        A.direction(F.col("phi"), "increases flight risk", "decreases flight risk").alias("direction"),
+        A.driver_line(F.col("feature"), F.col("value"), F.col("phi")).alias("driver"),
+    )
+
+
+@query("global_explanations")
+def global_explanations(spark, sf_dir):
+    """Distribution of contributions per feature over all rows (summary-plot data)."""
+    b = wb(spark, sf_dir)
+    long = FO.explanations_long(W.explained_history(b), b.ensemble.features)
+    return long.groupBy("feature").agg(
+        F.round(F.avg(F.abs("phi")), 9).alias("mean_abs_phi"),
+        F.round(F.avg("phi"), 9).alias("mean_phi"),
+        F.round(F.min("phi"), 9).alias("min_phi"),
+        F.round(F.max("phi"), 9).alias("max_phi"),
+    )
+
+
+@query("risk_report_text")
+def risk_report_text(spark, sf_dir):
+    """The per-employee text report for every row (file name + text)."""
+    b = wb(spark, sf_dir)
+    ex = W.explained_history(b)
+    label = F.concat(F.lit("Employee "), F.col("id").cast("string"))
+    top = F.slice(FO.ranked_contributions(b.ensemble.features), 1, C.TOP_DRIVERS)
+    return ex.select(
+        "id",
+        A.report_file_name(label).alias("file_name"),
+        A.report_text(label, F.col("score"), top).alias("report_text"),
+    )
+
+
+def _sparse_records(b):
+    return b.model_frame.select("id", *SPARSE_FEATURES)
+
+
+@query("score_sparse_records")
+def score_sparse_records(spark, sf_dir):
+    """Partial records (absent features -> 0) scored with the forest."""
+    b = wb(spark, sf_dir)
+    full = A.sparse_to_full(_sparse_records(b), C.STANDARD_FEATURES)
+    risk = b.ensemble.score_expr([F.col(f) for f in b.ensemble.features])
+    return full.select("id", risk.alias(RISK)).withColumn("risk_level", risk_bucket(F.col(RISK)))
+
+
+@query("assess_risk")
+def assess_risk(spark, sf_dir):
+    """Level, probability text and the top-3 factors for every partial record."""
+    b = wb(spark, sf_dir)
+    full = A.sparse_to_full(_sparse_records(b), C.STANDARD_FEATURES)
+    ex = b.ensemble.explain(full, "id")
+    top = F.slice(FO.ranked_contributions(b.ensemble.features), 1, C.TOP_FACTORS)
+    return ex.select(
+        "id",
+        risk_bucket(F.col("score")).alias("risk_level"),
+        percent_text(F.col("score")).alias("probability"),
+        F.array_join(A.factor_texts(top), "; ").alias("top_factors"),
+    )
+
+
+@query("what_if")
+def what_if(spark, sf_dir):
+    """Every employee under every scenario, rescored; delta against the base risk."""
+    b = wb(spark, sf_dir)
+    feats = b.ensemble.features
+    frame = b.filled_frame.withColumn("base_risk", b.ensemble.score_expr([F.col(f) for f in feats]))
+    sc = A.apply_scenarios(frame, SCENARIOS, feats)
+    risk = b.ensemble.score_expr([F.col(f) for f in feats])
+    return sc.select(
+        "id", "scenario", F.round("base_risk", 9).alias("base_risk"), F.round(risk, 9).alias("risk"),
+        F.round(risk - F.col("base_risk"), 9).alias("delta"),
+    )
+
+
+def _label_pred(b):
+    s = b.scored
+    return s.select(
+        F.when(F.col(C.LABEL) == "Yes", F.lit(1)).when(F.col(C.LABEL) == "No", F.lit(0)).alias("label"),
+        predicted_class(F.col(RISK)).alias("pred"),
+    ).where(F.col("label").isNotNull())
+
+
+@query("confusion_matrix")
+def confusion_matrix(spark, sf_dir):
+    """Actual x predicted counts."""
+    lp = _label_pred(wb(spark, sf_dir))
+    return PR.crosstab(lp.withColumn("pred", F.concat(F.lit("pred_"), F.col("pred").cast("string"))), "label", "pred", ["pred_0", "pred_1"])
+
+
+@query("classification_report")
+def classification_report(spark, sf_dir):
+    """Per-class precision / recall / F1 / support, accuracy, macro and weighted averages
+    — from one aggregate pass (four confusion counts)."""
+    lp = _label_pred(wb(spark, sf_dir))
+    cm = lp.agg(
+        F.count_if((F.col("label") == 0) & (F.col("pred") == 0)).alias("tn"),
+        F.count_if((F.col("label") == 0) & (F.col("pred") == 1)).alias("fp"),
+        F.count_if((F.col("label") == 1) & (F.col("pred") == 0)).alias("fn"),
+        F.count_if((F.col("label") == 1) & (F.col("pred") == 1)).alias("tp"),
+    )
+
+    def ratio(a, b):
+        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+    tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
+    p0, r0 = ratio(tn, tn + fn), ratio(tn, tn + fp)
+    p1, r1 = ratio(tp, tp + fp), ratio(tp, tp + fn)
+    f0, f1 = ratio(2 * p0 * r0, p0 + r0), ratio(2 * p1 * r1, p1 + r1)
+    s0, s1 = tn + fp, fn + tp
+    n = s0 + s1
+    acc = ratio(tn + tp, n)
+    def row(name, p, r, f, sup):
+        return F.struct(
+            F.lit(name).alias("class"), p.cast("double").alias("precision"), r.cast("double").alias("recall"),
+            f.cast("double").alias("f1_score"), sup.alias("support"),
+        )
+
+    none = F.lit(None).cast("double")
+    rows = F.array(
+        row("Stayed", p0, r0, f0, s0),
+        row("Left", p1, r1, f1, s1),
+        row("accuracy", none, none, acc, n),
+        row("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n),
+        row("weighted avg", ratio(p0 * s0 + p1 * s1, n), ratio(r0 * s0 + r1 * s1, n), ratio(f0 * s0 + f1 * s1, n), n),
+    )
+    return cm.select(F.explode(rows).alias("r")).select(
+        F.col("r.class").alias("class"),
+        F.round("r.precision", 9).alias("precision"),
+        F.round("r.recall", 9).alias("recall"),
+        F.round("r.f1_score", 9).alias("f1_score"),
+        F.col("r.support").cast("bigint").alias("support"),
+    )

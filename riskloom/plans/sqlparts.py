@@ -85,7 +85,7 @@ def pct_sql(p: str, decimals: int = 2) -> str:
 
 
 def signed_sql(x: str, decimals: int = 4) -> str:
-    return f"printf('%+.{decimals}f', round({x}, {decimals}))"
+    return f"printf('%+.{decimals}f', round({x}, {decimals}) + 0.0)"
 
 
 def scored_ctes(ens: TreeEnsemble) -> str:

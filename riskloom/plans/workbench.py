@@ -142,3 +142,19 @@ def workers_prepared(wbench: Workbench, with_overrides: bool = True):
     """Custom path on the fixture upload: (model frame with _id/_label, imputation report)."""
     plan = workers_plan(wbench, with_overrides)
     return PP.prepare_custom(wbench.workers, plan, wbench.dictionary, wbench.medians, WORKERS_AS_OF)
+
+
+def explained_history(wbench: Workbench, carry_raw: bool = False) -> DataFrame:
+    """(id, [raw_values array<string>, EmployeeNumber], score, base, phi) for every history row."""
+    ens = wbench.ensemble
+    e = wbench.dictionary.join_codes(wbench.employees, C.CATEGORICAL_FEATURES)
+    inputs = wbench.model_inputs(e)
+    cols = [F.col("EmployeeNumber").alias("id")]
+    carry = []
+    if carry_raw:
+        # raw text of each feature, falling back to the model value (J7), in model order
+        raw = F.array(*[F.coalesce(F.col(f).cast("string"), x.cast("string")) for f, x in zip(C.STANDARD_FEATURES, inputs)])
+        cols.append(raw.alias("raw_values"))
+        carry = ["raw_values"]
+    frame = e.select(*cols, *[x.alias(f) for f, x in zip(C.STANDARD_FEATURES, inputs)])
+    return ens.explain(frame, "id", ens.features, carry=carry)
