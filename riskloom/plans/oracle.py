@@ -506,3 +506,15 @@ oracle(
         1,
     ),
 )
+
+# --- sinks / streams --------------------------------------------------------------------------------
+
+oracle(
+    "sink_roundtrip",
+    S.with_scored(ENS, "SELECT RiskCategory, count(*) AS n, round(avg(PredictedAttritionRisk), 9) AS avg_risk FROM scored GROUP BY RiskCategory"),
+)
+oracle("csv_roundtrip", f"WITH {S.EMP} SELECT * FROM employees")
+oracle(
+    "stream_scoring",
+    S.with_scored(ENS, "SELECT EmployeeNumber, PredictedAttritionRisk, PredictedOutcome, RiskCategory FROM scored"),
+)

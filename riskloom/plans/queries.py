@@ -671,3 +671,112 @@ def classification_report(spark, sf_dir):
         F.round("r.f1_score", 9).alias("f1_score"),
         F.col("r.support").cast("bigint").alias("support"),
     )
+
+
+# --- training, evaluation, persistence (trained forests differ from the reference's numerically:
+# rows-only checks plus own tests) -----------------------------------------------------------------
+
+from riskloom.operators import training as TR  # noqa: E402
+from riskloom.session import shared_path  # noqa: E402
+from riskloom.sources import tables as TB  # noqa: E402
+
+
+@query("stratified_split")
+def stratified_split(spark, sf_dir):
+    """Exact per-class 80/20 split; row counts per (split, label)."""
+    s = W.split_frame(wb(spark, sf_dir))
+    return s.groupBy("split", C.LABEL).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("train_forest")
+def train_forest(spark, sf_dir):
+    """M3/M4/M5: random forest (100 trees, seed 42) fitted on the train split; test predictions."""
+    b = wb(spark, sf_dir)
+    model = W.trained(b)["model"]
+    test = W.split_frame(b).where(F.col("split") == "test")
+    pred = TR.leave_probability(model.transform(test))
+    return pred.select(
+        "id", C.LABEL, F.col("prediction").cast("int").alias("prediction"), F.round("p_leave", 9).alias("p_leave"),
+        F.when(F.col("prediction") == 1, F.lit(C.WILL_LEAVE)).otherwise(F.lit(C.WILL_STAY)).alias("outcome"),
+    )
+
+
+@query("evaluate_model")
+def evaluate_model(spark, sf_dir):
+    """Hold-out accuracy of the trained forest."""
+    b = wb(spark, sf_dir)
+    test = W.split_frame(b).where(F.col("split") == "test")
+    return TR.evaluate(W.trained(b)["model"].transform(test))
+
+
+@query("feature_importance")
+def feature_importance(spark, sf_dir):
+    """Impurity importance of the trained forest, top 10."""
+    b = wb(spark, sf_dir)
+    imp = TR.importances(W.trained(b)["model"], C.STANDARD_FEATURES)
+    df = spark.createDataFrame(imp, "feature string, importance double")
+    return df.orderBy(F.col("importance").desc(), "feature").limit(10)
+
+
+@query("model_reload_check")
+def model_reload_check(spark, sf_dir):
+    """Save, load and re-predict — the reloaded model must agree on every test row."""
+    from pyspark.ml import PipelineModel
+
+    b = wb(spark, sf_dir)
+    state = W.trained(b)
+    reloaded = PipelineModel.load(state["path"])
+    test = W.split_frame(b).where(F.col("split") == "test").select("id", *C.STANDARD_FEATURES, C.LABEL)
+    a = state["model"].transform(test).select("id", F.col("prediction").alias("p1"))
+    r = reloaded.transform(test).select("id", F.col("prediction").alias("p2"))
+    return a.join(r, "id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p1") != F.col("p2")).alias("mismatches"))
+
+
+@query("explain_trained")
+def explain_trained(spark, sf_dir):
+    """M6 on the trained Spark forest (read back from its saved node data): contributions
+    close to Spark's own probability for every test row (closure error reported)."""
+    b = wb(spark, sf_dir)
+    state = W.trained(b)
+    test = W.split_frame(b).where(F.col("split") == "test")
+    spark_p = TR.leave_probability(state["model"].transform(test)).select("id", "p_leave")
+    ex = state["ensemble"].explain(test, "id")
+    out = ex.join(spark_p, "id").select(
+        "id", F.round("p_leave", 9).alias("spark_probability"), F.round("score", 9).alias("score"),
+        F.round("base", 9).alias("base"),
+        F.round(F.aggregate("phi", F.lit(0.0), lambda acc, x: acc + x), 9).alias("sum_phi"),
+    )
+    return out.withColumn("closure_error", F.round(F.abs(F.col("base") + F.col("sum_phi") - F.col("spark_probability")), 9))
+
+
+@query("sink_roundtrip")
+def sink_roundtrip(spark, sf_dir):
+    """Scored table written as Parquet partitioned by RiskCategory to the shared folder,
+    read back with partition pruning available; counts and mean risk per category."""
+    path = shared_path(spark, "scored")
+    TB.write_parquet(wb(spark, sf_dir).scored, path, partition_by=["RiskCategory"])
+    back = spark.read.parquet(path)
+    return back.groupBy("RiskCategory").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(RISK), 9).alias("avg_risk"))
+
+
+@query("csv_roundtrip")
+def csv_roundtrip(spark, sf_dir):
+    """The history written as CSV with a header and scanned back with its declared schema."""
+    e = wb(spark, sf_dir).employees
+    path = shared_path(spark, "employees-csv")
+    TB.write_csv(e, path)
+    return TB.scan_csv(spark, path, e.schema)
+
+
+@query("stream_scoring")
+def stream_scoring(spark, sf_dir):
+    """Streaming upload scoring: history files land in a folder, an availableNow stream scores
+    them with checkpointing, the sink is read back."""
+    from riskloom.streaming.scoring import read_scored, start_scoring
+
+    b = wb(spark, sf_dir)
+    src, sink, ckpt = (shared_path(spark, n) for n in ("uploads", "stream-sink", "stream-ckpt"))
+    b.employees.write.mode("overwrite").parquet(src)
+    q = start_scoring(spark, b, src, sink, ckpt)
+    q.awaitTermination()
+    return read_scored(spark, sink)

@@ -158,3 +158,38 @@ def explained_history(wbench: Workbench, carry_raw: bool = False) -> DataFrame:
         carry = ["raw_values"]
     frame = e.select(*cols, *[x.alias(f) for f, x in zip(C.STANDARD_FEATURES, inputs)])
     return ens.explain(frame, "id", ens.features, carry=carry)
+
+
+# --- trained forest -----------------------------------------------------------------------------
+
+from riskloom.operators import training as TR  # noqa: E402
+from riskloom.session import checkpoint as _checkpoint  # noqa: E402
+from riskloom.session import shared_path  # noqa: E402
+
+_TRAINED: dict[tuple[int, str], dict] = {}
+
+
+def split_frame(wbench: Workbench) -> DataFrame:
+    """Median-filled model frame with an exact stratified train/test split, materialised
+    once (reliable checkpoint in the shared folder) so both sides see the same split."""
+    key = (id(wbench.spark), wbench.sf_dir)
+    state = _TRAINED.setdefault(key, {})
+    if "split" not in state:
+        state["split"] = _checkpoint(TR.stratified_split(wbench.filled_frame, C.LABEL))
+    return state["split"]
+
+
+def trained(wbench: Workbench) -> dict:
+    """Fit the forest on the train split once: {'model', 'path', 'ensemble'}."""
+    key = (id(wbench.spark), wbench.sf_dir)
+    state = _TRAINED.setdefault(key, {})
+    if "model" not in state:
+        train = split_frame(wbench).where(F.col("split") == "train")
+        model = TR.forest_pipeline(C.STANDARD_FEATURES).fit(train)
+        state["model"] = model
+        state["path"] = shared_path(wbench.spark, "forest")
+        model.write().overwrite().save(state["path"])
+        state["ensemble"] = TreeEnsemble.from_spark_model(
+            wbench.spark, model.stages[-1], C.STANDARD_FEATURES, state["path"] + "-trees"
+        )
+    return state
