@@ -31,6 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Trees whose paths hold at most this many distinct features use pattern tables.
+MAX_TABLE_DEPTH = 10
+
+
 @dataclass
 class Tree:
     feature: np.ndarray  # int index into features, -1 for leaves
@@ -223,35 +227,73 @@ class TreeEnsemble:
             total += float(np.nansum(tree.value[leaves] * tree.cover[leaves]) / tree.cover[0])
         return total / len(self.trees)
 
+    @staticmethod
+    def _path_weights(o: np.ndarray, p: LeafPaths) -> np.ndarray:
+        """c * (o_i - z_i) * Integral prod_{j != i} (o_j t + z_j (1 - t)) dt for o of shape
+        (..., L, D) — exact Gauss-Legendre, leave-one-out products by prefix/suffix."""
+        D = p.feat.shape[1]
+        m = max(1, math.ceil(D / 2))
+        nodes, weights = np.polynomial.legendre.leggauss(m)
+        acc = np.zeros_like(o)
+        for t, w in zip((nodes + 1.0) / 2.0, weights / 2.0):
+            fac = o * t + p.z * (1.0 - t)
+            ones = np.ones_like(fac[..., :1])
+            pre = np.cumprod(np.concatenate([ones, fac[..., :-1]], axis=-1), axis=-1)
+            suf = np.cumprod(np.concatenate([ones, fac[..., :0:-1]], axis=-1), axis=-1)[..., ::-1]
+            acc += w * pre * suf
+        return p.value[:, None] * (o - p.z) * acc
+
+    def pattern_tables(self) -> list[np.ndarray | None]:
+        """Per tree, for each leaf and each of the 2^D on/off patterns of its path conditions,
+        the contribution vector (L, 2^D, D). Built once per process (lazily on executors);
+        None for trees deeper than ``MAX_TABLE_DEPTH`` (those use the direct formula)."""
+        if getattr(self, "_tables", None) is None:
+            tables = []
+            for p in self.leaf_paths():
+                D = p.feat.shape[1]
+                if D > MAX_TABLE_DEPTH:
+                    tables.append(None)
+                    continue
+                bits = ((np.arange(2**D)[:, None] >> np.arange(D)[None, :]) & 1).astype(float)  # (P, D)
+                o = np.broadcast_to(bits[None, :, :], (len(p.value), 2**D, D))
+                pv = LeafPaths(p.value[:, None], p.feat, p.lo, p.hi, p.z[:, None, :], p.depth)
+                tables.append(self._path_weights(o, pv))
+            self._tables = tables
+        return self._tables
+
     def contributions_numpy(self, X: np.ndarray, max_cells: int = 4_000_000) -> np.ndarray:
         """phi (rows x features) for the rows of X (columns in ``self.features`` order)."""
         n_rows, n_feat = X.shape
         phi = np.zeros((n_rows, n_feat))
-        for p in self.leaf_paths():
+        for p, table in zip(self.leaf_paths(), self.pattern_tables()):
             L, D = p.feat.shape
-            m = max(1, math.ceil(D / 2))
-            nodes, weights = np.polynomial.legendre.leggauss(m)
-            ts, ws = (nodes + 1.0) / 2.0, weights / 2.0
             pad = (p.z == 1.0) & np.isinf(p.lo) & np.isinf(p.hi)
             onehot = np.zeros((L * D, n_feat))
             onehot[np.arange(L * D), p.feat.reshape(-1)] = 1.0
             step = max(1, max_cells // max(1, L * D))
             for s in range(0, n_rows, step):
                 Xb = X[s : s + step]
-                xv = Xb[:, p.feat]  # (B, L, D)
-                o = np.where(pad, 1.0, ((xv > p.lo) & (xv <= p.hi)).astype(float))
-                acc = np.zeros_like(o)
-                for t, w in zip(ts, ws):
-                    fac = o * t + p.z * (1.0 - t)
-                    pre = np.cumprod(np.concatenate([np.ones_like(fac[..., :1]), fac[..., :-1]], axis=-1), axis=-1)
-                    suf = np.cumprod(
-                        np.concatenate([np.ones_like(fac[..., :1]), fac[..., :0:-1]], axis=-1), axis=-1
-                    )[..., ::-1]
-                    acc += w * pre * suf
-                contrib = p.value[None, :, None] * (o - p.z) * acc  # (B, L, D)
+                if table is not None:
+                    # pattern index per (row, leaf): bit d = condition d of the leaf holds
+                    idx = np.zeros((len(Xb), L), dtype=np.int64)
+                    for d in range(D):
+                        xv = Xb[:, p.feat[:, d]]  # (B, L)
+                        on = ((xv > p.lo[:, d]) & (xv <= p.hi[:, d])) | pad[:, d]
+                        idx |= on.astype(np.int64) << d
+                    idx += (np.arange(L) * table.shape[1])[None, :]
+                    contrib = np.take(table.reshape(-1, D), idx, axis=0)  # (B, L, D)
+                else:
+                    xv = Xb[:, p.feat]  # (B, L, D)
+                    on = pad | ((xv > p.lo) & (xv <= p.hi))
+                    contrib = self._path_weights(on.astype(float), p)
                 phi[s : s + step] += contrib.reshape(len(Xb), L * D) @ onehot
         return phi / len(self.trees)
 
+    def __getstate__(self):
+        state = dict(self.__dict__)
+        state["_tables"] = None  # rebuilt where used instead of shipped
+        return state
+
     def explain(
         self,
         df: DataFrame,
@@ -270,19 +312,27 @@ class TreeEnsemble:
         base = self.base_value()
         keep = [id_col, *carry]
         fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-        schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", score double, base double, phi array<double>"
+        phi_cols = [f"__phi{i}" for i in range(len(features))]
+        schema = (
+            ", ".join(f"`{c}` {fields[c]}" for c in keep)
+            + ", score double, "
+            + ", ".join(f"{c} double" for c in phi_cols)
+        )
         feat_cols = [f"__x{i}" for i in range(len(features))]
 
         def run(batches):
             for pdf in batches:
                 X = pdf[feat_cols].to_numpy(dtype=float)
                 phi = ensemble.contributions_numpy(X)
-                out = {c: pdf[c] for c in keep}
-                out.update({"score": ensemble.predict_numpy(X), "base": base, "phi": list(phi)})
-                yield pd.DataFrame(out)
+                out = pd.DataFrame(phi, columns=phi_cols, index=pdf.index)
+                out.insert(0, "score", ensemble.predict_numpy(X))
+                for c in reversed(keep):
+                    out.insert(0, c, pdf[c])
+                yield out
 
         inputs = df.select(*keep, *[F.col(f).cast("double").alias(n) for f, n in zip(features, feat_cols)])
-        return inputs.mapInPandas(run, schema)
+        res = inputs.mapInPandas(run, schema)
+        return res.select(*keep, "score", F.lit(base).alias("base"), F.array(*phi_cols).alias("phi"))
 
 
 def ranked_contributions(features: Sequence[str], phi: str = "phi", decimals: int = 12) -> Column:

@@ -33,6 +33,7 @@ class Workbench:
         self.spark = spark
         self.sf_dir = sf_dir
         self.ensemble = ensemble or fixed_forest()
+        self._tables: dict[str, DataFrame] = {}
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str) -> "Workbench":
@@ -43,16 +44,21 @@ class Workbench:
 
     # -- inputs -----------------------------------------------------------------
 
-    @property
+    # Analysed once and reused: a DataFrame is an immutable plan, so reuse costs nothing
+    # and saves repeated driver-side analysis of the fixture projections.
+
+    @cached_property
     def employees(self) -> DataFrame:
         return tables.employees(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def workers(self) -> DataFrame:
         return tables.workers_custom(self.spark, self.sf_dir)
 
     def table(self, name: str) -> DataFrame:
-        return tables.read_table(self.spark, self.sf_dir, name)
+        if name not in self._tables:
+            self._tables[name] = tables.read_table(self.spark, self.sf_dir, name)
+        return self._tables[name]
 
     # -- fitted assets ------------------------------------------------------------
 
@@ -60,7 +66,7 @@ class Workbench:
     def dictionary(self) -> Dictionary:
         return Dictionary.fit(self.employees, C.CATEGORICAL_FEATURES)
 
-    @property
+    @cached_property
     def model_frame(self) -> DataFrame:
         """id, 30 encoded features (nulls kept), Attrition 0/1."""
         return model_frame(self.employees, self.dictionary)
@@ -69,7 +75,7 @@ class Workbench:
     def medians(self) -> dict[str, float | None]:
         return training_medians(self.model_frame)
 
-    @property
+    @cached_property
     def filled_frame(self) -> DataFrame:
         """Model frame with nulls replaced by training medians (features as double)."""
         return fill_medians(self.model_frame, self.medians)
@@ -93,7 +99,7 @@ class Workbench:
         """Risk over an already encoded+filled frame."""
         return self.ensemble.score_expr([F.col(f) for f in self.ensemble.features])
 
-    @property
+    @cached_property
     def scored(self) -> DataFrame:
         """History table + PredictedAttritionRisk, PredictedOutcome, RiskCategory (one projection)."""
         e = self.employees
