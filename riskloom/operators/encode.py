@@ -17,10 +17,12 @@ from pyspark.sql import types as T
 
 from riskloom import config as C
 from riskloom.functions.expressions import label_to_int, to_number
-from riskloom.operators.stats import exact_medians
+from riskloom.operators.stats import dense_positions, exact_medians
 
 # Largest dictionary applied as a literal map; beyond it a join is used.
 MAX_LITERAL_DICTIONARY = 50_000
+# Buckets used to take the first unknown categories without one task per column.
+UNKNOWN_SALT_BUCKETS = 64
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -32,15 +34,18 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def fit_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, category, code): distinct non-null values per column, code = sorted position."""
+    """(feature, category, code): distinct non-null values per column, code = sorted position.
+
+    Positions come from a distributed running total over (feature, category), so even a
+    column with a huge number of categories is never ranked inside one task."""
     long = df.select(
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in columns])
         ).alias("kv")
     ).select("kv.feature", "kv.category")
     distinct = long.where(F.col("category").isNotNull()).distinct()
-    w = Window.partitionBy("feature").orderBy("category")
-    return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    ranked = dense_positions(distinct, ["category"], out="_pos", group_cols=["feature"])
+    return ranked.select("feature", "category", (F.col("_pos") - 1).cast("int").alias("code"))
 
 
 @dataclass
@@ -191,12 +196,17 @@ def unknown_categories(df: DataFrame, dictionary: Dictionary, columns: Sequence[
     observed = long.where(F.col("category").isNotNull()).distinct()
     known = dictionary.table.select("feature", "category")
     unknown = observed.join(known, ["feature", "category"], "left_anti")
-    per = unknown.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("unknown_count"),
-        F.array_join(
-            F.slice(F.array_sort(F.collect_list("category")), 1, C.UNKNOWN_CATEGORIES_SHOWN), ", "
-        ).alias("unknown_shown"),
+    counts = unknown.groupBy("feature").agg(F.count(F.lit(1)).alias("unknown_count"))
+    # first 8 in sort order without gathering every unknown value of a column in one task:
+    # top-8 inside each (feature, salt) bucket, then top-8 of those at most 8 x buckets rows
+    shown = C.UNKNOWN_CATEGORIES_SHOWN
+    salted = unknown.withColumn("_salt", F.abs(F.xxhash64("category")) % UNKNOWN_SALT_BUCKETS)
+    w = Window.partitionBy("feature", "_salt").orderBy("category")
+    first = salted.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= shown)
+    heads = first.groupBy("feature").agg(
+        F.array_join(F.slice(F.array_sort(F.collect_list("category")), 1, shown), ", ").alias("unknown_shown")
     )
+    per = counts.join(heads, "feature", "left")
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
     return names.join(per, "feature", "left").select(
         "feature",

@@ -24,6 +24,34 @@ def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
 
 
+# Every character that can occur in the text of a number (digits, sign, point, exponent,
+# NaN, Infinity) — a search term using any other character cannot match a numeric column.
+_NUMBER_CHARS = set("0123456789+-.e") | set("nan") | set("infinity")
+
+
+def search_predicate(df: DataFrame, term: str, columns: Sequence[str] | None = None) -> Column:
+    """Literal, case-insensitive substring of the row text (columns joined by one space).
+
+    Exact fast path: a term without a space cannot span two columns, so it matches the
+    joined text iff it matches one column's text; numeric columns are skipped when the term
+    holds a character no number rendering contains. Otherwise the joined text is searched."""
+    cols = list(columns or df.columns)
+    term = term.strip().lower()
+    if " " in term:
+        return F.contains(row_text(df, cols), F.lit(term))
+    types = dict(df.dtypes)
+    numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    if not set(term) <= _NUMBER_CHARS:
+        cols = [c for c in cols if types[c] not in numeric and not types[c].startswith("decimal")]
+    if not cols:
+        return F.lit(False)
+    pred = None
+    for c in cols:
+        p = F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(term)), F.lit(False))
+        pred = p if pred is None else (pred | p)
+    return pred
+
+
 def filter_predicate(
     df: DataFrame,
     risk: str = ALL,
@@ -41,9 +69,8 @@ def filter_predicate(
         pred = pred & (F.col("Department").cast("string") == department)
     if role != ALL and "JobRole" in df.columns:
         pred = pred & (F.col("JobRole").cast("string") == role)
-    term = search.strip().lower()
-    if term:
-        pred = pred & F.contains(row_text(df, search_columns), F.lit(term))
+    if search.strip():
+        pred = pred & search_predicate(df, search, search_columns)
     return F.coalesce(pred, F.lit(False))
 
 
