@@ -151,3 +151,29 @@ def prepare_custom(
     imputed, report = impute(harmonized, medians)
     encoded = encode_lenient(imputed, dictionary, [f for f in C.STANDARD_FEATURES])
     return align(encoded, keep=["_id", "_label"]), report
+
+
+def display_frame(upload: DataFrame, plan: Plan, as_of: str, id_expr: Column) -> DataFrame:
+    """P10: the upload as shown to people: raw columns (display targets renamed), the
+    resolved EmployeeNumber, every default-bearing feature that is not present (derived
+    value if derived, else the default), all rendered as text with nulls shown as "-"."""
+    renames = {raw: t for raw, t in plan.mapped.items() if t in C.DISPLAY_RENAMED}
+    cols: list[tuple[str, Column]] = [(renames.get(c, c), F.col(c)) for c in upload.columns]
+    names = [n for n, _ in cols]
+    if C.ID_ROLE not in names:
+        cols.append((C.ID_ROLE, id_expr))
+        names.append(C.ID_ROLE)
+    for key, default in C.INTELLIGENT_DEFAULTS.items():
+        if key in names:
+            continue
+        if key in plan.derived:
+            expr = derived_column(key, F.col(plan.derived[key]), as_of)
+            if key == "JobSatisfaction":
+                raw = F.col(plan.derived[key])
+                mx = upload.select(F.max(to_number(raw))).scalar()
+                expr = F.when(mx > 4, F.bround(expr / mx * F.lit(3.0) + F.lit(1.0), 0)).otherwise(expr)
+        else:
+            expr = F.lit(default)
+        cols.append((key, expr))
+        names.append(key)
+    return upload.select(*[F.coalesce(e.cast("string"), F.lit("-")).alias(n) for n, e in cols])

@@ -215,42 +215,69 @@ oracle(
     "FROM mapping m LEFT JOIN ov ON ov.dataset = m.dataset AND ov.col_name = m.col_name",
 )
 
-# Profile of the custom upload (no overrides).
+# Profile of an upload (custom layout without overrides; standard layout with its roles).
 _NUMERIC_TYPES = "('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'HUGEINT', 'FLOAT', 'DOUBLE', 'UTINYINT', 'USMALLINT', 'UINTEGER', 'UBIGINT')"
-_TYPES = "types AS (" + " UNION ALL ".join(
-    f"SELECT {S.q(c)} AS c, {i} AS o, typeof(any_value({c})) AS t FROM workers" for i, c in enumerate(WORKERS_COLUMNS)
-) + ")"
-_NULLS = " + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in WORKERS_COLUMNS)
-_NCOL = len(WORKERS_COLUMNS)
-_missing_feats = "(30 - mapped - derived)"
-_raw_score = (
-    f"(100.0 - {_missing_feats} * {S.d(C.PENALTY_PER_MISSING_FEATURE)} - missing_pct * {S.d(C.PENALTY_PER_MISSING_PCT)} "
-    f"- CAST(unknown AS DOUBLE) / {_NCOL} * {S.d(C.PENALTY_UNKNOWN_SHARE)})"
-)
-_clamped = f"greatest(0.0, least(100.0, {_raw_score}))"
-oracle(
-    "profile_summary",
-    f"WITH {S.EMP}, {S.WORKERS}, {WORKERS_ONLY_CATALOG}, {NO_OVERRIDES}, {S.mapping_ctes()}, {REQ}, {_TYPES}, "
-    f"st AS (SELECT count(*) AS rows, sum({_NULLS}) AS missing FROM workers), "
-    "cnt AS (SELECT CAST(count(*) FILTER (WHERE kind = 'mapped') AS INTEGER) AS mapped, CAST(count(*) FILTER (WHERE kind = 'derive') AS INTEGER) AS derived, "
-    "CAST(count(*) FILTER (WHERE kind = 'unknown') AS INTEGER) AS unknown FROM mapping), "
-    "miss AS (SELECT COALESCE(string_agg(f, ', ' ORDER BY o), '') AS names FROM (SELECT f, o FROM req WHERE f NOT IN "
-    "(SELECT target FROM mapping WHERE kind IN ('mapped', 'derive') AND target IS NOT NULL) ORDER BY o LIMIT 3)), "
-    f"base AS (SELECT st.rows, {_NCOL} AS columns, st.missing / (st.rows * {_NCOL}) * 100.0 AS missing_pct, cnt.*, miss.names FROM st, cnt, miss), "
-    f"qs AS (SELECT *, {_clamped} AS clamped FROM base) "
-    f"SELECT rows, CAST(columns AS INTEGER) AS columns, round(missing_pct, 6) AS missing_pct, "
-    f"(SELECT string_agg(c, ', ' ORDER BY o) FROM types WHERE t IN {_NUMERIC_TYPES}) AS numeric_columns, "
-    f"(SELECT string_agg(c, ', ' ORDER BY o) FROM types WHERE t NOT IN {_NUMERIC_TYPES}) AS categorical_columns, "
-    "mapped AS mapped_columns_count, derived AS derived_columns_count, unknown AS unknown_columns_count, "
-    "CAST(round_even(clamped, 0) AS INTEGER) AS score, concat_ws(chr(10), "
-    f"CASE WHEN {_missing_feats} > 0 THEN {S.q(C.SUGGEST_MISSING_FEATURES.split('{}')[0])} || CAST({_missing_feats} AS VARCHAR) || "
-    f"{S.q(C.SUGGEST_MISSING_FEATURES.split('{}')[1])} || names END, "
-    f"CASE WHEN missing_pct > {S.d(C.MISSING_PCT_WARN)} THEN {S.q(C.SUGGEST_MISSING_CELLS.split('{}')[0])} || printf('%.1f', round(missing_pct, 1)) || {S.q(C.SUGGEST_MISSING_CELLS.split('{}')[1])} END, "
-    f"CASE WHEN unknown > 0 THEN {S.q(C.SUGGEST_UNKNOWN.split('{}')[0])} || CAST(unknown AS VARCHAR) || {S.q(C.SUGGEST_UNKNOWN.split('{}')[1])} END, "
-    f"CASE WHEN clamped > {C.SCORE_EXCELLENT} THEN {S.q(C.SUGGEST_EXCELLENT)} WHEN clamped > {C.SCORE_GOOD} THEN {S.q(C.SUGGEST_GOOD)} ELSE {S.q(C.SUGGEST_POOR)} END"
-    ") AS suggestions FROM qs",
-)
-_NUMERIC_SET = set()
+
+
+def _types_cte(table: str, columns: list[str]) -> str:
+    return "types AS (" + " UNION ALL ".join(
+        f"SELECT {S.q(c)} AS c, {i} AS o, typeof(any_value({c})) AS t FROM {table}" for i, c in enumerate(columns)
+    ) + ")"
+
+
+_TYPES = _types_cte("workers", WORKERS_COLUMNS)
+
+
+def profile_body(table: str, columns: list[str], is_standard: bool) -> str:
+    """Given CTEs ``mapping`` (for this table only) and ``types``: the one-row profile."""
+    nulls = " + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in columns)
+    ncol = len(columns)
+    missing_feats = "(30 - mapped - derived)"
+    unknown_penalty = "0.0" if is_standard else f"CAST(unknown AS DOUBLE) / {ncol} * {S.d(C.PENALTY_UNKNOWN_SHARE)}"
+    raw = (
+        f"(100.0 - {missing_feats} * {S.d(C.PENALTY_PER_MISSING_FEATURE)} - missing_pct * {S.d(C.PENALTY_PER_MISSING_PCT)} "
+        f"- {unknown_penalty})"
+    )
+    clamped = f"greatest(0.0, least(100.0, {raw}))"
+    return (
+        f"st AS (SELECT count(*) AS rows, sum({nulls}) AS missing FROM {table}), "
+        "cnt AS (SELECT CAST(count(*) FILTER (WHERE kind = 'mapped') AS INTEGER) AS mapped, CAST(count(*) FILTER (WHERE kind = 'derive') AS INTEGER) AS derived, "
+        "CAST(count(*) FILTER (WHERE kind = 'unknown') AS INTEGER) AS unknown FROM mapping), "
+        "miss AS (SELECT COALESCE(string_agg(f, ', ' ORDER BY o), '') AS names FROM (SELECT f, o FROM req WHERE f NOT IN "
+        "(SELECT target FROM mapping WHERE kind IN ('mapped', 'derive') AND target IS NOT NULL) ORDER BY o LIMIT 3)), "
+        f"base AS (SELECT st.rows, {ncol} AS columns, st.missing / greatest(st.rows * {ncol}, 1) * 100.0 AS missing_pct, cnt.*, miss.names FROM st, cnt, miss), "
+        f"qs AS (SELECT *, {clamped} AS clamped FROM base), "
+        f"prof AS (SELECT rows, CAST(columns AS INTEGER) AS columns, round(missing_pct, 6) AS missing_pct, "
+        f"(SELECT COALESCE(string_agg(c, ', ' ORDER BY o), '') FROM types WHERE t IN {_NUMERIC_TYPES}) AS numeric_columns, "
+        f"(SELECT COALESCE(string_agg(c, ', ' ORDER BY o), '') FROM types WHERE t NOT IN {_NUMERIC_TYPES}) AS categorical_columns, "
+        "mapped AS mapped_columns_count, derived AS derived_columns_count, unknown AS unknown_columns_count, "
+        "CAST(round_even(clamped, 0) AS INTEGER) AS score, concat_ws(chr(10), "
+        f"CASE WHEN {missing_feats} > 0 THEN {S.q(C.SUGGEST_MISSING_FEATURES.split('{}')[0])} || CAST({missing_feats} AS VARCHAR) || "
+        f"{S.q(C.SUGGEST_MISSING_FEATURES.split('{}')[1])} || names END, "
+        f"CASE WHEN missing_pct > {S.d(C.MISSING_PCT_WARN)} THEN {S.q(C.SUGGEST_MISSING_CELLS.split('{}')[0])} || printf('%.1f', round(missing_pct, 1)) || {S.q(C.SUGGEST_MISSING_CELLS.split('{}')[1])} END, "
+        f"CASE WHEN unknown > 0 THEN {S.q(C.SUGGEST_UNKNOWN.split('{}')[0])} || CAST(unknown AS VARCHAR) || {S.q(C.SUGGEST_UNKNOWN.split('{}')[1])} END, "
+        f"CASE WHEN clamped > {C.SCORE_EXCELLENT} THEN {S.q(C.SUGGEST_EXCELLENT)} WHEN clamped > {C.SCORE_GOOD} THEN {S.q(C.SUGGEST_GOOD)} ELSE {S.q(C.SUGGEST_POOR)} END"
+        ") AS suggestions FROM qs)"
+    )
+
+
+from riskloom.plans.queries import STANDARD_ROLES  # noqa: E402
+
+_WORKERS_PROFILE = f"{WORKERS_ONLY_CATALOG}, {NO_OVERRIDES}, {S.mapping_ctes()}, {REQ}, {_TYPES}, {profile_body('workers', WORKERS_COLUMNS, False)}"
+_STANDARD_PROFILE = (
+    f"{S.catalog_values({'employees': EMPLOYEES_COLUMNS})}, {S.overrides_values('employees', STANDARD_ROLES)}, {S.mapping_ctes()}, {REQ}, "
+    f"{_types_cte('employees', EMPLOYEES_COLUMNS)}, {profile_body('employees', EMPLOYEES_COLUMNS, True)}"
+)
+oracle("profile_summary", f"WITH {S.EMP}, {S.WORKERS}, {_WORKERS_PROFILE} SELECT * FROM prof")
+oracle("profile_summary_standard", f"WITH {S.EMP}, {_STANDARD_PROFILE} SELECT * FROM prof")
+oracle(
+    "quality_suggestions",
+    f"WITH {S.EMP}, {S.WORKERS}, w AS (WITH {_WORKERS_PROFILE} SELECT suggestions FROM prof), "
+    f"e AS (WITH {_STANDARD_PROFILE} SELECT suggestions FROM prof) "
+    "SELECT 'workers_custom' AS dataset, CAST(i - 1 AS INTEGER) AS ord, s[i] AS suggestion FROM (SELECT string_split(suggestions, chr(10)) AS s FROM w), "
+    "range(1, 10) r(i) WHERE i <= len(s) UNION ALL "
+    "SELECT 'employees', CAST(i - 1 AS INTEGER), s[i] FROM (SELECT string_split(suggestions, chr(10)) AS s FROM e), range(1, 10) r(i) WHERE i <= len(s)",
+)
 oracle(
     "column_profile",
     f"WITH {S.EMP}, {S.WORKERS}, {_TYPES}, n AS (SELECT count(*) AS rows FROM workers), cnt AS ("
@@ -518,3 +545,21 @@ oracle(
     "stream_scoring",
     S.with_scored(ENS, "SELECT EmployeeNumber, PredictedAttritionRisk, PredictedOutcome, RiskCategory FROM scored"),
 )
+
+# --- display frame and standard profile ------------------------------------------------------------
+
+_DISPLAY_COLS = []
+for _c in WORKERS_COLUMNS:
+    _t = EXPECTED_MAPPED.get(_c)
+    _name = _t if _t in C.DISPLAY_RENAMED else _c
+    _DISPLAY_COLS.append(f"COALESCE(CAST({_c} AS VARCHAR), '-') AS {_name}")
+_DISPLAY_COLS.append("COALESCE(CAST(emp_code AS VARCHAR), '-') AS EmployeeNumber")
+_present_display = {EXPECTED_MAPPED.get(c) if EXPECTED_MAPPED.get(c) in C.DISPLAY_RENAMED else c for c in WORKERS_COLUMNS}
+for _k, _v in C.INTELLIGENT_DEFAULTS.items():
+    if _k in _present_display:
+        continue
+    if _k in EXPECTED_DERIVED:
+        _DISPLAY_COLS.append(f"COALESCE(CAST({EXPECTED_DERIVED[_k]} AS VARCHAR), '-') AS {_k}")
+    else:
+        _DISPLAY_COLS.append(f"CAST({_default_sql(_k)} AS VARCHAR) AS {_k}")
+oracle("display_frame", f"WITH {S.EMP}, {S.WORKERS} SELECT " + ", ".join(_DISPLAY_COLS) + " FROM workers")

@@ -780,3 +780,39 @@ def stream_scoring(spark, sf_dir):
     q = start_scoring(spark, b, src, sink, ckpt)
     q.awaitTermination()
     return read_scored(spark, sink)
+
+
+# Standard layout: dropped columns are ignored, label and id take their roles.
+STANDARD_ROLES = {**{c: C.IGNORE for c in C.IGNORED_COLUMNS if c != C.ID_ROLE}, C.ID_ROLE: C.ID_ROLE, C.LABEL: C.LABEL}
+
+
+@query("display_frame")
+def display_frame(spark, sf_dir):
+    """P10: display table of the custom upload (overrides applied)."""
+    b = wb(spark, sf_dir)
+    plan = W.workers_plan(b, True)
+    id_expr = F.col(plan.id_col).cast("string") if plan.id_col else F.lit(None).cast("string")
+    return PP.display_frame(b.workers, plan, WORKERS_AS_OF, id_expr)
+
+
+@query("profile_summary_standard")
+def profile_summary_standard(spark, sf_dir):
+    """H10 on the standard layout: identity mapping first, so no feature counts as missing."""
+    b = wb(spark, sf_dir)
+    cat = MP.catalog_of(spark, {"employees": b.employees})
+    ov = MP.overrides_of(spark, "employees", STANDARD_ROLES)
+    return PR.profile_summary(spark, b.employees, MP.map_columns(cat, ov), "employees")
+
+
+@query("quality_suggestions")
+def quality_suggestions(spark, sf_dir):
+    """The quality suggestions of both fixture uploads, one row each, in order."""
+    b = wb(spark, sf_dir)
+    cat_w = MP.catalog_of(spark, {W.WORKERS: b.workers})
+    cat_e = MP.catalog_of(spark, {"employees": b.employees})
+    ov_e = MP.overrides_of(spark, "employees", STANDARD_ROLES)
+    parts = []
+    for name, df, cat, ov in ((W.WORKERS, b.workers, cat_w, None), ("employees", b.employees, cat_e, ov_e)):
+        prof = PR.profile_summary(spark, df, MP.map_columns(cat, ov), name)
+        parts.append(prof.select(F.lit(name).alias("dataset"), F.posexplode(F.split("suggestions", "\n")).alias("ord", "suggestion")))
+    return parts[0].unionByName(parts[1])
