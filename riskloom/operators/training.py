@@ -25,7 +25,8 @@ def stratified_split(
     totals, so a class holding most rows is still spread over all tasks)."""
     keyed = frame.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
     pos = dense_positions(keyed, ["_h", id_col], out="_pos", group_cols=[label])
-    n_test = F.ceil(F.col("_group_rows") * F.lit(test_share))
+    # decimal arithmetic: 15 x 0.2 must be exactly 3, not 3.0000000000000004 -> 4
+    n_test = F.ceil(F.col("_group_rows").cast("decimal(38,0)") * F.lit(str(test_share)).cast("decimal(10,6)"))
     return pos.withColumn("split", F.when(F.col("_pos") <= n_test, F.lit("test")).otherwise(F.lit("train"))).drop(
         "_h", "_pos", "_group_rows"
     )

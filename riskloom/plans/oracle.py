@@ -563,3 +563,13 @@ for _k, _v in C.INTELLIGENT_DEFAULTS.items():
     else:
         _DISPLAY_COLS.append(f"CAST({_default_sql(_k)} AS VARCHAR) AS {_k}")
 oracle("display_frame", f"WITH {S.EMP}, {S.WORKERS} SELECT " + ", ".join(_DISPLAY_COLS) + " FROM workers")
+
+# Split sizes are a function of the class sizes: ceil(0.2 x n) rows of each class go to test.
+oracle(
+    "stratified_split",
+    S.with_model(
+        f"SELECT 'test' AS split, Attrition, CAST(ceil(n * CAST({C.TEST_SHARE!r} AS DECIMAL(10, 6))) AS BIGINT) AS n FROM c UNION ALL "
+        f"SELECT 'train', Attrition, CAST(n - ceil(n * CAST({C.TEST_SHARE!r} AS DECIMAL(10, 6))) AS BIGINT) FROM c",
+        "c AS (SELECT Attrition, count(*) AS n FROM mfi GROUP BY Attrition)",
+    ),
+)
