@@ -56,22 +56,22 @@ def driver_line(feature: Column, value: Column, phi: Column) -> Column:
     )
 
 
-def report_text(label: Column, risk: Column, drivers: Column) -> Column:
+def report_text(label: Column, risk: Column, drivers: Column, k: int) -> Column:
     """The downloadable per-employee report (lines joined by newline).
 
-    ``drivers`` is an array of struct(feature, phi) in rank order."""
-    lines = F.array(
+    ``drivers`` is an array of struct(feature, phi) in rank order with ``k`` entries."""
+    lines = [
         F.concat(F.lit("Employee: "), label),
         F.concat(F.lit("Risk category: "), risk_bucket(risk)),
         F.concat(F.lit("Probability of leaving: "), percent_text(risk)),
         F.concat(F.lit("Probability of staying: "), percent_text(F.lit(1.0) - risk)),
         F.lit(""),
         F.lit("Top personalized drivers:"),
-    )
-    driver_lines = F.transform(
-        drivers, lambda d: F.concat(F.lit("- "), d["feature"], F.lit(": "), signed_text(d["phi"] + F.lit(0.0)))
-    )
-    return F.array_join(F.concat(lines, driver_lines), "\n")
+    ]
+    for j in range(k):
+        d = drivers[j]
+        lines.append(F.concat(F.lit("- "), d["feature"], F.lit(": "), signed_text(d["phi"])))
+    return F.concat_ws("\n", *lines)
 
 
 def report_file_name(label: Column) -> Column:
@@ -79,11 +79,13 @@ def report_file_name(label: Column) -> Column:
     return F.concat(slug(label), F.lit("_risk_report.txt"))
 
 
-def factor_texts(drivers: Column) -> Column:
-    """C15: "Feature (increases risk)" for each driver struct(feature, phi)."""
-    return F.transform(
-        drivers,
-        lambda d: F.concat(d["feature"], F.lit(" ("), direction(d["phi"], "increases", "decreases"), F.lit(" risk)")),
+def factor_texts(drivers: Column, k: int) -> Column:
+    """C15: "Feature (increases risk)" for each of the ``k`` driver structs (feature, phi)."""
+    return F.array(
+        *[
+            F.concat(drivers[j]["feature"], F.lit(" ("), direction(drivers[j]["phi"], "increases", "decreases"), F.lit(" risk)"))
+            for j in range(k)
+        ]
     )
 
 

@@ -30,9 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions.expressions import round_double
+from riskloom.session import ensure_parallelism
+
 
 # Trees whose paths hold at most this many distinct features use pattern tables.
 MAX_TABLE_DEPTH = 10
+# Contributions are rounded to this many decimals before ranking (ties stay ties).
+RANK_DECIMALS = 12
 
 
 @dataclass
@@ -300,72 +305,98 @@ class TreeEnsemble:
         id_col: str = "id",
         features: Sequence[str] | None = None,
         carry: Sequence[str] = (),
+        decimals: int = RANK_DECIMALS,
     ) -> DataFrame:
-        """(id, *carry, score, base, phi array<double> in ``self.features`` order) for every row.
+        """(id, *carry, score, base, phi array<double>, order array<int>) for every row.
 
-        One Arrow batch at a time inside the executors; the forest travels with the task
-        closure (model-sized). ``carry`` columns pass through untouched, so per-row outputs
-        (top-k, raw values, reports) need no join back."""
+        ``phi`` holds the contributions in ``self.features`` order; ``order`` lists the 1-based
+        feature positions by |phi| (rounded to ``decimals``, so float noise cannot reorder
+        ties) descending, then feature name. One Arrow batch at a time inside the executors;
+        the forest travels with the task closure (model-sized). ``carry`` columns pass
+        through, so per-row outputs (top-k, raw values, reports) need no join back."""
         features = list(features or self.features)
         ensemble = self
         self.leaf_paths()  # computed once on the driver, shipped with the closure
         base = self.base_value()
         keep = [id_col, *carry]
         fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-        phi_cols = [f"__phi{i}" for i in range(len(features))]
+        n = len(self.features)
+        phi_cols = [f"__phi{i}" for i in range(n)]
+        ord_cols = [f"__ord{i}" for i in range(n)]
         schema = (
             ", ".join(f"`{c}` {fields[c]}" for c in keep)
             + ", score double, "
             + ", ".join(f"{c} double" for c in phi_cols)
+            + ", "
+            + ", ".join(f"{c} int" for c in ord_cols)
         )
         feat_cols = [f"__x{i}" for i in range(len(features))]
+        name_rank = np.argsort(np.argsort(np.array(self.features, dtype=object)))
 
         def run(batches):
             for pdf in batches:
                 X = pdf[feat_cols].to_numpy(dtype=float)
                 phi = ensemble.contributions_numpy(X)
-                out = pd.DataFrame(phi, columns=phi_cols, index=pdf.index)
+                key = -np.abs(np.round(phi, decimals))  # ranking only; outputs are rounded by Spark
+                order = np.lexsort((np.broadcast_to(name_rank, phi.shape), key), axis=-1) + 1
+                out = pd.concat(
+                    [
+                        pd.DataFrame(phi, columns=phi_cols, index=pdf.index),
+                        pd.DataFrame(order.astype(np.int32), columns=ord_cols, index=pdf.index),
+                    ],
+                    axis=1,
+                )
                 out.insert(0, "score", ensemble.predict_numpy(X))
                 for c in reversed(keep):
                     out.insert(0, c, pdf[c])
                 yield out
 
-        inputs = df.select(*keep, *[F.col(f).cast("double").alias(n) for f, n in zip(features, feat_cols)])
-        res = inputs.mapInPandas(run, schema)
-        return res.select(*keep, "score", F.lit(base).alias("base"), F.array(*phi_cols).alias("phi"))
-
-
-def ranked_contributions(features: Sequence[str], phi: str = "phi", decimals: int = 12) -> Column:
-    """array<struct<feature, phi, idx>> of one row, sorted by |phi| desc then feature name.
-    phi is rounded to ``decimals`` first so float noise cannot reorder ties."""
-    entries = F.array(
-        *[
-            F.struct(F.lit(f).alias("feature"), F.round(F.col(phi)[i], decimals).alias("phi"), F.lit(i + 1).alias("idx"))
-            for i, f in enumerate(features)
-        ]
-    )
-    return F.array_sort(
-        entries,
-        lambda a, b: F.when(F.abs(a["phi"]) > F.abs(b["phi"]), F.lit(-1))
-        .when(F.abs(a["phi"]) < F.abs(b["phi"]), F.lit(1))
-        .when(a["feature"] < b["feature"], F.lit(-1))
-        .when(a["feature"] > b["feature"], F.lit(1))
-        .otherwise(F.lit(0)),
-    )
+        inputs = df.select(*keep, *[F.col(f).cast("double").alias(n_) for f, n_ in zip(features, feat_cols)])
+        res = ensure_parallelism(inputs).mapInPandas(run, schema)
+        return res.select(
+            *keep, "score", F.lit(base).alias("base"), F.array(*phi_cols).alias("phi"), F.array(*ord_cols).alias("order")
+        )
 
 
-def explanations_long(explained: DataFrame, features: Sequence[str], id_col: str = "id", k: int | None = None) -> DataFrame:
-    """(id, feature, phi, rank, idx): rank 1 = largest |phi|. No shuffle — each row sorts its
-    own array and explodes; ``k`` keeps the top-k per row."""
-    ranked = ranked_contributions(features)
-    if k is not None:
-        ranked = F.slice(ranked, 1, k)
-    return explained.select(id_col, F.posexplode(ranked).alias("pos", "kv")).select(
+def ranked_contributions(features: Sequence[str], k: int | None = None) -> Column:
+    """array<struct<feature, phi, idx>> of the first ``k`` (default all) contributions of one
+    row in rank order — plain element lookups through the row's ``order`` array; phi is
+    rounded to ``RANK_DECIMALS`` like the ranking key."""
+    names = F.array(*[F.lit(f) for f in features])
+    k = len(features) if k is None else min(k, len(features))
+    entries = []
+    for j in range(k):
+        i = F.col("order")[j]
+        entries.append(
+            F.struct(
+                F.element_at(names, i).alias("feature"),
+                round_double(F.element_at(F.col("phi"), i), RANK_DECIMALS).alias("phi"),
+                i.alias("idx"),
+            )
+        )
+    return F.array(*entries)
+
+
+def explanations_long(
+    explained: DataFrame,
+    features: Sequence[str],
+    id_col: str = "id",
+    k: int | None = None,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """(id, *carry, feature, phi, rank, idx): rank 1 = largest |phi|. No shuffle — each row's
+    ``order`` array (sliced to the top ``k``) is exploded first and the feature name and phi
+    are looked up per output row (cheaper than exploding an array of structs)."""
+    names = F.array(*[F.lit(f) for f in features])
+    order = F.col("order") if k is None else F.slice("order", 1, k)
+    exploded = explained.select(id_col, *carry, "phi", F.posexplode_outer(order).alias("pos", "idx"))
+    return exploded.select(
         id_col,
-        F.col("kv.feature").alias("feature"),
-        F.col("kv.phi").alias("phi"),
+        *carry,
+        F.element_at(names, F.col("idx")).alias("feature"),
+        round_double(F.element_at(F.col("phi"), F.col("idx")), RANK_DECIMALS).alias("phi"),
         (F.col("pos") + 1).cast("int").alias("rank"),
-        F.col("kv.idx").alias("idx"),
+        F.col("idx"),
     )
 
 

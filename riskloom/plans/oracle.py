@@ -424,12 +424,12 @@ from riskloom.plans.queries import SPARSE_FEATURES  # noqa: E402
 from riskloom.sources.fixtures import SCENARIOS  # noqa: E402
 
 _RANKED = (
-    "rk AS (SELECT id, feature, round(phi, 12) AS p, "
+    "rk AS (SELECT id, feature, round(phi, 12) + 0.0 AS p, "
     "row_number() OVER (PARTITION BY id ORDER BY abs(round(phi, 12)) DESC, feature) AS rank FROM phi)"
 )
 oracle(
     "explain_all",
-    S.with_model("SELECT id, feature, round(p, 9) AS phi, CAST(rank AS INTEGER) AS rank FROM rk",
+    S.with_model("SELECT id, feature, round(p, 9) + 0.0 AS phi, CAST(rank AS INTEGER) AS rank FROM rk",
                  f"{S.contributions_ctes(ENS, 'mfi')}, {_RANKED}"),
 )
 _RAW_VALUES = "rv AS (" + " UNION ALL ".join(
@@ -441,7 +441,7 @@ _DIR = "CASE WHEN p > 0 THEN 'increases flight risk' ELSE 'decreases flight risk
 oracle(
     "explain_topk",
     S.with_model(
-        f"SELECT rk.id, CAST(rk.rank AS INTEGER) AS rank, rk.feature, round(rk.p, 9) AS phi, rv.value, {_DIR} AS direction, "
+        f"SELECT rk.id, CAST(rk.rank AS INTEGER) AS rank, rk.feature, round(rk.p, 9) + 0.0 AS phi, rv.value, {_DIR} AS direction, "
         f"rk.feature || ' = ' || COALESCE(rv.value, '') || ' ' || {_DIR} || ' (impact: ' || {S.signed_sql('rk.p')} || ')' AS driver "
         f"FROM rk JOIN rv ON rv.id = rk.id AND rv.feature = rk.feature WHERE rk.rank <= {C.TOP_DRIVERS}",
         f"{S.contributions_ctes(ENS, 'mfi')}, {_RANKED}, {_RAW_VALUES}",

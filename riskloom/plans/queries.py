@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import config as C
-from riskloom.functions.expressions import percent_text, predicted_class, risk_bucket
+from riskloom.functions.expressions import percent_text, predicted_class, risk_bucket, round_double
 from riskloom.operators.encode import fit_dictionary
 from riskloom.operators.stats import exact_medians
 from riskloom.plans.workbench import RISK, Workbench
@@ -520,7 +520,7 @@ def explain_all(spark, sf_dir):
     b = wb(spark, sf_dir)
     ex = W.explained_history(b)
     return FO.explanations_long(ex, b.ensemble.features).select(
-        "id", "feature", F.round("phi", 9).alias("phi"), "rank"
+        "id", "feature", round_double(F.col("phi"), 9).alias("phi"), "rank"
     )
 
 
@@ -529,16 +529,12 @@ def explain_topk(spark, sf_dir):
     """Top-5 drivers per row with the raw value and the driver sentence."""
     b = wb(spark, sf_dir)
     ex = W.explained_history(b, carry_raw=True)
-    ranked = F.slice(FO.ranked_contributions(b.ensemble.features), 1, C.TOP_DRIVERS)
-    rows = ex.select("id", "raw_values", F.posexplode(ranked).alias("pos", "kv")).select(
-        "id",
-        (F.col("pos") + 1).cast("int").alias("rank"),
-        F.col("kv.feature").alias("feature"),
-        F.col("kv.phi").alias("phi"),
-        F.element_at("raw_values", F.col("kv.idx")).alias("value"),
+    raw = [f"__raw{i}" for i in range(len(C.STANDARD_FEATURES))]
+    rows = FO.explanations_long(ex, b.ensemble.features, k=C.TOP_DRIVERS, carry=raw).select(
+        "id", "rank", "feature", "phi", W.raw_value_text(b, F.col("idx")).alias("value")
     )
     return rows.select(
-        "id", "rank", "feature", F.round("phi", 9).alias("phi"), "value",
+        "id", "rank", "feature", round_double(F.col("phi"), 9).alias("phi"), "value",
         A.direction(F.col("phi"), "increases flight risk", "decreases flight risk").alias("direction"),
         A.driver_line(F.col("feature"), F.col("value"), F.col("phi")).alias("driver"),
     )
@@ -563,11 +559,11 @@ def risk_report_text(spark, sf_dir):
     b = wb(spark, sf_dir)
     ex = W.explained_history(b)
     label = F.concat(F.lit("Employee "), F.col("id").cast("string"))
-    top = F.slice(FO.ranked_contributions(b.ensemble.features), 1, C.TOP_DRIVERS)
+    top = FO.ranked_contributions(b.ensemble.features, C.TOP_DRIVERS)
     return ex.select(
         "id",
         A.report_file_name(label).alias("file_name"),
-        A.report_text(label, F.col("score"), top).alias("report_text"),
+        A.report_text(label, F.col("score"), top, C.TOP_DRIVERS).alias("report_text"),
     )
 
 
@@ -590,12 +586,12 @@ def assess_risk(spark, sf_dir):
     b = wb(spark, sf_dir)
     full = A.sparse_to_full(_sparse_records(b), C.STANDARD_FEATURES)
     ex = b.ensemble.explain(full, "id")
-    top = F.slice(FO.ranked_contributions(b.ensemble.features), 1, C.TOP_FACTORS)
+    top = FO.ranked_contributions(b.ensemble.features, C.TOP_FACTORS)
     return ex.select(
         "id",
         risk_bucket(F.col("score")).alias("risk_level"),
         percent_text(F.col("score")).alias("probability"),
-        F.array_join(A.factor_texts(top), "; ").alias("top_factors"),
+        F.array_join(A.factor_texts(top, C.TOP_FACTORS), "; ").alias("top_factors"),
     )
 
 

@@ -151,26 +151,37 @@ def workers_prepared(wbench: Workbench, with_overrides: bool = True):
 
 
 def explained_history(wbench: Workbench, carry_raw: bool = False) -> DataFrame:
-    """(id, [raw_values array<string>, EmployeeNumber], score, base, phi) for every history row."""
+    """(id, [__raw0..__raw29], score, base, phi, order) for every history row; the raw feature
+    columns (their own types) ride along for the driver texts."""
     ens = wbench.ensemble
     e = wbench.dictionary.join_codes(wbench.employees, C.CATEGORICAL_FEATURES)
     inputs = wbench.model_inputs(e)
     cols = [F.col("EmployeeNumber").alias("id")]
     carry = []
     if carry_raw:
-        # raw text of each feature, falling back to the model value (J7), in model order
-        raw = F.array(*[F.coalesce(F.col(f).cast("string"), x.cast("string")) for f, x in zip(C.STANDARD_FEATURES, inputs)])
-        cols.append(raw.alias("raw_values"))
-        carry = ["raw_values"]
+        carry = [f"__raw{i}" for i in range(len(C.STANDARD_FEATURES))]
+        cols += [F.col(f).alias(r) for f, r in zip(C.STANDARD_FEATURES, carry)]
     frame = e.select(*cols, *[x.alias(f) for f, x in zip(C.STANDARD_FEATURES, inputs)])
     return ens.explain(frame, "id", ens.features, carry=carry)
 
 
+def raw_value_text(wbench: Workbench, idx: Column) -> Column:
+    """Text of feature ``idx`` (1-based) of the row's raw columns ``__raw*``; a missing raw
+    value falls back to the value the model saw (the training median)."""
+    out = None
+    for i, f in enumerate(C.STANDARD_FEATURES):
+        m = wbench.medians.get(f)
+        fallback = F.lit(float(m)).cast("string") if m is not None else F.lit(None).cast("string")
+        v = F.coalesce(F.col(f"__raw{i}").cast("string"), fallback)
+        out = F.when(idx == i + 1, v) if out is None else out.when(idx == i + 1, v)
+    return out
+
+
 # --- trained forest -----------------------------------------------------------------------------
 
 from riskloom.operators import training as TR  # noqa: E402
 from riskloom.session import checkpoint as _checkpoint  # noqa: E402
-from riskloom.session import shared_path  # noqa: E402
+from riskloom.session import ensure_parallelism, shared_path  # noqa: E402
 
 _TRAINED: dict[tuple[int, str], dict] = {}
 
@@ -190,7 +201,7 @@ def trained(wbench: Workbench) -> dict:
     key = (id(wbench.spark), wbench.sf_dir)
     state = _TRAINED.setdefault(key, {})
     if "model" not in state:
-        train = split_frame(wbench).where(F.col("split") == "train")
+        train = ensure_parallelism(split_frame(wbench).where(F.col("split") == "train"))
         model = TR.forest_pipeline(C.STANDARD_FEATURES).fit(train)
         state["model"] = model
         state["path"] = shared_path(wbench.spark, "forest")

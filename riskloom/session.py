@@ -57,3 +57,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts lineage and survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a CPU-heavy stage over at least the cluster's parallelism.
+
+    Large inputs already arrive in many partitions (no-op, no extra shuffle); a small
+    input stored as one file / row group would otherwise run the whole stage in one task."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
