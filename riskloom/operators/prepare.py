@@ -145,12 +145,65 @@ def prepare_custom(
     medians: dict[str, float] | None,
     as_of: str,
 ):
-    """Custom-layout path: harmonize -> impute -> lenient encode -> align.
-    Returns (model frame with _id/_label, imputation report)."""
-    harmonized = harmonize(upload, plan, as_of)
-    imputed, report = impute(harmonized, medians)
-    encoded = encode_lenient(imputed, dictionary, [f for f in C.STANDARD_FEATURES])
-    return align(encoded, keep=["_id", "_label"]), report
+    """Custom-layout path: harmonize -> impute -> lenient encode -> align, with the statistics
+    both rules need (non-null counts, "column is all in-range codes") taken in ONE aggregate
+    pass. Returns (model frame with _id/_label, imputation report)."""
+    h = harmonize(upload, plan, as_of)
+    features = C.STANDARD_FEATURES
+    fill = {}
+    for f in features:
+        has_median = medians is not None and medians.get(f) is not None
+        fill[f] = (medians[f] if has_median else C.INTELLIGENT_DEFAULTS.get(f, 0), "training median" if has_median else "intelligent default")
+    present = [f for f in features if f in h.columns]
+    text = dict(h.dtypes)
+
+    def filled(f):  # the imputed column (what the reference encodes)
+        v = fill[f][0]
+        if isinstance(v, str) or text[f] == "string":
+            return F.coalesce(F.col(f).cast("string"), F.lit(v).cast("string"))
+        return F.coalesce(F.col(f), F.lit(v))
+
+    def in_range(x, f):
+        num = to_number(x)
+        return num.isNotNull() & (num >= 0) & (num <= dictionary.size(f) - 1)
+
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for f in present:
+        aggs.append(F.count(F.col(f)).alias(f"{f}__n"))
+        if f in dictionary:
+            aggs.append(F.coalesce(F.bool_and(in_range(filled(f), f)), F.lit(True)).alias(f"{f}__codes"))
+    stats = h.agg(*aggs).collect()[0].asDict()
+
+    report, cols = [], [F.col(c) for c in ("_id", "_label") if c in h.columns]
+    need_join = []
+    for f in features:
+        v, kind = fill[f]
+        n = stats.get(f"{f}__n", 0) if f in present else 0
+        if n == 0:
+            report.append(Imputation(f, f"{kind} ({v})", v))
+            x = F.lit(v)
+            codes = f in dictionary and (isinstance(v, (int, float)) and 0 <= v <= dictionary.size(f) - 1)
+        else:
+            if n < stats["__rows"]:
+                report.append(Imputation(f, f"{kind} for subset ({v})", v))
+                x = filled(f)
+            else:
+                x = F.col(f)
+            codes = stats.get(f"{f}__codes", False)
+        if f in dictionary:
+            if codes:
+                expr = to_number(x).cast("int")
+            elif f in dictionary.classes:
+                expr = F.coalesce(dictionary.lookup(f, x), F.lit(0))
+            else:
+                need_join.append(f)
+                expr = F.coalesce(F.col(f"__code_{f}"), F.lit(0))
+                h = h.withColumn(f, x)
+        else:
+            expr = F.coalesce(to_number(x), F.lit(0.0))
+        cols.append(expr.cast("double").alias(f))
+    h = dictionary.join_codes(h, need_join)
+    return h.select(*cols), report
 
 
 def display_frame(upload: DataFrame, plan: Plan, as_of: str, id_expr: Column) -> DataFrame:
