@@ -119,8 +119,18 @@ def model_frame(employees: DataFrame, dictionary: Dictionary, id_col: str = C.ID
     return employees.select(*cols)
 
 
-def training_medians(frame: DataFrame, features: Sequence[str] = C.STANDARD_FEATURES) -> dict[str, float | None]:
-    """Exact medians of the model frame (one distributed job), collected: 30 numbers."""
+def training_medians(
+    frame: DataFrame, features: Sequence[str] = C.STANDARD_FEATURES, approx_accuracy: int | None = None
+) -> dict[str, float | None]:
+    """Medians of the model frame, collected: 30 numbers.
+
+    Exact by default (distributed running totals). ``approx_accuracy`` opts into one
+    ``percentile_approx`` pass (rank error <= rows / accuracy) for very large tables."""
+    if approx_accuracy:
+        row = frame.agg(
+            *[F.percentile_approx(F.col(f).cast("double"), 0.5, approx_accuracy).alias(f) for f in features]
+        ).collect()[0]
+        return {f: (float(row[f]) if row[f] is not None else None) for f in features}
     return {r["feature"]: r["median"] for r in exact_medians(frame, features).collect()}
 
 

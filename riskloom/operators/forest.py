@@ -21,6 +21,7 @@ of the cover-weighted leaf values; base + sum(phi) = score for every row.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -38,6 +39,9 @@ from riskloom.session import ensure_parallelism
 MAX_TABLE_DEPTH = 10
 # Contributions are rounded to this many decimals before ranking (ties stay ties).
 RANK_DECIMALS = 12
+# Pattern tables built in this process (Python workers are reused across tasks, so a forest's
+# tables are built once per worker, not once per task).
+_TABLE_CACHE: dict[str, list] = {}
 
 
 @dataclass
@@ -67,6 +71,8 @@ class TreeEnsemble:
         self.features = list(features)
         self.trees = trees
         self._paths: list[LeafPaths] | None = None
+        self._tables: list | None = None
+        self.token = uuid.uuid4().hex  # identifies this forest in per-process caches
 
     # -- construction ---------------------------------------------------------
 
@@ -252,7 +258,9 @@ class TreeEnsemble:
         """Per tree, for each leaf and each of the 2^D on/off patterns of its path conditions,
         the contribution vector (L, 2^D, D). Built once per process (lazily on executors);
         None for trees deeper than ``MAX_TABLE_DEPTH`` (those use the direct formula)."""
-        if getattr(self, "_tables", None) is None:
+        if self._tables is None and self.token in _TABLE_CACHE:
+            self._tables = _TABLE_CACHE[self.token]
+        if self._tables is None:
             tables = []
             for p in self.leaf_paths():
                 D = p.feat.shape[1]
@@ -264,6 +272,8 @@ class TreeEnsemble:
                 pv = LeafPaths(p.value[:, None], p.feat, p.lo, p.hi, p.z[:, None, :], p.depth)
                 tables.append(self._path_weights(o, pv))
             self._tables = tables
+            _TABLE_CACHE.clear()  # one forest per worker process at a time
+            _TABLE_CACHE[self.token] = tables
         return self._tables
 
     def contributions_numpy(self, X: np.ndarray, max_cells: int = 4_000_000) -> np.ndarray:

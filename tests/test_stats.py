@@ -52,3 +52,15 @@ def test_share_at_or_below_reference(spark):
     for pid, r in zip(range(6), [-1.0, 0.0, 42.0, 41.5, 499.0, 1000.0]):
         exp = (valid <= r).mean()
         assert (0.0 if np.isnan(got[pid]) else got[pid]) == exp
+
+
+def test_approx_medians_opt_in_close_to_exact(spark):
+    from riskloom.operators.encode import training_medians
+
+    pdf, df = skewed(spark)
+    df = df.withColumn("w", F.col("id") * 1.0)
+    exact = training_medians(df, ["v", "w"])
+    approx = training_medians(df, ["v", "w"], approx_accuracy=10000)
+    assert exact["v"] == pdf["v"].median()
+    assert abs(approx["w"] - exact["w"]) <= len(pdf) / 10000 + 1
+    assert approx["v"] == 42.0  # the hot key is the median
