@@ -62,14 +62,31 @@ class Dictionary:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str]) -> "Dictionary":
-        table = fit_dictionary(df, columns)
+        """Distinct categories are counted per column first (one job). Columns within
+        ``MAX_LITERAL_DICTIONARY`` are collected — a checked, bounded list — and coded by
+        sorted position (code-point order, the same as Spark's binary string order); larger
+        columns are coded by distributed positions and stay a DataFrame."""
+        spark = df.sparkSession
+        long = df.select(
+            F.explode(
+                F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in columns])
+            ).alias("kv")
+        ).select("kv.feature", "kv.category")
+        distinct = long.where(F.col("category").isNotNull()).distinct()
         sizes = {c: 0 for c in columns}
-        sizes.update({r["feature"]: r["n"] for r in table.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()})
+        sizes.update({r["feature"]: r["n"] for r in distinct.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()})
         literal = [c for c in columns if sizes[c] <= MAX_LITERAL_DICTIONARY]
+        large = [c for c in columns if c not in literal]
         classes: dict[str, list[str]] = {c: [] for c in literal}
         if literal:
-            for row in table.where(F.col("feature").isin(literal)).orderBy("feature", "code").collect():
+            for row in distinct.where(F.col("feature").isin(literal)).collect():
                 classes[row["feature"]].append(row["category"])
+            for c in literal:
+                classes[c].sort()
+        rows = [(c, cat, i) for c in literal for i, cat in enumerate(classes[c])]
+        table = spark.createDataFrame(rows, "feature string, category string, code int")
+        if large:
+            table = table.unionByName(fit_dictionary(df, large))
         return cls(classes, sizes, table)
 
     def __contains__(self, feature: str) -> bool:
