@@ -46,17 +46,28 @@ def _alias_entries() -> list[tuple[int, str, str]]:
     return out
 
 
+def clean_constant(s: str) -> str:
+    """``clean_string`` for constant names (lower case, letters and digits only); equal to the
+    Spark expression on every alias (checked in the tests)."""
+    return "".join(ch for ch in s.lower() if ch.isalnum())
+
+
+_ENTRIES = _alias_entries()
+ALIAS_CLEAN = [clean_constant(n) for _, _, n in _ENTRIES]
+ALIAS_TARGET = [t for _, t, _ in _ENTRIES]
+
+
 def best_target(clean_col) -> F.Column:
-    """struct(score, neg_ord, target): highest similarity, first entry on ties."""
-    entries = F.array(
-        *[F.struct(F.lit(o).alias("o"), F.lit(t).alias("t"), F.lit(n).alias("n")) for o, t, n in _alias_entries()]
-    )
+    """struct(score, neg_ord, target): highest similarity over every name and alias, first
+    entry on ties. The dictionary is two constant arrays, so the plan stays small."""
+    names = F.array(*[F.lit(n) for n in ALIAS_CLEAN])
+    targets = F.array(*[F.lit(t) for t in ALIAS_TARGET])
     scored = F.transform(
-        entries,
-        lambda e: F.struct(
-            similarity_of_clean(clean_col, clean_string(e["n"])).alias("score"),
-            (-e["o"]).alias("neg_ord"),
-            e["t"].alias("target"),
+        names,
+        lambda n, i: F.struct(
+            similarity_of_clean(clean_col, n).alias("score"),
+            (-i).alias("neg_ord"),
+            F.element_at(targets, i + 1).alias("target"),
         ),
     )
     return F.array_max(scored)
@@ -84,7 +95,7 @@ def map_columns(catalog: DataFrame, overrides: DataFrame | None = None, strict_r
     if overrides is None:
         overrides = spark.createDataFrame([], "dataset string, raw_col string, target string")
     ov = overrides.select("dataset", F.col("raw_col").alias("col_name"), F.col("target").alias("ov_target"))
-    cols = catalog.join(ov, ["dataset", "col_name"], "left").withColumn("clean", clean_string(F.col("col_name")))
+    cols = catalog.join(F.broadcast(ov), ["dataset", "col_name"], "left").withColumn("clean", clean_string(F.col("col_name")))
     best = best_target(F.col("clean"))
     derive_map = _derivation_lookup()
     cols = cols.withColumn("_best", best).select(
@@ -98,9 +109,11 @@ def map_columns(catalog: DataFrame, overrides: DataFrame | None = None, strict_r
     # targets claimed by overrides, per dataset
     claimed = cols.where(ov_feature).select("dataset", F.col("ov_target").alias("best")).distinct()
 
+    # Every table below has at most one row per catalog column (schema metadata, not data),
+    # so the small sides are broadcast instead of shuffled.
     auto = cols.where(
         F.col("ov_target").isNull() & F.col("derive_target").isNull() & (F.col("score") >= C.AUTO_MAP_THRESHOLD)
-    ).join(claimed, ["dataset", "best"], "left_anti")
+    ).join(F.broadcast(claimed), ["dataset", "best"], "left_anti")
     w = Window.partitionBy("dataset", "best").orderBy("col_ord")
     auto_won = auto.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").select(
         "dataset", "col_name", F.lit("mapped").alias("_kind")
@@ -109,13 +122,13 @@ def map_columns(catalog: DataFrame, overrides: DataFrame | None = None, strict_r
         auto.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").select("dataset", "best")
     )
     derive = cols.where(F.col("ov_target").isNull() & F.col("derive_target").isNotNull()).join(
-        taken.withColumnRenamed("best", "derive_target"), ["dataset", "derive_target"], "left_anti"
+        F.broadcast(taken.withColumnRenamed("best", "derive_target")), ["dataset", "derive_target"], "left_anti"
     )
     wd = Window.partitionBy("dataset", "derive_target").orderBy("col_ord")
     derive_won = derive.withColumn("_rk", F.row_number().over(wd)).where("_rk = 1").select(
         "dataset", "col_name", F.lit("derive").alias("_kind")
     )
-    decided = cols.join(auto_won.unionByName(derive_won), ["dataset", "col_name"], "left")
+    decided = cols.join(F.broadcast(auto_won.unionByName(derive_won)), ["dataset", "col_name"], "left")
     role = F.create_map(*[x for k, v in ROLE_TARGETS.items() for x in (F.lit(k), F.lit(v))])
     kind = (
         F.when(F.col("ov_target") == C.IGNORE, F.lit("ignored"))
@@ -149,23 +162,21 @@ def map_columns(catalog: DataFrame, overrides: DataFrame | None = None, strict_r
 def suggest_mapping(catalog: DataFrame) -> DataFrame:
     """(dataset, col_name, suggested_target, note): first keyword contained in the cleaned name
     or with similarity > 0.75; else no target and the default note."""
-    kws = F.array(
-        *[
-            F.struct(F.lit(i).alias("o"), F.lit(k).alias("k"), F.lit(t).alias("t"), F.lit(n).alias("n"))
-            for i, (k, t, n) in enumerate(C.SUGGESTIONS)
-        ]
-    )
+    kws = F.array(*[F.lit(clean_constant(k)) for k, _, _ in C.SUGGESTIONS])
     clean = clean_string(F.col("col_name"))
     hits = F.filter(
-        kws,
-        lambda e: F.contains(clean, e["k"]) | (similarity_of_clean(clean, clean_string(e["k"])) > C.SUGGEST_THRESHOLD),
+        F.sequence(F.lit(1), F.lit(len(C.SUGGESTIONS))),
+        lambda i: F.contains(clean, F.element_at(kws, i))
+        | (similarity_of_clean(clean, F.element_at(kws, i)) > C.SUGGEST_THRESHOLD),
     )
     first = F.try_element_at(hits, F.lit(1))
+    targets = F.array(*[F.lit(t) for _, t, _ in C.SUGGESTIONS])
+    notes = F.array(*[F.lit(n) for _, _, n in C.SUGGESTIONS])
     return catalog.select(
         "dataset",
         "col_name",
-        first["t"].alias("suggested_target"),
-        F.coalesce(first["n"], F.lit(C.NO_SUGGESTION_NOTE)).alias("note"),
+        F.try_element_at(targets, first).alias("suggested_target"),
+        F.coalesce(F.try_element_at(notes, first), F.lit(C.NO_SUGGESTION_NOTE)).alias("note"),
     )
 
 

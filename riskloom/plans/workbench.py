@@ -34,6 +34,7 @@ class Workbench:
         self.sf_dir = sf_dir
         self.ensemble = ensemble or fixed_forest()
         self._tables: dict[str, DataFrame] = {}
+        self._fitted: dict = {}  # upload plans and statistics (small, driver-side)
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str) -> "Workbench":
@@ -141,13 +142,22 @@ def workers_decisions(wbench: Workbench, with_overrides: bool) -> DataFrame:
 
 
 def workers_plan(wbench: Workbench, with_overrides: bool) -> PP.Plan:
-    return PP.Plan.from_decisions(workers_decisions(wbench, with_overrides), WORKERS, wbench.workers.columns)
+    """Collected mapping decisions of the custom upload (one row per column), cached."""
+    key = ("plan", with_overrides)
+    if key not in wbench._fitted:
+        wbench._fitted[key] = PP.Plan.from_decisions(
+            workers_decisions(wbench, with_overrides), WORKERS, wbench.workers.columns
+        )
+    return wbench._fitted[key]
 
 
 def workers_prepared(wbench: Workbench, with_overrides: bool = True):
-    """Custom path on the fixture upload: (model frame with _id/_label, imputation report)."""
-    plan = workers_plan(wbench, with_overrides)
-    return PP.prepare_custom(wbench.workers, plan, wbench.dictionary, wbench.medians, WORKERS_AS_OF)
+    """Custom path on the fixture upload: (model frame with _id/_label, imputation report), cached."""
+    key = ("prepared", with_overrides)
+    if key not in wbench._fitted:
+        plan = workers_plan(wbench, with_overrides)
+        wbench._fitted[key] = PP.prepare_custom(wbench.workers, plan, wbench.dictionary, wbench.medians, WORKERS_AS_OF)
+    return wbench._fitted[key]
 
 
 def explained_history(wbench: Workbench, carry_raw: bool = False) -> DataFrame:

@@ -91,3 +91,14 @@ def test_suggestions(spark):
     assert got["employee_happiness"][0] == "JobSatisfaction"
     assert got["zzz"] == (None, C.NO_SUGGESTION_NOTE)
     assert got["salary band"][0] == "JobLevel"
+
+
+def test_constant_cleaning_equals_spark_cleaning(spark):
+    from pyspark.sql import functions as F
+
+    from riskloom.functions.expressions import clean_string
+
+    names = [n for _, _, n in MP._alias_entries()] + [k for k, _, _ in C.SUGGESTIONS]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r[0] for r in df.select(clean_string(F.col("n"))).collect()]
+    assert got == [MP.clean_constant(n) for n in names]
