@@ -35,8 +35,10 @@ from riskloom.functions.expressions import round_double
 from riskloom.session import ensure_parallelism
 
 
-# Trees whose paths hold at most this many distinct features use pattern tables.
+# Trees whose paths hold at most this many distinct features use pattern tables, as long as
+# the forest's tables fit this many bytes per Python worker; other trees use the direct formula.
 MAX_TABLE_DEPTH = 10
+TABLE_BUDGET_BYTES = 256 * 1024 * 1024
 # Contributions are rounded to this many decimals before ranking (ties stay ties).
 RANK_DECIMALS = 12
 # Pattern tables built in this process (Python workers are reused across tasks, so a forest's
@@ -262,11 +264,14 @@ class TreeEnsemble:
             self._tables = _TABLE_CACHE[self.token]
         if self._tables is None:
             tables = []
+            used = 0
             for p in self.leaf_paths():
                 D = p.feat.shape[1]
-                if D > MAX_TABLE_DEPTH:
+                size = len(p.value) * (2**D) * D * 8
+                if D > MAX_TABLE_DEPTH or used + size > TABLE_BUDGET_BYTES:
                     tables.append(None)
                     continue
+                used += size
                 bits = ((np.arange(2**D)[:, None] >> np.arange(D)[None, :]) & 1).astype(float)  # (P, D)
                 o = np.broadcast_to(bits[None, :, :], (len(p.value), 2**D, D))
                 pv = LeafPaths(p.value[:, None], p.feat, p.lo, p.hi, p.z[:, None, :], p.depth)

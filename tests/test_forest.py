@@ -109,3 +109,18 @@ def test_explain_in_spark_matches_numpy(spark):
     out = ens.explain(df, "id").orderBy("id").collect()
     X = np.array([[r[f] for f in C.STANDARD_FEATURES] for r in df.orderBy("id").collect()])
     np.testing.assert_allclose(np.array([o["phi"] for o in out]), ens.contributions_numpy(X), atol=0)
+
+
+def test_table_budget_falls_back_to_direct_formula(monkeypatch):
+    import riskloom.operators.forest as FO
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for t in range(3):
+        rows += random_tree_rows(rng, 6, 6, t)
+    X = rng.integers(0, 10, size=(200, 6)).astype(float)
+    full = TreeEnsemble.from_node_rows(rows, [f"f{i}" for i in range(6)])
+    monkeypatch.setattr(FO, "TABLE_BUDGET_BYTES", 0)
+    limited = TreeEnsemble.from_node_rows(rows, [f"f{i}" for i in range(6)])
+    assert all(t is None for t in limited.pattern_tables())
+    np.testing.assert_allclose(limited.contributions_numpy(X), full.contributions_numpy(X), atol=1e-14)
