@@ -120,7 +120,9 @@ def test_table_budget_falls_back_to_direct_formula(monkeypatch):
         rows += random_tree_rows(rng, 6, 6, t)
     X = rng.integers(0, 10, size=(200, 6)).astype(float)
     full = TreeEnsemble.from_node_rows(rows, [f"f{i}" for i in range(6)])
+    expected = full.contributions_numpy(X)
+    assert all(t is not None for t in full.pattern_tables())
     monkeypatch.setattr(FO, "TABLE_BUDGET_BYTES", 0)
     limited = TreeEnsemble.from_node_rows(rows, [f"f{i}" for i in range(6)])
     assert all(t is None for t in limited.pattern_tables())
-    np.testing.assert_allclose(limited.contributions_numpy(X), full.contributions_numpy(X), atol=1e-14)
+    np.testing.assert_allclose(limited.contributions_numpy(X), expected, atol=1e-14)
