@@ -143,9 +143,11 @@ def profile_summary(
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """A3/A4: (value, n, share) — counts, then shares over the small aggregated table."""
-    counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.select(F.count(F.lit(1))).scalar()
+    """A3/A4: (value, n, share) of the non-null values (pandas ``value_counts`` semantics);
+    the total is a scalar subquery."""
+    present = df.where(F.col(col).isNotNull())
+    counts = present.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    total = present.select(F.count(F.lit(1))).scalar()
     return counts.withColumn("share", F.round(F.col("n") / total, 9))
 
 

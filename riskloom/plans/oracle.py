@@ -120,7 +120,8 @@ oracle(
 )
 oracle(
     "label_counts",
-    f"WITH {S.EMP} SELECT Attrition, count(*) AS n, round(count(*) / (SELECT count(*) FROM employees), 9) AS share FROM employees GROUP BY Attrition",
+    f"WITH {S.EMP} SELECT Attrition, count(*) AS n, round(count(*) / (SELECT count(Attrition) FROM employees), 9) AS share "
+    "FROM employees WHERE Attrition IS NOT NULL GROUP BY Attrition",
 )
 oracle(
     "overtime_crosstab",
