@@ -190,19 +190,19 @@ def raw_value_text(wbench: Workbench, idx: Column) -> Column:
 # --- trained forest -----------------------------------------------------------------------------
 
 from riskloom.operators import training as TR  # noqa: E402
-from riskloom.session import checkpoint as _checkpoint  # noqa: E402
 from riskloom.session import ensure_parallelism, shared_path  # noqa: E402
 
 _TRAINED: dict[tuple[int, str], dict] = {}
 
 
 def split_frame(wbench: Workbench) -> DataFrame:
-    """Median-filled model frame with an exact stratified train/test split, materialised
-    once (reliable checkpoint in the shared folder) so both sides see the same split."""
+    """Median-filled model frame with an exact stratified train/test split. The split is a
+    deterministic function of a checkpointed input (the range-partitioned keys inside the
+    running total), so train and test always see the same assignment, even after recomputation."""
     key = (id(wbench.spark), wbench.sf_dir)
     state = _TRAINED.setdefault(key, {})
     if "split" not in state:
-        state["split"] = _checkpoint(TR.stratified_split(wbench.filled_frame, C.LABEL))
+        state["split"] = TR.stratified_split(wbench.filled_frame, C.LABEL)
     return state["split"]
 
 
