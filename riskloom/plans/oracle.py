@@ -574,3 +574,8 @@ oracle(
         "c AS (SELECT Attrition, count(*) AS n FROM mfi GROUP BY Attrition)",
     ),
 )
+
+oracle(
+    "fuzzy_column_map_strict",
+    f"WITH {FIXTURE_CATALOG}, {WORKER_OVERRIDES}, {S.mapping_ctes(strict_reference=True)} SELECT * FROM mapping",
+)

@@ -812,3 +812,12 @@ def quality_suggestions(spark, sf_dir):
         prof = PR.profile_summary(spark, df, MP.map_columns(cat, ov), name)
         parts.append(prof.select(F.lit(name).alias("dataset"), F.posexplode(F.split("suggestions", "\n")).alias("ord", "suggestion")))
     return parts[0].unionByName(parts[1])
+
+
+@query("fuzzy_column_map_strict")
+def fuzzy_column_map_strict(spark, sf_dir):
+    """H2 in reference-strict mode: derivation sources (birth date, hire date, annual income,
+    survey score) are mapped as plain aliases, as the reference does."""
+    b = wb(spark, sf_dir)
+    ov = MP.overrides_of(spark, W.WORKERS, WORKERS_OVERRIDES)
+    return MP.map_columns(W.fixture_catalog(b), ov, strict_reference=True)

@@ -187,8 +187,9 @@ def overrides_values(dataset: str, overrides: dict[str, str]) -> str:
     return values_sql("ov", "dataset, col_name, ov_target", rows)
 
 
-def mapping_ctes() -> str:
-    """Given CTEs ``cat`` and ``ov``: CTEs ending in ``mapping(dataset, col_name, col_ord, kind, target, score, method)``."""
+def mapping_ctes(strict_reference: bool = False) -> str:
+    """Given CTEs ``cat`` and ``ov``: CTEs ending in ``mapping(dataset, col_name, col_ord, kind, target, score, method)``.
+    ``strict_reference``: derivation sources are plain aliases (no derive decisions)."""
     alias_rows = []
     for target, aliases in C.STANDARD_ALIASES.items():
         for name in [target, *aliases]:
@@ -204,7 +205,11 @@ def mapping_ctes() -> str:
     methods = "CASE derive_target " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in C.DERIVATION_METHODS.items()) + " END"
     return ", ".join([
         values_sql("al", "o, target, name", alias_rows),
-        values_sql("ds", "dclean, derive_target", derive_rows),
+        (
+            "ds AS (SELECT CAST(NULL AS VARCHAR) AS dclean, CAST(NULL AS VARCHAR) AS derive_target WHERE false)"
+            if strict_reference
+            else values_sql("ds", "dclean, derive_target", derive_rows)
+        ),
         f"c AS (SELECT cat.dataset, cat.col_name, cat.col_ord, ov.ov_target, {clean_sql('cat.col_name')} AS clean "
         "FROM cat LEFT JOIN ov ON ov.dataset = cat.dataset AND ov.col_name = cat.col_name)",
         f"an AS (SELECT o, target, {clean_sql('name')} AS aclean FROM al)",
