@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import config as C
-from riskloom.operators.stats import dense_positions
+from riskloom.operators.stats import running_total
 
 
 def stratified_split(
@@ -21,14 +21,23 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``split`` ('train' / 'test'): within each label class, rows are ordered by a seeded
     hash of the id and the first ceil(share x class size) go to test — an exact per-class
-    share, reproducible, and distributed (positions come from range-partitioned running
-    totals, so a class holding most rows is still spread over all tasks)."""
-    keyed = frame.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
-    pos = dense_positions(keyed, ["_h", id_col], out="_pos", group_cols=[label])
+    share, reproducible and distributed.
+
+    Only the narrow key table (label, hash, id) is ranked (range-partitioned running totals,
+    so a class holding most rows is still spread over all tasks); that yields one threshold
+    key per class, broadcast (bounded by the number of classes) and compared row by row —
+    the wide frame itself is never shuffled."""
+    key = F.struct(F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"), F.col(id_col).alias("i"))
+    keys = frame.select(F.col(label).alias("_label"), key.alias("_key")).withColumn("_w", F.lit(1).cast("bigint"))
+    ranked = running_total(keys, "_key", "_w", ["_label"], out="_pos", total_out="_n")
     # decimal arithmetic: 15 x 0.2 must be exactly 3, not 3.0000000000000004 -> 4
-    n_test = F.ceil(F.col("_group_rows").cast("decimal(38,0)") * F.lit(str(test_share)).cast("decimal(10,6)"))
-    return pos.withColumn("split", F.when(F.col("_pos") <= n_test, F.lit("test")).otherwise(F.lit("train"))).drop(
-        "_h", "_pos", "_group_rows"
+    n_test = F.ceil(F.col("_n").cast("decimal(38,0)") * F.lit(str(test_share)).cast("decimal(10,6)"))
+    thresholds = ranked.where(F.col("_pos") == n_test).select("_label", F.col("_key").alias("_threshold"))
+    tagged = frame.withColumn("_label", F.col(label)).withColumn("_key", key)
+    joined = tagged.join(F.broadcast(thresholds), tagged["_label"].eqNullSafe(thresholds["_label"]), "left")
+    is_test = F.coalesce(F.col("_key") <= F.col("_threshold"), F.lit(False))
+    return joined.select(
+        *[tagged[c] for c in frame.columns], F.when(is_test, F.lit("test")).otherwise(F.lit("train")).alias("split")
     )
 
 
