@@ -66,8 +66,15 @@ def running_total(
     )
     with_local = ranged.withColumn("_local", F.sum(weight_col).over(local))
     # offsets has at most groups x n rows (n range partitions): broadcast is bounded.
-    joined = with_local.join(F.broadcast(offsets), [*group_cols, "_pid"], "inner")
-    return joined.withColumn(out, F.col("_offset") + F.col("_local")).drop("_pid", "_offset", "_local")
+    # Null-safe on the group columns: a NULL group is a group like any other.
+    off = offsets.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group_cols)], F.col("_pid").alias("_opid"), "_offset", total_out)
+    cond = F.col("_pid") == F.col("_opid")
+    for i, g in enumerate(group_cols):
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    joined = with_local.join(F.broadcast(off), cond, "inner")
+    return joined.withColumn(out, F.col("_offset") + F.col("_local")).drop(
+        "_pid", "_opid", "_offset", "_local", *[f"_g{i}" for i in range(len(group_cols))]
+    )
 
 
 def weighted_keys(df: DataFrame, key: Column | str, group_cols: Sequence[str] = (), weight: str = "n") -> DataFrame:
