@@ -102,3 +102,15 @@ def test_constant_cleaning_equals_spark_cleaning(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string")
     got = [r[0] for r in df.select(clean_string(F.col("n"))).collect()]
     assert got == [MP.clean_constant(n) for n in names]
+
+
+def test_override_to_unknown_target_is_dropped_and_strict_mode(spark):
+    d = decide(spark, {"x": "NotAFeature"}, ["x", "dob"])
+    assert d["x"]["kind"] == "dropped" and d["x"]["target"] == "NotAFeature"
+    assert (d["dob"]["kind"], d["dob"]["target"]) == ("derive", "Age")
+    cat = spark.createDataFrame([("w", "dob", 0), ("w", "age", 1)], "dataset string, col_name string, col_ord int")
+    strict = {r["col_name"]: r for r in MP.map_columns(cat, None, strict_reference=True).collect()}
+    assert (strict["dob"]["kind"], strict["dob"]["target"]) == ("mapped", "Age")
+    assert strict["age"]["kind"] == "unknown"  # first claimant (dob) took Age
+    relaxed = {r["col_name"]: r for r in MP.map_columns(cat).collect()}
+    assert relaxed["age"]["kind"] == "mapped" and relaxed["dob"]["kind"] == "unknown"  # Age mapped, no derivation
