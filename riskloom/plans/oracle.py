@@ -504,7 +504,12 @@ oracle(
 _LP = f"lp AS (SELECT CASE Attrition WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS label, CAST(PredictedAttritionRisk > {S.d(C.DECISION_THRESHOLD)} AS INTEGER) AS pred FROM scored)"
 oracle(
     "confusion_matrix",
-    S.with_scored(ENS, f", {_LP} SELECT label, count(*) FILTER (WHERE pred = 0) AS pred_0, count(*) FILTER (WHERE pred = 1) AS pred_1 FROM lp WHERE label IS NOT NULL GROUP BY label").replace(" , lp AS", ", lp AS").replace(") , lp AS", "), lp AS"),
+    S.with_scored(
+        ENS,
+        "SELECT label, count(*) FILTER (WHERE pred = 0) AS pred_0, count(*) FILTER (WHERE pred = 1) AS pred_1 "
+        "FROM lp WHERE label IS NOT NULL GROUP BY label",
+        _LP,
+    ),
 )
 
 
@@ -516,6 +521,12 @@ _p0, _r0 = _ratio("tn", "(tn + fn)"), _ratio("tn", "(tn + fp)")
 _p1, _r1 = _ratio("tp", "(tp + fp)"), _ratio("tp", "(tp + fn)")
 _f0, _f1 = _ratio(f"2 * {_p0} * {_r0}", f"({_p0} + {_r0})"), _ratio(f"2 * {_p1} * {_r1}", f"({_p1} + {_r1})")
 _s0, _s1, _n = "(tn + fp)", "(fn + tp)", "((tn + fp) + (fn + tp))"
+_CM = (
+    "cm AS (SELECT CAST(count(*) FILTER (WHERE label = 0 AND pred = 0) AS DOUBLE) AS tn, "
+    "CAST(count(*) FILTER (WHERE label = 0 AND pred = 1) AS DOUBLE) AS fp, "
+    "CAST(count(*) FILTER (WHERE label = 1 AND pred = 0) AS DOUBLE) AS fn, "
+    "CAST(count(*) FILTER (WHERE label = 1 AND pred = 1) AS DOUBLE) AS tp FROM lp WHERE label IS NOT NULL)"
+)
 oracle(
     "classification_report",
     S.with_scored(
@@ -527,11 +538,7 @@ oracle(
         f"SELECT 'macro avg', ({_p0} + {_p1}) / 2, ({_r0} + {_r1}) / 2, ({_f0} + {_f1}) / 2, {_n} FROM cm UNION ALL "
         f"SELECT 'weighted avg', {_ratio(f'({_p0} * {_s0} + {_p1} * {_s1})', _n)}, {_ratio(f'({_r0} * {_s0} + {_r1} * {_s1})', _n)}, "
         f"{_ratio(f'({_f0} * {_s0} + {_f1} * {_s1})', _n)}, {_n} FROM cm)",
-    ).replace(
-        " SELECT class,",
-        f", {_LP}, cm AS (SELECT CAST(count(*) FILTER (WHERE label = 0 AND pred = 0) AS DOUBLE) AS tn, CAST(count(*) FILTER (WHERE label = 0 AND pred = 1) AS DOUBLE) AS fp, "
-        "CAST(count(*) FILTER (WHERE label = 1 AND pred = 0) AS DOUBLE) AS fn, CAST(count(*) FILTER (WHERE label = 1 AND pred = 1) AS DOUBLE) AS tp FROM lp WHERE label IS NOT NULL) SELECT class,",
-        1,
+        f"{_LP}, {_CM}",
     ),
 )
 

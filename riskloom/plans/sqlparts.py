@@ -99,8 +99,9 @@ def scored_ctes(ens: TreeEnsemble) -> str:
     return ", ".join([EMP, DICT, MF, MED, MFI, risk, scored])
 
 
-def with_scored(ens: TreeEnsemble, body: str) -> str:
-    return f"WITH {scored_ctes(ens)} {body}"
+def with_scored(ens: TreeEnsemble, body: str, extra: str = "") -> str:
+    ctes = scored_ctes(ens) + (f", {extra}" if extra else "")
+    return f"WITH {ctes} {body}"
 
 
 def with_model(body: str, extra: str = "") -> str:
