@@ -19,7 +19,13 @@ from riskloom.operators.forest import TreeEnsemble
 from riskloom.sources import tables
 from riskloom.sources.fixtures import FIXED_FOREST_NODES
 
-_CACHE: dict[tuple[int, str], "Workbench"] = {}
+_CACHE: dict[tuple, "Workbench"] = {}
+
+
+def session_key(spark: SparkSession, sf_dir: str) -> tuple:
+    """Cache key: the application (a restarted context never reuses cached plans), the
+    session object and the data directory."""
+    return (spark.sparkContext.applicationId, id(spark), sf_dir)
 
 RISK = "PredictedAttritionRisk"
 
@@ -38,7 +44,7 @@ class Workbench:
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str) -> "Workbench":
-        key = (id(spark), sf_dir)
+        key = session_key(spark, sf_dir)
         if key not in _CACHE:
             _CACHE[key] = cls(spark, sf_dir)
         return _CACHE[key]
@@ -192,14 +198,14 @@ def raw_value_text(wbench: Workbench, idx: Column) -> Column:
 from riskloom.operators import training as TR  # noqa: E402
 from riskloom.session import ensure_parallelism, shared_path  # noqa: E402
 
-_TRAINED: dict[tuple[int, str], dict] = {}
+_TRAINED: dict[tuple, dict] = {}
 
 
 def split_frame(wbench: Workbench) -> DataFrame:
     """Median-filled model frame with an exact stratified train/test split. The split is a
     deterministic function of a checkpointed input (the range-partitioned keys inside the
     running total), so train and test always see the same assignment, even after recomputation."""
-    key = (id(wbench.spark), wbench.sf_dir)
+    key = session_key(wbench.spark, wbench.sf_dir)
     state = _TRAINED.setdefault(key, {})
     if "split" not in state:
         state["split"] = TR.stratified_split(wbench.filled_frame, C.LABEL)
@@ -208,7 +214,7 @@ def split_frame(wbench: Workbench) -> DataFrame:
 
 def trained(wbench: Workbench) -> dict:
     """Fit the forest on the train split once: {'model', 'path', 'ensemble'}."""
-    key = (id(wbench.spark), wbench.sf_dir)
+    key = session_key(wbench.spark, wbench.sf_dir)
     state = _TRAINED.setdefault(key, {})
     if "model" not in state:
         train = ensure_parallelism(split_frame(wbench).where(F.col("split") == "train"))
