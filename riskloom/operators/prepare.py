@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from riskloom import config as C
 from riskloom.functions.expressions import to_number, to_timestamp_lenient
-from riskloom.operators.encode import Dictionary, encode_lenient
+from riskloom.operators.encode import Dictionary
 
 
 @dataclass

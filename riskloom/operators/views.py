@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom import config as C
 from riskloom.functions.expressions import percent_text
 from riskloom.operators.stats import cumulative_share, share_at_or_below
 
@@ -133,5 +132,5 @@ def distinct_options(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 __all__ = [
     "ALL", "present", "row_text", "filter_predicate", "filter_or_all", "filter_counts", "top_by_risk",
-    "risk_percentile", "percentile_vs_reference", "with_average", "selection_label", "distinct_options", "C",
+    "risk_percentile", "percentile_vs_reference", "with_average", "selection_label", "distinct_options",
 ]
