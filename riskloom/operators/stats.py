@@ -21,10 +21,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import checkpoint
+from riskloom.session import checkpoint, ensure_parallelism
 
-# Bound of the broadcast offsets table: groups x range partitions.
-MAX_OFFSET_ROWS = 2_000_000
+# Histograms up to this many (feature, value) rows are cumulated with a per-feature window
+# (the row count is checked first); larger ones use the range-partitioned running total.
+SMALL_HISTOGRAM_ROWS = 200_000
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -117,15 +118,21 @@ def share_at_or_below(
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact interpolated median (pandas / ``percentile(x, 0.5)`` semantics, nulls skipped)
     of every column in one job: (feature, median). All-null columns get a null median."""
+    df = ensure_parallelism(df.select(*columns))
     long = df.select(
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
         ).alias("kv")
     ).select("kv.feature", "kv.v")
-    counts = long.where(F.col("v").isNotNull()).groupBy("feature", F.col("v").alias("key")).agg(
-        F.count(F.lit(1)).alias("n")
+    counts = checkpoint(
+        long.where(F.col("v").isNotNull()).groupBy("feature", F.col("v").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     )
-    cum = running_total(counts, "key", "n", ["feature"], out="_cum", total_out="_total")
+    if counts.count() <= SMALL_HISTOGRAM_ROWS:
+        # checked bound: every feature's histogram has at most SMALL_HISTOGRAM_ROWS rows
+        w = Window.partitionBy("feature").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = counts.withColumn("_cum", F.sum("n").over(w)).withColumn("_total", F.sum("n").over(Window.partitionBy("feature")))
+    else:
+        cum = running_total(counts, "key", "n", ["feature"], out="_cum", total_out="_total")
     lo_rank = F.floor((F.col("_total") - 1) / 2)
     hi_rank = F.ceil((F.col("_total") - 1) / 2)
     first = F.col("_cum") - F.col("n")  # 0-based rank of the first row holding this key

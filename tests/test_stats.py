@@ -67,3 +67,10 @@ def test_approx_medians_opt_in_close_to_exact(spark):
         n = len(values)
         lo, hi = (values < approx[col]).sum(), (values <= approx[col]).sum()
         assert lo - 1 <= n / 2 + n / 10000 and hi + 1 >= n / 2 - n / 10000
+
+
+def test_exact_medians_large_histogram_path(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SMALL_HISTOGRAM_ROWS", 10)
+    pdf, df = skewed(spark)
+    got = {r["feature"]: r["median"] for r in stats.exact_medians(df, ["v"]).collect()}
+    assert got["v"] == pdf["v"].median()
