@@ -195,6 +195,8 @@ def raw_value_text(wbench: Workbench, idx: Column) -> Column:
 
 # --- trained forest -----------------------------------------------------------------------------
 
+from pyspark import StorageLevel  # noqa: E402
+
 from riskloom.operators import training as TR  # noqa: E402
 from riskloom.session import ensure_parallelism, shared_path  # noqa: E402
 
@@ -217,8 +219,15 @@ def trained(wbench: Workbench) -> dict:
     key = session_key(wbench.spark, wbench.sf_dir)
     state = _TRAINED.setdefault(key, {})
     if "model" not in state:
+        # The forest makes several passes over its input (size, split candidates, binning)
+        # before it caches its own binned copy: keep the input for the duration of the fit
+        # (MEMORY_AND_DISK spills instead of failing) and release it right after.
         train = ensure_parallelism(split_frame(wbench).where(F.col("split") == "train"))
-        model = TR.forest_pipeline(C.STANDARD_FEATURES).fit(train)
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = TR.forest_pipeline(C.STANDARD_FEATURES).fit(train)
+        finally:
+            train.unpersist()
         state["model"] = model
         state["path"] = shared_path(wbench.spark, "forest")
         model.write().overwrite().save(state["path"])
