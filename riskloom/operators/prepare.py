@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from riskloom import config as C
 from riskloom.functions.expressions import to_number, to_timestamp_lenient
 from riskloom.operators.encode import Dictionary
+from riskloom.session import ensure_parallelism
 
 
 @dataclass
@@ -148,7 +149,7 @@ def prepare_custom(
     """Custom-layout path: harmonize -> impute -> lenient encode -> align, with the statistics
     both rules need (non-null counts, "column is all in-range codes") taken in ONE aggregate
     pass. Returns (model frame with _id/_label, imputation report)."""
-    h = harmonize(upload, plan, as_of)
+    h = harmonize(ensure_parallelism(upload), plan, as_of)
     features = C.STANDARD_FEATURES
     fill = {}
     for f in features:
