@@ -239,3 +239,14 @@ def attach(base: DataFrame, heads: DataFrame, links: DataFrame, copies: DataFram
     of_digest = of_digest.select("digest", F.coalesce("component", "head").alias("component"))
     joined = base.select("id", "n", "digest").join(of_digest, "digest", "left")
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: int = 80) -> DataFrame:
+    """The rows, with their columns, of one document of each component, that with the
+    smallest id; of repeated rows of an id one stays. Rows without an id stay unless their
+    set equals that of a document with one; documents with the empty set all stay."""
+    found = join_documents(docs, doc_id, text, words, least)
+    gone = checkpoint(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct())
+    left = docs.join(gone, F.col(doc_id).cast("long") == gone["gone_id"], "left_anti")
+    named, unnamed = left.where(F.col(doc_id).isNotNull()), left.where(F.col(doc_id).isNull())
+    return named.dropDuplicates([doc_id]).unionByName(unnamed)
