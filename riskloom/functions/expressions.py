@@ -32,18 +32,43 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 # --- coercion --------------------------------------------------------------
 
 
-def to_number(c: Column) -> Column:
-    """Numeric coercion, unparsable -> null (ANSI-safe)."""
-    return c.cast("string").try_cast("double")
-
-
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM-dd HH:mm:ss", "yyyyMMdd"]
-
-
-def to_timestamp_lenient(c: Column) -> Column:
-    """Date coercion over a list of formats, unparsable -> null."""
-    s = c.cast("string")
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
+NUMBER_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def to_number(c: Column, dtype: str = "string") -> Column:
+    """Numeric coercion, unparsable -> null (ANSI-safe). Numbers (by ``dtype``, the column's
+    type name) are cast as they are."""
+    return c.cast("double") if dtype.startswith(NUMBER_TYPES) else c.cast("string").try_cast("double")
+
+
+# Month-first before day-first where both are possible, as pandas reads dates.
+DATE_PATTERNS = [
+    "M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy.M.d", "yyyyMMdd",
+    "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "d-MMMM-yyyy", "MMM-d-yyyy", "yyyy-MMM-d", "EEE, d MMM yyyy",
+]
+TIME_PATTERNS = ["", " H:m:s", " H:m", " h:m:s a", " h:m a"]
+_TIME_TAIL = r"[ T]+(\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)\s*([AaPp][Mm])?\s*(Z|[+-]\d{2}:?\d{2})?$"
+
+
+def to_timestamp_lenient(c: Column, dtype: str = "string") -> Column:
+    """Date coercion, unparsable -> null. Dates and timestamps (by ``dtype``) are taken as they
+    are. Text is read as Spark casts it (ISO dates with or without a time and a zone, one- or
+    two-digit months and days); otherwise a time of day at the end is set aside, the date
+    is read by its separators and month names, and the time is put back."""
+    if dtype.startswith(("date", "timestamp")):
+        return c.cast("timestamp")
+    s = F.regexp_replace(F.trim(c.cast("string")), r"\s+", " ")
+    compact = s.rlike(r"^\d{8}$")  # a cast would read it as a year
+    iso = F.when(~compact & s.rlike(r"^\d{4}-"), s.try_cast("timestamp"))
+    day = F.initcap(F.regexp_replace(s, _TIME_TAIL, ""))
+    date = F.coalesce(*[F.try_to_timestamp(day, F.lit(p)) for p in DATE_PATTERNS])
+    clock = F.upper(F.regexp_extract(s, _TIME_TAIL, 1))
+    half = F.upper(F.regexp_extract(s, _TIME_TAIL, 4))
+    hour = F.split(clock, ":")[0].try_cast("int")
+    hour = F.when(half == "PM", hour % 12 + 12).when(half == "AM", hour % 12).otherwise(hour)
+    seconds = hour * 3600 + F.split(clock, ":")[1].try_cast("int") * 60 + F.coalesce(F.try_element_at(F.split(clock, ":"), F.lit(3)).try_cast("double"), F.lit(0.0))
+    with_time = F.when(clock == "", date).otherwise(F.timestamp_seconds(F.unix_timestamp(date) + seconds))
+    return F.coalesce(iso, with_time)
 
 
 # --- risk ------------------------------------------------------------------

@@ -1,15 +1,15 @@
 """Category dictionaries, model frames, imputation and encoding.
 
 A fitted dictionary is the same thing as a ``StringIndexerModel`` with
-alphabetical order: it is fitted by a distributed distinct, and applied as a
-literal map inside the projection (no join, no shuffle). Its size is checked
-before it is collected; larger dictionaries are applied with a join instead.
+alphabetical order: it is fitted by a distributed distinct, written as a table,
+and applied by a left join on it for every size; from the size of its files the
+planner chooses between a broadcast and a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,9 +18,8 @@ from pyspark.sql import types as T
 from riskloom import config as C
 from riskloom.functions.expressions import label_to_int, to_number
 from riskloom.operators.stats import dense_positions, exact_medians
+from riskloom.session import shared_path
 
-# Largest dictionary applied as a literal map; beyond it a join is used.
-MAX_LITERAL_DICTIONARY = 50_000
 # Buckets used to take the first unknown categories without one task per column.
 UNKNOWN_SALT_BUCKETS = 64
 
@@ -50,44 +49,23 @@ def fit_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 @dataclass
 class Dictionary:
-    """Category dictionary: feature -> sorted categories (code = position).
+    """Category dictionary: a written table (feature, category, code), code = sorted
+    position, and the number of categories of each feature."""
 
-    Dictionaries up to ``MAX_LITERAL_DICTIONARY`` entries are collected (like a
-    ``StringIndexerModel``) and applied as literal maps; larger ones stay a
-    DataFrame and are applied with a join (AQE picks broadcast or shuffle)."""
-
-    classes: dict[str, list[str]] = field(default_factory=dict)
-    sizes: dict[str, int] = field(default_factory=dict)
-    table: DataFrame | None = None
+    sizes: dict[str, int]
+    table: DataFrame
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str]) -> "Dictionary":
-        """Distinct categories are counted per column first (one job). Columns within
-        ``MAX_LITERAL_DICTIONARY`` are collected — a checked, bounded list — and coded by
-        sorted position (code-point order, the same as Spark's binary string order); larger
-        columns are coded by distributed positions and stay a DataFrame."""
+        """Distinct categories coded by distributed positions; only their number per column
+        comes to the driver."""
         spark = df.sparkSession
-        long = df.select(
-            F.explode(
-                F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in columns])
-            ).alias("kv")
-        ).select("kv.feature", "kv.category")
-        distinct = long.where(F.col("category").isNotNull()).distinct()
+        path = shared_path(spark, "dictionary")
+        fit_dictionary(df, columns).write.partitionBy("feature").parquet(path)
+        table = spark.read.schema("category string, code int, feature string").parquet(path)
         sizes = {c: 0 for c in columns}
-        sizes.update({r["feature"]: r["n"] for r in distinct.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()})
-        literal = [c for c in columns if sizes[c] <= MAX_LITERAL_DICTIONARY]
-        large = [c for c in columns if c not in literal]
-        classes: dict[str, list[str]] = {c: [] for c in literal}
-        if literal:
-            for row in distinct.where(F.col("feature").isin(literal)).collect():
-                classes[row["feature"]].append(row["category"])
-            for c in literal:
-                classes[c].sort()
-        rows = [(c, cat, i) for c in literal for i, cat in enumerate(classes[c])]
-        table = spark.createDataFrame(rows, "feature string, category string, code int")
-        if large:
-            table = table.unionByName(fit_dictionary(df, large))
-        return cls(classes, sizes, table)
+        sizes.update({r["feature"]: r["n"] for r in table.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()})
+        return cls(sizes, table)
 
     def __contains__(self, feature: str) -> bool:
         return feature in self.sizes
@@ -95,28 +73,18 @@ class Dictionary:
     def size(self, feature: str) -> int:
         return self.sizes[feature]
 
-    def lookup(self, feature: str, value: Column) -> Column:
-        """Code of a category, null when unseen (literal-map features only)."""
-        cats = self.classes[feature]
-        if not cats:
-            return F.lit(None).cast("int")
-        mapping = F.create_map(*[x for i, cat in enumerate(cats) for x in (F.lit(cat), F.lit(i))])
-        return F.try_element_at(mapping, value.cast("string"))
-
     def join_codes(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-        """Add ``__code_<col>`` for large-dictionary columns through joins."""
+        """Add ``__code_<col>`` for the dictionary columns among ``columns``; null when unseen."""
         for c in columns:
-            if c in self.sizes and c not in self.classes:
+            if c in self.sizes and f"__code_{c}" not in df.columns:
                 d = self.table.where(F.col("feature") == c).select(
                     F.col("category").alias(f"__cat_{c}"), F.col("code").alias(f"__code_{c}")
                 )
                 df = df.join(d, F.col(c).cast("string") == F.col(f"__cat_{c}"), "left").drop(f"__cat_{c}")
         return df
 
-    def code(self, feature: str, value: Column) -> Column:
-        """Code expression; large-dictionary columns need ``join_codes`` first."""
-        if feature in self.classes:
-            return self.lookup(feature, value)
+    def code(self, feature: str) -> Column:
+        """Code expression over a frame from ``join_codes``."""
         return F.col(f"__code_{feature}")
 
 
@@ -128,7 +96,7 @@ def model_frame(employees: DataFrame, dictionary: Dictionary, id_col: str = C.ID
     cols = [F.col(id_col).alias("id")]
     for f in C.STANDARD_FEATURES:
         if f in dictionary:
-            cols.append(dictionary.code(f, F.col(f)).alias(f))
+            cols.append(dictionary.code(f).alias(f))
         else:
             cols.append(F.col(f))
     if C.LABEL in employees.columns:
@@ -151,6 +119,17 @@ def training_medians(
     return {r["feature"]: r["median"] for r in exact_medians(frame, features).collect()}
 
 
+def training_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """Most frequent category of each column (the first in order among equals), collected:
+    one value a column. Counted per category first, so no task sees a column's rows."""
+    long = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in columns])).alias("kv")
+    ).select("kv.feature", "kv.category")
+    counts = long.where(F.col("category").isNotNull()).groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("feature").agg(F.min_by("category", F.struct(-F.col("n"), "category")).alias("category"))
+    return {r["feature"]: r["category"] for r in best.collect()}
+
+
 def fill_medians(frame: DataFrame, medians: dict[str, float | None], features: Sequence[str] = C.STANDARD_FEATURES) -> DataFrame:
     """Null -> training median (constants fold into ``coalesce``); features become double."""
     out = []
@@ -205,7 +184,7 @@ def encode_lenient(df: DataFrame, dictionary: Dictionary, columns: Sequence[str]
             if flags[c]["codes"]:
                 out.append(to_number(F.col(c)).cast("int").alias(c))
             else:
-                out.append(F.coalesce(dictionary.code(c, F.col(c)), F.lit(0)).alias(c))
+                out.append(F.coalesce(dictionary.code(c), F.lit(0)).alias(c))
         else:
             out.append(F.coalesce(to_number(F.col(c)), F.lit(0.0)).alias(c))
     return df.select(*out)
@@ -264,7 +243,7 @@ def encode_strict(df: DataFrame, dictionary: Dictionary, features: Sequence[str]
             if flags[c]["codes"]:
                 out.append(to_number(F.col(c)).cast("int").alias(c))
             else:
-                out.append(dictionary.code(c, F.col(c)).alias(c))
+                out.append(dictionary.code(c).alias(c))
         else:
             out.append(to_number(F.col(c)).alias(c) if c in string_columns(df) else F.col(c))
     return df.select(*out)

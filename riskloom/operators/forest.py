@@ -21,7 +21,6 @@ of the cover-weighted leaf values; base + sum(phi) = score for every row.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,18 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.expressions import round_double
-from riskloom.session import ensure_parallelism
+from riskloom.session import spread
 
-
-# Trees whose paths hold at most this many distinct features use pattern tables, as long as
-# the forest's tables fit this many bytes per Python worker; other trees use the direct formula.
-MAX_TABLE_DEPTH = 10
-TABLE_BUDGET_BYTES = 256 * 1024 * 1024
 # Contributions are rounded to this many decimals before ranking (ties stay ties).
 RANK_DECIMALS = 12
-# Pattern tables built in this process (Python workers are reused across tasks, so a forest's
-# tables are built once per worker, not once per task).
-_TABLE_CACHE: dict[str, list] = {}
 
 
 @dataclass
@@ -73,8 +64,6 @@ class TreeEnsemble:
         self.features = list(features)
         self.trees = trees
         self._paths: list[LeafPaths] | None = None
-        self._tables: list | None = None
-        self.token = uuid.uuid4().hex  # identifies this forest in per-process caches
 
     # -- construction ---------------------------------------------------------
 
@@ -256,63 +245,27 @@ class TreeEnsemble:
             acc += w * pre * suf
         return p.value[:, None] * (o - p.z) * acc
 
-    def pattern_tables(self) -> list[np.ndarray | None]:
-        """Per tree, for each leaf and each of the 2^D on/off patterns of its path conditions,
-        the contribution vector (L, 2^D, D). Built once per process (lazily on executors);
-        None for trees deeper than ``MAX_TABLE_DEPTH`` (those use the direct formula)."""
-        if self._tables is None and self.token in _TABLE_CACHE:
-            self._tables = _TABLE_CACHE[self.token]
-        if self._tables is None:
-            tables = []
-            used = 0
-            for p in self.leaf_paths():
-                D = p.feat.shape[1]
-                size = len(p.value) * (2**D) * D * 8
-                if D > MAX_TABLE_DEPTH or used + size > TABLE_BUDGET_BYTES:
-                    tables.append(None)
-                    continue
-                used += size
-                bits = ((np.arange(2**D)[:, None] >> np.arange(D)[None, :]) & 1).astype(float)  # (P, D)
-                o = np.broadcast_to(bits[None, :, :], (len(p.value), 2**D, D))
-                pv = LeafPaths(p.value[:, None], p.feat, p.lo, p.hi, p.z[:, None, :], p.depth)
-                tables.append(self._path_weights(o, pv))
-            self._tables = tables
-            _TABLE_CACHE.clear()  # one forest per worker process at a time
-            _TABLE_CACHE[self.token] = tables
-        return self._tables
-
     def contributions_numpy(self, X: np.ndarray, max_cells: int = 4_000_000) -> np.ndarray:
         """phi (rows x features) for the rows of X (columns in ``self.features`` order)."""
         n_rows, n_feat = X.shape
         phi = np.zeros((n_rows, n_feat))
-        for p, table in zip(self.leaf_paths(), self.pattern_tables()):
+        for p in self.leaf_paths():
             L, D = p.feat.shape
             pad = (p.z == 1.0) & np.isinf(p.lo) & np.isinf(p.hi)
             onehot = np.zeros((L * D, n_feat))
             onehot[np.arange(L * D), p.feat.reshape(-1)] = 1.0
             step = max(1, max_cells // max(1, L * D))
             for s in range(0, n_rows, step):
-                Xb = X[s : s + step]
-                if table is not None:
-                    # pattern index per (row, leaf): bit d = condition d of the leaf holds
-                    idx = np.zeros((len(Xb), L), dtype=np.int64)
-                    for d in range(D):
-                        xv = Xb[:, p.feat[:, d]]  # (B, L)
-                        on = ((xv > p.lo[:, d]) & (xv <= p.hi[:, d])) | pad[:, d]
-                        idx |= on.astype(np.int64) << d
-                    idx += (np.arange(L) * table.shape[1])[None, :]
-                    contrib = np.take(table.reshape(-1, D), idx, axis=0)  # (B, L, D)
-                else:
-                    xv = Xb[:, p.feat]  # (B, L, D)
-                    on = pad | ((xv > p.lo) & (xv <= p.hi))
-                    contrib = self._path_weights(on.astype(float), p)
-                phi[s : s + step] += contrib.reshape(len(Xb), L * D) @ onehot
+                xv = X[s : s + step][:, p.feat]  # (B, L, D)
+                on = pad | ((xv > p.lo) & (xv <= p.hi))
+                contrib = self._path_weights(on.astype(float), p)
+                phi[s : s + step] += contrib.reshape(len(xv), L * D) @ onehot
         return phi / len(self.trees)
 
-    def __getstate__(self):
-        state = dict(self.__dict__)
-        state["_tables"] = None  # rebuilt where used instead of shipped
-        return state
+    def used_features(self) -> list[str]:
+        """Features that some tree splits on, in feature order."""
+        used = {int(f) for t in self.trees for f in t.feature if f >= 0}
+        return [f for i, f in enumerate(self.features) if i in used]
 
     def explain(
         self,
@@ -367,7 +320,7 @@ class TreeEnsemble:
                 yield out
 
         inputs = df.select(*keep, *[F.col(f).cast("double").alias(n_) for f, n_ in zip(features, feat_cols)])
-        res = ensure_parallelism(inputs).mapInPandas(run, schema)
+        res = spread(inputs, id_col).mapInPandas(run, schema)
         return res.select(
             *keep, "score", F.lit(base).alias("base"), F.array(*phi_cols).alias("phi"), F.array(*ord_cols).alias("order")
         )

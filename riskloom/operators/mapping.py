@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom import config as C
@@ -46,21 +46,19 @@ def _alias_entries() -> list[tuple[int, str, str]]:
     return out
 
 
-def clean_constant(s: str) -> str:
-    """``clean_string`` for constant names (lower case, letters and digits only); equal to the
-    Spark expression on every alias (checked in the tests)."""
-    return "".join(ch for ch in s.lower() if ch.isalnum())
+def cleaned(names: Sequence[str]) -> Column:
+    """Array of the cleaned names; constant, so the optimizer folds it."""
+    return F.array(*[clean_string(F.lit(n)) for n in names])
 
 
 _ENTRIES = _alias_entries()
-ALIAS_CLEAN = [clean_constant(n) for _, _, n in _ENTRIES]
 ALIAS_TARGET = [t for _, t, _ in _ENTRIES]
 
 
 def best_target(clean_col) -> F.Column:
     """struct(score, neg_ord, target): highest similarity over every name and alias, first
     entry on ties. The dictionary is two constant arrays, so the plan stays small."""
-    names = F.array(*[F.lit(n) for n in ALIAS_CLEAN])
+    names = cleaned([n for _, _, n in _ENTRIES])
     targets = F.array(*[F.lit(t) for t in ALIAS_TARGET])
     scored = F.transform(
         names,
@@ -73,16 +71,11 @@ def best_target(clean_col) -> F.Column:
     return F.array_max(scored)
 
 
-def _derivation_lookup():
-    pairs = []
-    seen = set()
-    for target, sources in C.DERIVATION_SOURCES.items():
-        for s in sources:
-            key = "".join(ch for ch in s.lower() if ch.isalnum())
-            if key not in seen:
-                seen.add(key)
-                pairs += [F.lit(key), F.lit(target)]
-    return F.create_map(*pairs)
+def derivation_target(clean: Column) -> Column:
+    """Target that a cleaned source name derives; the first one that lists the name."""
+    entries = [(s, target) for target, sources in C.DERIVATION_SOURCES.items() for s in sources]
+    position = F.array_position(cleaned([s for s, _ in entries]), clean)
+    return F.when(position > 0, F.element_at(F.array(*[F.lit(t) for _, t in entries]), position.cast("int")))
 
 
 def map_columns(catalog: DataFrame, overrides: DataFrame | None = None, strict_reference: bool = False) -> DataFrame:
@@ -95,25 +88,22 @@ def map_columns(catalog: DataFrame, overrides: DataFrame | None = None, strict_r
     if overrides is None:
         overrides = spark.createDataFrame([], "dataset string, raw_col string, target string")
     ov = overrides.select("dataset", F.col("raw_col").alias("col_name"), F.col("target").alias("ov_target"))
-    cols = catalog.join(F.broadcast(ov), ["dataset", "col_name"], "left").withColumn("clean", clean_string(F.col("col_name")))
+    cols = catalog.join(ov, ["dataset", "col_name"], "left").withColumn("clean", clean_string(F.col("col_name")))
     best = best_target(F.col("clean"))
-    derive_map = _derivation_lookup()
     cols = cols.withColumn("_best", best).select(
         "dataset", "col_name", "col_ord", "ov_target", "clean",
         F.col("_best.score").alias("score"),
         F.when(F.col("_best.score") > 0, F.col("_best.target")).alias("best"),
-        (F.lit(None).cast("string") if strict_reference else F.try_element_at(derive_map, F.col("clean"))).alias("derive_target"),
+        (F.lit(None).cast("string") if strict_reference else derivation_target(F.col("clean"))).alias("derive_target"),
     )
     features = F.array(*[F.lit(f) for f in C.STANDARD_FEATURES])
     ov_feature = F.col("ov_target").isNotNull() & F.array_contains(features, F.col("ov_target"))
     # targets claimed by overrides, per dataset
     claimed = cols.where(ov_feature).select("dataset", F.col("ov_target").alias("best")).distinct()
 
-    # Every table below has at most one row per catalog column (schema metadata, not data),
-    # so the small sides are broadcast instead of shuffled.
     auto = cols.where(
         F.col("ov_target").isNull() & F.col("derive_target").isNull() & (F.col("score") >= C.AUTO_MAP_THRESHOLD)
-    ).join(F.broadcast(claimed), ["dataset", "best"], "left_anti")
+    ).join(claimed, ["dataset", "best"], "left_anti")
     w = Window.partitionBy("dataset", "best").orderBy("col_ord")
     auto_won = auto.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").select(
         "dataset", "col_name", F.lit("mapped").alias("_kind")
@@ -122,13 +112,13 @@ def map_columns(catalog: DataFrame, overrides: DataFrame | None = None, strict_r
         auto.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").select("dataset", "best")
     )
     derive = cols.where(F.col("ov_target").isNull() & F.col("derive_target").isNotNull()).join(
-        F.broadcast(taken.withColumnRenamed("best", "derive_target")), ["dataset", "derive_target"], "left_anti"
+        taken.withColumnRenamed("best", "derive_target"), ["dataset", "derive_target"], "left_anti"
     )
     wd = Window.partitionBy("dataset", "derive_target").orderBy("col_ord")
     derive_won = derive.withColumn("_rk", F.row_number().over(wd)).where("_rk = 1").select(
         "dataset", "col_name", F.lit("derive").alias("_kind")
     )
-    decided = cols.join(F.broadcast(auto_won.unionByName(derive_won)), ["dataset", "col_name"], "left")
+    decided = cols.join(auto_won.unionByName(derive_won), ["dataset", "col_name"], "left")
     role = F.create_map(*[x for k, v in ROLE_TARGETS.items() for x in (F.lit(k), F.lit(v))])
     kind = (
         F.when(F.col("ov_target") == C.IGNORE, F.lit("ignored"))
@@ -162,7 +152,7 @@ def map_columns(catalog: DataFrame, overrides: DataFrame | None = None, strict_r
 def suggest_mapping(catalog: DataFrame) -> DataFrame:
     """(dataset, col_name, suggested_target, note): first keyword contained in the cleaned name
     or with similarity > 0.75; else no target and the default note."""
-    kws = F.array(*[F.lit(clean_constant(k)) for k, _, _ in C.SUGGESTIONS])
+    kws = cleaned([k for k, _, _ in C.SUGGESTIONS])
     clean = clean_string(F.col("col_name"))
     hits = F.filter(
         F.sequence(F.lit(1), F.lit(len(C.SUGGESTIONS))),

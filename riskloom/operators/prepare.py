@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from riskloom import config as C
 from riskloom.functions.expressions import to_number, to_timestamp_lenient
 from riskloom.operators.encode import Dictionary
-from riskloom.session import ensure_parallelism
 
 
 @dataclass
@@ -58,25 +57,48 @@ class Plan:
         return set(self.mapped.values()) | set(self.derived)
 
 
-def derived_column(target: str, source: Column, as_of: str) -> Column:
-    """The four derivations; ``as_of`` replaces the wall clock so results are reproducible."""
+def derived_column(target: str, source: Column, as_of: str, dtype: str = "string") -> Column:
+    """The four derivations from a source of type ``dtype``; ``as_of`` replaces the wall clock
+    so results are reproducible."""
     as_of_date = F.to_date(F.lit(as_of))
     if target == "YearsAtCompany":
-        return (F.year(as_of_date) - F.year(to_timestamp_lenient(source))).cast("double")
+        return (F.year(as_of_date) - F.year(to_timestamp_lenient(source, dtype))).cast("double")
     if target == "Age":
-        days = F.datediff(as_of_date, F.to_date(to_timestamp_lenient(source)))
+        days = F.datediff(as_of_date, F.to_date(to_timestamp_lenient(source, dtype)))
         return (days / F.lit(365.25)).cast("int").cast("double")
     if target == "MonthlyIncome":
-        return to_number(source) / F.lit(12.0)
+        return to_number(source, dtype) / F.lit(12.0)
     if target == "JobSatisfaction":
-        return to_number(source)  # rescaled below, needs the column maximum
+        return to_number(source, dtype)  # rescaled below, needs the column maximum
     raise ValueError(target)
 
 
+SURVEY_TOP = "__survey_top"
+
+
+def with_survey_top(upload: DataFrame, plan: Plan) -> DataFrame:
+    """Adds the maximum of the survey source, which its rescale needs: a one-row aggregate of
+    that column, planned once."""
+    raw = plan.derived.get("JobSatisfaction")
+    if raw is None:
+        return upload
+    top = upload.agg(F.max(to_number(F.col(raw), dict(upload.dtypes)[raw])).alias(SURVEY_TOP))
+    return upload.crossJoin(F.broadcast(top))
+
+
+def derived_feature(upload: DataFrame, target: str, raw: str, as_of: str) -> Column:
+    """A derived feature over a frame from ``with_survey_top``."""
+    value = derived_column(target, F.col(raw), as_of, dict(upload.dtypes)[raw])
+    if target != "JobSatisfaction":
+        return value
+    top = F.col(SURVEY_TOP)
+    return F.when(top > 4, F.bround(value / top * F.lit(3.0) + F.lit(1.0), 0)).otherwise(value)
+
+
 def harmonize(upload: DataFrame, plan: Plan, as_of: str, keep: Sequence[str] = ()) -> DataFrame:
     """Rename mapped columns to standard names and add derived features, keeping only the
     standard features (plus ``_id`` and ``_label`` roles when present, and ``keep``). The
-    survey rescale needs the column maximum: a scalar subquery inside the same plan."""
+    survey rescale needs the column maximum: a one-row aggregate inside the same plan."""
     cols: list[Column] = [F.col(c) for c in keep]
     if plan.id_col:
         cols.append(F.col(plan.id_col).cast("string").alias("_id"))
@@ -85,12 +107,8 @@ def harmonize(upload: DataFrame, plan: Plan, as_of: str, keep: Sequence[str] = (
     for raw, target in plan.mapped.items():
         cols.append(F.col(raw).alias(target))
     for target, raw in plan.derived.items():
-        expr = derived_column(target, F.col(raw), as_of)
-        if target == "JobSatisfaction":
-            mx = upload.select(F.max(to_number(F.col(raw)))).scalar()
-            expr = F.when(mx > 4, F.bround(expr / mx * F.lit(3.0) + F.lit(1.0), 0)).otherwise(expr)
-        cols.append(expr.alias(target))
-    return upload.select(*cols)
+        cols.append(derived_feature(upload, target, raw, as_of).alias(target))
+    return with_survey_top(upload, plan).select(*cols)
 
 
 @dataclass
@@ -100,9 +118,26 @@ class Imputation:
     value: object
 
 
-def impute(harmonized: DataFrame, medians: dict[str, float] | None, features: Sequence[str] = C.STANDARD_FEATURES):
-    """Absent or all-null feature -> constant (training median, else default, else 0);
-    partly null -> filled with the same value. Returns (frame, [Imputation])."""
+def fill_value(feature: str, is_text: bool, medians: dict[str, float | None] | None, modes: dict[str, str] | None) -> tuple[object, str]:
+    """What fills a feature and where it comes from: text columns take the most frequent
+    training category, others the training median; without either, the default or 0."""
+    if is_text and modes and modes.get(feature) is not None:
+        return modes[feature], "training mode"
+    if not is_text and medians and medians.get(feature) is not None:
+        return medians[feature], "training median"
+    return C.INTELLIGENT_DEFAULTS.get(feature, 0), "intelligent default"
+
+
+def impute(
+    harmonized: DataFrame,
+    medians: dict[str, float | None] | None,
+    features: Sequence[str] = C.STANDARD_FEATURES,
+    modes: dict[str, str] | None = None,
+):
+    """Absent or all-null feature -> constant; partly null -> filled with the same value (see
+    ``fill_value``; an absent feature with training categories counts as text). Returns
+    (frame, [Imputation])."""
+    types = dict(harmonized.dtypes)
     present = [f for f in features if f in harmonized.columns]
     counts = {}
     if present:
@@ -113,9 +148,8 @@ def impute(harmonized: DataFrame, medians: dict[str, float] | None, features: Se
     out = [F.col(c) for c in harmonized.columns if c not in features]
     report = []
     for f in features:
-        has_median = medians is not None and medians.get(f) is not None
-        value = medians[f] if has_median else C.INTELLIGENT_DEFAULTS.get(f, 0)
-        kind = "training median" if has_median else "intelligent default"
+        is_text = types[f] == "string" if f in types else bool(modes and f in modes)
+        value, kind = fill_value(f, is_text, medians, modes)
         if f not in counts or counts[f][0] == 0:
             out.append(F.lit(value).alias(f))
             report.append(Imputation(f, f"{kind} ({value})", value))
@@ -145,18 +179,17 @@ def prepare_custom(
     dictionary: Dictionary,
     medians: dict[str, float] | None,
     as_of: str,
+    modes: dict[str, str] | None = None,
 ):
     """Custom-layout path: harmonize -> impute -> lenient encode -> align, with the statistics
     both rules need (non-null counts, "column is all in-range codes") taken in ONE aggregate
     pass. Returns (model frame with _id/_label, imputation report)."""
-    h = harmonize(ensure_parallelism(upload), plan, as_of)
+    h = harmonize(upload, plan, as_of)
     features = C.STANDARD_FEATURES
-    fill = {}
-    for f in features:
-        has_median = medians is not None and medians.get(f) is not None
-        fill[f] = (medians[f] if has_median else C.INTELLIGENT_DEFAULTS.get(f, 0), "training median" if has_median else "intelligent default")
     present = [f for f in features if f in h.columns]
     text = dict(h.dtypes)
+    is_text = {f: text[f] == "string" if f in text else bool(modes and f in modes) for f in features}
+    fill = {f: fill_value(f, is_text[f], medians, modes) for f in features}
 
     def filled(f):  # the imputed column (what the reference encodes)
         v = fill[f][0]
@@ -164,8 +197,11 @@ def prepare_custom(
             return F.coalesce(F.col(f).cast("string"), F.lit(v).cast("string"))
         return F.coalesce(F.col(f), F.lit(v))
 
+    def number(x, f):
+        return to_number(x, "string" if isinstance(fill[f][0], str) else text.get(f, "double"))
+
     def in_range(x, f):
-        num = to_number(x)
+        num = number(x, f)
         return num.isNotNull() & (num >= 0) & (num <= dictionary.size(f) - 1)
 
     aggs = [F.count(F.lit(1)).alias("__rows")]
@@ -193,15 +229,13 @@ def prepare_custom(
             codes = stats.get(f"{f}__codes", False)
         if f in dictionary:
             if codes:
-                expr = to_number(x).cast("int")
-            elif f in dictionary.classes:
-                expr = F.coalesce(dictionary.lookup(f, x), F.lit(0))
+                expr = number(x, f).cast("int")
             else:
                 need_join.append(f)
-                expr = F.coalesce(F.col(f"__code_{f}"), F.lit(0))
+                expr = F.coalesce(dictionary.code(f), F.lit(0))
                 h = h.withColumn(f, x)
         else:
-            expr = F.coalesce(to_number(x), F.lit(0.0))
+            expr = F.coalesce(number(x, f), F.lit(0.0))
         cols.append(expr.cast("double").alias(f))
     h = dictionary.join_codes(h, need_join)
     return h.select(*cols), report
@@ -221,13 +255,9 @@ def display_frame(upload: DataFrame, plan: Plan, as_of: str, id_expr: Column) ->
         if key in names:
             continue
         if key in plan.derived:
-            expr = derived_column(key, F.col(plan.derived[key]), as_of)
-            if key == "JobSatisfaction":
-                raw = F.col(plan.derived[key])
-                mx = upload.select(F.max(to_number(raw))).scalar()
-                expr = F.when(mx > 4, F.bround(expr / mx * F.lit(3.0) + F.lit(1.0), 0)).otherwise(expr)
+            expr = derived_feature(upload, key, plan.derived[key], as_of)
         else:
             expr = F.lit(default)
         cols.append((key, expr))
         names.append(key)
-    return upload.select(*[F.coalesce(e.cast("string"), F.lit("-")).alias(n) for n, e in cols])
+    return with_survey_top(upload, plan).select(*[F.coalesce(e.cast("string"), F.lit("-")).alias(n) for n, e in cols])

@@ -6,27 +6,26 @@ Here the same results come from a distributed prefix sum:
 
 1. pre-aggregate to one row per distinct (group, key) with a weight (map-side
    partial aggregation, so a hot key is a single row);
-2. range-partition by (group, key), tag each row with its partition id and
-   checkpoint (the id assignment is fixed once, lineage is cut);
-3. per (group, partition) totals -> a table of at most groups x partitions rows,
-   cumulated there and broadcast back (bounded by construction);
-4. a running sum inside each (group, partition) slice, which is at most one
-   range partition large.
+2. range-partition by (group, key), sort inside the partitions and checkpoint (the
+   partitions are fixed once, lineage is cut);
+3. the weight of the first and the last group of each partition: two numbers a
+   partition, which say where a group that goes on from an earlier partition stands;
+4. a running sum along each partition as it lies, Arrow batch by Arrow batch: the data
+   is shuffled once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskloom.session import checkpoint, ensure_parallelism
-
-# Histograms up to this many (feature, value) rows are cumulated with a per-feature window
-# (the row count is checked first); larger ones use the range-partitioned running total.
-SMALL_HISTOGRAM_ROWS = 200_000
-
+from riskloom.session import checkpoint
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
@@ -50,32 +49,60 @@ def running_total(
     """
     group_cols = list(group_cols)
     n = _partitions(df, num_partitions)
+    group = F.xxhash64(*group_cols) if group_cols else F.lit(0).cast("bigint")
+    order = [*group_cols, order_col]
     ranged = checkpoint(
-        df.repartitionByRange(n, *group_cols, order_col).withColumn("_pid", F.spark_partition_id())
-    )
-    totals = ranged.groupBy(*group_cols, "_pid").agg(F.sum(weight_col).alias("_ptotal"))
-    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group_cols)
-    offsets = totals.select(
-        *group_cols,
-        "_pid",
-        F.coalesce(F.sum("_ptotal").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_ptotal").over(whole).alias(total_out),
-    )
-    local = Window.partitionBy(*group_cols, "_pid").orderBy(order_col).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    with_local = ranged.withColumn("_local", F.sum(weight_col).over(local))
-    # offsets has at most groups x n rows (n range partitions): broadcast is bounded.
-    # Null-safe on the group columns: a NULL group is a group like any other.
-    off = offsets.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group_cols)], F.col("_pid").alias("_opid"), "_offset", total_out)
-    cond = F.col("_pid") == F.col("_opid")
-    for i, g in enumerate(group_cols):
-        cond = cond & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    joined = with_local.join(F.broadcast(off), cond, "inner")
-    return joined.withColumn(out, F.col("_offset") + F.col("_local")).drop(
-        "_pid", "_opid", "_offset", "_local", *[f"_g{i}" for i in range(len(group_cols))]
+        df.withColumns({"_group": group, "_weight": F.col(weight_col).cast("bigint")})
+        .repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_pid", F.spark_partition_id())
     )
+    starts = _starts(ranged)
+    out_schema = T.StructType([*ranged.schema.fields, T.StructField(out, T.LongType())])
+
+    def cumulate(batches):
+        group, total = None, 0
+        for batch in batches:
+            g = batch.column(batch.schema.get_field_index("_group")).to_numpy(zero_copy_only=False)
+            w = batch.column(batch.schema.get_field_index("_weight")).to_numpy(zero_copy_only=False)
+            if not len(g):
+                continue
+            if group is None:
+                group, total = g[0], starts.get(int(batch.column(batch.schema.get_field_index("_pid"))[0].as_py()), 0)
+            first = np.flatnonzero(np.concatenate([[g[0] != group], g[1:] != g[:-1]]))
+            run = np.cumsum(w)
+            before = np.zeros(len(g), dtype=np.int64)
+            before[: first[0] if len(first) else len(g)] = -total
+            for i, j in zip(first, [*first[1:], len(g)]):
+                before[i:j] = run[i - 1] if i else 0
+            cum = run - before
+            group, total = g[-1], int(cum[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cum, pa.int64())], names=[*batch.schema.names, out])
+
+    cumulated = ranged.mapInArrow(cumulate, out_schema).drop("_group", "_weight", "_pid")
+    totals = ranged.groupBy(*group_cols).agg(F.sum("_weight").alias(total_out))
+    if not group_cols:
+        return cumulated.withColumn(total_out, totals.scalar())
+    # one row per group; the planner broadcasts it where it is small. Null-safe: a NULL
+    # group is a group like any other.
+    right = totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group_cols)], total_out)
+    same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group_cols)])
+    return cumulated.join(right, same).drop(*[f"_g{i}" for i in range(len(group_cols))])
+
+
+def _starts(ranged: DataFrame) -> dict[int, int]:
+    """For each partition, the weight that its first group has in earlier partitions. The
+    driver sees at most two rows a partition."""
+    sums = ranged.groupBy("_pid", "_group").agg(F.sum("_weight").alias("w"))
+    spans = sums.groupBy("_group").agg(F.count("*").alias("k"), F.collect_list(F.struct("_pid", "w")).alias("parts")).where("k > 1")
+    starts: dict[int, int] = {}
+    for r in spans.select("parts").collect():  # a group in k partitions; the sum of all k - 1 is below their number
+        total = 0
+        for pid, w in sorted((p["_pid"], p["w"]) for p in r["parts"]):
+            if total:
+                starts[pid] = total
+            total += w
+    return starts
 
 
 def weighted_keys(df: DataFrame, key: Column | str, group_cols: Sequence[str] = (), weight: str = "n") -> DataFrame:
@@ -118,21 +145,13 @@ def share_at_or_below(
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact interpolated median (pandas / ``percentile(x, 0.5)`` semantics, nulls skipped)
     of every column in one job: (feature, median). All-null columns get a null median."""
-    df = ensure_parallelism(df.select(*columns))
     long = df.select(
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
         ).alias("kv")
     ).select("kv.feature", "kv.v")
-    counts = checkpoint(
-        long.where(F.col("v").isNotNull()).groupBy("feature", F.col("v").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    )
-    if counts.count() <= SMALL_HISTOGRAM_ROWS:
-        # checked bound: every feature's histogram has at most SMALL_HISTOGRAM_ROWS rows
-        w = Window.partitionBy("feature").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = counts.withColumn("_cum", F.sum("n").over(w)).withColumn("_total", F.sum("n").over(Window.partitionBy("feature")))
-    else:
-        cum = running_total(counts, "key", "n", ["feature"], out="_cum", total_out="_total")
+    counts = long.where(F.col("v").isNotNull()).groupBy("feature", F.col("v").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    cum = running_total(counts, "key", "n", ["feature"], out="_cum", total_out="_total")
     lo_rank = F.floor((F.col("_total") - 1) / 2)
     hi_rank = F.ceil((F.col("_total") - 1) / 2)
     first = F.col("_cum") - F.col("n")  # 0-based rank of the first row holding this key

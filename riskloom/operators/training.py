@@ -27,7 +27,7 @@ def stratified_split(
     so a class holding most rows is still spread over all tasks); that yields one threshold
     key per class, broadcast (bounded by the number of classes) and compared row by row —
     the wide frame itself is never shuffled."""
-    key = F.struct(F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"), F.col(id_col).alias("i"))
+    key = F.struct(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))).alias("h"), F.col(id_col).alias("i"))
     keys = frame.select(F.col(label).alias("_label"), key.alias("_key")).withColumn("_w", F.lit(1).cast("bigint"))
     ranked = running_total(keys, "_key", "_w", ["_label"], out="_pos", total_out="_n")
     # decimal arithmetic: 15 x 0.2 must be exactly 3, not 3.0000000000000004 -> 4

@@ -70,7 +70,7 @@ def filter_predicate(
         pred = pred & (F.col("JobRole").cast("string") == role)
     if search.strip():
         pred = pred & search_predicate(df, search, search_columns)
-    return F.coalesce(pred, F.lit(False))
+    return pred
 
 
 def filter_or_all(df: DataFrame, pred: Column) -> DataFrame:
@@ -82,7 +82,7 @@ def filter_or_all(df: DataFrame, pred: Column) -> DataFrame:
 
 def filter_counts(df: DataFrame, pred: Column) -> DataFrame:
     """Matched vs total in one aggregate."""
-    return df.agg(F.count_if(pred).alias("matched"), F.count(F.lit(1)).alias("total"))
+    return df.agg(F.count_if(F.coalesce(pred, F.lit(False))).alias("matched"), F.count(F.lit(1)).alias("total"))
 
 
 def top_by_risk(df: DataFrame, k: int, risk: str, id_col: str, columns: Sequence[str]) -> DataFrame:

@@ -336,12 +336,16 @@ oracle(
 )
 
 
+def _mode_sql(f: str) -> str:
+    """Most frequent category of a history column, the first in order among equals."""
+    return f"(SELECT {f} FROM employees WHERE {f} IS NOT NULL GROUP BY {f} ORDER BY count(*) DESC, {f} LIMIT 1)"
+
+
 def _encoded_feature(f: str) -> str:
-    """Lenient-encoded, median-imputed value of feature f in the harmonized upload ``h``."""
+    """Lenient-encoded, mode- or median-imputed value of feature f in the harmonized upload ``h``."""
     if f in C.CATEGORICAL_FEATURES:
-        if f in _PRESENT:
-            return f"COALESCE((SELECT code FROM dict WHERE dict.feature = {S.q(f)} AND dict.category = CAST(h.{f} AS VARCHAR)), 0)"
-        return f"CAST(trunc(med.{f}) AS INTEGER)"
+        value = f"COALESCE(CAST(h.{f} AS VARCHAR), {_mode_sql(f)})" if f in _PRESENT else _mode_sql(f)
+        return f"COALESCE((SELECT code FROM dict WHERE dict.feature = {S.q(f)} AND dict.category = {value}), 0)"
     if f in _PRESENT:
         return f"COALESCE(TRY_CAST(CAST(COALESCE(CAST(h.{f} AS DOUBLE), med.{f}) AS VARCHAR) AS DOUBLE), 0.0)"
     return f"med.{f}"
@@ -384,7 +388,13 @@ oracle(
 )
 _imputed_rows = []
 for _f in C.STANDARD_FEATURES:
-    if _f not in _PRESENT:
+    if _f in C.CATEGORICAL_FEATURES:
+        _imputed_rows.append(
+            f"SELECT NULL AS raw_col, 'imputed' AS kind, {S.q(_f)} AS target, CAST(NULL AS DOUBLE) AS score, 'training mode (' || {_mode_sql(_f)} || ')' AS method"
+            if _f not in _PRESENT
+            else f"SELECT NULL, 'imputed', {S.q(_f)}, CAST(NULL AS DOUBLE), 'training mode for subset (' || {_mode_sql(_f)} || ')' WHERE (SELECT count({_f}) < count(*) FROM h)"
+        )
+    elif _f not in _PRESENT:
         _imputed_rows.append(f"SELECT NULL AS raw_col, 'imputed' AS kind, {S.q(_f)} AS target, CAST(NULL AS DOUBLE) AS score, "
                              f"'training median (' || CAST(med.{_f} AS VARCHAR) || ')' AS method FROM med")
     else:

@@ -310,11 +310,12 @@ def coerce_numeric(spark, sf_dir):
     from riskloom.functions.expressions import to_number, to_timestamp_lenient
 
     w = wb(spark, sf_dir).workers
+    types = dict(w.dtypes)
     return w.select(
         "emp_code",
-        to_number(F.col("happiness")).alias("happiness_num"),
-        to_number(F.col("annual_income")).alias("annual_income_num"),
-        F.to_date(to_timestamp_lenient(F.col("hire_date"))).alias("hire_date_parsed"),
+        to_number(F.col("happiness"), types["happiness"]).alias("happiness_num"),
+        to_number(F.col("annual_income"), types["annual_income"]).alias("annual_income_num"),
+        F.to_date(to_timestamp_lenient(F.col("hire_date"), types["hire_date"])).alias("hire_date_parsed"),
     )
 
 
@@ -419,7 +420,7 @@ def encode_categories(spark, sf_dir):
     """Lenient encoding of the upload's text features with the history dictionary."""
     b = wb(spark, sf_dir)
     h = PP.harmonize(b.workers, W.workers_plan(b, True), WORKERS_AS_OF)
-    imputed, _ = PP.impute(h, b.medians)
+    imputed, _ = PP.impute(h, b.medians, modes=b.modes)
     enc = EN.encode_lenient(imputed, b.dictionary, C.STANDARD_FEATURES)
     return enc.select("_id", *[F.col(f).cast("int").alias(f) for f in C.CATEGORICAL_FEATURES])
 
@@ -493,11 +494,9 @@ def resolve_ids(spark, sf_dir):
     b = wb(spark, sf_dir)
     plan = W.workers_plan(b, False)
     w = b.workers
-    if plan.id_col is None:
-        id_cols = [c for c in w.columns if c.lower() in C.ID_COLUMN_NAMES]
-        plan.id_col = id_cols[0] if id_cols else None
-    if plan.id_col is not None:
-        return w.select("emp_code", F.col(plan.id_col).cast("string").alias(C.ID_ROLE))
+    id_col = plan.id_col or next((c for c in w.columns if c.lower() in C.ID_COLUMN_NAMES), None)
+    if id_col is not None:
+        return w.select("emp_code", F.col(id_col).cast("string").alias(C.ID_ROLE))
     pos = dense_positions(w.select("emp_code"), ["emp_code"], out="_pos")
     return pos.select("emp_code", F.concat(F.lit("EMP-"), (F.col("_pos") + 1000).cast("string")).alias(C.ID_ROLE))
 

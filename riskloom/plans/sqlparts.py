@@ -195,13 +195,8 @@ def mapping_ctes(strict_reference: bool = False) -> str:
     for target, aliases in C.STANDARD_ALIASES.items():
         for name in [target, *aliases]:
             alias_rows.append((len(alias_rows), target, name))
-    derive_rows, seen = [], set()
-    for target, sources in C.DERIVATION_SOURCES.items():
-        for s in sources:
-            key = "".join(ch for ch in s.lower() if ch.isalnum())
-            if key not in seen:
-                seen.add(key)
-                derive_rows.append((key, target))
+    sources = [(target, s) for target, own in C.DERIVATION_SOURCES.items() for s in own]
+    derive_rows = [(i, s, target) for i, (target, s) in enumerate(sources)]
     feats = "(" + ", ".join(q(f) for f in C.STANDARD_FEATURES) + ")"
     methods = "CASE derive_target " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in C.DERIVATION_METHODS.items()) + " END"
     return ", ".join([
@@ -209,7 +204,8 @@ def mapping_ctes(strict_reference: bool = False) -> str:
         (
             "ds AS (SELECT CAST(NULL AS VARCHAR) AS dclean, CAST(NULL AS VARCHAR) AS derive_target WHERE false)"
             if strict_reference
-            else values_sql("ds", "dclean, derive_target", derive_rows)
+            else values_sql("dl", "o, name, target", derive_rows)
+            + f", ds AS (SELECT {clean_sql('name')} AS dclean, arg_min(target, o) AS derive_target FROM dl GROUP BY 1)"
         ),
         f"c AS (SELECT cat.dataset, cat.col_name, cat.col_ord, ov.ov_target, {clean_sql('cat.col_name')} AS clean "
         "FROM cat LEFT JOIN ov ON ov.dataset = cat.dataset AND ov.col_name = cat.col_name)",

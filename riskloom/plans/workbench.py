@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom import config as C
 from riskloom.functions.expressions import predicted_outcome, risk_bucket
-from riskloom.operators.encode import Dictionary, fill_medians, model_frame, training_medians
+from riskloom.operators.encode import Dictionary, fill_medians, model_frame, training_medians, training_modes
 from riskloom.operators.forest import TreeEnsemble
 from riskloom.sources import tables
 from riskloom.sources.fixtures import FIXED_FOREST_NODES
@@ -82,6 +82,10 @@ class Workbench:
     def medians(self) -> dict[str, float | None]:
         return training_medians(self.model_frame)
 
+    @cached_property
+    def modes(self) -> dict[str, str]:
+        return training_modes(self.employees, C.CATEGORICAL_FEATURES)
+
     @cached_property
     def filled_frame(self) -> DataFrame:
         """Model frame with nulls replaced by training medians (features as double)."""
@@ -90,10 +94,12 @@ class Workbench:
     # -- scoring ----------------------------------------------------------------------
 
     def model_inputs(self, df: DataFrame) -> list[Column]:
-        """Encoded, median-filled feature expressions over a standard-layout raw table."""
+        """Encoded, median-filled feature expressions over a standard-layout raw table that
+        ``join_codes`` has given the codes wanted; a text feature without them is null, for
+        trees that do not look at it."""
         cols = []
         for f in C.STANDARD_FEATURES:
-            x = self.dictionary.code(f, F.col(f)) if f in self.dictionary else F.col(f)
+            x = F.col(f"__code_{f}") if f"__code_{f}" in df.columns else F.lit(None) if f in self.dictionary else F.col(f)
             x = x.cast("double")
             m = self.medians.get(f)
             cols.append(F.coalesce(x, F.lit(float(m))) if m is not None else x)
@@ -109,8 +115,7 @@ class Workbench:
     @cached_property
     def scored(self) -> DataFrame:
         """History table + PredictedAttritionRisk, PredictedOutcome, RiskCategory (one projection)."""
-        e = self.employees
-        e = self.dictionary.join_codes(e, C.CATEGORICAL_FEATURES)
+        e = self.dictionary.join_codes(self.employees, self.ensemble.used_features())
         risk = self.risk_expr(e)
         out = e.select(*[F.col(c) for c in self.employees.columns], risk.alias(RISK))
         return with_risk_columns(out)
@@ -162,7 +167,7 @@ def workers_prepared(wbench: Workbench, with_overrides: bool = True):
     key = ("prepared", with_overrides)
     if key not in wbench._fitted:
         plan = workers_plan(wbench, with_overrides)
-        wbench._fitted[key] = PP.prepare_custom(wbench.workers, plan, wbench.dictionary, wbench.medians, WORKERS_AS_OF)
+        wbench._fitted[key] = PP.prepare_custom(wbench.workers, plan, wbench.dictionary, wbench.medians, WORKERS_AS_OF, wbench.modes)
     return wbench._fitted[key]
 
 
@@ -170,7 +175,7 @@ def explained_history(wbench: Workbench, carry_raw: bool = False) -> DataFrame:
     """(id, [__raw0..__raw29], score, base, phi, order) for every history row; the raw feature
     columns (their own types) ride along for the driver texts."""
     ens = wbench.ensemble
-    e = wbench.dictionary.join_codes(wbench.employees, C.CATEGORICAL_FEATURES)
+    e = wbench.dictionary.join_codes(wbench.employees, ens.used_features())
     inputs = wbench.model_inputs(e)
     cols = [F.col("EmployeeNumber").alias("id")]
     carry = []
@@ -198,7 +203,7 @@ def raw_value_text(wbench: Workbench, idx: Column) -> Column:
 from pyspark import StorageLevel  # noqa: E402
 
 from riskloom.operators import training as TR  # noqa: E402
-from riskloom.session import ensure_parallelism, shared_path  # noqa: E402
+from riskloom.session import shared_path, spread  # noqa: E402
 
 _TRAINED: dict[tuple, dict] = {}
 
@@ -222,7 +227,7 @@ def trained(wbench: Workbench) -> dict:
         # The forest makes several passes over its input (size, split candidates, binning)
         # before it caches its own binned copy: keep the input for the duration of the fit
         # (MEMORY_AND_DISK spills instead of failing) and release it right after.
-        train = ensure_parallelism(split_frame(wbench).where(F.col("split") == "train"))
+        train = spread(split_frame(wbench).where(F.col("split") == "train"), "id")
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             model = TR.forest_pipeline(C.STANDARD_FEATURES).fit(train)

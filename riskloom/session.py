@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,8 +34,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared (DFS) folder and is used as is. Only
-    when it is unset (tests, local runs) a scratch folder is created.
+    On a cluster the setting names a shared (DFS) folder and is used as is. Where it is
+    unset, a scratch folder is made in local mode, where all tasks share one machine;
+    elsewhere that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master or ""):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="riskloom-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -59,12 +63,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a CPU-heavy stage over at least the cluster's parallelism.
-
-    Large inputs already arrive in many partitions (no-op, no extra shuffle); a small
-    input stored as one file / row group would otherwise run the whole stage in one task."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Deal the narrow rows of a CPU-heavy stage by a key over the shuffle partitions, whatever
+    the number of files or partitions they come from."""
+    return df.repartition(*columns)

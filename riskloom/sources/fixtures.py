@@ -54,11 +54,13 @@ WORKERS_CUSTOM_SQL = """
 SELECT CONCAT('W', CAST(EmployeeNumber AS VARCHAR(20))) AS emp_code,
  make_date(CAST(2002 - Age AS INT), CAST(1 + EmployeeNumber % 12 AS INT), CAST(1 + EmployeeNumber % 28 AS INT)) AS birth_date,
  make_date(CAST(2002 - YearsAtCompany AS INT), 6, 15) AS hire_date,
- Department AS dept, JobRole AS job_titel, Gender AS sex,
+ CASE WHEN EmployeeNumber % 29 = 0 THEN NULL WHEN EmployeeNumber % 31 = 0 THEN 'ROBOTICS' ELSE Department END AS dept,
+ JobRole AS job_titel, CASE WHEN EmployeeNumber % 37 = 0 THEN NULL ELSE Gender END AS sex,
  MonthlyIncome * 12 AS annual_income, OverTime AS over_time,
  DistanceFromHome AS commute_distanse,
  CASE WHEN EmployeeNumber % 23 = 0 THEN 'n/a' ELSE CAST(1 + EmployeeNumber % 10 AS VARCHAR(4)) END AS happiness,
- WorkLifeBalance AS work_life_score, MaritalStatus AS relationship_status,
+ WorkLifeBalance AS work_life_score,
+ CASE WHEN EmployeeNumber % 41 = 0 THEN CONCAT('Status-', CAST(EmployeeNumber % 11 AS VARCHAR(4))) ELSE MaritalStatus END AS relationship_status,
  JobLevel AS pay_grade, EmployeeNumber % 1000 AS badge_color, Attrition AS attrition
 FROM {employees}
 """

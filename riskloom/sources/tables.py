@@ -48,19 +48,53 @@ def duckdb_sql(template: str) -> str:
     )
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV upload scan with a header; declared schema preferred over inference."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if schema is not None:
-        reader = reader.schema(schema)
-    else:
-        reader = reader.option("inferSchema", True)
-    return nan_to_null(reader.csv(path))
+# FIXED VALUES: unquoted texts that pandas reads as missing.
+NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+CORRUPT = "_corrupt_record"
+
+
+def _csv_reader(spark: SparkSession):
+    """Quotes are doubled inside quotes and records may run over lines, as pandas writes them."""
+    return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+
+
+def scan_csv_text(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """All columns as text, null tokens as null, and ``_corrupt_record``: the whole record
+    where it does not have the header's number of fields, else null."""
+    names = columns or _csv_reader(spark).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+    text = _csv_reader(spark).schema(schema).csv(path)
+    return text.select(*[F.when(~F.col(f"`{c}`").isin(NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in names], CORRUPT)
+
+
+def csv_types(text: DataFrame) -> T.StructType:
+    """Type of each text column by its values, from one aggregate: bigint, double, date or string."""
+    names = [c for c in text.columns if c != CORRUPT]
+    kinds = ["bigint", "double", "date"]
+    fits = [F.coalesce(F.bool_and(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").try_cast(k).isNotNull()), F.lit(False)).alias(f"{i}_{k}") for i, c in enumerate(names) for k in kinds]
+    row = text.agg(*fits, *[F.count(F.col(f"`{c}`")).alias(f"{i}_n") for i, c in enumerate(names)]).first()
+    pick = lambda i: next((k for k in kinds if row[f"{i}_n"] and row[f"{i}_{k}"]), "string")
+    return T.StructType([T.StructField(c, {"bigint": T.LongType(), "double": T.DoubleType(), "date": T.DateType()}.get(pick(i), T.StringType())) for i, c in enumerate(names)])
+
+
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, keep_corrupt: bool = False) -> DataFrame:
+    """CSV upload scan with a header, in the declared schema or that found from the values.
+    Values that do not fit become null; records with another number of fields keep their
+    text in ``_corrupt_record`` if asked for (``csv_rejects`` counts them)."""
+    text = scan_csv_text(spark, path, schema.names if schema is not None else None)
+    schema = schema if schema is not None else csv_types(text)
+    cols = [(F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`").try_cast(f.dataType)).alias(f.name) for f in schema.fields]
+    return nan_to_null(text.select(*cols, *[CORRUPT] * keep_corrupt))
+
+
+def csv_rejects(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """(records, rejected): all records of the files, and those with the wrong number of fields."""
+    return scan_csv_text(spark, path, columns).agg(F.count(F.lit(1)).alias("records"), F.count(CORRUPT).alias("rejected"))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Scored-table CSV sink (one folder of part files, header in each)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV sink (one folder of part files, header in each); quotes are doubled inside quotes."""
+    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -71,6 +105,15 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     w.parquet(path)
 
 
+REPORT_END = "\x1e\n"
+
+
 def write_text(df: DataFrame, column: str, path: str, mode: str = "overwrite") -> None:
-    """Text sink: one line per row of ``column`` (multi-line reports stay whole)."""
-    df.select(F.col(column).alias("value")).write.mode(mode).text(path)
+    """Text sink of reports that may run over lines: each ends with a record separator."""
+    df.select(F.concat(F.col(column), F.lit(REPORT_END[:-1])).alias("value")).write.mode(mode).text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """The reports of ``write_text``, one row each."""
+    parts = spark.read.option("lineSep", REPORT_END).text(path)
+    return parts.select("value")
