@@ -39,9 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import as_texts
 from riskloom.session import checkpoint
 
 #: Similarity in hundredths, words of a shingle, parts of the universe used as pivots.
@@ -119,33 +121,91 @@ def leaves(values: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=_U)
 
 
-def document_sets(docs: DataFrame, words: int, size: int) -> DataFrame:
-    """id, set size, digest of the set (null if empty), leaves."""
+def digest_of(values: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
+
+
+def document_sets(docs: DataFrame, words: int) -> DataFrame:
+    """id, set size, digest of the set (null if empty)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for t in b["text"]:
-                s = shingles(t, words) if isinstance(t, str) else np.empty(0, dtype=_U)
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                rows.append((len(s), digest, leaves(s, size).astype(np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "digest", "leaves"])
-            out.insert(0, "id", b["id"].to_numpy())
-            yield out
+            sets = [shingles(t, words) for t in as_texts(b["text"])]
+            yield pd.DataFrame({"id": b["id"].astype("Int64"), "n": [len(s) for s in sets], "digest": [digest_of(s) for s in sets]})
+
+    return docs.mapInPandas(run, "id long, n long, digest binary")
 
-    return docs.mapInPandas(run, "id long, n long, digest binary, leaves array<long>")
 
+def document_leaves(docs: DataFrame, words: int, size: int) -> DataFrame:
+    """digest, id and leaves of the documents that have a set and an id."""
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """id, size, the set, its number of shingles in each part of the universe (up to 127)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingles(t, words) for t in as_texts(b["text"])]
+            out = pd.DataFrame({"digest": [digest_of(s) for s in sets], "id": b["id"].to_numpy(), "leaves": [leaves(s, size).astype(np.int64) for s in sets]})
+            yield out[[len(s) > 0 for s in sets]]
+
+    return docs.mapInPandas(run, "digest binary, id long, leaves array<long>")
+
+
+def region_members(members: DataFrame) -> DataFrame:
+    """region, id and pivot (the smallest id) of the regions with two members or more, from
+    (region, id): one shuffle, then one pass along the sorted partitions, a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, pivot, alone = None, 0, False
+        for batch in batches:
+            r, i = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            if not len(r):
+                continue
+            if alone and r[0] == region:  # the row held back has company
+                r, i = np.concatenate([[region], r]), np.concatenate([[pivot], i])
+                goes_on = False
+            else:
+                goes_on = r[0] == region
+            first = np.flatnonzero(np.concatenate([[not goes_on], r[1:] != r[:-1]]))
+            length = np.diff(np.append(first, len(r)))
+            head = first[0] if len(first) else len(r)
+            pivots = np.concatenate([np.full(head, pivot, dtype=np.int64), np.repeat(i[first], length)])
+            kept = np.concatenate([np.ones(head, dtype=bool), np.repeat(length > 1, length)])
+            region, pivot = r[-1], int(pivots[-1])
+            alone = len(first) > 0 and bool(length[-1] == 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept], pa.int64()) for x in (r, i, pivots)], names=["region", "id", "pivot"])
+
+    return members.repartition("region").sortWithinPartitions("region", "id").mapInArrow(run, "region long, id long, pivot long")
+
+
+#: Bits of the filter that spares most texts a second look. A fixed size, whatever the table.
+FILTER_BITS = 1 << 23
+
+
+def id_filter(ids: DataFrame) -> dict[int, bytes]:
+    """Bitmaps by number, FILTER_BITS bits in all, of hashed ids: every id's bit is set, and
+    few others."""
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1  # bitmap numbers and positions count from 1
+    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    return {r["number"]: bytes(r["bits"]) for r in maps.collect()}
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """id, size, the set and its number of shingles in each part of the universe (up to 127)
+    of the documents with these ids. The filter drops most other texts where they are
+    read; the exact join has only what passes."""
+    bits = id_filter(ids)
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
+    numbered = docs.select("id", "text", F.bitmap_bucket_number(place).alias("number"), F.bitmap_bit_position(place).alias("place"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingles(t, words).astype(np.int64) for t in b["text"]]
+            number, place = b["number"].to_numpy(), b["place"].to_numpy()
+            hit = np.array([n in bits and bits[n][p >> 3] >> (p & 7) & 1 for n, p in zip(number.tolist(), place.tolist(), strict=True)], dtype=bool)
+            own = b[hit]
+            sets = [shingles(t, words).astype(np.int64) for t in own["text"]]
             parts = [np.minimum(np.bincount(s & (PARTS - 1), minlength=PARTS), 127).astype(np.int8) for s in sets]
-            yield pd.DataFrame({"id": b["id"].to_numpy(), "n": [len(s) for s in sets], "values": sets, "parts": parts})
+            yield pd.DataFrame({"id": own["id"].to_numpy(), "n": [len(s) for s in sets], "values": sets, "parts": parts})
 
-    return docs.mapInPandas(run, "id long, n long, values array<long>, parts array<tinyint>")
+    found = numbered.mapInPandas(run, "id long, n long, values array<long>, parts array<tinyint>")
+    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -182,14 +242,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def find_links(heads: DataFrame, docs: DataFrame, words: int, least: int) -> DataFrame:
-    """a, b: links enough to connect all that links connect. `heads` has id, n and leaves of
+def find_links(leaves_of: DataFrame, docs: DataFrame, words: int, least: int) -> DataFrame:
+    """a, b: links enough to connect all that links connect. `leaves_of` has id and leaves of
     documents with different sets."""
-    members = heads.select(F.explode("leaves").alias("region"), "id").repartition("region")
-    sizes = members.groupBy("region").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    met = checkpoint(members.join(sizes.select("region", "pivot"), "region"))
-    texts = docs.join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    sets = checkpoint(full_sets(texts, words))
+    met = checkpoint(region_members(leaves_of.select(F.explode("leaves").alias("region"), "id")))
+    sets = checkpoint(sets_of(docs, met.select("id").distinct(), words))
     known = checkpoint(compared(met.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets))
     links = known.where(is_link(least)).select("a", "b")
     return links.union(compared(window_pairs(met, known, components(links), sets, least), sets).where(is_link(least)).select("a", "b"))
@@ -219,10 +276,11 @@ def window_pairs(met: DataFrame, known: DataFrame, labels: DataFrame, sets: Data
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    base = checkpoint(document_sets(source, words, leaf_size(least)))
-    classes = base.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("leaves").alias("leaves"))
-    heads = checkpoint(classes.where(F.col("id").isNotNull()))
-    links = find_links(heads, source.where(F.col("id").isNotNull() & F.col("text").isNotNull()), words, least)
+    base = checkpoint(document_sets(source, words))
+    with_id = source.where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    heads = checkpoint(base.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("id")))
+    one_of_each = document_leaves(with_id, words, leaf_size(least)).groupBy("digest").agg(F.min("id").alias("id"), F.first("leaves").alias("leaves"))
+    links = find_links(one_of_each, with_id, words, least)
     own = base.where(F.col("id").isNotNull() & F.col("digest").isNotNull()).join(heads.select("digest", F.col("id").alias("head")), "digest")
     repeated = own.where("id != head").select("id", "head").distinct()  # copies: one link each to the head
     return attach(base, heads, links, repeated)
