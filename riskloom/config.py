@@ -216,3 +216,18 @@ STANDARD_FEATURES: list[str] = list(STANDARD_ALIASES)
 # Categorical (text) standard features; the rest are numeric.
 CATEGORICAL_FEATURES = [f for f in STANDARD_FEATURES if isinstance(INTELLIGENT_DEFAULTS.get(f), str)]
 NUMERIC_FEATURES = [f for f in STANDARD_FEATURES if f not in CATEGORICAL_FEATURES]
+
+# FIXED VALUES: report lines, driver wording, imputation sources.
+REPORT_EMPLOYEE_TITLE = "Employee: "
+REPORT_PROFILE_TITLE = "Profile: "
+REPORT_CATEGORY = "Risk category: "
+REPORT_LEAVING = "Probability of leaving: "
+REPORT_STAYING = "Probability of staying: "
+REPORT_DRIVERS = "Top personalized drivers:"
+FLIGHT_RISK_UP = "increases flight risk"
+FLIGHT_RISK_DOWN = "decreases flight risk"
+FILLED_BY_MEDIAN = "training median"
+FILLED_BY_MODE = "training mode"
+FILLED_BY_DEFAULT = "intelligent default"
+MISSING_COLUMNS_ERROR = "Uploaded dataset is missing required model columns: {}"
+UNKNOWN_CATEGORIES_ERROR = "Column '{}' contains unknown categories: {}"

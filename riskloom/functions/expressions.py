@@ -44,7 +44,7 @@ def to_number(c: Column, dtype: str = "string") -> Column:
 # Month-first before day-first where both are possible, as pandas reads dates.
 DATE_PATTERNS = [
     "M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy.M.d", "yyyyMMdd",
-    "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "d-MMMM-yyyy", "MMM-d-yyyy", "yyyy-MMM-d", "EEE, d MMM yyyy",
+    "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "d-MMMM-yyyy", "MMM-d-yyyy", "yyyy-MMM-d",
 ]
 TIME_PATTERNS = ["", " H:m:s", " H:m", " h:m:s a", " h:m a"]
 _TIME_TAIL = r"[ T]+(\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)\s*([AaPp][Mm])?\s*(Z|[+-]\d{2}:?\d{2})?$"

@@ -51,22 +51,22 @@ def driver_line(feature: Column, value: Column, phi: Column) -> Column:
     """M11: "Feature = value increases flight risk (impact: +0.1234)"."""
     return F.concat(
         feature, F.lit(" = "), F.coalesce(value, F.lit("")), F.lit(" "),
-        direction(phi, "increases flight risk", "decreases flight risk"),
+        direction(phi, C.FLIGHT_RISK_UP, C.FLIGHT_RISK_DOWN),
         F.lit(" (impact: "), signed_text(phi + F.lit(0.0)), F.lit(")"),
     )
 
 
-def report_text(label: Column, risk: Column, drivers: Column, k: int) -> Column:
-    """The downloadable per-employee report (lines joined by newline).
+def report_text(label: Column, risk: Column, drivers: Column, k: int, title: str = C.REPORT_EMPLOYEE_TITLE) -> Column:
+    """The downloadable per-employee report (lines joined by newline) under either title.
 
     ``drivers`` is an array of struct(feature, phi) in rank order with ``k`` entries."""
     lines = [
-        F.concat(F.lit("Employee: "), label),
-        F.concat(F.lit("Risk category: "), risk_bucket(risk)),
-        F.concat(F.lit("Probability of leaving: "), percent_text(risk)),
-        F.concat(F.lit("Probability of staying: "), percent_text(F.lit(1.0) - risk)),
+        F.concat(F.lit(title), label),
+        F.concat(F.lit(C.REPORT_CATEGORY), risk_bucket(risk)),
+        F.concat(F.lit(C.REPORT_LEAVING), percent_text(risk)),
+        F.concat(F.lit(C.REPORT_STAYING), percent_text(F.lit(1.0) - risk)),
         F.lit(""),
-        F.lit("Top personalized drivers:"),
+        F.lit(C.REPORT_DRIVERS),
     ]
     for j in range(k):
         d = drivers[j]

@@ -231,7 +231,7 @@ def encode_strict(df: DataFrame, dictionary: Dictionary, features: Sequence[str]
         bad = [r for r in unknown_categories(df, dictionary, need_check).collect() if r["unknown_count"] > 0]
         if bad:
             r = bad[0]
-            raise ValueError(f"Column '{r['feature']}' contains unknown categories: {r['unknown_shown']}")
+            raise ValueError(C.UNKNOWN_CATEGORIES_ERROR.format(r["feature"], r["unknown_shown"]))
     df = dictionary.join_codes(df, need_check)
     out = []
     for c in df.columns:

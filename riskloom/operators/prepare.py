@@ -122,10 +122,10 @@ def fill_value(feature: str, is_text: bool, medians: dict[str, float | None] | N
     """What fills a feature and where it comes from: text columns take the most frequent
     training category, others the training median; without either, the default or 0."""
     if is_text and modes and modes.get(feature) is not None:
-        return modes[feature], "training mode"
+        return modes[feature], C.FILLED_BY_MODE
     if not is_text and medians and medians.get(feature) is not None:
-        return medians[feature], "training median"
-    return C.INTELLIGENT_DEFAULTS.get(feature, 0), "intelligent default"
+        return medians[feature], C.FILLED_BY_MEDIAN
+    return C.INTELLIGENT_DEFAULTS.get(feature, 0), C.FILLED_BY_DEFAULT
 
 
 def impute(
@@ -169,7 +169,7 @@ def align(frame: DataFrame, features: Sequence[str] = C.STANDARD_FEATURES, keep:
     """Select and order exactly the model features (features as double)."""
     missing = [f for f in features if f not in frame.columns]
     if missing:
-        raise ValueError("Uploaded dataset is missing required model columns: " + ", ".join(missing))
+        raise ValueError(C.MISSING_COLUMNS_ERROR.format(", ".join(missing)))
     return frame.select(*[c for c in keep if c in frame.columns], *[F.col(f).cast("double").alias(f) for f in features])
 
 

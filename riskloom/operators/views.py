@@ -113,7 +113,7 @@ def selection_label(id_col: str, employee_col: str | None, risk: str, with_depar
     who = (
         F.concat(F.lit("Employee "), F.col(employee_col).cast("string"))
         if employee_col
-        else F.concat(F.lit("Uploaded row "), F.col(id_col).cast("string"))
+        else F.concat(F.lit("Uploaded row "), (F.col(id_col) + 1).cast("string"))
     )
     parts = [F.col(id_col).cast("string"), who]
     if with_department:

@@ -111,7 +111,7 @@ oracle(
     S.with_scored(ENS, "SELECT EmployeeNumber AS id, "
     f"concat_ws(' | ', CAST(EmployeeNumber AS VARCHAR), 'Employee ' || CAST(EmployeeNumber AS VARCHAR), COALESCE(CAST(Department AS VARCHAR), ''), RiskCategory, {_pct}) AS history_label, "
     f"concat_ws(' | ', CAST(EmployeeNumber AS VARCHAR), 'Employee ' || CAST(EmployeeNumber AS VARCHAR), RiskCategory, {_pct}) AS upload_label, "
-    f"concat_ws(' | ', CAST(EmployeeNumber AS VARCHAR), 'Uploaded row ' || CAST(EmployeeNumber AS VARCHAR), RiskCategory, {_pct}) AS row_label FROM scored"),
+    f"concat_ws(' | ', CAST(EmployeeNumber AS VARCHAR), 'Uploaded row ' || CAST(EmployeeNumber + 1 AS VARCHAR), RiskCategory, {_pct}) AS row_label FROM scored"),
 )
 oracle(
     "distinct_options",
@@ -170,10 +170,18 @@ oracle(
 
 # --- harmonisation -----------------------------------------------------------------------------
 
-from riskloom.sources.fixtures import WORKERS_AS_OF, WORKERS_COLUMNS, WORKERS_OVERRIDES  # noqa: E402
-from riskloom.sources.tables import TABLES  # noqa: E402
+from riskloom.sources.fixtures import DATE_TEXTS_SQL, LAKE_CATALOG_SQL, WORKERS_AS_OF, WORKERS_COLUMNS, WORKERS_OVERRIDES  # noqa: E402
+from riskloom.sources.tables import TABLES, duckdb_sql  # noqa: E402
 
-FIXTURE_CATALOG = S.catalog_values({"employees": EMPLOYEES_COLUMNS, "workers_custom": WORKERS_COLUMNS})
+LAKE = duckdb_sql(LAKE_CATALOG_SQL)
+
+
+def with_lake(own: str) -> str:
+    """CTEs ending in ``cat``: the lake's columns and those of the CTE text ``own``."""
+    return f"{own.replace('cat', 'own_cat', 1)}, cat AS (SELECT dataset, col_name, col_ord FROM own_cat UNION ALL SELECT dataset, col_name, col_ord FROM ({LAKE}))"
+
+
+FIXTURE_CATALOG = with_lake(S.catalog_values({"employees": EMPLOYEES_COLUMNS, "workers_custom": WORKERS_COLUMNS}))
 NO_OVERRIDES = "ov AS (SELECT CAST(NULL AS VARCHAR) AS dataset, CAST(NULL AS VARCHAR) AS col_name, CAST(NULL AS VARCHAR) AS ov_target WHERE false)"
 WORKER_OVERRIDES = S.overrides_values("workers_custom", WORKERS_OVERRIDES)
 WORKERS_ONLY_CATALOG = S.catalog_values({"workers_custom": WORKERS_COLUMNS})
@@ -192,7 +200,7 @@ oracle(
     "COALESCE(m.names, '') AS missing_features FROM ds LEFT JOIN m ON m.dataset = ds.dataset",
 )
 oracle("fuzzy_column_map", f"WITH {FIXTURE_CATALOG}, {WORKER_OVERRIDES}, {S.mapping_ctes()} SELECT * FROM mapping")
-oracle("catalog_column_map", f"WITH {INFO_CATALOG}, {NO_OVERRIDES}, {S.mapping_ctes()} SELECT * FROM mapping")
+oracle("catalog_column_map", f"WITH {with_lake(INFO_CATALOG)}, {NO_OVERRIDES}, {S.mapping_ctes()} SELECT * FROM mapping")
 FEATS = S.values_sql("feats", "target", [(f,) for f in C.STANDARD_FEATURES])
 oracle(
     "string_similarity",
@@ -596,3 +604,58 @@ oracle(
     "fuzzy_column_map_strict",
     f"WITH {FIXTURE_CATALOG}, {WORKER_OVERRIDES}, {S.mapping_ctes(strict_reference=True)} SELECT * FROM mapping",
 )
+
+# --- further uploads, views and checks of the trained model ------------------------------------
+
+oracle(
+    "label_match_numeric",
+    S.with_scored(ENS, "SELECT *, " + S.pct_sql("actual_rate") + " AS actual_rate_text, " + S.pct_sql("match_rate") + " AS match_rate_text FROM ("
+    "SELECT count(*) AS labelled, round(avg(actual), 9) AS actual_rate, round(avg(CASE WHEN pred = actual THEN 1.0 ELSE 0.0 END), 9) AS match_rate FROM ("
+    "SELECT CASE WHEN Attrition = 'Yes' THEN 1.0 ELSE 0.0 END AS actual, "
+    f"CAST(CAST(PredictedAttritionRisk > {S.d(C.DECISION_THRESHOLD)} AS INTEGER) AS DOUBLE) AS pred FROM scored WHERE EmployeeNumber % 10 <> 0))"),
+)
+oracle("parse_dates", f"SELECT o_orderkey, CASE WHEN form < 11 THEN day END AS parsed, form >= 11 AS unparsed FROM ({duckdb_sql(DATE_TEXTS_SQL)})")
+oracle("resolve_ids_named", f"WITH {S.EMP}, {S.WORKERS} SELECT emp_code, 'x' || emp_code AS EmployeeNumber FROM workers")
+oracle("csv_hostile_text", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+oracle("scored_csv", S.with_scored(ENS, "SELECT * FROM scored"))
+oracle("template_csv", f"WITH {S.EMP} SELECT * FROM employees ORDER BY EmployeeNumber LIMIT {C.TEMPLATE_ROWS}")
+oracle(
+    "sql_views",
+    S.with_scored(
+        ENS,
+        "SELECT s.RiskCategory, count(*) AS n, round(avg(round(x.phi, 12)), 9) AS mean_overtime_phi FROM scored s JOIN phi x ON x.id = s.EmployeeNumber AND x.feature = 'OverTime' GROUP BY s.RiskCategory",
+        S.contributions_ctes(ENS, "mfi"),
+    ),
+)
+oracle(
+    "profile_lookup",
+    S.with_scored(
+        ENS,
+        "SELECT " + ", ".join(c for c in C.RESULT_VIEW_COLUMNS if c in [*EMPLOYEES_COLUMNS, "PredictedAttritionRisk", "PredictedOutcome", "RiskCategory"])
+        + " FROM scored WHERE EmployeeNumber IN (SELECT max(o_orderkey) FROM orders GROUP BY o_custkey)",
+    ),
+)
+oracle(
+    "filter_caption",
+    S.with_scored(
+        ENS,
+        "SELECT matched, total, format('{:,}', matched) AS matched_text, format('{:,}', total) AS total_text FROM "
+        f"(SELECT count(*) FILTER (WHERE Department = {S.q(FILTER_DEPARTMENT)}) AS matched, count(*) AS total FROM scored)",
+    ),
+)
+oracle(
+    "report_files",
+    "SELECT replace(report_text, 'Employee: Employee ', 'Profile: employee_') AS report_text FROM (" + ORACLE["risk_report_text"] + ")",
+)
+_TEST_ROWS = f"ceil(count(*) * CAST({C.TEST_SHARE!r} AS DECIMAL(10, 6)))"
+_SPLIT = (
+    "sp AS (SELECT id, Attrition, CASE WHEN row_number() OVER (PARTITION BY Attrition ORDER BY "
+    f"md5(CAST(id AS VARCHAR) || ':{C.SEED}'), id) <= n THEN 'test' ELSE 'train' END AS split "
+    f"FROM mfi JOIN (SELECT Attrition AS a, {_TEST_ROWS} AS n FROM mfi GROUP BY 1) ON a IS NOT DISTINCT FROM Attrition)"
+)
+oracle("split_assignment", S.with_model("SELECT id, Attrition, split FROM sp", _SPLIT))
+oracle("train_forest_check", S.with_model("SELECT id, Attrition, true AS has_probability, true AS agrees FROM sp WHERE split = 'test'", _SPLIT))
+oracle("evaluate_model_check", S.with_model("SELECT count(*) AS rows, true AS matches_counts, true AS beats_guess FROM sp WHERE split = 'test'", _SPLIT))
+oracle("feature_importance_check", f"SELECT CAST({len(C.STANDARD_FEATURES)} AS BIGINT) AS features, 1.0 AS total, true AS none_negative")
+oracle("model_reload_check", S.with_model("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches FROM sp WHERE split = 'test'", _SPLIT))
+oracle("explain_trained_check", S.with_model("SELECT count(*) AS rows, true AS closes FROM sp WHERE split = 'test'", _SPLIT))

@@ -247,17 +247,30 @@ def overtime_crosstab(spark, sf_dir):
 def label_match_rate(spark, sf_dir):
     """Actual rate and model match rate over labelled rows. Yes/No labels map
     to 1/0; only if that maps nothing, numbers are parsed instead (a column-level switch)."""
-    s = wb(spark, sf_dir).scored
-    yes_no = F.when(F.col(C.LABEL) == "Yes", F.lit(1.0)).when(F.col(C.LABEL) == "No", F.lit(0.0))
-    mapped_any = s.select(F.count(yes_no)).scalar()
-    actual = F.when(mapped_any > 0, yes_no).otherwise(F.col(C.LABEL).cast("string").try_cast("double"))
+    return _match_rate(wb(spark, sf_dir).scored, C.LABEL)
+
+
+def _match_rate(s, label):
+    """Both readings of the label in one aggregate; the choice is made on its one row."""
+    yes_no = F.when(F.col(label) == "Yes", F.lit(1.0)).when(F.col(label) == "No", F.lit(0.0))
+    number = F.col(label).cast("string").try_cast("double")
     pred = predicted_class(F.col(RISK)).cast("double")
-    lab = s.select(actual.alias("actual"), pred.alias("pred")).where(F.col("actual").isNotNull())
-    return lab.agg(
-        F.count(F.lit(1)).alias("labelled"),
-        F.round(F.avg("actual"), 9).alias("actual_rate"),
-        F.round(F.avg((F.col("pred") == F.col("actual")).cast("double")), 9).alias("match_rate"),
-    ).select("*", percent_text(F.col("actual_rate")).alias("actual_rate_text"), percent_text(F.col("match_rate")).alias("match_rate_text"))
+    both = s.agg(*[
+        x.alias(f"{n}_{k}")
+        for k, actual in (("text", yes_no), ("number", number))
+        for n, x in (("n", F.count(actual)), ("rate", F.avg(actual)), ("match", F.avg(F.when(actual.isNotNull(), (pred == actual).cast("double")))))
+    ])
+    pick = lambda n: F.when(F.col("n_text") > 0, F.col(f"{n}_text")).otherwise(F.col(f"{n}_number"))
+    out = both.select(pick("n").alias("labelled"), F.round(pick("rate"), 9).alias("actual_rate"), F.round(pick("match"), 9).alias("match_rate"))
+    return out.select("*", percent_text(F.col("actual_rate")).alias("actual_rate_text"), percent_text(F.col("match_rate")).alias("match_rate_text"))
+
+
+@query("label_match_numeric")
+def label_match_numeric(spark, sf_dir):
+    """Labels written as numbers (and some as neither), read by the numeric branch."""
+    s = wb(spark, sf_dir).scored
+    label = F.when(F.col("EmployeeNumber") % 10 == 0, F.lit("left?")).when(F.col(C.LABEL) == "Yes", F.lit("1.0")).otherwise(F.lit("0"))
+    return _match_rate(s.select(label.alias(C.LABEL), RISK), C.LABEL)
 
 
 @query("label_truth")
@@ -436,10 +449,9 @@ def preprocess_custom(spark, sf_dir):
 def preprocess_standard(spark, sf_dir):
     """H12 (standard)/H7/H8: strict encoding (unknown categories raise), median fill."""
     b = wb(spark, sf_dir)
-    e = b.employees
-    model = e.select(F.col("EmployeeNumber").alias("id"), *C.STANDARD_FEATURES)
-    enc = EN.encode_strict(model, b.dictionary, C.STANDARD_FEATURES)
-    filled = EN.fill_medians(enc, b.medians)
+    e = b.employees.withColumnRenamed("EmployeeNumber", "id")
+    enc = EN.encode_strict(e, b.dictionary, C.STANDARD_FEATURES)
+    filled = PP.align(EN.fill_medians(enc, b.medians), keep=["id"])
     return filled.select("id", *[F.round(f, 9).alias(f) for f in C.STANDARD_FEATURES])
 
 
@@ -534,7 +546,7 @@ def explain_topk(spark, sf_dir):
     )
     return rows.select(
         "id", "rank", "feature", round_double(F.col("phi"), 9).alias("phi"), "value",
-        A.direction(F.col("phi"), "increases flight risk", "decreases flight risk").alias("direction"),
+        A.direction(F.col("phi"), C.FLIGHT_RISK_UP, C.FLIGHT_RISK_DOWN).alias("direction"),
         A.driver_line(F.col("feature"), F.col("value"), F.col("phi")).alias("driver"),
     )
 
@@ -722,9 +734,9 @@ def model_reload_check(spark, sf_dir):
     state = W.trained(b)
     reloaded = PipelineModel.load(state["path"])
     test = W.split_frame(b).where(F.col("split") == "test").select("id", *C.STANDARD_FEATURES, C.LABEL)
-    a = state["model"].transform(test).select("id", F.col("prediction").alias("p1"))
-    r = reloaded.transform(test).select("id", F.col("prediction").alias("p2"))
-    return a.join(r, "id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p1") != F.col("p2")).alias("mismatches"))
+    first = state["model"].transform(test).withColumnRenamed("prediction", "p1").drop("features", "rawPrediction", "probability")
+    both = reloaded.transform(first)
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p1") != F.col("prediction")).alias("mismatches"))
 
 
 @query("explain_trained")
@@ -734,9 +746,8 @@ def explain_trained(spark, sf_dir):
     b = wb(spark, sf_dir)
     state = W.trained(b)
     test = W.split_frame(b).where(F.col("split") == "test")
-    spark_p = TR.leave_probability(state["model"].transform(test)).select("id", "p_leave")
-    ex = state["ensemble"].explain(test, "id")
-    out = ex.join(spark_p, "id").select(
+    both = TR.leave_probability(state["model"].transform(test)).select("id", *C.STANDARD_FEATURES, "p_leave")
+    out = state["ensemble"].explain(both, "id", carry=["p_leave"]).select(
         "id", F.round("p_leave", 9).alias("spark_probability"), F.round("score", 9).alias("score"),
         F.round("base", 9).alias("base"),
         F.round(F.aggregate("phi", F.lit(0.0), lambda acc, x: acc + x), 9).alias("sum_phi"),
@@ -820,3 +831,130 @@ def fuzzy_column_map_strict(spark, sf_dir):
     b = wb(spark, sf_dir)
     ov = MP.overrides_of(spark, W.WORKERS, WORKERS_OVERRIDES)
     return MP.map_columns(W.fixture_catalog(b), ov, strict_reference=True)
+
+
+# --- further uploads, views and checks of the trained model ------------------------------------
+
+from riskloom.sources.fixtures import DATE_TEXTS_SQL  # noqa: E402
+
+
+@query("parse_dates")
+def parse_dates(spark, sf_dir):
+    """Dates in many written forms; what is no date becomes null and is flagged."""
+    from riskloom.functions.expressions import to_timestamp_lenient
+
+    texts = spark.sql(DATE_TEXTS_SQL, orders=wb(spark, sf_dir).table("orders"))
+    return texts.select("o_orderkey", F.to_date(to_timestamp_lenient(F.col("text"))).alias("parsed")).withColumn("unparsed", F.col("parsed").isNull())
+
+
+@query("resolve_ids_named")
+def resolve_ids_named(spark, sf_dir):
+    """An upload with a column whose name is one of the id names uses that column."""
+    w = wb(spark, sf_dir).workers.select("emp_code", F.concat(F.lit("x"), "emp_code").alias("EmpID"))
+    id_col = next(c for c in w.columns if c.lower() in C.ID_COLUMN_NAMES)
+    return w.select("emp_code", F.col(id_col).cast("string").alias(C.ID_ROLE))
+
+
+@query("csv_hostile_text")
+def csv_hostile_text(spark, sf_dir):
+    """Whole texts with quotes and line breaks through CSV and back."""
+    docs = wb(spark, sf_dir).table("documents").select("doc_id", "text", "lang", "source", "n_chars")
+    path = shared_path(spark, "documents-csv")
+    TB.write_csv(docs, path)
+    return TB.scan_csv(spark, path, docs.schema)
+
+
+@query("scored_csv")
+def scored_csv(spark, sf_dir):
+    """The scored table as CSV, read back with the types found from its values."""
+    s = wb(spark, sf_dir).scored
+    path = shared_path(spark, "scored-csv")
+    TB.write_csv(s, path)
+    return TB.scan_csv(spark, path).select(*[F.col(c).cast(t) for c, t in s.dtypes])
+
+
+@query("template_csv")
+def template_csv(spark, sf_dir):
+    """S3: the upload template written as CSV and read back."""
+    t = template_rows(spark, sf_dir)
+    path = shared_path(spark, "template-csv")
+    TB.write_csv(t, path)
+    return TB.scan_csv(spark, path, t.schema)
+
+
+@query("sql_views")
+def sql_views(spark, sf_dir):
+    """The session's SQL views, queried with SQL."""
+    W.register_views(wb(spark, sf_dir))
+    return spark.sql(
+        "SELECT s.RiskCategory, count(*) AS n, round(avg(x.phi), 9) AS mean_overtime_phi FROM scored s JOIN employees e ON e.EmployeeNumber = s.EmployeeNumber "
+        "JOIN explanations x ON x.id = s.EmployeeNumber AND x.feature = 'OverTime' GROUP BY s.RiskCategory"
+    )
+
+
+@query("profile_lookup")
+def profile_lookup(spark, sf_dir):
+    """F8: rows of a list of ids (each customer's latest order), by a semi join."""
+    b = wb(spark, sf_dir)
+    wanted = b.table("orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("EmployeeNumber"))
+    return b.scored.join(wanted, "EmployeeNumber", "left_semi").select(*V.present(b.scored, C.RESULT_VIEW_COLUMNS))
+
+
+@query("filter_caption")
+def filter_caption(spark, sf_dir):
+    """Matched and total rows with thousands separators."""
+    s = wb(spark, sf_dir).scored
+    counts = V.filter_counts(s, V.filter_predicate(s, department=FILTER_DEPARTMENT))
+    return counts.select("matched", "total", F.format_number("matched", 0).alias("matched_text"), F.format_number("total", 0).alias("total_text"))
+
+
+@query("report_files")
+def report_files(spark, sf_dir):
+    """The second report layout, written as records to text files and read back whole."""
+    b = wb(spark, sf_dir)
+    label = F.concat(F.lit("employee_"), F.col("id").cast("string"))
+    top = FO.ranked_contributions(b.ensemble.features, C.TOP_DRIVERS)
+    reports = W.explained_history(b).select(A.report_text(label, F.col("score"), top, C.TOP_DRIVERS, title=C.REPORT_PROFILE_TITLE).alias("report"))
+    path = shared_path(spark, "reports")
+    TB.write_text(reports, "report", path)
+    return TB.read_text(spark, path).select(F.col("value").alias("report_text"))
+
+
+@query("split_assignment")
+def split_assignment(spark, sf_dir):
+    """The split of every row; within a class, rows go by a seeded hash of the id."""
+    return W.split_frame(wb(spark, sf_dir)).select("id", C.LABEL, "split")
+
+
+@query("train_forest_check")
+def train_forest_check(spark, sf_dir):
+    """M3-M5: every test row has a probability and the class that goes with it."""
+    p = F.col("p_leave")
+    return train_forest(spark, sf_dir).select("id", C.LABEL, p.between(0, 1).alias("has_probability"), (F.col("prediction") == (p > 0.5).cast("int")).alias("agrees"))
+
+
+@query("evaluate_model_check")
+def evaluate_model_check(spark, sf_dir):
+    """Accuracy equals that of the confusion counts and beats guessing the larger class."""
+    b = wb(spark, sf_dir)
+    test = W.split_frame(b).where(F.col("split") == "test")
+    right = (F.col("prediction") == F.col(C.LABEL)).cast("int")
+    counts = W.trained(b)["model"].transform(test).groupBy(C.LABEL).agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("right"))
+    own = counts.agg(F.sum("n").alias("rows"), (F.sum("right") / F.sum("n")).alias("from_counts"), (F.max("n") / F.sum("n")).alias("guess"))
+    return evaluate_model(spark, sf_dir).drop("rows").crossJoin(own).select(
+        "rows", (F.abs(F.col("accuracy") - F.col("from_counts")) < 1e-9).alias("matches_counts"), (F.col("accuracy") >= F.col("guess") - 0.01).alias("beats_guess")
+    )
+
+
+@query("feature_importance_check")
+def feature_importance_check(spark, sf_dir):
+    """Importances of all features, which sum to 1."""
+    imp = TR.importances(W.trained(wb(spark, sf_dir))["model"], C.STANDARD_FEATURES)
+    all_of_them = spark.createDataFrame(imp, "feature string, importance double")
+    return all_of_them.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 6).alias("total"), F.min(F.col("importance") >= 0).alias("none_negative"))
+
+
+@query("explain_trained_check")
+def explain_trained_check(spark, sf_dir):
+    """M6: contributions of the trained forest add up to its own probabilities."""
+    return explain_trained(spark, sf_dir).agg(F.count(F.lit(1)).alias("rows"), (F.max("closure_error") <= 1e-8).alias("closes"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +113,13 @@ class Workbench:
         """Risk over an already encoded+filled frame."""
         return self.ensemble.score_expr([F.col(f) for f in self.ensemble.features])
 
+    def keep_scored(self) -> DataFrame:
+        """Persists the scored history for a session of many views; ``release_scored`` ends it."""
+        return self.scored.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def release_scored(self) -> None:
+        self.scored.unpersist()
+
     @cached_property
     def scored(self) -> DataFrame:
         """History table + PredictedAttritionRisk, PredictedOutcome, RiskCategory (one projection)."""
@@ -121,6 +129,15 @@ class Workbench:
         return with_risk_columns(out)
 
 
+def register_views(wbench: Workbench) -> None:
+    """SQL views ``employees``, ``scored`` and ``explanations`` of the session."""
+    from riskloom.operators.forest import explanations_long
+
+    wbench.employees.createOrReplaceTempView("employees")
+    wbench.scored.createOrReplaceTempView("scored")
+    explanations_long(explained_history(wbench), wbench.ensemble.features).createOrReplaceTempView("explanations")
+
+
 def with_risk_columns(df: DataFrame, p: str = RISK) -> DataFrame:
     return df.withColumns(
         {"PredictedOutcome": predicted_outcome(F.col(p)), "RiskCategory": risk_bucket(F.col(p))}
@@ -131,19 +148,25 @@ def with_risk_columns(df: DataFrame, p: str = RISK) -> DataFrame:
 
 from riskloom.operators import mapping as MP  # noqa: E402
 from riskloom.operators import prepare as PP  # noqa: E402
-from riskloom.sources.fixtures import WORKERS_AS_OF, WORKERS_OVERRIDES  # noqa: E402
+from riskloom.sources.fixtures import LAKE_CATALOG_SQL, WORKERS_AS_OF, WORKERS_OVERRIDES  # noqa: E402
 
 WORKERS = "workers_custom"
 
 
+def lake_catalog(wbench: Workbench) -> DataFrame:
+    """(dataset, col_name, col_ord) of a lake of datasets, read from a table."""
+    return wbench.spark.sql(LAKE_CATALOG_SQL, part=wbench.table("part"))
+
+
 def fixture_catalog(wbench: Workbench) -> DataFrame:
-    """(dataset, col_name, col_ord) of the two fixture layouts."""
-    return MP.catalog_of(wbench.spark, {"employees": wbench.employees, WORKERS: wbench.workers})
+    """(dataset, col_name, col_ord) of the lake and of the two fixture layouts."""
+    own = MP.catalog_of(wbench.spark, {"employees": wbench.employees, WORKERS: wbench.workers})
+    return lake_catalog(wbench).unionByName(own)
 
 
 def table_catalog(wbench: Workbench) -> DataFrame:
-    """(dataset, col_name, col_ord) of every given table (a data-lake scan for employee-like tables)."""
-    return MP.catalog_of(wbench.spark, {t: wbench.table(t) for t in tables.TABLES})
+    """(dataset, col_name, col_ord) of the lake and of every given table."""
+    return lake_catalog(wbench).unionByName(MP.catalog_of(wbench.spark, {t: wbench.table(t) for t in tables.TABLES}))
 
 
 def workers_decisions(wbench: Workbench, with_overrides: bool) -> DataFrame:
@@ -200,8 +223,6 @@ def raw_value_text(wbench: Workbench, idx: Column) -> Column:
 
 # --- trained forest -----------------------------------------------------------------------------
 
-from pyspark import StorageLevel  # noqa: E402
-
 from riskloom.operators import training as TR  # noqa: E402
 from riskloom.session import shared_path, spread  # noqa: E402
 

@@ -126,3 +126,33 @@ WORKERS_COLUMNS = [
     "commute_distanse", "happiness", "work_life_score", "relationship_status", "pay_grade", "badge_color",
     "attrition",
 ]
+
+# Column names as they occur in a lake of small datasets: 25 rows of ``part`` make one
+# dataset, each row one column, named by a known name (some mistyped) or by the part.
+LAKE_NAMES = [
+    "Age", "BusinessTravel", "daily_rate", "Department", "Distance From Home", "Education", "EducationField", "EnvironmentSatisfaction", "Gendr", "HourlyRate",
+    "JobInvolvement", "Job Level", "job_titel", "JobSatisfaction", "MaritalStatus", "monthly income", "MonthlyRate", "NumCompaniesWorkd", "OverTime", "PercentSalaryHike",
+    "PerformanceRating", "RelationshipSatisfaction", "StockOptionLevel", "TotalWorkingYears", "TrainingTimesLastYear", "WorkLifeBalance", "YearsAtCompany", "YearsInCurrentRole", "YearsSinceLastPromotion", "YearsWithCurrManager",
+    "birth_date", "hire_date", "annual_income", "dept", "salary", "emp_id", "attrition", "happiness", "sex", "ovr time",
+]
+LAKE_CATALOG_SQL = """
+SELECT CONCAT('set-', CAST(p.p_partkey - p.p_partkey % 25 AS VARCHAR(20))) AS dataset,
+ CASE WHEN p.p_size % 3 = 0 THEN CONCAT(REPLACE(p.p_name, ' ', '_'), '_', CAST(p.p_partkey AS VARCHAR(20)))
+  WHEN p.p_size % 7 = 0 THEN REPLACE(v.name, 'a', 'aa') ELSE v.name END AS col_name,
+ CAST(p.p_partkey % 25 AS INT) AS col_ord
+FROM {part} p JOIN (VALUES """ + ", ".join(f"({i}, '{n}')" for i, n in enumerate(LAKE_NAMES)) + """) AS v(i, name) ON v.i = (p.p_partkey * 7) % 40
+"""
+
+# Order dates as uploads write them; two of the forms are no dates.
+DATE_TEXTS_SQL = """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey % 13 AS INT) AS form,
+ CASE o_orderkey % 13
+  WHEN 0 THEN CONCAT(y, '-', mm, '-', dd) WHEN 1 THEN CONCAT(y, '-', mm, '-', dd, 'T10:00:00') WHEN 2 THEN CONCAT(mon, ' ', d, ', ', y)
+  WHEN 3 THEN CONCAT(dd, '-', mon, '-', y) WHEN 4 THEN CONCAT(y, '-', m, '-', d) WHEN 5 THEN CONCAT(m, '/', d, '/', y)
+  WHEN 6 THEN CONCAT(y, '-', mm, '-', dd, ' 10:00') WHEN 7 THEN CONCAT(y, mm, dd) WHEN 8 THEN CONCAT(dd, '.', mm, '.', y)
+  WHEN 9 THEN CONCAT(y, '/', mm, '/', dd) WHEN 10 THEN CONCAT(m, '/', d, '/', y, ' 1:05 PM') WHEN 11 THEN 'soon' ELSE CONCAT(y, '-13-45') END AS text
+FROM (SELECT o_orderkey, o_orderdate, CAST(year(o_orderdate) AS VARCHAR(4)) AS y, CAST(month(o_orderdate) AS VARCHAR(2)) AS m, CAST(day(o_orderdate) AS VARCHAR(2)) AS d,
+ LPAD(CAST(month(o_orderdate) AS VARCHAR(2)), 2, '0') AS mm, LPAD(CAST(day(o_orderdate) AS VARCHAR(2)), 2, '0') AS dd,
+ CASE month(o_orderdate) WHEN 1 THEN 'Jan' WHEN 2 THEN 'Feb' WHEN 3 THEN 'Mar' WHEN 4 THEN 'Apr' WHEN 5 THEN 'May' WHEN 6 THEN 'Jun'
+  WHEN 7 THEN 'Jul' WHEN 8 THEN 'Aug' WHEN 9 THEN 'Sep' WHEN 10 THEN 'Oct' WHEN 11 THEN 'Nov' ELSE 'Dec' END AS mon FROM {orders}) t
+"""

@@ -44,7 +44,7 @@ def workers_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duckdb_sql(template: str) -> str:
     """The same fixture statement for DuckDB views."""
     return template.format(
-        orders="orders", customer="customer", nation="nation", region="region", employees="employees"
+        orders="orders", customer="customer", nation="nation", region="region", employees="employees", part="part"
     )
 
 
