@@ -89,7 +89,9 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 
 def csv_rejects(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """(records, rejected): all records of the files, and those with the wrong number of fields."""
-    return scan_csv_text(spark, path, columns).agg(F.count(F.lit(1)).alias("records"), F.count(CORRUPT).alias("rejected"))
+    text = scan_csv_text(spark, path, columns)
+    whole = F.hash(*[F.col(f"`{c}`") for c in text.columns])  # reads all fields, so that none is pruned before they are counted
+    return text.agg(F.count(whole).alias("records"), F.count(F.when(F.col(CORRUPT).isNotNull(), whole)).alias("rejected"))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

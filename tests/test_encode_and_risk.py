@@ -16,7 +16,9 @@ def dictionary(spark):
 
 
 def test_dictionary_codes_are_sorted_positions(dictionary):
-    assert dictionary.classes == {"OverTime": ["No", "Yes"], "Department": ["HR", "Sales"]}
+    rows = sorted((r.feature, r.code, r.category) for r in dictionary.table.collect())
+    assert rows == [("Department", 0, "HR"), ("Department", 1, "Sales"), ("OverTime", 0, "No"), ("OverTime", 1, "Yes")]
+    assert dictionary.sizes == {"OverTime": 2, "Department": 2}
 
 
 def test_lenient_unseen_to_first_class_and_numeric_codes(spark, dictionary):
@@ -33,13 +35,38 @@ def test_strict_unknown_categories_raise(spark, dictionary):
         EN.encode_strict(df, dictionary, ["OverTime"])
 
 
-def test_large_dictionary_uses_join(spark, monkeypatch):
-    monkeypatch.setattr(EN, "MAX_LITERAL_DICTIONARY", 1)
-    df = spark.createDataFrame([("b",), ("a",), ("c",)], "x string")
+def test_many_categories_are_joined(spark):
+    df = spark.range(3000).select(F.format_string("c%05d", "id").alias("x"), F.col("id"))
     d = EN.Dictionary.fit(df, ["x"])
-    assert "x" in d and "x" not in d.classes
-    out = sorted((r.id, r.x) for r in EN.encode_lenient(df.withColumn("id", F.col("x")), d, ["x"]).collect())
-    assert out == [("a", 0), ("b", 1), ("c", 2)]
+    assert d.size("x") == 3000
+    assert EN.encode_lenient(df, d, ["x"]).where("x != id").count() == 0
+
+
+def test_text_is_filled_by_mode(spark):
+    df = spark.createDataFrame([("Male", 1.0), ("Male", None), ("Female", 2.0), (None, 3.0)], "Gender string, Age double")
+    modes = EN.training_modes(spark.createDataFrame([("b",), ("a",), ("a",), ("b",), (None,)], "Gender string"), ["Gender"])
+    assert modes == {"Gender": "a"}
+    out, report = PP.impute(df, {"Gender": 1.0, "Age": 9.0}, ["Gender", "Age"], {"Gender": "Male"})
+    assert [(r.Gender, r.Age) for r in out.collect()] == [("Male", 1.0), ("Male", 9.0), ("Female", 2.0), ("Male", 3.0)]
+    assert [i.method for i in report] == ["training mode for subset (Male)", "training median for subset (9.0)"]
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [("2020-01-05T10:00:00", "2020-01-05 10:00:00"), ("Jan 5, 2020", "2020-01-05 00:00:00"), ("5-Jan-2020", "2020-01-05 00:00:00"), ("2020-1-5", "2020-01-05 00:00:00"),
+     ("1/5/2020", "2020-01-05 00:00:00"), ("2020-01-05 10:00", "2020-01-05 10:00:00"), ("25/12/2020", "2020-12-25 00:00:00"), ("20200105", "2020-01-05 00:00:00"),
+     ("1/5/2020 1:05 PM", "2020-01-05 13:05:00"), ("5 january 2020", "2020-01-05 00:00:00"), ("soon", None), ("2020-13-01", None), ("", None), (None, None)],
+)
+def test_dates(spark, text, expected):
+    from riskloom.functions.expressions import to_timestamp_lenient
+
+    got = spark.createDataFrame([(text,)], "t string").select(to_timestamp_lenient(F.col("t")).cast("string")).first()[0]
+    assert got == expected
+
+
+def test_missing_column_is_named(spark):
+    with pytest.raises(ValueError, match="DailyRate"):
+        PP.align(spark.createDataFrame([(1.0,)], "Age double"), ["Age", "DailyRate"])
 
 
 def test_impute_absent_all_null_partial(spark):

@@ -70,19 +70,6 @@ def test_contributions_equal_brute_force_shapley(seed):
     np.testing.assert_allclose(ens.base_value() + phi.sum(1), ens.predict_numpy(X), atol=1e-12)
 
 
-def test_pattern_tables_equal_direct_formula():
-    rng = np.random.default_rng(7)
-    rows = []
-    for t in range(4):
-        rows += random_tree_rows(rng, 6, 6, t)
-    ens = TreeEnsemble.from_node_rows(rows, [f"f{i}" for i in range(6)])
-    X = rng.integers(0, 10, size=(300, 6)).astype(float)
-    fast = ens.contributions_numpy(X)
-    ens._tables = [None] * len(ens.trees)
-    direct = ens.contributions_numpy(X)
-    np.testing.assert_allclose(fast, direct, atol=1e-14)
-
-
 def test_fixed_forest_closure_and_score_expression(spark):
     ens = fixed_forest()
     rng = np.random.default_rng(3)
@@ -111,18 +98,13 @@ def test_explain_in_spark_matches_numpy(spark):
     np.testing.assert_allclose(np.array([o["phi"] for o in out]), ens.contributions_numpy(X), atol=0)
 
 
-def test_table_budget_falls_back_to_direct_formula(monkeypatch):
-    import riskloom.operators.forest as FO
-
+def test_deep_trees_close():
     rng = np.random.default_rng(11)
     rows = []
     for t in range(3):
-        rows += random_tree_rows(rng, 6, 6, t)
-    X = rng.integers(0, 10, size=(200, 6)).astype(float)
-    full = TreeEnsemble.from_node_rows(rows, [f"f{i}" for i in range(6)])
-    expected = full.contributions_numpy(X)
-    assert all(t is not None for t in full.pattern_tables())
-    monkeypatch.setattr(FO, "TABLE_BUDGET_BYTES", 0)
-    limited = TreeEnsemble.from_node_rows(rows, [f"f{i}" for i in range(6)])
-    assert all(t is None for t in limited.pattern_tables())
-    np.testing.assert_allclose(limited.contributions_numpy(X), expected, atol=1e-14)
+        rows += random_tree_rows(rng, 14, 13, t)
+    ens = TreeEnsemble.from_node_rows(rows, [f"f{i}" for i in range(14)])
+    X = rng.integers(0, 10, size=(60, 14)).astype(float)
+    phi = ens.contributions_numpy(X)
+    np.testing.assert_allclose(ens.base_value() + phi.sum(1), ens.predict_numpy(X), atol=1e-12)
+    np.testing.assert_allclose(ens.contributions_numpy(X, max_cells=500), phi, atol=1e-14)

@@ -69,8 +69,16 @@ def test_approx_medians_opt_in_close_to_exact(spark):
         assert lo - 1 <= n / 2 + n / 10000 and hi + 1 >= n / 2 - n / 10000
 
 
-def test_exact_medians_large_histogram_path(spark, monkeypatch):
-    monkeypatch.setattr(stats, "SMALL_HISTOGRAM_ROWS", 10)
+def test_running_total_over_many_small_partitions(spark):
     pdf, df = skewed(spark)
-    got = {r["feature"]: r["median"] for r in stats.exact_medians(df, ["v"]).collect()}
-    assert got["v"] == pdf["v"].median()
+    df = df.withColumn("w", F.col("id") % 7)
+    got = stats.running_total(df, "id", "w", ["g"], num_partitions=13).toPandas().sort_values("id")
+    exp = pdf.assign(w=pdf["id"] % 7).sort_values("id")
+    assert (got["cum_weight"].to_numpy() == exp.groupby("g")["w"].cumsum().to_numpy()).all()
+    assert (got["group_total"].to_numpy() == exp.groupby("g")["w"].transform("sum").to_numpy()).all()
+
+
+def test_running_total_shuffles_the_data_once(spark):
+    _, df = skewed(spark)
+    plan = stats.running_total(df.select("id", F.lit(1).alias("w")), "id", "w")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "rangepartitioning" not in plan  # the one exchange is behind the checkpoint

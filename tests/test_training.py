@@ -11,9 +11,33 @@ from riskloom.operators.training import stratified_split
 def test_split_takes_smallest_hash_keys_per_class(spark):
     pdf = pd.DataFrame({"id": range(2500), "y": [1 if i % 3 == 0 else (None if i % 97 == 0 else 0) for i in range(2500)]})
     df = spark.createDataFrame(pdf, "id long, y int")
-    out = stratified_split(df, "y").withColumn("h", F.xxhash64("id", F.lit(42))).toPandas()
+    out = stratified_split(df, "y").withColumn("h", F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit("42")))).toPandas()
     assert len(out) == len(pdf) and out["id"].is_unique
     for cls, g in out.groupby(out["y"].fillna(-1)):
         k = math.ceil(len(g) * 0.2)
         expected = set(g.sort_values(["h", "id"]).head(k)["id"])
         assert set(g[g.split == "test"]["id"]) == expected, cls
+
+
+def test_reloaded_model_agrees_and_contributions_close(spark):
+    import numpy as np
+    from pyspark.ml import PipelineModel
+
+    from riskloom.operators.forest import TreeEnsemble
+    from riskloom.operators.training import forest_pipeline, leave_probability
+    from riskloom.session import shared_path
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.2)).astype(int)
+    rows = [(i, *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y int")
+    model = forest_pipeline(["a", "b", "c"], "y", num_trees=8, max_depth=12).fit(df)
+    path = shared_path(spark, "t-forest")
+    model.write().save(path)
+    scored = leave_probability(model.transform(df)).select("id", "a", "b", "c", "p_leave")
+    again = leave_probability(PipelineModel.load(path).transform(df)).select("id", "p_leave")
+    assert scored.select("id", "p_leave").exceptAll(again).count() == 0
+    ens = TreeEnsemble.from_spark_model(spark, model.stages[-1], ["a", "b", "c"], path + "-trees")
+    for r in ens.explain(scored, "id", carry=["p_leave"]).collect():
+        assert abs(r.base + sum(r.phi) - r.p_leave) < 1e-9
