@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from riskloom import config as C
 from riskloom.operators.forest import TreeEnsemble
-from riskloom.sources.fixtures import EMPLOYEES_SQL, WORKERS_CUSTOM_SQL
+from riskloom.sources.fixtures import EMPLOYEES_SQL, FIXED_FOREST_NODES, WORKERS_CUSTOM_SQL
 from riskloom.sources.tables import duckdb_sql
 
 
@@ -116,22 +116,29 @@ def gauss_nodes_sql() -> str:
     return "g(t, w) AS (VALUES (0.5 - 0.5 / sqrt(3.0), 0.5), (0.5 + 0.5 / sqrt(3.0), 0.5))"
 
 
-def leaf_conditions_sql(ens: TreeEnsemble) -> str:
-    rows = []
-    for t, leaf, f, lo, hi, z, c in ens.leaf_conditions():
-        lo_s = "NULL" if lo is None else d(lo)
-        hi_s = "NULL" if hi is None else d(hi)
-        rows.append(f"({t}, {leaf}, {q(f)}, {lo_s}, {hi_s}, {d(z)}, {d(c)})")
-    return "lc(tree, leaf, feature, lo, hi, z, c) AS (VALUES " + ", ".join(rows) + ")"
+def leaf_conditions_sql() -> str:
+    """CTEs ending in ``lc(tree, leaf, feature, lo, hi, z, c)`` for the fixed forest, found by
+    SQL from its node table: the splits above each leaf, merged by feature. Its trees are at
+    most three splits deep."""
+    level = "SELECT s.tree, s.leaf, s.value, ed.parent AS at, ed.feature, ed.threshold, ed.is_left, ed.ratio FROM {} s JOIN ed ON ed.tree = s.tree AND ed.child = s.at"
+    return ", ".join([
+        values_sql("nd", "tree, node, feature, threshold, l, r, cover, value", FIXED_FOREST_NODES),
+        "ed AS (SELECT c.tree, c.node AS child, p.node AS parent, p.feature, CAST(p.threshold AS DOUBLE) AS threshold, p.l = c.node AS is_left, "
+        "CAST(c.cover AS DOUBLE) / CAST(p.cover AS DOUBLE) AS ratio FROM nd c JOIN nd p ON p.tree = c.tree AND (p.l = c.node OR p.r = c.node))",
+        "lf AS (SELECT tree, node AS leaf, CAST(value AS DOUBLE) AS value, node AS at FROM nd WHERE feature IS NULL)",
+        f"s1 AS ({level.format('lf')}), s2 AS ({level.format('s1')}), s3 AS ({level.format('s2')})",
+        "lc AS (SELECT tree, leaf, feature, max(CASE WHEN NOT is_left THEN threshold END) AS lo, min(CASE WHEN is_left THEN threshold END) AS hi, "
+        "product(ratio) AS z, value AS c FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) GROUP BY tree, leaf, feature, value)",
+    ])
 
 
 def contributions_ctes(ens: TreeEnsemble, frame: str = "mfi") -> str:
     """CTEs ending in ``phi(id, feature, phi)`` for every row of ``frame`` and every feature."""
-    feats = sorted({f for _, _, f, *_ in ens.leaf_conditions()})
+    feats = sorted({f for _, _, f, *_ in FIXED_FOREST_NODES if f})
     unpivot = " UNION ALL ".join(f"SELECT id, {q(f)} AS feature, CAST({f} AS DOUBLE) AS x FROM {frame}" for f in feats)
     n_trees = len(ens.trees)
     parts = [
-        leaf_conditions_sql(ens),
+        leaf_conditions_sql(),
         gauss_nodes_sql(),
         f"fx AS ({unpivot})",
         "o AS (SELECT fx.id, lc.tree, lc.leaf, lc.feature, lc.z, lc.c, "
