@@ -75,3 +75,44 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+BLANKS = r"\x20\x09-\x0D"
+
+ORACLE["op4_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{BLANKS}]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)]) END AS own FROM w),
+x AS (SELECT doc_id, len(own) AS n, unnest(own) AS shingle FROM s),
+links AS (
+  SELECT a.doc_id AS p, b.doc_id AS q FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT p, q FROM links UNION SELECT reach.p, links.q FROM reach JOIN links ON reach.q = links.p)
+SELECT s.doc_id, CAST(len(s.own) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(r.q, s.doc_id)) AS component_id
+FROM s LEFT JOIN (SELECT p, min(q) AS q FROM reach GROUP BY p) r ON r.p = s.doc_id
+"""
+
+ORACLE["op10_line_rules"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(text, '[^{BLANKS}]+') AS ws,
+    [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^{BLANKS}]')] AS ls FROM d),
+windows AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS t FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, t) AS k FROM windows) WHERE k > 1),
+again AS (SELECT r, count(DISTINCT i + o) AS n FROM twice, (VALUES (0), (1), (2)) AS v(o) GROUP BY r),
+lines AS (SELECT r, host, text, trim(regexp_replace(lower(x), '[{BLANKS}]+', ' ', 'g'), ' ') AS line FROM (SELECT r, host, text, unnest(ls) AS x FROM w)),
+hosts AS (SELECT host, count(DISTINCT text) AS documents FROM d GROUP BY host),
+shared AS (
+  SELECT l.host, l.line FROM (SELECT host, line, count(DISTINCT text) AS held_by FROM lines GROUP BY host, line) l JOIN hosts h ON h.host = l.host
+  WHERE held_by > {line_rules.MIN_DOCUMENTS} AND held_by > CAST({line_rules.MAX_SHARE} AS DOUBLE) * documents),
+removed AS (SELECT r, sum(len(string_split(line, ' '))) AS n FROM lines JOIN shared USING (host, line) GROUP BY r),
+b AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed.n, 0) AS BIGINT) AS n_removed_words
+  FROM w LEFT JOIN again ON again.r = w.r LEFT JOIN removed ON removed.r = w.r),
+f AS (SELECT *, n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= CAST({line_rules.MIN_LEFT} AS DOUBLE) * n_words AS kept FROM f
+"""
