@@ -49,7 +49,7 @@ class WordIds:
 
     WHOLE = re.compile("<\\||[\x1c-\x1f\u03a3\u0130]")
 
-    def __init__(self, tokenizer_file: str, kept: int = 800_000) -> None:
+    def __init__(self, tokenizer_file: str, kept: int = 1_600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,18 +68,28 @@ class WordIds:
             return None
         return low.split()
 
+    #: A word and the marks after it: the splitter always parts these.
+    TAIL = re.compile(r"(\w+?)([^\w\s]+)")
+
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that `young` does not hold, most of which it will."""
-        found, new = {}, []
+        known = lambda w: self.young.get(w, self.old.get(w))
+        found, parted, wanted = {}, [], {}
         for w in words:
             if (b := self.old.get(w)) is not None:
                 found[w] = b
+            elif (m := self.TAIL.fullmatch(w)) and m[1].isalpha():
+                parted.append((w, m[1], m[2]))
+                wanted[m[1]] = wanted[m[2]] = None
             else:
-                new.append(w)
+                wanted[w] = None
+        new = [w for w in wanted if w not in found and known(w) is None]
         for i in range(0, len(new), 5000):
             block = new[i : i + 5000]
             for w, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
                 found[w] = self.packed(e.ids)
+        for w, head, tail in parted:
+            found[w] = b"".join([found[x] if x in found else known(x) for x in (head, tail)])
         if len(self.young) >= self.kept:
             self.old, self.young = self.young, {}
         self.young.update((w, b) for w, b in found.items() if len(w) <= 64)
