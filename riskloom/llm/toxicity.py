@@ -35,7 +35,7 @@ STEMS = range(3, 9)
 #: Most terms considered and most that are kept.
 MAX_CANDIDATES, MAX_TERMS = 20_000, 2_000
 #: A term stands in this share of the toxic sample at least, and its log odds are over this.
-MIN_SHARE, MIN_ODDS = 0.005, 3.0
+MIN_SHARE, MIN_ODDS = 0.01, 3.5
 #: Whole words of this length that stand in this share of the toxic sample are also matched
 #: within one edit; such a hit counts by this part of the term's weight. Words of the clean
 #: sample are no misspellings of a term.
@@ -211,7 +211,7 @@ def choose_terms(counts: pd.DataFrame, toxic_rows: int, clean_rows: int, min_sha
     odds = {}
     for term, t, c in counts[["term", "toxic", "clean"]].itertuples(index=False):
         value = math.log((t + 0.5) / (toxic_rows + 1)) - math.log((c + 0.5) / (clean_rows + 1))
-        if t >= least and value >= min_odds and c <= 0.02 * max(t, 50):
+        if t >= least and value >= min_odds:
             odds[term] = (int(t), value)
     kids: dict[str, list[str]] = {}
     for term in odds:
