@@ -34,8 +34,9 @@ WORD = re.compile(r"[^\W_]+")
 STEMS = range(3, 9)
 #: Most terms considered and most that are kept.
 MAX_CANDIDATES, MAX_TERMS = 20_000, 2_000
-#: A term stands in this share of the toxic sample at least, and its log odds are over this.
-MIN_SHARE, MIN_ODDS = 0.01, 3.5
+#: A term stands in this share of the toxic sample at least, and its log odds are this or
+#: more; of a small sample, three quarters of the most that its clean rows can show.
+MIN_SHARE, MIN_ODDS = 0.01, 4.0
 #: Whole words of this length that stand in this share of the toxic sample are also matched
 #: within one edit; such a hit counts by this part of the term's weight. Words of the clean
 #: sample are no misspellings of a term.
@@ -208,6 +209,7 @@ def choose_terms(counts: pd.DataFrame, toxic_rows: int, clean_rows: int, min_sha
     """Terms and their log odds, from columns term, toxic, clean. A stem gives way to a
     longer term that nearly all its evidence comes from; terms under a chosen stem go."""
     least = max(2, math.ceil(min_share * toxic_rows))
+    min_odds = min(min_odds, 0.75 * math.log(2 * (clean_rows + 1)))
     odds = {}
     for term, t, c in counts[["term", "toxic", "clean"]].itertuples(index=False):
         value = math.log((t + 0.5) / (toxic_rows + 1)) - math.log((c + 0.5) / (clean_rows + 1))
