@@ -11,7 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of an Arrow batch where texts go to Python.
+BATCH_ROWS, BATCH_BYTES = "2000", "16m"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Makes the session's Arrow batches small enough for long texts, where it has Spark's own
+    sizes; sizes that a user has set stay."""
+    for key, default, own in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) in (default, "64MB"):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", own)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

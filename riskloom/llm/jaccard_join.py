@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import as_texts
+from riskloom.llm.common import as_texts, text_batches
 from riskloom.session import checkpoint
 
 #: Similarity in hundredths, words of a shingle, parts of the universe used as pivots.
@@ -275,6 +275,7 @@ def window_pairs(met: DataFrame, known: DataFrame, labels: DataFrame, sets: Data
 
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
+    text_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     base = checkpoint(document_sets(source, words))
     with_id = source.where(F.col("id").isNotNull() & F.col("text").isNotNull())
