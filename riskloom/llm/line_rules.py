@@ -21,6 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.session import checkpoint
+
 #: A line is removed from a host's documents if it stands in more distinct documents of
 #: the host than both limits.
 MIN_DOCUMENTS = 20
@@ -108,10 +110,10 @@ def shared_lines(lines: DataFrame, texts: DataFrame, min_documents: int, max_sha
     return held.join(hosts, "host").where(F.col("held_by") > max_share * F.col("documents")).select("host", "line_hash")
 
 
-def removed_words(docs: DataFrame, min_documents: int, max_share: float) -> DataFrame:
-    """Words in removed lines of each text of a host that has any."""
-    texts = docs.groupBy(*TEXT_KEY).agg(F.count("*").alias("copies"))
-    lines = line_table(docs)
+def removed_words(lines: DataFrame, rows: DataFrame, min_documents: int, max_share: float) -> DataFrame:
+    """Words in removed lines of each text of a host that has any. `rows` has a row for each
+    document."""
+    texts = rows.groupBy(*TEXT_KEY).agg(F.count("*").alias("copies"))
     shared = shared_lines(lines, texts, min_documents, max_share)
     found = lines.join(shared, ["host", "line_hash"], "left_semi").groupBy(*TEXT_KEY).agg(F.sum(F.col("words") * F.col("times")).alias("all_copies"))
     return found.join(texts, TEXT_KEY).select(*TEXT_KEY, (F.col("all_copies") / F.col("copies")).cast("long").alias("n_removed_words"))
@@ -125,10 +127,10 @@ def apply_rules(
     source = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")
     ).withColumns({"text_hash": F.xxhash64("text"), "text_check": F.crc32(F.col("text").cast("binary"))})
-    removed = removed_words(source, min_documents, max_share)
-    rows = with_base_rules(source).select(
-        "doc_id", *TEXT_KEY, "counts.n_words", "word_chars", "n_symbols", "n_dup_lines", "counts.n_repeat_words"
-    )
+    # the texts are read twice, for their rules and for their lines; what follows has hashes and counts
+    base = with_base_rules(source)
+    rows = checkpoint(base.select("doc_id", *TEXT_KEY, "counts.n_words", "word_chars", "n_symbols", "n_dup_lines", "counts.n_repeat_words"))
+    removed = removed_words(checkpoint(line_table(source)), rows, min_documents, max_share)
     joined = rows.join(removed, TEXT_KEY, "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (F.col("n_words") - F.col("n_removed_words") >= min_left * F.col("n_words"))
