@@ -2,8 +2,8 @@
 
 Rules inside a document are array expressions over its words and lines. Across documents,
 normalised lines are hashed and the distinct documents that hold each line are counted
-for each host; lines in more documents than the limits allow are removed; a document is
-rejected if too little is left of it. Exact copies (equal texts) count as one document of
+for each host; lines in more documents than both limits allow are taken out of the texts
+(`remove_lines` returns these); a document is rejected if too little is left of it. Exact copies (equal texts) count as one document of
 their host, so that copying alone makes no line a shared one.
 
 All of it is DataFrame functions. The line counts are summed before each shuffle; nothing
@@ -89,49 +89,89 @@ def with_base_rules(docs: DataFrame) -> DataFrame:
     )
 
 
+def normal(line: Column) -> Column:
+    """A line as it is compared: in lower case, single blanks between its words."""
+    return F.trim(F.regexp_replace(F.lower(line), f"[{BLANK}]+", " "))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row for each distinct text of a host and each different normalised line in it:
-    the words of the line and how often it stands in all copies of the text."""
-    lines = docs.select(*TEXT_KEY, F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.withColumn("line", F.trim(F.regexp_replace(F.lower("line"), f"[{BLANK}]+", " "))).where("line != ''")
-    words = (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long")
-    return lines.groupBy(*TEXT_KEY, F.xxhash64("line").alias("line_hash")).agg(F.max(words).alias("words"), F.count("*").alias("times"))
+    """One row for each distinct text of a host and each different normalised line in it
+    (null: a first line without a word); `first` is true on one row of each text."""
+    lines = docs.select(*TEXT_KEY, F.posexplode(F.split("text", "\n")).alias("place", "line")).withColumn("line", normal(F.col("line"))).where("line != '' or place = 0")
+    line_hash = F.when(F.col("line") != "", F.xxhash64("line"))
+    return lines.groupBy(*TEXT_KEY, line_hash.alias("line_hash")).agg(F.max(F.col("place") == 0).alias("first"))
 
 
 #: A text of a host, by two independent hashes.
 TEXT_KEY = ["host", "text_hash", "text_check"]
 
 
-def shared_lines(lines: DataFrame, texts: DataFrame, min_documents: int, max_share: float) -> DataFrame:
-    """(host, line hash) of the lines above both limits. `texts` has a row for each distinct
-    text of a host."""
-    hosts = texts.groupBy("host").agg(F.count("*").alias("documents"))
-    held = lines.groupBy("host", "line_hash").agg(F.count("*").alias("held_by")).where(F.col("held_by") > min_documents)
+def with_text_key(docs: DataFrame, text: str, host: str) -> DataFrame:
+    """The rows with the columns of TEXT_KEY; their own columns become the struct `row`."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
+    return rows.withColumns({"text_hash": F.xxhash64("text"), "text_check": F.crc32(F.col("text").cast("binary"))})
+
+
+def shared_lines(lines: DataFrame, min_documents: int, max_share: float) -> DataFrame:
+    """(host, line hash) of the lines above both limits."""
+    hosts = lines.groupBy("host").agg(F.count(F.when(F.col("first"), 1)).alias("documents"))
+    held = lines.where("line_hash is not null").groupBy("host", "line_hash").agg(F.count("*").alias("held_by")).where(F.col("held_by") > min_documents)
     return held.join(hosts, "host").where(F.col("held_by") > max_share * F.col("documents")).select("host", "line_hash")
 
 
-def removed_words(lines: DataFrame, rows: DataFrame, min_documents: int, max_share: float) -> DataFrame:
-    """Words in removed lines of each text of a host that has any. `rows` has a row for each
-    document."""
-    texts = rows.groupBy(*TEXT_KEY).agg(F.count("*").alias("copies"))
-    shared = shared_lines(lines, texts, min_documents, max_share)
-    found = lines.join(shared, ["host", "line_hash"], "left_semi").groupBy(*TEXT_KEY).agg(F.sum(F.col("words") * F.col("times")).alias("all_copies"))
-    return found.join(texts, TEXT_KEY).select(*TEXT_KEY, (F.col("all_copies") / F.col("copies")).cast("long").alias("n_removed_words"))
+def in_sorted(values: Column, bits: Column, x: Column) -> Column:
+    """Whether x is in a sorted array, by halving; `bits` counts down from those of its size to 0."""
+
+    def further(at: Column, bit: Column) -> Column:
+        to = at + F.call_function("shiftleft", F.lit(1), bit)
+        return F.when((to < F.size(values)) & (F.get(values, to) <= x), to).otherwise(at)
+
+    return F.get(values, F.aggregate(bits, F.lit(0), further)) == x
+
+
+def without(text: Column, gone: Column) -> Column:
+    """The text without the lines whose hashes are in the sorted array; the others as they
+    are, in their order."""
+
+    def of(values: Column, bits: Column) -> Column:
+        stays = lambda line: bind(normal(line), lambda x: (x == "") | ~in_sorted(values, bits, F.xxhash64(x)))
+        return F.array_join(F.filter(F.split(text, "\n"), stays), "\n")
+
+    bits = F.sequence(F.ceil(F.log2(F.size(gone))).cast("int"), F.lit(0), F.lit(-1))
+    return bind(F.struct(gone.alias("values"), bits.alias("bits")), lambda g: of(g["values"], g["bits"]))
+
+
+def with_cleaned(rows: DataFrame, keyed: DataFrame, min_documents: int, max_share: float) -> DataFrame:
+    """Adds `cleaned`, the text without the lines that its host's documents share, null if it
+    has none, to rows with TEXT_KEY and `text`. `keyed` has the same texts, for the lines."""
+    lines = checkpoint(line_table(keyed))
+    found = lines.join(shared_lines(lines, min_documents, max_share), ["host", "line_hash"], "left_semi")
+    gone = found.groupBy(*TEXT_KEY).agg(F.sort_array(F.collect_list("line_hash")).alias("gone"))
+    cleaned = F.when(F.col("gone").isNotNull(), without(F.col("text"), F.col("gone")))
+    return rows.join(gone, TEXT_KEY, "left").withColumn("cleaned", cleaned).drop("gone")
+
+
+def remove_lines(docs: DataFrame, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+    """The rows, with their columns, of the documents; texts without the lines that their
+    host's documents share."""
+    keyed = with_text_key(docs, text, host)
+    rows = with_cleaned(keyed, keyed, min_documents, max_share)
+    own = {c: F.col("row")[c] for c in docs.columns}
+    return rows.select(*[(F.coalesce("cleaned", v) if c.lower() == text.lower() else v).alias(c) for c, v in own.items()])
 
 
 def apply_rules(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, the base counts, `base_failed`, `kept`, and
-    the words in removed lines."""
-    source = docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")
-    ).withColumns({"text_hash": F.xxhash64("text"), "text_check": F.crc32(F.col("text").cast("binary"))})
-    # the texts are read twice, for their rules and for their lines; what follows has hashes and counts
-    base = with_base_rules(source)
-    rows = checkpoint(base.select("doc_id", *TEXT_KEY, "counts.n_words", "word_chars", "n_symbols", "n_dup_lines", "counts.n_repeat_words"))
-    removed = removed_words(checkpoint(line_table(source)), rows, min_documents, max_share)
-    joined = rows.join(removed, TEXT_KEY, "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
+    the words that the cleaned text has less."""
+    source = with_text_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host")), "text", "host")
+    # the texts are read twice, for their lines and for their rules, and go once through the join with their lines
+    source = source.select(F.col("row.doc_id").alias("doc_id"), "text", *TEXT_KEY)
+    base = with_base_rules(source).withColumn("n_words", F.col("counts.n_words")).withColumn("n_repeat_words", F.col("counts.n_repeat_words")).drop("counts")
+    joined = with_cleaned(base, source, min_documents, max_share)
+    n_left = F.when(F.col("cleaned").isNull(), F.col("n_words")).otherwise(F.size(words_of(F.col("cleaned"))).cast("long"))
+    joined = joined.withColumn("n_removed_words", F.col("n_words") - n_left)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (F.col("n_words") - F.col("n_removed_words") >= min_left * F.col("n_words"))
     return joined.select(

@@ -3,7 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
-from riskloom.llm.line_rules import apply_rules
+from riskloom.llm.line_rules import apply_rules, remove_lines
 from tests.llm.helpers import hard_frame, hard_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,3 +59,25 @@ def test_shared_lines_deplete_documents(spark):
     got = result(frame)
     assert got == brute(rows, 20, 0.05, 0.3)
     assert [g[-2] for g in got if int(g[0]) < 100] == [False] * 30 and all(g[-2] for g in got if int(g[0]) >= 100)
+
+
+def test_texts_without_shared_lines(spark):
+    normal = lambda line: re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
+    shared = [f"Shared  line {k} of\tall" for k in range(7)]
+    rows = []
+    for i in range(40):
+        lines = [f"own {i}", "", shared[i % 7], " " + shared[(i + 1) % 7].upper(), f"Own  {i} again", shared[i % 7], "\t"]
+        rows.append((i, "\n".join(lines[i % 3 :]), "en", "h", *[None] * 8))
+    rows += [rows[3], (50, None, "en", "h", *[None] * 8), (51, "\n\n", "en", "h", *[None] * 8), (52, "\n".join(shared * 300), "en", "h", *[None] * 8), (53, shared[0] + "\nx", "en", None, *[None] * 8)]
+    frame = spark.createDataFrame(rows, hard_frame(spark).schema)
+    gone = {normal(x) for x in shared}
+    clean = lambda r: r[1] if r[1] is None or r[3] is None else "\n".join(x for x in r[1].split("\n") if normal(x) not in gone)
+    got = remove_lines(frame, min_documents=3, max_share=0.02)
+    assert got.columns == frame.columns
+    by_text = lambda x: (x[0], x[1] or "")
+    cleaned = sorted(((r.doc_id, r.text) for r in got.collect()), key=by_text)
+    assert cleaned == sorted(((r[0], clean(r)) for r in rows), key=by_text)
+    words = {i: len(WORD.findall(t or "")) for i, t in cleaned}
+    assert result(frame, min_documents=3, max_share=0.02) == brute(rows, 3, 0.02, 0.3)
+    for r in apply_rules(frame, min_documents=3, max_share=0.02).collect():
+        assert r.n_words - r.n_removed_words == words[r.doc_id]
