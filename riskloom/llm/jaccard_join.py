@@ -242,14 +242,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def find_links(leaves_of: DataFrame, docs: DataFrame, words: int, least: int) -> DataFrame:
-    """a, b: links enough to connect all that links connect. `leaves_of` has id and leaves of
-    documents with different sets."""
+def find_links(leaves_of: DataFrame, docs: DataFrame, words: int, least: int, every: bool = False) -> DataFrame:
+    """a, b: links enough to connect all that links connect, or every link, a > b.
+    `leaves_of` has id and leaves of documents with different sets."""
     met = checkpoint(region_members(leaves_of.select(F.explode("leaves").alias("region"), "id")))
     sets = checkpoint(sets_of(docs, met.select("id").distinct(), words))
     known = checkpoint(compared(met.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets))
     links = known.where(is_link(least)).select("a", "b")
-    return links.union(compared(window_pairs(met, known, components(links), sets, least), sets).where(is_link(least)).select("a", "b"))
+    # without labels every document is a component of its own, and only the windows drop pairs
+    labels = links.limit(0).select(F.col("a").alias("id"), F.col("b").alias("component")) if every else components(links)
+    found = links.union(compared(window_pairs(met, known, labels, sets, least), sets).where(is_link(least)).select("a", "b"))
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct() if every else found
 
 
 def window_pairs(met: DataFrame, known: DataFrame, labels: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -273,22 +276,53 @@ def window_pairs(met: DataFrame, known: DataFrame, labels: DataFrame, sets: Data
     return x.join(y, (x["region"] == y["region"]) & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id."""
+def class_links(docs: DataFrame, words: int, least: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (id, n, digest), the classes of equal sets (digest and their smallest id, the
+    head), and links between heads."""
     text_batches(docs.sparkSession)
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    source = docs.select("id", "text")
     base = checkpoint(document_sets(source, words))
     with_id = source.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     heads = checkpoint(base.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("id")))
     one_of_each = document_leaves(with_id, words, leaf_size(least)).groupBy("digest").agg(F.min("id").alias("id"), F.first("leaves").alias("leaves"))
-    links = find_links(one_of_each, with_id, words, least)
+    return base, heads, find_links(one_of_each, with_id, words, least, every)
+
+
+def with_components(base: DataFrame, heads: DataFrame, links: DataFrame) -> DataFrame:
     own = base.where(F.col("id").isNotNull() & F.col("digest").isNotNull()).join(heads.select("digest", F.col("id").alias("head")), "digest")
     repeated = own.where("id != head").select("id", "head").distinct()  # copies: one link each to the head
     return attach(base, heads, links, repeated)
 
 
+def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+
+
+def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id. Components only: pairs that
+    are connected already are not compared."""
+    return with_components(*class_links(named(docs, doc_id, text), words, least, False)).drop("digest")
+
+
+def all_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """a, b: every link between different sets, each by the smallest id that has it, a > b."""
+    return class_links(named(docs, doc_id, text), words, least, True)[2]
+
+
+def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, n_links. The last is the number
+    of different sets, other than its own, that the row's set is linked with; its work and
+    the links grow with the square of a group of near copies."""
+    base, heads, links = class_links(named(docs, doc_id, text), words, least, True)
+    links = checkpoint(links)
+    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
+    of_digest = heads.join(ends, "id").select("digest", "n_links")
+    joined = with_components(base, heads, links).join(of_digest, "digest", "left")
+    return joined.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
 def attach(base: DataFrame, heads: DataFrame, links: DataFrame, copies: DataFrame) -> DataFrame:
-    """The component of each row. Copies lie in their head's component; an id with several
+    """The digest and component of each row. Copies lie in their head's component; an id with several
     sets connects theirs."""
     several = copies.groupBy("id").agg(F.min("head").alias("lo"), F.max("head").alias("hi"), F.count("*").alias("k"))
     also_head = copies.join(heads.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("head").alias("b"))
@@ -297,7 +331,7 @@ def attach(base: DataFrame, heads: DataFrame, links: DataFrame, copies: DataFram
     of_digest = heads.select("digest", F.col("id").alias("head")).join(labels.withColumnRenamed("id", "head"), "head", "left")
     of_digest = of_digest.select("digest", F.coalesce("component", "head").alias("component"))
     joined = base.select("id", "n", "digest").join(of_digest, "digest", "left")
-    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return joined.select("digest", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: int = 80) -> DataFrame:

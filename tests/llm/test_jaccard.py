@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from riskloom.llm.jaccard_join import join_documents, keep_one, leaf_size, leaves, shingles
+from riskloom.llm.jaccard_join import all_links, join_documents, keep_one, leaf_size, leaves, link_documents, shingles
 from tests.llm.helpers import hard_frame, hard_rows
 
 
@@ -108,3 +108,31 @@ def test_keep_one(spark):
     kept = keep_one(frame)
     assert kept.columns == frame.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(d for d, _, c in brute(rows, 5, 80) if d == c)
+
+
+@pytest.mark.parametrize("words, least", [(3, 90), (5, 80)])
+def test_every_link(spark, words, least):
+    rows = variants(6, 200, [1, 5, 12, 13, 20, 40, 80, 200]) + [(None, "no id here"), (1000, None), (1001, "")]
+    rows += [(1002, rows[0][1]), rows[1]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    heads = {}
+    for i, t in rows:
+        if i is not None and (own := plain_set(t, words)):
+            heads[own] = min(heads.get(own, i), i)
+    links = {(max(heads[x], heads[y]), min(heads[x], heads[y])) for x in heads for y in heads if x != y and 100 * len(x & y) >= least * len(x | y)}
+    assert len(links) > 20
+    got = [(r.a, r.b) for r in all_links(frame, words=words, least=least).collect()]
+    assert sorted(got) == sorted(links)
+    ends = [i for link in links for i in link]
+    found = link_documents(frame, words=words, least=least).collect()
+    expected = sorted((str(i), ends.count(heads.get(plain_set(t, words)))) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_links) for r in found) == expected
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute(rows, words, least)
+
+
+def test_three_near_copies_have_three_links(spark):
+    text = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([f"new{k}" if k and i == 60 * k else w for i, w in enumerate(text)])) for k in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.a, r.b) for r in all_links(frame).collect()) == [(1, 0), (2, 0), (2, 1)]
+    assert all(r.n_links == 2 for r in link_documents(frame).collect())
