@@ -3,7 +3,13 @@
 The page is read into a tree of structural elements (inline markup is transparent).
 Every paragraph-like block gives points for its length and its commas to its ancestors,
 less with each level, discounted by the share of its text that stands in links. The best
-container is kept with those siblings that score near it or are prose of their own.
+container is kept with those siblings that score near it or are prose of their own, and
+with the headings, lists, quotes, tables and sections between them.
+
+Forms and sections whose name tells that they are no part of the article are in doubt:
+they are left out, unless the best container lies in one, which counts less. For that they
+must hold most of the page's points or its only article. If nothing is found, the page is
+read again without regard to names.
 
 Defined results: a null or empty page, or one without text outside menus and the like,
 gives the empty text; unclosed, cut-off and misnested markup is read as browsers do for
@@ -26,7 +32,12 @@ from riskloom.llm.common import as_texts
 #: Content of these is no text of the page.
 SILENT = frozenset("script style noscript template iframe object svg math head title textarea select option button input canvas audio video map datalist".split())
 #: Sections that are never the article.
-ASIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
+ASIDE = frozenset("nav header footer aside menu dialog".split())
+#: Sections that are the article only if there is no other; what a score in one is worth.
+DOUBTFUL = frozenset(("form", "fieldset"))
+DOUBT = 0.25
+#: Share of a section's text in links up to which it is prose.
+MOST_LINKED = 0.25
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end a block of text where they begin and end.
@@ -48,10 +59,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "score", "text_len", "link_len", "order")
+    __slots__ = ("name", "parent", "children", "score", "text_len", "link_len", "order", "in_doubt")
 
-    def __init__(self, name: str, parent: Node | None, order: int) -> None:
-        self.name, self.parent, self.order = name, parent, order
+    def __init__(self, name: str, parent: Node | None, order: int, in_doubt: bool = False) -> None:
+        self.name, self.parent, self.order, self.in_doubt = name, parent, order, in_doubt
         self.children: list[Node | Block] = []
         self.score, self.text_len, self.link_len = 0.0, 0, 0
 
@@ -65,16 +76,17 @@ class Block:
         self.parent, self.text, self.linked = parent, text, linked
 
 
+def hidden(attributes: str) -> bool:
+    return any(m[5] or m[6] or m[7] for m in NAMED.finditer(attributes))
+
+
 def unlikely(attributes: str) -> bool:
-    for m in NAMED.finditer(attributes):
-        if m[5] or m[6] or m[7] or UNLIKELY.search(m[2] or m[3] or m[4] or ""):
-            return True
-    return False
+    return any(UNLIKELY.search(m[2] or m[3] or m[4] or "") for m in NAMED.finditer(attributes))
 
 
-def parse(html: str) -> tuple[Node, list[Block]]:
-    """The tree of structural elements without silent and aside parts, and its blocks in
-    page order."""
+def parse(html: str, by_name: bool = True) -> tuple[Node, list[Block]]:
+    """The tree of structural elements without silent, hidden and aside parts, and its blocks
+    in page order; `by_name`: names put sections in doubt."""
     root = Node("html", None, 0)
     at, made = root, 1
     blocks: list[Block] = []
@@ -164,18 +176,19 @@ def parse(html: str) -> tuple[Node, list[Block]]:
                     at = at.parent
             if name in VOID:
                 continue
-            if name in ASIDE or name in SILENT or (name not in ("html", "body", "article", "main") and unlikely(m[3])):
+            whole = name in ("html", "body", "article", "main")
+            if name in ASIDE or name in SILENT or not whole and hidden(m[3]):
                 flush()
                 stack_names.append(name)
                 continue
             if name in ("html", "body") and any(x.name == name for x in ancestors(at)):
                 continue
-            node = Node(name, at, made)
+            node = Node(name, at, made, not whole and by_name and (name in DOUBTFUL or unlikely(m[3])))
             made += 1
             at.children.append(node)
             at = node
             in_link = 0
-        elif not end and m[3] and name not in VOID and unlikely(m[3]) and not m[3].rstrip().endswith("/"):
+        elif not end and m[3] and name not in VOID and (hidden(m[3]) or by_name and unlikely(m[3])) and not m[3].rstrip().endswith("/"):
             stack_names.append(name)
     flush()
     return root, blocks
@@ -187,44 +200,120 @@ def ancestors(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
+def points_of(block: Block) -> float:
+    return (1 + block.text.count(",") + min(len(block.text) / 100, 3)) * (1 - block.linked / len(block.text) if block.linked <= len(block.text) else 0)
+
+
+def believed(blocks: list[Block]) -> set[int]:
+    """Sections in doubt that may hold the article nevertheless: those with most of the
+    page's points, if no article outside such sections has a tenth of theirs, and those with
+    an article, if none lies outside. Sections with both are in doubt no more."""
+    points: dict[int, float] = {}
+    seen: dict[int, Node] = {}
+    with_article: set[int] = set()
+    total = outside = 0.0
+    for b in blocks:
+        own = points_of(b)
+        total += own
+        article, free = False, True
+        for node in ancestors(b.parent):
+            article = article or node.name in ("article", "main")
+            if node.in_doubt:
+                free = False
+                seen[node.order] = node
+                points[node.order] = points.get(node.order, 0.0) + own
+                if article:
+                    with_article.add(node.order)
+        if article and free:
+            outside += own
+    most = {k for k, v in points.items() if 2 * v > total and v > 10 * outside}
+    if outside:
+        return most
+    for k in most & with_article:
+        seen[k].in_doubt = False
+    return most | with_article
+
+
 def extract(html: str) -> str:
     """The article's blocks joined by newlines."""
-    root, blocks = parse(html)
-    if not blocks:
-        return ""
+    return read(*parse(html)) or read(*parse(html, by_name=False))
+
+
+def read(root: Node, blocks: list[Block]) -> str:
+    may = believed(blocks)
     candidates: dict[int, Node] = {}
+    whole: dict[int, list[int]] = {}  # length and linked length of all text below
     for b in blocks:
+        if any(n.in_doubt and n.order not in may for n in ancestors(b.parent)):
+            continue
         own = b.parent
         holder = own if own.name in ("p", "pre", "td", "blockquote") or own.name[:1] == "h" and own.name[1:].isdigit() else None
-        points = (1 + b.text.count(",") + min(len(b.text) / 100, 3)) * (1 - b.linked / len(b.text) if b.linked <= len(b.text) else 0)
+        points = points_of(b)
+        for node in ancestors(own):
+            sums = whole.setdefault(node.order, [0, 0])
+            sums[0] += len(b.text)
+            sums[1] += b.linked
+            if node.in_doubt:
+                break
+        if own.in_doubt:
+            holder = None
         for depth, node in enumerate(ancestors(holder.parent if holder and holder.parent else own)):
             node.text_len += len(b.text)
             node.link_len += b.linked
             if depth < 5:
                 node.score += points / (1 if depth == 0 else 2 * depth)
                 candidates[node.order] = node
-    value = {n.order: n.score * (1 - min(1.0, n.link_len / max(1, n.text_len))) for n in candidates.values()}
+            if node.in_doubt:  # nothing for what lies around it
+                break
+    if not candidates:
+        return ""
+    doubt = lambda node: DOUBT ** sum(n.in_doubt for n in ancestors(node))
+    value = {n.order: n.score * (1 - min(1.0, n.link_len / max(1, n.text_len))) * doubt(n) for n in candidates.values()}
     best = max(candidates.values(), key=lambda n: (value[n.order], -n.order))
     for node in ancestors(best):  # a part of an article stands for all of it
         if node.name in ("article", "main"):
             best = node
             break
     kept = {best.order}
-    if best.name not in ("article", "main") and best.parent is not None:
-        for sibling in best.parent.children:
-            if isinstance(sibling, Node):
-                near = value.get(sibling.order, 0) >= max(10.0, 0.2 * value[best.order])
-                text = "".join(c.text for c in sibling.children if isinstance(c, Block))
-                linked = sum(c.linked for c in sibling.children if isinstance(c, Block))
-                prose = sibling.name == "p" and text and linked <= 0.25 * len(text)
-                heading = sibling.name == "h1"
-                if near or prose or heading:
-                    kept.add(sibling.order)
+    loose: set[int] = set()  # kept blocks beside the kept containers
+    if best.name not in ("article", "main") and best.parent is not None and not best.in_doubt:
+        siblings = best.parent.children
+        headings = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+        def plain(x: Node | Block) -> bool:
+            size, linked = (len(x.text), x.linked) if isinstance(x, Block) else whole.get(x.order, (0, 0))
+            return linked <= MOST_LINKED * size
+
+        def stands(x: Node | Block) -> bool:
+            if isinstance(x, Block) or x.in_doubt:
+                return False
+            near = value.get(x.order, 0) >= max(10.0, 0.2 * value[best.order])
+            part = best.name == x.name == "section" or x.name == "p" and x.order in whole
+            return x is best or near or x.name == "h1" or part and plain(x)
+
+        at = [i for i, x in enumerate(siblings) if stands(x)]
+        first, last = at[0], at[-1]
+        kept.update(siblings[i].order for i in at)
+        while first and isinstance(x := siblings[first - 1], Node) and x.name in headings and not x.in_doubt:
+            first -= 1
+            kept.add(x.order)
+        for x in siblings[first : last + 1]:
+            if isinstance(x, Block):
+                if plain(x):
+                    loose.add(id(x))
+            elif not x.in_doubt and plain(x):
+                kept.add(x.order)
     elif best.name == "article" and best.parent is not None:
         for sibling in best.parent.children:
             if isinstance(sibling, Node) and sibling.name == "article" and value.get(sibling.order, 0) >= 0.2 * value.get(best.order, 0):
                 kept.add(sibling.order)
-    return "\n".join(b.text for b in blocks if any(n.order in kept for n in ancestors(b.parent)))
+    around = {n.order for n in ancestors(best)}
+    out = []
+    for b in blocks:
+        way = list(ancestors(b.parent))
+        if (id(b) in loose or any(n.order in kept for n in way)) and all(n.order in around for n in way if n.in_doubt):
+            out.append(b.text)
+    return "\n".join(out)
 
 
 def main_text(html: Column) -> Column:

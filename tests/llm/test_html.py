@@ -49,3 +49,30 @@ def test_nulls_repeats_and_extra_columns(spark):
     got = sorted((str(r.page_id), r.n_chars) for r in extract_pages(frame).collect())
     assert got == [("1", 4), ("1", 4), ("2", 4), ("3", 219_999), ("None", 0)]
     assert extract_pages(frame.limit(0)).count() == 0
+
+
+BODY = "<h1>T</h1><p>One, two, three</p><p>Four, five, six</p>"
+PLAIN = "T\nOne, two, three\nFour, five, six"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><div class='content with-sidebar'>{BODY}</div></body>", PLAIN),
+        (f"<body><div class='post social-post'><article>{BODY}</article><div class=comments><p>c, c, c</p></div></div></body>", PLAIN),
+        (f"<body><form id=aspnet action=x><nav>n</nav><div>{BODY}</div><div class=sidebar><p>no, no</p></div></form></body>", PLAIN),
+        (f"<body><form><fieldset><main>{BODY}</main></fieldset></form><footer>f</footer><p>imprint <a href=x>here</a></p></body>", PLAIN),
+        (f"<article>{BODY}</article><div class=related><article><p>card, card, card</p></article></div><div class=comments><p>{'c, ' * 40}</p></div>", PLAIN),
+        ("<div id=sidebar><ul><li>a<li>b</ul></div>", "a\nb"),
+        ("<div hidden><p>a, b, c</p></div>", ""),
+        (
+            "<div><section><p>" + "Long, text. " * 40 + "</p></section><h2>Sub</h2><ul><li>a</ul><blockquote>q</blockquote><table><tr><td>t</table>"
+            "<section><p>Short</p></section><div class=share><p>no</p></div><ul><li><a href=x>link</a></ul></div>",
+            "Long, text. " * 39 + "Long, text.\nSub\na\nq\nt\nShort",
+        ),
+        ("<div><h3>Head</h3><div><p>" + "Long, text. " * 40 + "</p></div></div>", "Head\n" + "Long, text. " * 39 + "Long, text."),
+        (f"<div class='content with-sidebar'>{BODY * 4}</div><section><article><a href=x>card</a></article></section>", "\n".join([PLAIN] * 4)),
+    ],
+)
+def test_sections_in_doubt_and_siblings(page, text):
+    assert extract(page) == text
