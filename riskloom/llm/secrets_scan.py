@@ -7,7 +7,8 @@ A state of the combined automaton is a tuple with one entry per rule: the live t
 that rule, earliest start first. Once a thread has matched, later threads of its rule are
 cut and no new ones start until it dies, which is leftmost, longest, non-overlapping
 matching for each rule by itself. Starts are found by the rule's reversed automaton, run
-back from the end of a match.
+back from the end of a match. A private key's header is found by its rule; its span then
+goes on to the END line.
 
 Defined results: a null or empty text has no spans; spans are in code points, end
 exclusive; repeated rows are scanned each; extra columns pass through `redact` and
@@ -52,6 +53,11 @@ MORE_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY", r"-", 5),
 )
 RULES = BASE_RULES + MORE_RULES
+#: What a `pem` span goes on over: the key's lines to the END line, or, of a key cut off, the
+#: long runs of base64 and one run after them. It ends before the next key, so that each
+#: character is read for one key only.
+PEM_KEY = re.compile(r"""(?:[A-Za-z0-9+/=\s\\,:;()._>#*|"']|-(?!----BEGIN))*?-----END [A-Z ]*PRIVATE KEY-----""")
+PEM_CUT = re.compile(r"""(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{40,})+(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]+)?""")
 
 
 class _Nfa:
@@ -319,7 +325,13 @@ class SecretAutomaton:
                 n += len(data[at:b].decode("utf-8"))
                 at, place[b] = b, n
             spans = [(place[s], r, place[e]) for s, r, e in spans]
-        return [(self.kinds[r], s, e) for s, r, e in spans]
+        return [(self.kinds[r], s, key_end(text, e) if self.kinds[r] == "pem" else e) for s, r, e in spans]
+
+
+def key_end(text: str, at: int) -> int:
+    """Where the private key ends whose header ends at `at`."""
+    m = PEM_KEY.match(text, at) or PEM_CUT.match(text, at)
+    return m.end() if m else at
 
 
 def join_spans(spans: list[tuple[str, int, int]]) -> str:
