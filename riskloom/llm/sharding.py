@@ -30,12 +30,6 @@ RUN_ROWS = 20_000
 SHARDS = 8
 
 
-def sortable(value: Column) -> Column:
-    """First six bytes of a string as a number of the same order; null as -1."""
-    prefix = F.rpad(F.hex(F.substring(value.cast("string").cast("binary"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(prefix, 16, 10).cast("double"), F.lit(-1.0))
-
-
 def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
     """Place on the Hilbert curve of a grid cell with the given coordinates. The state of
     the loop over bit planes, an array, is a lambda's argument, so nothing is computed twice."""
@@ -75,12 +69,33 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
     return F.transform(F.array(gray), finish)[0]
 
 
-def grid(docs: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> DataFrame:
-    """Adds `cell`, the Hilbert place of each row. Cuts are approximate quantiles, of which
-    a sketch of fixed size is kept; equal cuts fall together."""
+def string_cuts(docs: DataFrame, value: Column, shares: list[float]) -> list[str | None]:
+    """The values at the given shares of the rows, in the order of the strings, null first;
+    equal cuts once. Rows are counted by distinct value; the running total goes over ranges
+    of values, so no task has them all."""
+    counts = docs.groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+    ranged = checkpoint(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("n"))  # one row a partition
+    parts = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(everything).alias("total"))
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = ranged.withColumn("reach", F.sum("n").over(inside)).join(F.broadcast(parts), "part")
+    at = lambda s: F.min(F.when(F.col("before") + F.col("reach") >= s * F.col("total"), F.struct("v")))
+    found = reach.agg(*[at(s).alias(f"c{i}") for i, s in enumerate(shares)]).first()  # one row
+    return list(dict.fromkeys(c["v"] for c in found if c is not None))
+
+
+def grid(docs: DataFrame, dimensions: dict[str, Column], bits: int = BITS, names: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `cell`, the Hilbert place of each row. Cuts of numbers are approximate quantiles,
+    of which a sketch of fixed size is kept, those of the columns `names` are whole strings;
+    equal cuts fall together."""
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = docs.agg(*[F.array_distinct(F.percentile_approx(v, F.array(*map(F.lit, shares)), F.lit(1000))).alias(k) for k, v in dimensions.items()]).first()  # one row
-    code = lambda k, v: reduce(lambda a, c: a + F.when(v > c, 1).otherwise(0), cuts[k] or [], F.lit(0))
+    cuts = docs.agg(*[F.array_distinct(F.percentile_approx(v, F.array(*map(F.lit, shares)), F.lit(1000))).alias(k) for k, v in dimensions.items()]).first().asDict()  # one row
+    dimensions = {**{n: F.col(n) for n in names}, **dimensions}
+    cuts |= {n: string_cuts(docs, F.col(n), shares) for n in names}
+    above = lambda v, c: v.isNotNull() if c is None else v > c
+    code = lambda k, v: reduce(lambda a, c: a + F.when(above(v, c), 1).otherwise(0), cuts[k] or [], F.lit(0))
     coded = docs.withColumns({f"code_{k}": F.coalesce(code(k, v), F.lit(0)) for k, v in dimensions.items()})
     codes = [f"code_{k}" for k in dimensions]
     cells = coded.select(*codes).distinct()  # at most 2 ** (bits * dimensions)
@@ -110,11 +125,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        sortable(F.col(lang)).alias("lang_key"),
-        sortable(F.col(source)).alias("source_key"),
+        F.col(lang).cast("string").alias("lang"),
+        F.col(source).cast("string").alias("source"),
     ))  # the texts are read once; what follows counts and joins these narrow rows
-    dimensions = {"lang": F.col("lang_key"), "source": F.col("source_key"), "size": F.col("size").cast("double"), "id": F.col("doc_id").cast("double")}
-    placed = positions(grid(rows, dimensions, bits), ["doc_id", "size", "text_crc32"], run_rows)
+    dimensions = {"size": F.col("size").cast("double"), "id": F.col("doc_id").cast("double")}
+    placed = positions(grid(rows, dimensions, bits, ("lang", "source")), ["doc_id", "size", "text_crc32"], run_rows)
     exact = placed.withColumn("shard", F.expr(f"(position * {shards}) div total").cast("int"))
     first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
     return exact.select("doc_id", "size", "text_crc32", "cell", "shard", (F.col("position") - first).alias("slot"))

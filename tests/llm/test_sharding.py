@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm.sharding import hilbert_index, shard_documents, write_shards
+from riskloom.llm.sharding import hilbert_index, shard_documents, string_cuts, write_shards
 from tests.llm.helpers import hard_frame, hard_rows
 
 
@@ -46,3 +46,19 @@ def test_files(spark, tmp_path):
     write_shards(frame, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == frame.count() and back.select("shard").distinct().count() == 8
+
+
+def test_sources_with_one_prefix_have_cells_of_their_own(spark):
+    rows = [(7, "same text", "en", f"https://www.example.org/{i % 8}") for i in range(800)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert len({r.cell for r in shard_documents(frame).collect()}) == 8
+
+
+def test_cuts_are_whole_strings(spark):
+    values = [None] * 30 + [""] * 5 + [f"common_crawl_{i % 50:02}" for i in range(300)] + ["é"] * 65
+    frame = spark.createDataFrame([(v,) for v in reversed(values)], "v string").repartition(7)
+    shares = [i / 16 for i in range(1, 16)]
+    order = sorted(values, key=lambda v: (v is not None, (v or "").encode()))
+    expected = list(dict.fromkeys(order[-int(-s * len(order) // 1) - 1] for s in shares))
+    assert string_cuts(frame, F.col("v"), shares) == expected
+    assert string_cuts(frame.limit(0), F.col("v"), shares) == []
