@@ -27,9 +27,9 @@ Classes of equal sets are joined as one document. Components follow from the lin
 
 Defined results: a null, empty or blank text has the empty set and links with nothing,
 not even with its like; a text with fewer words than a shingle has its words as the one
-shingle; rows with the same id are one document, each with its own size; rows without an
-id take part through an equal set that has one, otherwise their component is null; repeated
-rows come out each; an empty table gives no rows.
+shingle; rows with the same id are one document, each with its own size, and each of its
+texts links on its own; rows without an id take part through an equal set that has one,
+otherwise their component is null; repeated rows come out each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,12 +38,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import as_texts, text_batches
+from riskloom.llm.common import text_batches
 from riskloom.session import checkpoint
 
 #: Similarity in hundredths, words of a shingle, parts of the universe used as pivots.
@@ -104,7 +103,8 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def leaves(values: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the leaves of a sorted set, each of its place in the universe and its content."""
+    """Hashes of the leaves of a sorted set, each of its place in the universe and its content,
+    with the leaf's number of shingles in the low seven bits."""
     out, mixed, depth = [], mix(values + _U(_PRIME)), 0
     with np.errstate(over="ignore"):
         while len(values):
@@ -114,7 +114,8 @@ def leaves(values: np.ndarray, size: int) -> np.ndarray:
             done = (count <= size) | (depth >= 63)
             if done.any():
                 content = np.add.reduceat(mixed, first)
-                out.append(mix(content[done] + mix(part[first][done] * _U(_PRIME) + _U(depth + 1))))
+                place = mix(content[done] + mix(part[first][done] * _U(_PRIME) + _U(depth + 1)))
+                out.append((place & ~_U(_MASS)) | np.minimum(count[done], _MASS).astype(_U))
                 stay = np.repeat(~done, count)
                 values, mixed = values[stay], mixed[stay]
             depth += 1
@@ -125,32 +126,42 @@ def digest_of(values: np.ndarray) -> bytes | None:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
 
 
-def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """id, set size, digest of the set (null if empty)."""
+#: Largest size that a region's hash can carry in its low bits.
+_MASS = 127
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingles(t, words) for t in as_texts(b["text"])]
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "n": [len(s) for s in sets], "digest": [digest_of(s) for s in sets]})
-
-    return docs.mapInPandas(run, "id long, n long, digest binary")
+ROWS = "id long, n long, digest binary, parts array<tinyint>, leaves array<long>"
 
 
-def document_leaves(docs: DataFrame, words: int, size: int) -> DataFrame:
-    """digest, id and leaves of the documents that have a set and an id."""
+def document_rows(docs: DataFrame, words: int, size: int) -> DataFrame:
+    """id, set size and digest of each row; of the sets that are not empty also their counts in
+    the parts of the universe (up to 127) and the leaves."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, words) for t in as_texts(b["text"])]
-            out = pd.DataFrame({"digest": [digest_of(s) for s in sets], "id": b["id"].to_numpy(), "leaves": [leaves(s, size).astype(np.int64) for s in sets]})
-            yield out[[len(s) > 0 for s in sets]]
+            sets = [shingles(t or "", words) for t in b.column(1).to_pylist()]
+            own = [s if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).cast(pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([digest_of(s) for s in sets], pa.binary()),
+                    pa.array([None if s is None else part_counts(s) for s in own], pa.list_(pa.int8())),
+                    pa.array([None if s is None else leaves(s, size).astype(np.int64) for s in own], pa.list_(pa.int64())),
+                ],
+                names=["id", "n", "digest", "parts", "leaves"],
+            )
 
-    return docs.mapInPandas(run, "digest binary, id long, leaves array<long>")
+    return docs.select("id", "text").mapInArrow(run, ROWS)
+
+
+def part_counts(values: np.ndarray) -> np.ndarray:
+    place = (values & _U(PARTS - 1)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=PARTS), 127).astype(np.int8)
 
 
 def region_members(members: DataFrame) -> DataFrame:
-    """region, id and pivot (the smallest id) of the regions with two members or more, from
-    (region, id): one shuffle, then one pass along the sorted partitions, a batch at a time."""
+    """region, key and pivot (the smallest key) of the regions with two members or more, from
+    (region, key): one shuffle, then one pass along the sorted partitions, a batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, pivot, alone = None, 0, False
@@ -170,9 +181,9 @@ def region_members(members: DataFrame) -> DataFrame:
             kept = np.concatenate([np.ones(head, dtype=bool), np.repeat(length > 1, length)])
             region, pivot = r[-1], int(pivots[-1])
             alone = len(first) > 0 and bool(length[-1] == 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x[kept], pa.int64()) for x in (r, i, pivots)], names=["region", "id", "pivot"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept], pa.int64()) for x in (r, i, pivots)], names=["region", "key", "pivot"])
 
-    return members.repartition("region").sortWithinPartitions("region", "id").mapInArrow(run, "region long, id long, pivot long")
+    return members.repartition("region").sortWithinPartitions("region", "key").mapInArrow(run, "region long, key long, pivot long")
 
 
 #: Bits of the filter that spares most texts a second look. A fixed size, whatever the table.
@@ -187,31 +198,30 @@ def id_filter(ids: DataFrame) -> dict[int, bytes]:
     return {r["number"]: bytes(r["bits"]) for r in maps.collect()}
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id, size, the set and its number of shingles in each part of the universe (up to 127)
-    of the documents with these ids. The filter drops most other texts where they are
-    read; the exact join has only what passes."""
-    bits = id_filter(ids)
+def sets_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """key, size and set of these classes (key, id, digest). The filter of ids drops most
+    other texts where they are read; the exact join by digest has only what passes."""
+    bits = id_filter(classes.select("id"))
     place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
     numbered = docs.select("id", "text", F.bitmap_bucket_number(place).alias("number"), F.bitmap_bit_position(place).alias("place"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            number, place = b["number"].to_numpy(), b["place"].to_numpy()
-            hit = np.array([n in bits and bits[n][p >> 3] >> (p & 7) & 1 for n, p in zip(number.tolist(), place.tolist(), strict=True)], dtype=bool)
-            own = b[hit]
-            sets = [shingles(t, words).astype(np.int64) for t in own["text"]]
-            parts = [np.minimum(np.bincount(s & (PARTS - 1), minlength=PARTS), 127).astype(np.int8) for s in sets]
-            yield pd.DataFrame({"id": own["id"].to_numpy(), "n": [len(s) for s in sets], "values": sets, "parts": parts})
+            places = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+            hit = [n in bits and bool(bits[n][p >> 3] >> (p & 7) & 1) for n, p in places]
+            sets = [s for t in b.column(1).filter(pa.array(hit, pa.bool_())).to_pylist() if len(s := shingles(t or "", words))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digest_of(s) for s in sets], pa.binary()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "values"]
+            )
 
-    found = numbered.mapInPandas(run, "id long, n long, values array<long>, parts array<tinyint>")
-    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    found = numbered.mapInArrow(run, "digest binary, values array<long>")
+    return found.join(classes.select("digest", "key"), "digest").groupBy("key").agg(F.first("values").alias("values")).select("key", F.size("values").cast("long").alias("n"), "values")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b with the sizes of both sets and of their intersection."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("values").alias("values_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("values").alias("values_b"))
+    left = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("values").alias("values_a"))
+    right = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("values").alias("values_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("values_a", "values_b")).cast("long").alias("common"))
 
@@ -228,7 +238,7 @@ def components(links: DataFrame) -> DataFrame:
     """id, component: the smallest id that links lead to. Each round every node takes the
     smallest label around it and then its label's label, until nothing changes."""
     if links.isEmpty():
-        return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        return links.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
     edges = checkpoint(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpoint(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
     while True:
@@ -242,62 +252,121 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def find_links(leaves_of: DataFrame, docs: DataFrame, words: int, least: int, every: bool = False) -> DataFrame:
-    """a, b: links enough to connect all that links connect, or every link, a > b.
-    `leaves_of` has id and leaves of documents with different sets."""
-    met = checkpoint(region_members(leaves_of.select(F.explode("leaves").alias("region"), "id")))
-    sets = checkpoint(sets_of(docs, met.select("id").distinct(), words))
-    known = checkpoint(compared(met.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets))
+#: Members from which a region counts as hot, and its members are looked at before they meet.
+HOT = 200
+
+
+def hot_share(least: int) -> float:
+    """Least share of the union of two close sets that lies in their equal leaves. Elsewhere the
+    parts' similarity is size / (size + 1) at most, and the whole is a weighted mean."""
+    other = (size := leaf_size(least)) / (size + 1)
+    return (least / 100 - other) / (1 - other)
+
+
+def without_chance_meetings(met: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+    """The members of regions less those whom only chance brought into a hot one, such as a
+    passage that very many documents share. Two close sets that meet in hot regions alone have
+    `hot_share` of their union in them, so a set with less of it there meets all that it is close
+    to elsewhere."""
+    hot = met.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > HOT).select("region")
+    told = checkpoint(met.join(hot.withColumn("hot", F.lit(True)), "region", "left"))
+    inside = told.where("hot").select("region", "key")
+    mass = inside.groupBy("key").agg(F.sum(F.col("region").bitwiseAND(_MASS)).alias("mass"))
+    heavy = mass.join(sizes.select("key", "n"), "key").where(F.col("mass") >= hot_share(least) * F.col("n") - 1e-9).select("key")
+    stay = inside.join(heavy, "key", "left_semi")
+    heads = stay.groupBy("region").agg(F.min("key").alias("pivot"))
+    return told.where("hot IS NULL").select("region", "key", "pivot").union(stay.join(heads, "region").select("region", "key", "pivot"))
+
+
+def near_sizes(least: int):
+    """Whether the windows of the fixed pivots (set sizes and counts in the parts) let a pair be
+    close; columns n and parts with the endings _a and _b."""
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    differ = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, v: s + v)
+    return (100 * F.least(n_a, n_b) >= least * F.greatest(n_a, n_b)) & ((100 + least) * differ <= (100 - least) * (n_a + n_b))
+
+
+def find_links(entries: DataFrame, classes: DataFrame, docs: DataFrame, words: int, least: int, every: bool = False) -> DataFrame:
+    """a, b: links between keys enough to connect all that links connect, or every link.
+    `entries` has the region and key of the leaves, `classes` key, id, digest, n and parts of
+    the different sets."""
+    met = checkpoint(without_chance_meetings(checkpoint(region_members(entries)), classes, least))
+    narrow = classes.join(met.select("key").distinct(), "key", "left_semi").select("key", "n", "parts")
+    a, b = (narrow.select(*[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "parts")]) for side in "ab")
+    with_pivot = met.where("key != pivot").select(F.col("key").alias("key_a"), F.col("pivot").alias("key_b")).distinct()
+    first = checkpoint(with_pivot.join(a, "key_a").join(b, "key_b").where(near_sizes(least)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
+    known = checkpoint(compared(first, sets_of(docs, of_pairs(classes, first), words)))
     links = known.where(is_link(least)).select("a", "b")
     # without labels every document is a component of its own, and only the windows drop pairs
     labels = links.limit(0).select(F.col("a").alias("id"), F.col("b").alias("component")) if every else components(links)
-    found = links.union(compared(window_pairs(met, known, labels, sets, least), sets).where(is_link(least)).select("a", "b"))
+    second = checkpoint(window_pairs(met, known, labels, narrow, least))
+    found = links.union(compared(second, sets_of(docs, of_pairs(classes, second), words)).where(is_link(least)).select("a", "b"))
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct() if every else found
 
 
-def window_pairs(met: DataFrame, known: DataFrame, labels: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+def of_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    return classes.join(ends, "key", "left_semi").select("key", "id", "digest")
+
+
+def window_pairs(met: DataFrame, known: DataFrame, labels: DataFrame, narrow: DataFrame, least: int) -> DataFrame:
     """a, b: pairs of a region in different components, neither the pivot, that no window
-    drops."""
-    placed = met.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = placed.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("region")
-    apart = known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), distance().alias("d"))
-    rest = placed.where("id != pivot").join(several, "region", "left_semi").join(apart, ["id", "pivot"]).join(sets.select("id", "n", "parts"), "id")
-    rest = checkpoint(rest.select("region", "id", "component", "d", "n", "parts"))
-    x, y = (rest.select("region", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "d", "n", "parts")]) for side in "ab")
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    differ = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, v: s + v)
+    drops. Of two different components one at least is not the pivot's, so one side of a pair
+    is taken from there only; the other side lies in the same band of sizes or the next."""
+    placed = met.join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    of_pivot = labels.select(F.col("id").alias("pivot"), F.col("component").alias("main"))
+    placed = placed.join(of_pivot, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
+    several = placed.where("component != main").select("region").distinct()
+    apart = known.select(F.col("a").alias("key"), F.col("b").alias("pivot"), distance().alias("d"))
+    rest = placed.where("key != pivot").join(several, "region", "left_semi").join(apart, ["key", "pivot"], "left").join(narrow, "key")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / least))).cast("long")
+    rest = checkpoint(rest.select("region", "key", "component", "main", "d", "n", "parts", band.alias("band")))
+    x, y = (rest.select("region", "band", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "component", "main", "d", "n", "parts")]) for side in "ab")
+    x = x.where("component_a != main_a").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
     near = (
-        (F.col("id_a") < F.col("id_b"))
-        & (F.col("component_a") != F.col("component_b"))
-        & (100 * F.least(n_a, n_b) >= least * F.greatest(n_a, n_b))
-        & (F.abs(F.col("d_a") - F.col("d_b")) <= 1 - least / 100 + 1e-9)
-        & ((100 + least) * differ <= (100 - least) * (n_a + n_b))
+        (F.col("component_a") != F.col("component_b"))
+        & ((F.col("component_b") == F.col("main_b")) | (F.col("key_a") < F.col("key_b")))
+        & (F.col("d_a").isNull() | F.col("d_b").isNull() | (F.abs(F.col("d_a") - F.col("d_b")) <= 1 - least / 100 + 1e-9))
+        & near_sizes(least)
     )
-    return x.join(y, (x["region"] == y["region"]) & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    both = x.join(y, (x["region"] == y["region"]) & (x["band"] == y["band"]) & near)
+    return both.select(F.greatest("key_a", "key_b").alias("a"), F.least("key_a", "key_b").alias("b")).distinct()
 
 
 def class_links(docs: DataFrame, words: int, least: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows (id, n, digest), the classes of equal sets (digest and their smallest id, the
-    head), and links between heads."""
+    """The rows (id, n, digest), the classes of equal sets that have an id (key, smallest id,
+    digest, n and parts), and links between keys. The key of a class is the number of one of its rows."""
     text_batches(docs.sparkSession)
     source = docs.select("id", "text")
-    base = checkpoint(document_sets(source, words))
-    with_id = source.where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    heads = checkpoint(base.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("id")))
-    one_of_each = document_leaves(with_id, words, leaf_size(least)).groupBy("digest").agg(F.min("id").alias("id"), F.first("leaves").alias("leaves"))
-    return base, heads, find_links(one_of_each, with_id, words, least, every)
-
-
-def with_components(base: DataFrame, heads: DataFrame, links: DataFrame) -> DataFrame:
-    own = base.where(F.col("id").isNotNull() & F.col("digest").isNotNull()).join(heads.select("digest", F.col("id").alias("head")), "digest")
-    repeated = own.where("id != head").select("id", "head").distinct()  # copies: one link each to the head
-    return attach(base, heads, links, repeated)
+    rows = checkpoint(document_rows(source, words, leaf_size(least))).withColumn("row", F.monotonically_increasing_id())
+    base = rows.select("id", "n", "digest")
+    own = rows.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
+    same = own.groupBy("digest")
+    classes = checkpoint(same.agg(F.min("row").alias("key"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("parts").alias("parts")))
+    if least >= 100:
+        return base, classes, classes.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    entries = same.agg(F.min("row").alias("key"), F.first("leaves").alias("leaves")).select(F.explode("leaves").alias("region"), "key")
+    return base, classes, find_links(entries, classes, source.where(F.col("id").isNotNull() & F.col("text").isNotNull()), words, least, every)
 
 
 def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
 
 
+def with_components(base: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The digest and component of each row: the smallest id of the component. Sets of one id
+    are connected too."""
+    own = base.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).select("id", "digest").distinct().join(classes.select("digest", "key"), "digest")
+    several = own.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi")
+    bridges = several.join(own, "id").select(F.col("key").alias("a"), F.col("lo").alias("b")).where("a != b")
+    labels = checkpoint(components(links.union(bridges).distinct()))
+    least_id = labels.join(classes.select(F.col("key").alias("id"), F.col("id").alias("smallest")), "id").groupBy("component").agg(F.min("smallest").alias("component_id"))
+    of_key = labels.join(least_id, "component").select(F.col("id").alias("key"), "component_id")
+    of_digest = classes.join(of_key, "key", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
+    joined = base.join(of_digest, "digest", "left")
+    return joined.select("digest", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id. Components only: pairs that
     are connected already are not compared."""
@@ -305,41 +374,33 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def all_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
-    """a, b: every link between different sets, each by the smallest id that has it, a > b."""
-    return class_links(named(docs, doc_id, text), words, least, True)[2]
+    """a, b, digest_a, digest_b: every link between different sets, each by the smallest id and
+    the digest of the set, (a, digest_a) > (b, digest_b)."""
+    _, classes, links = class_links(named(docs, doc_id, text), words, least, True)
+    x, y = (classes.select(F.col("key").alias(side), F.struct("id", "digest").alias(f"of_{side}")) for side in "ab")
+    ends = links.join(x, "a").join(y, "b").select(F.greatest("of_a", "of_b").alias("x"), F.least("of_a", "of_b").alias("y"))
+    return ends.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.digest").alias("digest_a"), F.col("y.digest").alias("digest_b"))
 
 
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, n_links. The last is the number
     of different sets, other than its own, that the row's set is linked with; its work and
     the links grow with the square of a group of near copies."""
-    base, heads, links = class_links(named(docs, doc_id, text), words, least, True)
+    base, classes, links = class_links(named(docs, doc_id, text), words, least, True)
     links = checkpoint(links)
-    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    of_digest = heads.join(ends, "id").select("digest", "n_links")
-    joined = with_components(base, heads, links).join(of_digest, "digest", "left")
+    ends = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
+    of_digest = classes.join(ends, "key").select("digest", "n_links")
+    joined = with_components(base, classes, links).join(of_digest, "digest", "left")
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def attach(base: DataFrame, heads: DataFrame, links: DataFrame, copies: DataFrame) -> DataFrame:
-    """The digest and component of each row. Copies lie in their head's component; an id with several
-    sets connects theirs."""
-    several = copies.groupBy("id").agg(F.min("head").alias("lo"), F.max("head").alias("hi"), F.count("*").alias("k"))
-    also_head = copies.join(heads.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    bridges = several.where("k > 1").join(copies, "id").select(F.col("head").alias("a"), F.col("lo").alias("b")).where("a != b")
-    labels = components(links.union(also_head).union(bridges).where("a != b").distinct())
-    of_digest = heads.select("digest", F.col("id").alias("head")).join(labels.withColumnRenamed("id", "head"), "head", "left")
-    of_digest = of_digest.select("digest", F.coalesce("component", "head").alias("component"))
-    joined = base.select("id", "n", "digest").join(of_digest, "digest", "left")
-    return joined.select("digest", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-
-
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: int = 80) -> DataFrame:
     """The rows, with their columns, of one document of each component, that with the
-    smallest id; of repeated rows of an id one stays. Rows without an id stay unless their
-    set equals that of a document with one; documents with the empty set all stay."""
+    smallest id; of repeated rows of an id and text one stays, of an id with several texts
+    each different text. Rows without an id stay unless their set equals that of a document
+    with one; documents with the empty set all stay."""
     found = join_documents(docs, doc_id, text, words, least)
     gone = checkpoint(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct())
     left = docs.join(gone, F.col(doc_id).cast("long") == gone["gone_id"], "left_anti")
     named, unnamed = left.where(F.col(doc_id).isNotNull()), left.where(F.col(doc_id).isNull())
-    return named.dropDuplicates([doc_id]).unionByName(unnamed)
+    return named.dropDuplicates([doc_id, text]).unionByName(unnamed)

@@ -95,6 +95,42 @@ def test_hard_rows(spark):
     assert join_documents(hard_frame(spark).limit(0)).count() == 0
 
 
+def test_batches_without_a_hit(spark):
+    """One near pair among unrelated texts over 8 partitions: most batches have no candidate."""
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(30))) for i in range(40)]
+    base = [f"w{j}" for j in range(200)]
+    rows += [(100, " ".join(base)), (101, " ".join([*base[:-1], "other"]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert result(frame) == brute(rows, 3, 90)
+    assert sorted(r.doc_id for r in keep_one(frame).collect()) == [*range(40), 100]
+    assert [(r.a, r.b) for r in all_links(frame).collect()] == [(101, 100)]
+
+
+def test_one_id_heads_two_sets(spark):
+    a, b = [f"a{j}" for j in range(100)], [f"b{j}" for j in range(100)]
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, " ".join([*a[:-1], "x"])), (9, " ".join([*b[:-1], "y"])), (10, "far from all of these")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert result(frame) == brute(rows, 3, 90)
+    assert sorted((r.a, r.b) for r in all_links(frame).collect()) == [(8, 7), (9, 7)]
+    assert sorted((r.doc_id, r.n_links) for r in link_documents(frame).collect()) == [(7, 1), (7, 1), (8, 1), (9, 1), (10, 0)]
+    assert sorted(r.doc_id for r in keep_one(frame).collect()) == [7, 7, 10]
+
+
+def test_hot_regions(spark, monkeypatch):
+    """A passage that very many texts share, and texts that consist of little else."""
+    monkeypatch.setattr("riskloom.llm.jaccard_join.HOT", 5)
+    r = random.Random(12)
+    passage = [f"p{j}" for j in range(60)]
+    rows = []
+    for i in range(150):
+        own = [f"o{r.randrange(5000)}" for _ in range(r.choice([0, 1, 2, 4, 8, 20, 100, 400]))]
+        cut = r.randint(0, len(own))
+        rows.append((i, " ".join(own[:cut] + passage[: r.choice([60, 60, 58])] + own[cut:])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for words, least in ((3, 90), (5, 80)):
+        assert result(frame, words=words, least=least) == brute(rows, words, least)
+
+
 def test_rows_without_id_and_ids_with_two_texts(spark):
     text = " ".join(f"w{i}" for i in range(30))
     other = " ".join(f"v{i}" for i in range(30))
@@ -108,6 +144,7 @@ def test_keep_one(spark):
     kept = keep_one(frame)
     assert kept.columns == frame.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(d for d, _, c in brute(rows, 5, 80) if d == c)
+    assert keep_one(frame.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("words, least", [(3, 90), (5, 80)])
