@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, html_extract, jaccard_join, line_rules, packing, piece_bpe, quality, secrets_scan, sharding, toxicity
+from riskloom.llm import ann, html_extract, jaccard_join, line_rules, merkle, packing, piece_bpe, quality, secrets_scan, sharding, toxicity
 from riskloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,11 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply_rules(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
@@ -116,3 +121,52 @@ b AS (
 f AS (SELECT *, n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
 SELECT *, NOT base_failed AND n_words - n_removed_words >= CAST({line_rules.MIN_LEFT} AS DOUBLE) * n_words AS kept FROM f
 """
+
+#: crc32 of a decimal number, by a table that SQL makes.
+CRC32 = """
+bits AS (SELECT i, 0 AS n, CAST(i AS BIGINT) AS c FROM range(256) AS r(i)
+  UNION ALL SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE n < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS steps FROM bits WHERE n = 8),
+crcs AS (
+  SELECT k, xor(list_reduce([4294967295] || [CAST(ord(x) AS BIGINT) FOR x IN string_split(CAST(k AS VARCHAR), '')],
+    lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])), 4294967295) AS crc
+  FROM (SELECT DISTINCT {key} AS k FROM {table} WHERE {key} IS NOT NULL), crc_table)"""
+
+ORACLE["op11_merkle_manifest"] = rf"""
+WITH RECURSIVE {CRC32.format(key="doc_id", table="documents")},
+d AS (
+  SELECT row_number() OVER () AS r, documents.doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS key,
+    concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+    text, coalesce(crc, 0) % 3 = 0 AS hit FROM documents LEFT JOIN crcs ON k = doc_id),
+l AS (
+  SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS tampered FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY key) AS n FROM l),
+nodes AS (
+  SELECT key, 0 AS level, place, n, leaf AS h FROM p
+  UNION ALL SELECT key, level + 1, place // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY place)) FROM nodes WHERE n > 1 GROUP BY key, level, place // 8),
+subroots AS (SELECT key, h, row_number() OVER (ORDER BY encode(key)) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, place, n, h FROM subroots
+  UNION ALL SELECT level + 1, place // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY place)) FROM tops WHERE n > 1 GROUP BY level, place // 8),
+every AS (SELECT key, 0 AS part, level, place, h FROM nodes WHERE n > 1 UNION ALL SELECT '', 1, level, place, h FROM tops WHERE n > 1),
+sides AS (
+  SELECT a.key, a.part, a.level, a.place, coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before,
+    coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+  FROM every a JOIN every b ON a.key = b.key AND a.part = b.part AND a.level = b.level AND a.place // 8 = b.place // 8 GROUP BY ALL),
+heights AS (SELECT key, max(level) AS height FROM nodes GROUP BY key),
+steps AS (
+  SELECT p.r, x.part, x.level, x.before, x.after FROM p JOIN heights USING (key)
+    JOIN sides x ON x.part = 0 AND x.key = p.key AND x.place = p.place // CAST(power(8, x.level) AS BIGINT)
+  UNION ALL SELECT p.r, x.part, x.level, x.before, x.after FROM p JOIN subroots s ON s.key = p.key
+    JOIN sides x ON x.part = 1 AND x.place = s.place // CAST(power(8, x.level) AS BIGINT)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY part, level) AS k FROM steps),
+proof AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY k)) AS proof_sha256, max(k) AS k FROM numbered GROUP BY r),
+fold AS (
+  SELECT r, 0 AS k, tampered AS h FROM p
+  UNION ALL SELECT fold.r, numbered.k, sha256(before || h || after) FROM fold JOIN numbered ON numbered.r = fold.r AND numbered.k = fold.k + 1)
+SELECT p.doc_id, p.leaf, s.h AS subroot, t.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, fold.h AS folded_root, fold.h = t.h AS verified
+FROM p JOIN subroots s ON s.key = p.key CROSS JOIN (SELECT h FROM tops WHERE n = 1) t
+  LEFT JOIN proof ON proof.r = p.r JOIN fold ON fold.r = p.r AND fold.k = coalesce(proof.k, 0)
+"""
