@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, html_extract, jaccard_join, line_rules, merkle, packing, piece_bpe, quality, secrets_scan, sharding, toxicity
+from riskloom.llm import ann, html_extract, jaccard_join, line_rules, merkle, packing, piece_bpe, quality, secrets_scan, sharding, toxicity, turn_trie
 from riskloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.build_trie(read_table(spark, sf_dir, "conversations"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
@@ -170,3 +175,30 @@ SELECT p.doc_id, p.leaf, s.h AS subroot, t.h AS root, coalesce(proof_sha256, sha
 FROM p JOIN subroots s ON s.key = p.key CROSS JOIN (SELECT h FROM tops WHERE n = 1) t
   LEFT JOIN proof ON proof.r = p.r JOIN fold ON fold.r = p.r AND fold.k = coalesce(proof.k, 0)
 """
+
+ORACLE["op13_conversation_trie"] = rf"""
+WITH RECURSIVE {CRC32.format(key="conv_id", table="conversations")},
+turns AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+hashed AS (SELECT *, sha256(strlen(role) || ':' || role || text) AS digest FROM turns),
+own AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) - 1 AS place FROM hashed),
+convs AS (SELECT DISTINCT c, crc % 9 AS h FROM turns JOIN crcs ON k = c),
+parts AS (
+  SELECT v.c, 0 AS part, o.place, o.digest, strlen(o.text) AS size FROM convs v JOIN own o ON o.c = v.c - v.c % 5 AND o.place < v.h
+  UNION ALL SELECT v.c, 1, o.place, o.digest, strlen(o.text) FROM convs v JOIN own o ON o.c = v.c AND o.place >= v.h),
+path AS (SELECT c, list(digest ORDER BY part, place) AS digests, list(size ORDER BY part, place) AS sizes FROM parts GROUP BY c),
+whole AS (SELECT v.c, coalesce(digests, []) AS digests, coalesce(sizes, []) AS sizes FROM convs v LEFT JOIN path USING (c)),
+steps AS (SELECT c, digests, sizes, unnest(range(0, len(digests) + 1)) AS d FROM whole),
+cells AS (SELECT c, d, sha256(array_to_string(digests[1:d], ',')) AS node, sha256(array_to_string(digests[1:d - 1], ',')) AS above, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size, d = len(digests) AS closes FROM steps),
+nodes AS (
+  SELECT d, node, any_value(CASE WHEN d > 0 THEN above END) AS above, min(c) AS owner, count(*) AS n, any_value(size) AS size,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (closes), '')) AS ends FROM cells GROUP BY d, node),
+kids AS (SELECT d - 1 AS d, above AS node, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+told AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (d, node)),
+below AS (
+  SELECT cells.d, cells.node, sum((t.n - 1) * t.size) AS saved, count(*) FILTER (t.k = 0) AS leaves
+  FROM told t JOIN cells ON cells.c = t.owner AND cells.d <= t.d GROUP BY ALL)
+SELECT t.owner AS conv_id, CAST(t.d AS BIGINT) AS depth, p.owner AS parent_conv_id, t.n AS n_convs, CAST(t.k AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, t.ends AS ends_sha256
+FROM told t JOIN below USING (d, node) LEFT JOIN nodes p ON p.d = t.d - 1 AND p.node = t.above
+"""

@@ -13,21 +13,23 @@ from pyspark.sql import types as T
 from riskloom.session import checkpoint
 
 
-def along(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: dict[str, str]) -> DataFrame:
-    """Adds, for each `out: column` of `sums`, the sum of the long column over the rows of the
-    group that come before the row (64-bit, wrapping around); a row's place is the sum of a
-    column of ones. Nulls come first, equal rows in any order.
-
-    The rows are range-partitioned by group and order, so a hot group lies in many partitions
-    and equal rows are split too; the driver sees two sums a partition. Give it checkpointed
-    rows: they are read twice."""
+def ordered(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows by group and order, range-partitioned and checkpointed: a hot group lies in many
+    partitions, and equal rows are split too. Nulls come first, equal rows in any order. Columns
+    `_group` and `_pid` are for `sums`. Give it checkpointed rows: they are read twice."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [*group, *order, "_salt"]
     salted = df.withColumns({"_group": F.xxhash64(*group), "_salt": F.monotonically_increasing_id()})
-    ranged = checkpoint(salted.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_salt").withColumn("_pid", F.spark_partition_id()))
-    outs, columns = list(sums), list(sums.values())
-    starts = _starts(ranged.select("_pid", "_group", *[F.col(c).alias(f"s{i}") for i, c in enumerate(columns)]), len(columns))
-    schema = T.StructType([*(f for f in ranged.schema.fields if f.name not in ("_group", "_pid")), *(T.StructField(o, T.LongType()) for o in outs)])
+    return checkpoint(salted.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_salt").withColumn("_pid", F.spark_partition_id()))
+
+
+def sums(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Adds to ordered rows, for each `out: column`, the sum of the long column over the rows of
+    the group that come before the row (64-bit, wrapping around); a row's place is the sum of a
+    column of ones. The rows stay where they are; the driver sees two sums a partition."""
+    outs, own = list(columns), list(columns.values())
+    starts = _starts(rows.select("_pid", "_group", *[F.col(c).alias(f"s{i}") for i, c in enumerate(own)]), len(own))
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(o, T.LongType()) for o in outs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, carry = None, None
@@ -36,13 +38,17 @@ def along(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: dict[
                 continue
             g = b.column("_group").to_numpy(zero_copy_only=False)
             if group is None:
-                group, carry = g[0], np.array(starts.get(b.column("_pid")[0].as_py(), [0] * len(columns)), dtype=np.int64)
-            w = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns])
+                group, carry = g[0], np.array(starts.get(b.column("_pid")[0].as_py(), [0] * len(own)), dtype=np.int64)
+            w = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in own])
             before, group, carry = _before(g, w, group, carry)
-            kept = [b.column(f.name) for f in schema.fields[: len(schema) - len(outs)]]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(before[:, i]) for i in range(len(outs)))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(before[:, i]) for i in range(len(outs)))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
 
-    return ranged.mapInArrow(run, schema)
+def along(df: DataFrame, group: Sequence[str], order: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """`sums` over rows that are not in order yet."""
+    return sums(ordered(df, group, order), columns).drop("_group", "_pid")
 
 
 def _before(g: np.ndarray, w: np.ndarray, group: int, carry: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
