@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, html_extract, jaccard_join, line_rules, merkle, packing, piece_bpe, quality, secrets_scan, sharding, toxicity, turn_trie
+from riskloom.llm import ann, html_extract, jaccard_join, language_mix, line_rules, merkle, packing, piece_bpe, quality, secrets_scan, sharding, toxicity, turn_trie
 from riskloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mix.identify(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_trie.build_trie(read_table(spark, sf_dir, "conversations"))
