@@ -10,12 +10,19 @@ For one leaf with value ``c`` and, per distinct feature j on its path, the merge
 interval (lo_j, hi_j] and cover share z_j (product of child/parent cover ratios of
 j's splits), the leaf adds to feature i::
 
-    c * (o_i - z_i) * Integral_0^1 prod_{j != i} (o_j t + z_j (1 - t)) dt,
-    o_j = 1[lo_j < x_j <= hi_j]
+    c * (o_i - z_i) * Integral_0^1 prod_{j != i} f_j(t) dt,
+    f_j(t) = o_j t + z_j (1 - t),   o_j = 1[lo_j < x_j <= hi_j]
 
-The integrand is a polynomial of degree n-1, so Gauss-Legendre with ceil(n/2)
-nodes is exact. Contributions are averaged over trees; base value = mean over trees
-of the cover-weighted leaf values; base + sum(phi) = score for every row.
+The integrand is a polynomial of degree n-1, so Gauss-Legendre with ceil(n/2) points is
+exact. Leaves share what their paths share: one walk down carries the product G of the
+factors at the points (a split on a feature that the path has already replaces its factor),
+one walk up sums c * G over the leaves below each edge, and an edge's feature gets::
+
+    (o - z) * sum_t w(t) * (sum over leaves whose last split on it is this edge) / f(t)
+
+So the work is edges x points for a row, not leaves x path x points. Contributions are
+averaged over trees; base value = mean over trees of the cover-weighted leaf values; base +
+sum(phi) = score for every row.
 """
 
 from __future__ import annotations
@@ -48,22 +55,30 @@ class Tree:
 
 
 @dataclass
-class LeafPaths:
-    """Per tree, leaves padded to a common path length D (padding: o=1, z=1)."""
-
-    value: np.ndarray  # (L,)
-    feat: np.ndarray  # (L, D) feature index
-    lo: np.ndarray  # (L, D)
-    hi: np.ndarray  # (L, D)
-    z: np.ndarray  # (L, D)
-    depth: int
+class Walk:
+    """The edges of a tree, level by level: the children of a level's inner nodes, left and
+    right in turn, make up the next level."""
+
+    levels: list[tuple[int, int]]  # first edge and the one after the last
+    feature: np.ndarray  # (E,)
+    lo: np.ndarray
+    hi: np.ndarray
+    z: np.ndarray  # merged cover share of the feature on the path down to here
+    before: np.ndarray  # edge of the same feature above, or -1
+    value: np.ndarray  # value of the leaf that the edge leads to, NaN for inner nodes
+    ratio: np.ndarray  # (3 E, m) new / old factor: feature's conditions fail here, hold, failed above
+    gain: np.ndarray  # (2 E, m) weight * (o - z) / factor for o = 0, 1
+    by_feature: np.ndarray  # edges ordered by feature
+    starts: np.ndarray  # where the next feature starts in that order
+    repeated: np.ndarray  # edges with an edge of their feature above, ordered by that
+    repeat_starts: np.ndarray
 
 
 class TreeEnsemble:
     def __init__(self, features: Sequence[str], trees: list[Tree]):
         self.features = list(features)
         self.trees = trees
-        self._paths: list[LeafPaths] | None = None
+        self._walks: list[Walk] | None = None
 
     # -- construction ---------------------------------------------------------
 
@@ -167,59 +182,32 @@ class TreeEnsemble:
 
     # -- contributions --------------------------------------------------------
 
-    def leaf_paths(self) -> list[LeafPaths]:
-        if self._paths is None:
-            self._paths = self._build_leaf_paths()
-        return self._paths
+    def walks(self) -> list[Walk]:
+        if self._walks is None:
+            self._walks = [_walk_of(tree) for tree in self.trees]
+        return self._walks
 
-    def _build_leaf_paths(self) -> list[LeafPaths]:
-        out = []
-        for tree in self.trees:
-            leaves = []  # (value, {feature: [lo, hi, z]})
+    def leaf_conditions(self) -> list[tuple]:
+        """(tree, leaf, feature, lo, hi, z, value) rows, unbounded ends as None."""
+        rows = []
+        for t, tree in enumerate(self.trees):
+            leaves = []  # (value, {feature: (lo, hi, z)}), left before right
 
-            def walk(node: int, conds: dict):
-                f = tree.feature[node]
+            def down(node: int, conds: dict) -> None:
+                f = int(tree.feature[node])
                 if f < 0:
                     leaves.append((tree.value[node], conds))
                     return
-                thr = tree.threshold[node]
-                for child, is_left in ((tree.left[node], True), (tree.right[node], False)):
-                    c = {k: list(v) for k, v in conds.items()}
-                    lo, hi, z = c.get(int(f), [-np.inf, np.inf, 1.0])
-                    if is_left:
-                        hi = min(hi, thr)
-                    else:
-                        lo = max(lo, thr)
-                    z *= tree.cover[child] / tree.cover[node]
-                    c[int(f)] = [lo, hi, z]
-                    walk(int(child), c)
-
-            walk(0, {})
-            depth = max(1, max(len(c) for _, c in leaves))
-            L = len(leaves)
-            value = np.zeros(L)
-            feat = np.zeros((L, depth), dtype=np.int64)
-            lo = np.full((L, depth), -np.inf)
-            hi = np.full((L, depth), np.inf)
-            z = np.ones((L, depth))
-            for i, (v, conds) in enumerate(leaves):
-                value[i] = v
-                for d, (f, (a, b, w)) in enumerate(sorted(conds.items())):
-                    feat[i, d], lo[i, d], hi[i, d], z[i, d] = f, a, b, w
-            out.append(LeafPaths(value, feat, lo, hi, z, depth))
-        return out
-
-    def leaf_conditions(self) -> list[tuple]:
-        """(tree, leaf, feature, lo, hi, z, value) rows, unbounded ends as None."""
-        rows = []
-        for t, p in enumerate(self.leaf_paths()):
-            for leaf in range(len(p.value)):
-                for d in range(p.depth):
-                    if p.z[leaf, d] == 1.0 and np.isinf(p.lo[leaf, d]) and np.isinf(p.hi[leaf, d]):
-                        continue
-                    lo = None if np.isinf(p.lo[leaf, d]) else float(p.lo[leaf, d])
-                    hi = None if np.isinf(p.hi[leaf, d]) else float(p.hi[leaf, d])
-                    rows.append((t, leaf, self.features[p.feat[leaf, d]], lo, hi, float(p.z[leaf, d]), float(p.value[leaf])))
+                lo, hi, z = conds.get(f, (-np.inf, np.inf, 1.0))
+                thr = float(tree.threshold[node])
+                for child, bounds in ((int(tree.left[node]), (lo, min(hi, thr))), (int(tree.right[node]), (max(lo, thr), hi))):
+                    down(child, {**conds, f: (*bounds, z * tree.cover[child] / tree.cover[node])})
+
+            down(0, {})
+            for leaf, (value, conds) in enumerate(leaves):
+                for f, (lo, hi, z) in sorted(conds.items()):
+                    ends = [None if np.isinf(x) else float(x) for x in (lo, hi)]
+                    rows.append((t, leaf, self.features[f], *ends, float(z), float(value)))
         return rows
 
     def base_value(self) -> float:
@@ -229,38 +217,28 @@ class TreeEnsemble:
             total += float(np.nansum(tree.value[leaves] * tree.cover[leaves]) / tree.cover[0])
         return total / len(self.trees)
 
-    @staticmethod
-    def _path_weights(o: np.ndarray, p: LeafPaths) -> np.ndarray:
-        """c * (o_i - z_i) * Integral prod_{j != i} (o_j t + z_j (1 - t)) dt for o of shape
-        (..., L, D) — exact Gauss-Legendre, leave-one-out products by prefix/suffix."""
-        D = p.feat.shape[1]
-        m = max(1, math.ceil(D / 2))
-        nodes, weights = np.polynomial.legendre.leggauss(m)
-        acc = np.zeros_like(o)
-        for t, w in zip((nodes + 1.0) / 2.0, weights / 2.0):
-            fac = o * t + p.z * (1.0 - t)
-            ones = np.ones_like(fac[..., :1])
-            pre = np.cumprod(np.concatenate([ones, fac[..., :-1]], axis=-1), axis=-1)
-            suf = np.cumprod(np.concatenate([ones, fac[..., :0:-1]], axis=-1), axis=-1)[..., ::-1]
-            acc += w * pre * suf
-        return p.value[:, None] * (o - p.z) * acc
-
-    def contributions_numpy(self, X: np.ndarray, max_cells: int = 4_000_000) -> np.ndarray:
-        """phi (rows x features) for the rows of X (columns in ``self.features`` order)."""
-        n_rows, n_feat = X.shape
-        phi = np.zeros((n_rows, n_feat))
-        for p in self.leaf_paths():
-            L, D = p.feat.shape
-            pad = (p.z == 1.0) & np.isinf(p.lo) & np.isinf(p.hi)
-            onehot = np.zeros((L * D, n_feat))
-            onehot[np.arange(L * D), p.feat.reshape(-1)] = 1.0
-            step = max(1, max_cells // max(1, L * D))
-            for s in range(0, n_rows, step):
-                xv = X[s : s + step][:, p.feat]  # (B, L, D)
-                on = pad | ((xv > p.lo) & (xv <= p.hi))
-                contrib = self._path_weights(on.astype(float), p)
-                phi[s : s + step] += contrib.reshape(len(xv), L * D) @ onehot
-        return phi / len(self.trees)
+    def contributions_numpy(self, X: np.ndarray, max_cells: int = 60_000) -> np.ndarray:
+        """phi (rows x features) for the rows of X (columns in ``self.features`` order). A tree
+        takes as many rows at a time as keep its edges x points x rows within ``max_cells``."""
+        phi = np.zeros((X.shape[1], len(X)))
+        columns = np.ascontiguousarray(X.T)
+        for walk in self.walks():
+            if len(walk.feature):
+                step = max(1, 3 * max_cells // walk.ratio.size)
+                for s in range(0, len(X), step):
+                    _add_contributions(walk, columns[:, s : s + step], phi[:, s : s + step])
+        return phi.T / len(self.trees)
+
+    def predict_column(self, cols: Sequence[Column]) -> Column:
+        """Score by walking the node arrays, one Arrow batch at a time: for trees of any depth,
+        which a nested ``CASE`` cannot hold."""
+        ensemble = TreeEnsemble(self.features, self.trees)
+
+        @F.pandas_udf("double")
+        def predict(*xs: pd.Series) -> pd.Series:
+            return pd.Series(ensemble.predict_numpy(np.column_stack([x.to_numpy(dtype=float) for x in xs])))
+
+        return predict(*[c.cast("double") for c in cols])
 
     def used_features(self) -> list[str]:
         """Features that some tree splits on, in feature order."""
@@ -284,7 +262,7 @@ class TreeEnsemble:
         through, so per-row outputs (top-k, raw values, reports) need no join back."""
         features = list(features or self.features)
         ensemble = self
-        self.leaf_paths()  # computed once on the driver, shipped with the closure
+        self.walks()  # computed once on the driver, shipped with the closure
         base = self.base_value()
         keep = [id_col, *carry]
         fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -326,6 +304,78 @@ class TreeEnsemble:
         )
 
 
+def _walk_of(tree: Tree) -> Walk:
+    levels, rows, frontier = [], [], [(0, {})]  # frontier: node, {feature: (lo, hi, z, edge)}
+    deepest = 0
+    while True:
+        first, following = len(rows), []
+        for node, conds in frontier:
+            f = int(tree.feature[node])
+            if f < 0:
+                continue
+            lo, hi, z, before = conds.get(f, (-np.inf, np.inf, 1.0, -1))
+            thr = float(tree.threshold[node])
+            for child, bounds in ((int(tree.left[node]), (lo, min(hi, thr))), (int(tree.right[node]), (max(lo, thr), hi))):
+                share = z * (tree.cover[child] / tree.cover[node] if tree.cover[node] else 0.0)
+                value = tree.value[child] if tree.feature[child] < 0 else np.nan
+                following.append((child, {**conds, f: (*bounds, share, len(rows))}))
+                rows.append((f, *bounds, share, before, value))
+        if not following:
+            break
+        deepest = max(deepest, max(len(c) for _, c in following))
+        levels.append((first, len(rows)))
+        frontier = following
+    m = max(1, math.ceil(deepest / 2))
+    nodes, weights = np.polynomial.legendre.leggauss(m)
+    t, w = (nodes + 1.0) / 2.0, weights / 2.0
+    feature, lo, hi, z, before, value = (np.array(x, dtype=k) for x, k in zip(zip(*rows) if rows else [()] * 6, (np.int64, float, float, float, np.int64, float)))
+    holds, fails = t + z[:, None] * (1 - t), z[:, None] * (1 - t)
+    old = np.where(before[:, None] >= 0, holds[before] if len(rows) else holds, 1.0)
+    z_old = np.where(before >= 0, z[before] if len(rows) else z, 1.0)
+    both_fail = np.broadcast_to(np.divide(z, z_old, out=np.zeros_like(z), where=z_old > 0)[:, None], holds.shape)
+    ratio = np.stack([fails / old, holds / old, both_fail], axis=1).reshape(-1, m)
+    gain = np.stack([np.broadcast_to(-w / (1 - t), holds.shape), (1 - z[:, None]) * w / holds], axis=1).reshape(-1, m)
+    by_feature = np.argsort(feature, kind="stable")
+    repeated = np.flatnonzero(before >= 0)
+    repeated = repeated[np.argsort(before[repeated], kind="stable")]
+    edges_of = [np.flatnonzero(np.diff(x, prepend=-2)) for x in (feature[by_feature], before[repeated])]
+    return Walk(levels, feature, lo, hi, z, before, value, ratio, gain, by_feature, edges_of[0], repeated, edges_of[1])
+
+
+def _add_contributions(walk: Walk, columns: np.ndarray, phi: np.ndarray) -> None:
+    """Adds one tree's contributions for the rows in ``columns`` (features, rows) to ``phi``."""
+    n_edges, m, rows = len(walk.feature), walk.ratio.shape[1], columns.shape[1]
+    x = columns[walk.feature]
+    # what is not <= a threshold goes right, so does NaN, as in scoring
+    on = ~(x <= walk.lo[:, None]) & ((x <= walk.hi[:, None]) | np.isinf(walk.hi)[:, None])
+    state = on.astype(np.int64)
+    if len(walk.repeated):
+        own = walk.repeated
+        state[own] += 2 * (~on[own] & ~on[walk.before[own]])
+    at = np.arange(n_edges)[:, None]
+    products = np.take(walk.ratio, 3 * at + state, axis=0, mode="clip")  # (E, rows, m)
+    above = None
+    for first, last in walk.levels:
+        if above is not None:
+            products[first:last] *= np.repeat(above, 2, axis=0)
+        above = products[first:last][np.isnan(walk.value[first:last])]
+    below = products  # from here on sums of leaf values x products below each edge
+    deeper = None
+    for first, last in reversed(walk.levels):
+        leaf = ~np.isnan(walk.value[first:last])
+        part = below[first:last]
+        part[leaf] *= walk.value[first:last][leaf][:, None, None]
+        if deeper is not None:
+            part[~leaf] = deeper[0::2] + deeper[1::2]
+        deeper = part
+    if len(walk.repeated):
+        # edges of one feature on a path: each keeps the leaves whose last such edge it is
+        later = np.add.reduceat(below[walk.repeated], walk.repeat_starts, axis=0)
+        below[walk.before[walk.repeated[walk.repeat_starts]]] -= later
+    of_edge = np.einsum("ebm,ebm->eb", below, np.take(walk.gain, 2 * at + on, axis=0, mode="clip"))
+    phi[walk.feature[walk.by_feature[walk.starts]]] += np.add.reduceat(of_edge[walk.by_feature], walk.starts, axis=0)
+
+
 def ranked_contributions(features: Sequence[str], k: int | None = None) -> Column:
     """array<struct<feature, phi, idx>> of the first ``k`` (default all) contributions of one
     row in rank order — plain element lookups through the row's ``order`` array; phi is

@@ -108,3 +108,30 @@ def test_deep_trees_close():
     phi = ens.contributions_numpy(X)
     np.testing.assert_allclose(ens.base_value() + phi.sum(1), ens.predict_numpy(X), atol=1e-12)
     np.testing.assert_allclose(ens.contributions_numpy(X, max_cells=500), phi, atol=1e-14)
+
+
+def test_contributions_of_missing_values_close():
+    """NaN goes right, in scores and in contributions."""
+    rng = np.random.default_rng(5)
+    rows = [r for t in range(4) for r in random_tree_rows(rng, 4, 6, t)]
+    ens = TreeEnsemble.from_node_rows(rows, [f"f{i}" for i in range(4)])
+    X = rng.integers(0, 10, size=(50, 4)).astype(float)
+    X[rng.random(X.shape) < 0.3] = np.nan
+    np.testing.assert_allclose(ens.base_value() + ens.contributions_numpy(X).sum(1), ens.predict_numpy(X), atol=1e-12)
+
+
+def test_a_tree_of_one_leaf_and_deep_chains():
+    """No edges at all, and 60 splits of two features in a row."""
+    single = TreeEnsemble.from_node_rows([(0, 0, None, None, None, None, 10.0, 0.3)], ["a", "b"])
+    X = np.array([[1.0, 2.0], [3.0, 4.0]])
+    np.testing.assert_allclose(single.contributions_numpy(X), 0)
+    rows = []
+    for d in range(60):
+        rows += [(0, 2 * d, "ab"[d % 2], float(60 - d), 2 * d + 2, 2 * d + 1, 100.0 - d, None), (0, 2 * d + 1, None, None, None, None, 1.0, d / 60)]
+    rows.append((0, 120, None, None, None, None, 40.0, 0.9))
+    chain = TreeEnsemble.from_node_rows(rows, ["a", "b"])
+    X = np.random.default_rng(1).uniform(0, 70, size=(40, 2))
+    phi = chain.contributions_numpy(X)
+    np.testing.assert_allclose(chain.base_value() + phi.sum(1), chain.predict_numpy(X), atol=1e-12)
+    for r in range(len(X)):
+        np.testing.assert_allclose(phi[r], brute_force(chain, X[r]), atol=1e-12)
