@@ -170,7 +170,7 @@ oracle(
 
 # --- harmonisation -----------------------------------------------------------------------------
 
-from riskloom.sources.fixtures import DATE_TEXTS_SQL, LAKE_CATALOG_SQL, WORKERS_AS_OF, WORKERS_COLUMNS, WORKERS_OVERRIDES  # noqa: E402
+from riskloom.sources.fixtures import DATE_TEXTS_SQL, LAKE_CATALOG_SQL, OVERRIDE_TABLE_SQL, REPEATED_CATALOG_SQL, WORKERS_AS_OF, WORKERS_COLUMNS, WORKERS_OVERRIDES  # noqa: E402
 from riskloom.sources.tables import TABLES, duckdb_sql  # noqa: E402
 
 LAKE = duckdb_sql(LAKE_CATALOG_SQL)
@@ -217,11 +217,12 @@ oracle(
     f"SELECT c.dataset, c.col_name, f.t AS suggested_target, COALESCE(f.n, {S.q(C.NO_SUGGESTION_NOTE)}) AS note "
     "FROM c LEFT JOIN first f ON f.dataset = c.dataset AND f.col_name = c.col_name",
 )
+DECISION = f"CASE WHEN m.kind IN ('mapped', 'label', 'id', 'dropped') THEN m.target ELSE {S.q(C.IGNORE)} END AS decision"
+oracle("effective_mapping", f"WITH {FIXTURE_CATALOG}, {WORKER_OVERRIDES}, {S.mapping_ctes()} SELECT m.dataset, m.col_name, m.col_ord, {DECISION} FROM mapping m")
 oracle(
-    "effective_mapping",
-    f"WITH {WORKERS_ONLY_CATALOG}, {WORKER_OVERRIDES}, {S.mapping_ctes()} SELECT m.dataset, m.col_name, m.col_ord, "
-    f"COALESCE(ov.ov_target, CASE WHEN m.kind = 'ignored' THEN {S.q(C.IGNORE)} WHEN m.kind = 'mapped' THEN m.target END, {S.q(C.IGNORE)}) AS decision "
-    "FROM mapping m LEFT JOIN ov ON ov.dataset = m.dataset AND ov.col_name = m.col_name",
+    "override_table_map",
+    f"WITH cat AS ({duckdb_sql(REPEATED_CATALOG_SQL)}), ov AS (SELECT dataset, raw_col AS col_name, target AS ov_target FROM ({duckdb_sql(OVERRIDE_TABLE_SQL)})), "
+    f"{S.mapping_ctes()} SELECT m.*, {DECISION} FROM mapping m",
 )
 
 # Profile of an upload (custom layout without overrides; standard layout with its roles).

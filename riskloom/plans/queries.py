@@ -383,11 +383,19 @@ def suggest_mapping(spark, sf_dir):
 
 @query("effective_mapping")
 def effective_mapping(spark, sf_dir):
-    """Override, else automatic target, else Ignore — for every upload column."""
-    b = wb(spark, sf_dir)
-    cat = MP.catalog_of(spark, {W.WORKERS: b.workers})
+    """Override, else automatic target, else Ignore — for every column of the lake and of
+    the fixture layouts."""
     ov = MP.overrides_of(spark, W.WORKERS, WORKERS_OVERRIDES)
-    return MP.effective_mapping(cat, MP.map_columns(cat, ov), ov)
+    return MP.effective_mapping(MP.map_columns(W.fixture_catalog(wb(spark, sf_dir)), ov))
+
+
+@query("override_table_map")
+def override_table_map(spark, sf_dir):
+    """A lake whose datasets repeat column names under a table of overrides: one claimant
+    for each target, doubled overrides as conflicts."""
+    b = wb(spark, sf_dir)
+    decided = MP.map_columns(W.repeated_catalog(b), W.override_table(b))
+    return decided.join(MP.effective_mapping(decided).drop("col_name"), ["dataset", "col_ord"])
 
 
 @query("profile_summary")

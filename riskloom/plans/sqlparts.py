@@ -214,32 +214,35 @@ def mapping_ctes(strict_reference: bool = False) -> str:
             else values_sql("dl", "o, name, target", derive_rows)
             + f", ds AS (SELECT {clean_sql('name')} AS dclean, arg_min(target, o) AS derive_target FROM dl GROUP BY 1)"
         ),
-        f"c AS (SELECT cat.dataset, cat.col_name, cat.col_ord, ov.ov_target, {clean_sql('cat.col_name')} AS clean "
-        "FROM cat LEFT JOIN ov ON ov.dataset = cat.dataset AND ov.col_name = cat.col_name)",
+        "ov2 AS (SELECT dataset, col_name, min(ov_target) AS ov_target, count(DISTINCT ov_target) > 1 AS several FROM ov GROUP BY dataset, col_name)",
+        f"c AS (SELECT cat.dataset, cat.col_name, cat.col_ord, ov2.ov_target, coalesce(ov2.several, false) AS several, {clean_sql('cat.col_name')} AS clean "
+        "FROM cat LEFT JOIN ov2 ON ov2.dataset = cat.dataset AND ov2.col_name = cat.col_name)",
         f"an AS (SELECT o, target, {clean_sql('name')} AS aclean FROM al)",
-        f"sc AS (SELECT c.dataset, c.col_name, an.o, an.target, {sim_sql('c.clean', 'an.aclean')} AS score FROM c CROSS JOIN an)",
-        "best AS (SELECT dataset, col_name, score, CASE WHEN score > 0 THEN target END AS best FROM "
-        "(SELECT *, row_number() OVER (PARTITION BY dataset, col_name ORDER BY score DESC, o) AS rk FROM sc) WHERE rk = 1)",
-        "c2 AS (SELECT c.*, b.score, b.best, ds.derive_target FROM c JOIN best b ON b.dataset = c.dataset AND b.col_name = c.col_name "
-        "LEFT JOIN ds ON ds.dclean = c.clean)",
-        f"claimed AS (SELECT DISTINCT dataset, ov_target AS best FROM c2 WHERE ov_target IN {feats})",
+        f"sc AS (SELECT c.clean, an.o, an.target, {sim_sql('c.clean', 'an.aclean')} AS score FROM (SELECT DISTINCT clean FROM c) c CROSS JOIN an)",
+        "best AS (SELECT clean, score, CASE WHEN score > 0 THEN target END AS best FROM "
+        "(SELECT *, row_number() OVER (PARTITION BY clean ORDER BY score DESC, o) AS rk FROM sc) WHERE rk = 1)",
+        f"c2 AS (SELECT c.*, b.score, b.best, ds.derive_target, NOT several AND ov_target IN ({', '.join(q(f) for f in [*C.STANDARD_FEATURES, C.LABEL, C.ID_ROLE])}) AS claims "
+        "FROM c JOIN best b ON b.clean = c.clean LEFT JOIN ds ON ds.dclean = c.clean)",
+        "claimed AS (SELECT dataset, ov_target AS best, min(col_ord) AS col_ord FROM c2 WHERE claims GROUP BY ALL)",
         f"auto AS (SELECT * FROM c2 WHERE ov_target IS NULL AND derive_target IS NULL AND score >= {d(C.AUTO_MAP_THRESHOLD)} "
         "AND NOT EXISTS (SELECT 1 FROM claimed k WHERE k.dataset = c2.dataset AND k.best = c2.best))",
-        "auto_won AS (SELECT dataset, col_name, best FROM (SELECT *, row_number() OVER (PARTITION BY dataset, best ORDER BY col_ord) AS rk FROM auto) WHERE rk = 1)",
+        "auto_won AS (SELECT dataset, best, min(col_ord) AS col_ord FROM auto GROUP BY ALL)",
         "taken AS (SELECT dataset, best FROM claimed UNION SELECT dataset, best FROM auto_won)",
         "der AS (SELECT * FROM c2 WHERE ov_target IS NULL AND derive_target IS NOT NULL "
         "AND NOT EXISTS (SELECT 1 FROM taken k WHERE k.dataset = c2.dataset AND k.best = c2.derive_target))",
-        "der_won AS (SELECT dataset, col_name FROM (SELECT *, row_number() OVER (PARTITION BY dataset, derive_target ORDER BY col_ord) AS rk FROM der) WHERE rk = 1)",
-        "dec AS (SELECT c2.*, CASE WHEN aw.col_name IS NOT NULL THEN 'mapped' WHEN dw.col_name IS NOT NULL THEN 'derive' END AS kind0 FROM c2 "
-        "LEFT JOIN auto_won aw ON aw.dataset = c2.dataset AND aw.col_name = c2.col_name "
-        "LEFT JOIN der_won dw ON dw.dataset = c2.dataset AND dw.col_name = c2.col_name)",
+        "der_won AS (SELECT dataset, derive_target, min(col_ord) AS col_ord FROM der GROUP BY ALL)",
+        "dec AS (SELECT c2.*, coalesce(claims AND k.col_ord IS NULL, false) AS late, "
+        "CASE WHEN aw.col_ord IS NOT NULL THEN 'mapped' WHEN dw.col_ord IS NOT NULL THEN 'derive' END AS kind0 FROM c2 "
+        "LEFT JOIN claimed k ON k.dataset = c2.dataset AND k.col_ord = c2.col_ord AND k.best = c2.ov_target "
+        "LEFT JOIN auto_won aw ON aw.dataset = c2.dataset AND aw.col_ord = c2.col_ord "
+        "LEFT JOIN der_won dw ON dw.dataset = c2.dataset AND dw.col_ord = c2.col_ord)",
         "mapping AS (SELECT dataset, col_name, col_ord, "
-        f"CASE WHEN ov_target = {q(C.IGNORE)} THEN 'ignored' WHEN ov_target IN {feats} THEN 'mapped' "
+        f"CASE WHEN several OR late THEN 'conflict' WHEN ov_target = {q(C.IGNORE)} THEN 'ignored' WHEN ov_target IN {feats} THEN 'mapped' "
         f"WHEN ov_target = {q(C.LABEL)} THEN 'label' WHEN ov_target = {q(C.ID_ROLE)} THEN 'id' "
         "WHEN ov_target IS NOT NULL THEN 'dropped' WHEN kind0 IS NOT NULL THEN kind0 ELSE 'unknown' END AS kind, "
-        f"CASE WHEN ov_target IS NOT NULL AND ov_target <> {q(C.IGNORE)} THEN ov_target WHEN kind0 = 'derive' THEN derive_target "
-        "WHEN ov_target IS NULL THEN best END AS target, round(score, 6) AS score, "
-        f"CASE WHEN ov_target IS NOT NULL THEN 'override' WHEN kind0 = 'derive' THEN {methods} "
+        f"CASE WHEN ov_target IS NOT NULL THEN (CASE WHEN NOT several AND ov_target <> {q(C.IGNORE)} THEN ov_target END) WHEN kind0 = 'derive' THEN derive_target "
+        "ELSE best END AS target, round(score, 6) AS score, "
+        f"CASE WHEN several THEN 'override: several targets' WHEN late THEN 'override: target taken' WHEN ov_target IS NOT NULL THEN 'override' WHEN kind0 = 'derive' THEN {methods} "
         "WHEN kind0 = 'mapped' THEN (CASE WHEN score >= 1.0 THEN 'exact' ELSE 'fuzzy' END) "
         "WHEN score > 0 THEN 'best below threshold or taken' END AS method FROM dec)",
     ])

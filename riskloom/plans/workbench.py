@@ -148,7 +148,7 @@ def with_risk_columns(df: DataFrame, p: str = RISK) -> DataFrame:
 
 from riskloom.operators import mapping as MP  # noqa: E402
 from riskloom.operators import prepare as PP  # noqa: E402
-from riskloom.sources.fixtures import LAKE_CATALOG_SQL, WORKERS_AS_OF, WORKERS_OVERRIDES  # noqa: E402
+from riskloom.sources.fixtures import LAKE_CATALOG_SQL, OVERRIDE_TABLE_SQL, REPEATED_CATALOG_SQL, WORKERS_AS_OF, WORKERS_OVERRIDES  # noqa: E402
 
 WORKERS = "workers_custom"
 
@@ -158,6 +158,16 @@ def lake_catalog(wbench: Workbench) -> DataFrame:
     return wbench.spark.sql(LAKE_CATALOG_SQL, part=wbench.table("part"))
 
 
+def repeated_catalog(wbench: Workbench) -> DataFrame:
+    """(dataset, col_name, col_ord) of a lake whose datasets repeat names."""
+    return wbench.spark.sql(REPEATED_CATALOG_SQL, part=wbench.table("part"))
+
+
+def override_table(wbench: Workbench) -> DataFrame:
+    """(dataset, raw_col, target) for many datasets, read from a table."""
+    return wbench.spark.sql(OVERRIDE_TABLE_SQL, part=wbench.table("part"))
+
+
 def fixture_catalog(wbench: Workbench) -> DataFrame:
     """(dataset, col_name, col_ord) of the lake and of the two fixture layouts."""
     own = MP.catalog_of(wbench.spark, {"employees": wbench.employees, WORKERS: wbench.workers})

@@ -143,6 +143,19 @@ SELECT CONCAT('set-', CAST(p.p_partkey - p.p_partkey % 25 AS VARCHAR(20))) AS da
 FROM {part} p JOIN (VALUES """ + ", ".join(f"({i}, '{n}')" for i, n in enumerate(LAKE_NAMES)) + """) AS v(i, name) ON v.i = (p.p_partkey * 7) % 40
 """
 
+# The same lake with names that a dataset repeats, and a table of overrides as users of many
+# datasets leave it: some give two columns one target, some give one column two.
+REPEATED_CATALOG_SQL = """
+SELECT l.dataset, CASE WHEN p.p_size % 9 = 0 THEN 'age' WHEN p.p_size % 8 = 0 THEN 'Daily Rate' ELSE l.col_name END AS col_name, l.col_ord
+FROM (""" + LAKE_CATALOG_SQL + """) l JOIN {part} p ON CONCAT('set-', CAST(p.p_partkey - p.p_partkey % 25 AS VARCHAR(20))) = l.dataset AND p.p_partkey % 25 = l.col_ord
+"""
+OVERRIDE_TARGETS = ["Age", "Gender", "JobLevel", "Attrition", "Ignore", "NotAFeature", "EmployeeNumber", "DailyRate"]
+OVERRIDE_TABLE_SQL = """
+SELECT c.dataset, c.col_name AS raw_col, v.target
+FROM (""" + REPEATED_CATALOG_SQL + """) c JOIN (VALUES """ + ", ".join(f"({i}, '{t}')" for i, t in enumerate(OVERRIDE_TARGETS)) + """) AS v(i, target)
+ON v.i = (c.col_ord * 5 + LENGTH(c.dataset)) % 8 OR (c.col_ord = 7 AND v.i = 2) WHERE c.col_ord % 3 = 1
+"""
+
 # Order dates as uploads write them; two of the forms are no dates.
 DATE_TEXTS_SQL = """
 SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey % 13 AS INT) AS form,

@@ -114,3 +114,51 @@ def test_override_to_unknown_target_is_dropped_and_strict_mode(spark):
     assert strict["age"]["kind"] == "unknown"  # first claimant (dob) took Age
     relaxed = {r["col_name"]: r for r in MP.map_columns(cat).collect()}
     assert relaxed["age"]["kind"] == "mapped" and relaxed["dob"]["kind"] == "unknown"  # Age mapped, no derivation
+
+
+def test_repeated_names_and_overrides_from_a_table(spark):
+    cat = spark.createDataFrame([("a", "age", 0), ("a", "age", 1), ("a", "x", 2), ("a", "y", 3), ("a", "z", 4), ("a", "w", 5), ("b", "x", 0)], "dataset string, col_name string, col_ord int")
+    ov = spark.createDataFrame(
+        [("a", "x", "Gender"), ("a", "y", "Gender"), ("a", "z", "Age"), ("a", "z", "JobLevel"), ("a", "w", "Ignore"), ("a", "w", "Ignore"), ("b", "x", "Attrition")],
+        "dataset string, raw_col string, target string",
+    )
+    rows = {(r.dataset, r.col_ord): r for r in MP.map_columns(cat, ov).collect()}
+    assert len(rows) == 7
+    assert rows["a", 0].kind == "mapped" and rows["a", 1].kind == "unknown"
+    assert (rows["a", 2].kind, rows["a", 2].target) == ("mapped", "Gender")
+    assert (rows["a", 3].kind, rows["a", 3].method) == ("conflict", "override: target taken")
+    assert (rows["a", 4].kind, rows["a", 4].target, rows["a", 4].method) == ("conflict", None, "override: several targets")
+    assert rows["a", 5].kind == "ignored" and rows["b", 0].kind == "label"
+    decided = {(r.dataset, r.col_ord): r.decision for r in MP.effective_mapping(MP.map_columns(cat, ov)).collect()}
+    assert decided == {("a", 0): "Age", ("a", 1): "Ignore", ("a", 2): "Gender", ("a", 3): "Ignore", ("a", 4): "Ignore", ("a", 5): "Ignore", ("b", 0): "Attrition"}
+
+
+def test_bounded_search_finds_the_first_best_entry(spark):
+    """Over mistyped and foreign names: score and entry as by scoring all entries."""
+    import random
+
+    r = random.Random(8)
+    names = [n for _, _, n in MP._alias_entries()] + ["", "Ärger", "zzz", "ab", "jobjobjob", "x" * 60]
+    for n in list(names):
+        x = list(n)
+        for _ in range(r.randint(1, 6)):
+            i = r.randrange(len(x) + 1)
+            x[i : i + r.randint(0, 2)] = r.choice(["", "e", "qq", "Z", "é"])
+        names.append("".join(x))
+    cat = spark.createDataFrame([("d", n, i) for i, n in enumerate(names)], "dataset string, col_name string, col_ord int")
+    got = {r.clean: (round(r.score, 9), r.best) for r in MP.scored_names(cat).collect()}
+    for n in names:
+        score, at = max(((py_sim(n, e), -i) for i, (_, _, e) in enumerate(MP._alias_entries())), key=lambda t: (round(t[0], 12), t[1]))
+        assert got[py_clean(n)] == (round(score, 9), MP.ALIAS_TARGET[-at] if score > 0 else None)
+
+
+def test_names_are_scored_once(spark):
+    """One edit distance in the whole plan, none in the decisions."""
+    import contextlib
+    import io
+
+    cat = spark.createDataFrame([("d", "age", 0)], "dataset string, col_name string, col_ord int")
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        MP.map_columns(cat).explain("extended")
+    optimized = out.getvalue().split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert sum("levenshtein" in line for line in optimized.splitlines()) == 1
