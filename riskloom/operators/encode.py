@@ -1,9 +1,9 @@
 """Category dictionaries, model frames, imputation and encoding.
 
 A fitted dictionary is the same thing as a ``StringIndexerModel`` with
-alphabetical order: it is fitted by a distributed distinct, written as a table,
-and applied by a left join on it for every size; from the size of its files the
-planner chooses between a broadcast and a shuffle.
+alphabetical order: it is fitted by a distributed distinct and written as a table.
+Dictionaries whose number of categories is known to be small are broadcast; all others
+are applied together in one shuffle of the rows, not one for each column.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from riskloom.functions.expressions import label_to_int, to_number
 from riskloom.operators.stats import dense_positions, exact_medians
 from riskloom.session import shared_path
 
+# A dictionary of more categories than this is not broadcast.
+BROADCAST_CATEGORIES = 20_000
 # Buckets used to take the first unknown categories without one task per column.
 UNKNOWN_SALT_BUCKETS = 64
 
@@ -73,15 +75,37 @@ class Dictionary:
     def size(self, feature: str) -> int:
         return self.sizes[feature]
 
-    def join_codes(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    def join_codes(self, df: DataFrame, columns: Sequence[str], broadcast_up_to: int = BROADCAST_CATEGORIES) -> DataFrame:
         """Add ``__code_<col>`` for the dictionary columns among ``columns``; null when unseen."""
-        for c in columns:
-            if c in self.sizes and f"__code_{c}" not in df.columns:
+        wanted = [c for c in columns if c in self.sizes and f"__code_{c}" not in df.columns]
+        large = [c for c in wanted if self.sizes[c] > broadcast_up_to]
+        for c in wanted:
+            if c not in large:
                 d = self.table.where(F.col("feature") == c).select(
                     F.col("category").alias(f"__cat_{c}"), F.col("code").alias(f"__code_{c}")
                 )
-                df = df.join(d, F.col(c).cast("string") == F.col(f"__cat_{c}"), "left").drop(f"__cat_{c}")
-        return df
+                df = df.join(F.broadcast(d), F.col(c).cast("string") == F.col(f"__cat_{c}"), "left").drop(f"__cat_{c}")
+        return self._join_large(df, large) if large else df
+
+    def _join_large(self, df: DataFrame, columns: list[str]) -> DataFrame:
+        """The codes of several columns by one join on (feature, category) and one aggregate
+        back. Each row sends a narrow entry for each column, and once itself, under a key of its
+        own so that it does not follow a common category; a common category itself is what
+        adaptive execution splits."""
+        names, row = df.columns, F.monotonically_increasing_id()
+        texts = {f"__k{i}": F.col(f"`{c}`").cast("string") for i, c in enumerate(columns)}
+        whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+        kept = df.select(row.alias("__row"), whole.alias("__whole"), *[x.alias(k) for k, x in texts.items()])
+        self_entry = F.struct(F.lit("").alias("feature"), F.col("__row").cast("string").alias("category"), F.col("__whole").alias("whole"))
+        none = F.lit(None).cast(kept.schema["__whole"].dataType)
+        entries = [F.struct(F.lit(c).alias("feature"), F.col(k).alias("category"), none.alias("whole")) for c, k in zip(columns, texts)]
+        long = kept.select("__row", F.explode(F.array(self_entry, *entries)).alias("e")).select("__row", "e.*").where("category IS NOT NULL")
+        known = self.table.where(F.col("feature").isin(columns)).select("feature", "category", "code")
+        coded = long.join(known, ["feature", "category"], "left")
+        back = coded.groupBy("__row").agg(
+            F.first("whole", ignorenulls=True).alias("whole"), *[F.max(F.when(F.col("feature") == c, F.col("code"))).alias(f"__code_{c}") for c in columns]
+        )
+        return back.select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(names)], *[f"__code_{c}" for c in columns])
 
     def code(self, feature: str) -> Column:
         """Code expression over a frame from ``join_codes``."""

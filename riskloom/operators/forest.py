@@ -109,23 +109,15 @@ class TreeEnsemble:
     def from_spark_model(cls, spark: SparkSession, model, features: Sequence[str], path: str) -> "TreeEnsemble":
         """Read a fitted ``RandomForestClassificationModel`` from its saved node data.
 
-        Layout (Spark 4.x): ``treeID, nodeData{id, impurityStats, leftChild, rightChild,
-        split{featureIndex, leftCategoriesOrThreshold, numCategories}}``; continuous splits
-        go left when x <= threshold. Leaf value = impurityStats[1] / sum(impurityStats)."""
+        Leaf value = impurityStats[1] / sum(impurityStats)."""
         model.write().overwrite().save(path)
-        nodes = spark.read.parquet(f"{path}/data").select(
-            "treeID",
-            F.col("nodeData.id").alias("id"),
-            F.col("nodeData.impurityStats").alias("stats"),
-            F.col("nodeData.leftChild").alias("left"),
-            F.col("nodeData.rightChild").alias("right"),
-            F.col("nodeData.split.featureIndex").alias("fi"),
-            F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr"),
-        ).collect()  # model-sized (trees x nodes), not data-sized
+        nodes = saved_nodes(spark, path).collect()  # model-sized (trees x nodes), not data-sized
         trees = []
-        for t in sorted({r["treeID"] for r in nodes}):
-            rows = [r for r in nodes if r["treeID"] == t]
-            n = max(r["id"] for r in rows) + 1
+        by_tree: dict[int, list] = {}
+        for r in nodes:
+            by_tree.setdefault(r["tree"], []).append(r)
+        for _, rows in sorted(by_tree.items()):
+            n = max(r["node"] for r in rows) + 1
             feat = np.full(n, -1, dtype=np.int64)
             thr = np.full(n, np.nan)
             left = np.full(n, -1, dtype=np.int64)
@@ -133,15 +125,13 @@ class TreeEnsemble:
             cover = np.zeros(n)
             value = np.full(n, np.nan)
             for r in rows:
-                stats = np.asarray(r["stats"], dtype=float)
-                total = stats.sum()
-                cover[r["id"]] = total
+                cover[r["node"]] = r["weight"]
                 if r["left"] < 0:
-                    value[r["id"]] = stats[1] / total if total > 0 and len(stats) > 1 else 0.0
+                    value[r["node"]] = r["positives"] / r["weight"] if r["weight"] > 0 else 0.0
                 else:
-                    feat[r["id"]] = r["fi"]
-                    thr[r["id"]] = r["thr"][0]
-                    left[r["id"]], right[r["id"]] = r["left"], r["right"]
+                    feat[r["node"]] = r["feature_index"]
+                    thr[r["node"]] = r["threshold"]
+                    left[r["node"]], right[r["node"]] = r["left"], r["right"]
             trees.append(Tree(feat, thr, left, right, cover, value))
         return cls(features, trees)
 
@@ -155,6 +145,30 @@ class TreeEnsemble:
             x <= F.lit(float(tree.threshold[node])), self._tree_expr(tree, int(tree.left[node]), cols)
         ).otherwise(self._tree_expr(tree, int(tree.right[node]), cols))
 
+    def _visited_expr(self, tree: Tree, node: int, cols: Sequence[Column]) -> Column:
+        own = F.array(F.lit(int(node)))
+        if tree.feature[node] < 0:
+            return own
+        left, right = (self._visited_expr(tree, int(k), cols) for k in (tree.left[node], tree.right[node]))
+        return F.concat(own, F.when(cols[tree.feature[node]] <= F.lit(float(tree.threshold[node])), left).otherwise(right))
+
+    def node_table(self, spark: SparkSession) -> DataFrame:
+        """(tree, node, feature, left, right): the splits, as many rows as the model has nodes."""
+        rows = [
+            (t, n, self.features[tree.feature[n]] if tree.feature[n] >= 0 else None, int(tree.left[n]), int(tree.right[n]))
+            for t, tree in enumerate(self.trees) for n in range(len(tree.feature))
+        ]
+        return spark.createDataFrame(rows, "tree int, node int, feature string, left int, right int")
+
+    def node_statistics(self, df: DataFrame, label: Column, cols: Sequence[Column] | None = None) -> DataFrame:
+        """(tree, node, weight, positives): rows of ``df`` with a label that come through each node,
+        and those with label 1. Each row lists the nodes it visits; counts are partial before the
+        shuffle, so it carries one row a node from each partition."""
+        cols = cols or [F.col(f) for f in self.features]
+        visits = F.array(*[F.struct(F.lit(t).alias("tree"), self._visited_expr(tree, 0, cols).alias("nodes")) for t, tree in enumerate(self.trees)])
+        long = df.select(label.cast("double").alias("_y"), F.explode(visits).alias("v")).where("_y IS NOT NULL").select("_y", "v.tree", F.explode("v.nodes").alias("node"))
+        return long.groupBy("tree", "node").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.sum("_y").alias("positives"))
+
     def score_expr(self, cols: Sequence[Column] | None = None) -> Column:
         """Mean of the trees' leaf values as one Column expression (sum left to right, / trees)."""
         cols = cols or [F.col(f) for f in self.features]
@@ -376,6 +390,48 @@ def _add_contributions(walk: Walk, columns: np.ndarray, phi: np.ndarray) -> None
     phi[walk.feature[walk.by_feature[walk.starts]]] += np.add.reduceat(of_edge[walk.by_feature], walk.starts, axis=0)
 
 
+def saved_nodes(spark: SparkSession, path: str, features: Sequence[str] | None = None) -> DataFrame:
+    """(tree, node, feature_index, threshold, left, right, weight, positives[, feature]) of a saved
+    Spark forest, left and right -1 at leaves. Layout (Spark 4.x): ``treeID, nodeData{id,
+    impurityStats, leftChild, rightChild, split{featureIndex, leftCategoriesOrThreshold}}``;
+    continuous splits go left when x <= threshold."""
+    data, stats = F.col("nodeData"), F.col("nodeData.impurityStats")
+    nodes = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"),
+        data["id"].alias("node"),
+        data["split"]["featureIndex"].alias("feature_index"),
+        F.try_element_at(data["split"]["leftCategoriesOrThreshold"], F.lit(1)).alias("threshold"),
+        data["leftChild"].alias("left"),
+        data["rightChild"].alias("right"),
+        F.aggregate(stats, F.lit(0.0), lambda acc, x: acc + x).alias("weight"),
+        F.coalesce(F.try_element_at(stats, F.lit(2)), F.lit(0.0)).alias("positives"),
+    )
+    if features is None:
+        return nodes
+    names = F.array(*[F.lit(f) for f in features])
+    return nodes.withColumn("feature", F.when(F.col("left") >= 0, F.element_at(names, F.col("feature_index") + 1)))
+
+
+def impurity_importance(nodes: DataFrame) -> DataFrame:
+    """(feature, importance): the impurity that a feature's splits take away, weighted by the rows
+    that come through them, as a share of the tree's; averaged over the trees whose splits take
+    away any, as a share of the whole. ``nodes`` has tree, node, feature, left, right, weight and
+    positives (two classes, Gini)."""
+    p = F.col("positives") / F.col("weight")
+    impure = F.when(F.col("weight") > 0, F.col("weight") * 2 * p * (1 - p)).otherwise(F.lit(0.0))
+    each = nodes.select("tree", "node", "feature", "left", "right", impure.alias("impure"))
+    sides = [each.select("tree", F.col("node").alias(side), F.col("impure").alias(f"impure_{side}")) for side in ("left", "right")]
+    split = each.where(F.col("feature").isNotNull())
+    for side, child in zip(("left", "right"), sides):
+        split = split.join(child, ["tree", side], "left")
+    gone = F.col("impure") - F.coalesce("impure_left", F.lit(0.0)) - F.coalesce("impure_right", F.lit(0.0))
+    by_tree = split.groupBy("tree", "feature").agg(F.sum(gone).alias("gain"))
+    totals = by_tree.groupBy("tree").agg(F.sum("gain").alias("total")).where("total > 0")
+    shares = by_tree.join(totals, "tree").groupBy("feature").agg(F.sum(F.col("gain") / F.col("total")).alias("share"))
+    whole = shares.agg(F.sum("share").alias("whole")).scalar()
+    return shares.select("feature", (F.col("share") / whole).alias("importance"))
+
+
 def ranked_contributions(features: Sequence[str], k: int | None = None) -> Column:
     """array<struct<feature, phi, idx>> of the first ``k`` (default all) contributions of one
     row in rank order — plain element lookups through the row's ``order`` array; phi is

@@ -48,6 +48,17 @@ def column_profile(df: DataFrame) -> DataFrame:
     )
 
 
+KINDS = {"integer": (T.ByteType, T.ShortType, T.IntegerType, T.LongType), "float": (T.FloatType, T.DoubleType, T.DecimalType), "text": (T.StringType,), "date": (T.DateType, T.TimestampType)}
+
+
+def column_kinds(df: DataFrame) -> DataFrame:
+    """(kind, columns, non_null, nulls): columns of each kind of type and their cells, from
+    one pass over the table."""
+    kind_of = {f.name: next((k for k, types in KINDS.items() if isinstance(f.dataType, types)), "other") for f in df.schema.fields}
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in kind_of.items() for x in pair]), F.col("col_name"))
+    return column_profile(df).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("columns"), F.sum("non_null").alias("non_null"), F.sum("nulls").alias("nulls"))
+
+
 def shape_and_missing(df: DataFrame) -> dict:
     """Rows, columns, missing cells and percentage (0 cells -> divide by 1)."""
     row = df.agg(

@@ -142,27 +142,42 @@ def share_at_or_below(
     return probes.join(shares, probe_key, "left")
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact interpolated median (pandas / ``percentile(x, 0.5)`` semantics, nulls skipped)
-    of every column in one job: (feature, median). All-null columns get a null median."""
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, key, n) of the values that are not null of several columns."""
     long = df.select(
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
         ).alias("kv")
     ).select("kv.feature", "kv.v")
-    counts = long.where(F.col("v").isNotNull()).groupBy("feature", F.col("v").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    cum = running_total(counts, "key", "n", ["feature"], out="_cum", total_out="_total")
-    lo_rank = F.floor((F.col("_total") - 1) / 2)
-    hi_rank = F.ceil((F.col("_total") - 1) / 2)
-    first = F.col("_cum") - F.col("n")  # 0-based rank of the first row holding this key
-    last = F.col("_cum") - 1
-    picked = cum.groupBy("feature").agg(
-        F.max(F.when((first <= lo_rank) & (lo_rank <= last), F.col("key"))).alias("_lo"),
-        F.max(F.when((first <= hi_rank) & (hi_rank <= last), F.col("key"))).alias("_hi"),
-    )
+    return long.where(F.col("v").isNotNull()).groupBy("feature", F.col("v").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantile_aggregates(shares: Sequence[float]) -> list[Column]:
+    """Aggregates ``_lo<i>``, ``_hi<i>`` over a running total of counts (n, _cum, _total): the keys
+    on either side of the i-th share's place, (rows - 1) x share. All shares in one pass."""
+    first, last = F.col("_cum") - F.col("n"), F.col("_cum") - 1  # 0-based ranks of the key's rows
+    out = []
+    for i, q in enumerate(shares):
+        place = (F.col("_total") - 1) * F.lit(float(q))
+        for name, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            out.append(F.max(F.when((first <= rank) & (rank <= last), F.col("key"))).alias(f"_{name}{i}"))
+    return out
+
+
+def interpolated(i: int, share: float) -> Column:
+    """The i-th quantile from ``_lo<i>``, ``_hi<i>`` and the group's ``_total``."""
+    place = (F.col("_total") - 1) * F.lit(float(share))
+    return F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (place - F.floor(place))
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Exact interpolated median (pandas / ``percentile(x, 0.5)`` semantics, nulls skipped)
+    of every column in one job: (feature, median). All-null columns get a null median."""
+    cum = running_total(value_counts(df, columns), "key", "n", ["feature"], out="_cum", total_out="_total")
+    picked = cum.groupBy("feature").agg(*quantile_aggregates([0.5]))
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
     return names.join(picked, "feature", "left").select(
-        "feature", ((F.col("_lo") + F.col("_hi")) / 2.0).alias("median")
+        "feature", ((F.col("_lo0") + F.col("_hi0")) / 2.0).alias("median")
     )
 
 

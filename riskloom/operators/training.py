@@ -16,6 +16,10 @@ from riskloom import config as C
 from riskloom.operators.stats import running_total
 
 
+#: Trees deeper than this keep the place of each row.
+CACHED_DEPTH = 10
+
+
 def stratified_split(
     frame: DataFrame, label: str, id_col: str = "id", test_share: float = C.TEST_SHARE, seed: int = C.SEED
 ) -> DataFrame:
@@ -49,7 +53,10 @@ def forest_pipeline(
     seed: int = C.SEED,
 ) -> Pipeline:
     """VectorAssembler -> RandomForestClassifier (sqrt feature subsets, bootstrap, gini).
-    Features stay continuous, so every split is a threshold (contributions stay exact)."""
+    Features stay continuous, so every split is a threshold (contributions stay exact). Trees
+    may be as deep as Spark allows, 30: the rows' place in each tree is then kept and written to
+    the checkpoint folder now and then, so a level needs neither the whole tree shipped nor
+    all levels before it recomputed after a loss."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     forest = RandomForestClassifier(
         featuresCol="features",
@@ -59,6 +66,8 @@ def forest_pipeline(
         seed=seed,
         featureSubsetStrategy="sqrt",
         impurity="gini",
+        cacheNodeIds=max_depth > CACHED_DEPTH,
+        checkpointInterval=10,
     )
     return Pipeline(stages=[assembler, forest])
 
@@ -75,9 +84,48 @@ def evaluate(predictions: DataFrame, label: str = C.LABEL) -> DataFrame:
     )
 
 
-def importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str, float]]:
-    imp = model.stages[-1].featureImportances.toArray()
-    return sorted(zip(features, map(float, imp)), key=lambda t: (-t[1], t[0]))
+def confusion_counts(pairs: DataFrame) -> DataFrame:
+    """One row (tn, fp, fn, tp) of (label, pred), each 0 or 1."""
+    cells = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
+    return pairs.agg(*[F.count_if((F.col("label") == y) & (F.col("pred") == p)).alias(c) for c, (y, p) in cells.items()])
+
+
+def class_report(pairs: DataFrame) -> DataFrame:
+    """Per-class precision / recall / F1 / support, accuracy, macro and weighted averages of
+    (label, pred), from one aggregate pass (four confusion counts)."""
+
+    def ratio(a, b):
+        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+    tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
+    p0, r0 = ratio(tn, tn + fn), ratio(tn, tn + fp)
+    p1, r1 = ratio(tp, tp + fp), ratio(tp, tp + fn)
+    f0, f1 = ratio(2 * p0 * r0, p0 + r0), ratio(2 * p1 * r1, p1 + r1)
+    s0, s1 = tn + fp, fn + tp
+    n = s0 + s1
+    acc = ratio(tn + tp, n)
+
+    def row(name, p, r, f, sup):
+        return F.struct(
+            F.lit(name).alias("class"), p.cast("double").alias("precision"), r.cast("double").alias("recall"),
+            f.cast("double").alias("f1_score"), sup.alias("support"),
+        )
+
+    none = F.lit(None).cast("double")
+    rows = F.array(
+        row("Stayed", p0, r0, f0, s0),
+        row("Left", p1, r1, f1, s1),
+        row("accuracy", none, none, acc, n),
+        row("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n),
+        row("weighted avg", ratio(p0 * s0 + p1 * s1, n), ratio(r0 * s0 + r1 * s1, n), ratio(f0 * s0 + f1 * s1, n), n),
+    )
+    return confusion_counts(pairs).select(F.explode(rows).alias("r")).select(
+        F.col("r.class").alias("class"),
+        F.round("r.precision", 9).alias("precision"),
+        F.round("r.recall", 9).alias("recall"),
+        F.round("r.f1_score", 9).alias("f1_score"),
+        F.col("r.support").cast("bigint").alias("support"),
+    )
 
 
 def save_and_reload(model: PipelineModel, path: str) -> PipelineModel:

@@ -440,8 +440,8 @@ oracle(
 
 # --- explanations, assessments, reports ------------------------------------------------------
 
-from riskloom.plans.queries import SPARSE_FEATURES  # noqa: E402
-from riskloom.sources.fixtures import SCENARIOS  # noqa: E402
+from riskloom.plans.queries import QUANTILES, SPARSE_FEATURES  # noqa: E402
+from riskloom.sources.fixtures import FIXED_FOREST_NODES, SCENARIOS  # noqa: E402
 
 _RANKED = (
     "rk AS (SELECT id, feature, round(phi, 12) + 0.0 AS p, "
@@ -471,7 +471,7 @@ oracle(
     "global_explanations",
     S.with_model(
         "SELECT feature, round(avg(abs(p)), 9) AS mean_abs_phi, round(avg(p), 9) AS mean_phi, round(min(p), 9) AS min_phi, "
-        "round(max(p), 9) AS max_phi FROM rk GROUP BY feature",
+        "round(max(p), 9) AS max_phi, " + ", ".join(f"round(quantile_cont(p, {S.d(q)}), 9) AS q{round(100 * q):02d}_phi" for q in QUANTILES) + " FROM rk GROUP BY feature",
         f"{S.contributions_ctes(ENS, 'mfi')}, {_RANKED}",
     ),
 )
@@ -660,3 +660,51 @@ oracle("evaluate_model_check", S.with_model("SELECT count(*) AS rows, true AS ma
 oracle("feature_importance_check", f"SELECT CAST({len(C.STANDARD_FEATURES)} AS BIGINT) AS features, 1.0 AS total, true AS none_negative")
 oracle("model_reload_check", S.with_model("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches FROM sp WHERE split = 'test'", _SPLIT))
 oracle("explain_trained_check", S.with_model("SELECT count(*) AS rows, true AS closes FROM sp WHERE split = 'test'", _SPLIT))
+
+
+def _visits(tree) -> list[tuple[int, str]]:
+    """The SQL condition under which a row comes through each node."""
+    out, stack = [], [(0, "true")]
+    while stack:
+        node, cond = stack.pop()
+        out.append((node, cond))
+        if tree.feature[node] >= 0:
+            f, thr = ENS.features[tree.feature[node]], S.d(float(tree.threshold[node]))
+            stack += [(int(tree.left[node]), f"{cond} AND {f} <= {thr}"), (int(tree.right[node]), f"{cond} AND NOT {f} <= {thr}")]
+    return out
+
+
+_NODES = S.values_sql("nd", "tree, node, feature, lft, rgt", [(t, n, f, lft, rgt) for t, n, f, _, lft, rgt, _, _ in FIXED_FOREST_NODES])
+_NODE_COUNTS = "nc AS (" + " UNION ALL ".join(
+    f"SELECT {t} AS tree, {n} AS node, CAST(count(*) AS DOUBLE) AS w, CAST(coalesce(sum(Attrition), 0) AS DOUBLE) AS p FROM mfi WHERE Attrition IS NOT NULL AND ({cond})"
+    for t, tree in enumerate(ENS.trees) for n, cond in _visits(tree)
+) + ")"
+oracle(
+    "forest_importance",
+    S.with_model(
+        "SELECT feature, round(share / sum(share) OVER (), 9) AS importance FROM (SELECT feature, sum(gain / total) AS share FROM "
+        "(SELECT *, sum(gain) OVER (PARTITION BY tree) AS total FROM g) WHERE total > 0 GROUP BY feature)",
+        f"{_NODES}, {_NODE_COUNTS}, im AS (SELECT tree, node, CASE WHEN w > 0 THEN w * (1 - (p / w) ** 2 - (1 - p / w) ** 2) ELSE 0 END AS i FROM nc), "
+        "g AS (SELECT nd.tree, nd.feature, sum(a.i - b.i - c.i) AS gain FROM nd JOIN im a ON a.tree = nd.tree AND a.node = nd.node "
+        "JOIN im b ON b.tree = nd.tree AND b.node = nd.lft JOIN im c ON c.tree = nd.tree AND c.node = nd.rgt WHERE nd.feature IS NOT NULL GROUP BY ALL)",
+    ),
+)
+oracle("holdout_check", S.with_model("SELECT CASE Attrition WHEN 0 THEN 'Stayed' ELSE 'Left' END AS class, count(*) AS support, true AS agrees FROM sp WHERE split = 'test' AND Attrition IS NOT NULL GROUP BY 1", _SPLIT))
+oracle("score_deep_forest_check", S.with_model("SELECT count(*) AS rows, true AS agrees, true AS deep FROM sp WHERE split = 'test'", _SPLIT))
+_KIND = (
+    "CASE WHEN t IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT') THEN 'integer' WHEN t IN ('FLOAT', 'DOUBLE') OR t LIKE 'DECIMAL%' THEN 'float' "
+    "WHEN t = 'VARCHAR' THEN 'text' WHEN t = 'DATE' OR t LIKE 'TIMESTAMP%' THEN 'date' ELSE 'other' END"
+)
+oracle(
+    "column_kinds",
+    f"WITH {S.EMP}, {S.WORKERS}, {_TYPES}, n AS (SELECT count(*) AS rows FROM workers), cnt AS ("
+    + " UNION ALL ".join(f"SELECT {S.q(c)} AS c, count({c}) AS non_null FROM workers" for c in WORKERS_COLUMNS)
+    + f") SELECT {_KIND} AS kind, count(*) AS columns, CAST(sum(non_null) AS BIGINT) AS non_null, CAST(sum(n.rows - non_null) AS BIGINT) AS nulls FROM cnt JOIN types USING (c) CROSS JOIN n GROUP BY 1",
+)
+_CODED = ["c_name", "c_mktsegment", "o_orderpriority"]
+oracle(
+    "encode_many_categories",
+    "WITH o AS (SELECT o_orderkey, o_custkey, c_name, c_mktsegment, o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey), "
+    + ", ".join(f"d_{c} AS (SELECT {c} AS k, CAST(row_number() OVER (ORDER BY {c}) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT {c} FROM o WHERE o_custkey % 2 = 0 AND {c} IS NOT NULL))" for c in _CODED)
+    + " SELECT o_orderkey, " + ", ".join(f"d_{c}.code AS {c}" for c in _CODED) + " FROM o " + " ".join(f"LEFT JOIN d_{c} ON d_{c}.k = o.{c}" for c in _CODED),
+)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from riskloom import config as C
 from riskloom.functions.expressions import percent_text, predicted_class, risk_bucket, round_double
 from riskloom.operators.encode import fit_dictionary
-from riskloom.operators.stats import exact_medians
+from riskloom.operators.stats import exact_medians, interpolated, quantile_aggregates, running_total
 from riskloom.plans.workbench import RISK, Workbench
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -559,17 +559,23 @@ def explain_topk(spark, sf_dir):
     )
 
 
+#: Shares of the distribution behind the summary plot.
+QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
 @query("global_explanations")
 def global_explanations(spark, sf_dir):
-    """Distribution of contributions per feature over all rows (summary-plot data)."""
+    """Distribution of contributions per feature over all rows (summary-plot data), with
+    exact quantiles: equal contributions are counted first, and one running total over the counts
+    answers all shares of all features."""
     b = wb(spark, sf_dir)
     long = FO.explanations_long(W.explained_history(b), b.ensemble.features)
-    return long.groupBy("feature").agg(
-        F.round(F.avg(F.abs("phi")), 9).alias("mean_abs_phi"),
-        F.round(F.avg("phi"), 9).alias("mean_phi"),
-        F.round(F.min("phi"), 9).alias("min_phi"),
-        F.round(F.max("phi"), 9).alias("max_phi"),
-    )
+    counts = long.groupBy("feature", F.col("phi").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    cum = running_total(counts, "key", "n", ["feature"], out="_cum", total_out="_total")
+    weighted = [(F.sum(x * F.col("n")) / F.sum("n")).alias(name) for name, x in (("mean_abs_phi", F.abs("key")), ("mean_phi", F.col("key")))]
+    per = cum.groupBy("feature", "_total").agg(*weighted, F.min("key").alias("min_phi"), F.max("key").alias("max_phi"), *quantile_aggregates(QUANTILES))
+    shares = [F.round(interpolated(i, q), 9).alias(f"q{round(100 * q):02d}_phi") for i, q in enumerate(QUANTILES)]
+    return per.select("feature", *[F.round(c, 9).alias(c) for c in ("mean_abs_phi", "mean_phi", "min_phi", "max_phi")], *shares)
 
 
 @query("risk_report_text")
@@ -647,45 +653,17 @@ def confusion_matrix(spark, sf_dir):
 def classification_report(spark, sf_dir):
     """Per-class precision / recall / F1 / support, accuracy, macro and weighted averages
     — from one aggregate pass (four confusion counts)."""
-    lp = _label_pred(wb(spark, sf_dir))
-    cm = lp.agg(
-        F.count_if((F.col("label") == 0) & (F.col("pred") == 0)).alias("tn"),
-        F.count_if((F.col("label") == 0) & (F.col("pred") == 1)).alias("fp"),
-        F.count_if((F.col("label") == 1) & (F.col("pred") == 0)).alias("fn"),
-        F.count_if((F.col("label") == 1) & (F.col("pred") == 1)).alias("tp"),
-    )
+    return TR.class_report(_label_pred(wb(spark, sf_dir)))
 
-    def ratio(a, b):
-        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
-
-    tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
-    p0, r0 = ratio(tn, tn + fn), ratio(tn, tn + fp)
-    p1, r1 = ratio(tp, tp + fp), ratio(tp, tp + fn)
-    f0, f1 = ratio(2 * p0 * r0, p0 + r0), ratio(2 * p1 * r1, p1 + r1)
-    s0, s1 = tn + fp, fn + tp
-    n = s0 + s1
-    acc = ratio(tn + tp, n)
-    def row(name, p, r, f, sup):
-        return F.struct(
-            F.lit(name).alias("class"), p.cast("double").alias("precision"), r.cast("double").alias("recall"),
-            f.cast("double").alias("f1_score"), sup.alias("support"),
-        )
-
-    none = F.lit(None).cast("double")
-    rows = F.array(
-        row("Stayed", p0, r0, f0, s0),
-        row("Left", p1, r1, f1, s1),
-        row("accuracy", none, none, acc, n),
-        row("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n),
-        row("weighted avg", ratio(p0 * s0 + p1 * s1, n), ratio(r0 * s0 + r1 * s1, n), ratio(f0 * s0 + f1 * s1, n), n),
-    )
-    return cm.select(F.explode(rows).alias("r")).select(
-        F.col("r.class").alias("class"),
-        F.round("r.precision", 9).alias("precision"),
-        F.round("r.recall", 9).alias("recall"),
-        F.round("r.f1_score", 9).alias("f1_score"),
-        F.col("r.support").cast("bigint").alias("support"),
-    )
+
+@query("forest_importance")
+def forest_importance(spark, sf_dir):
+    """Impurity importance of the fixed forest's features on the whole history: rows and
+    leavers that come through each node, impurity taken away by tree and feature."""
+    b = wb(spark, sf_dir)
+    stats = b.ensemble.node_statistics(b.filled_frame, F.col(C.LABEL))
+    nodes = b.ensemble.node_table(spark).join(stats, ["tree", "node"], "left").fillna(0.0, ["weight", "positives"])
+    return FO.impurity_importance(nodes).select("feature", F.round("importance", 9).alias("importance"))
 
 
 # --- training, evaluation, persistence (trained forests differ from the reference's numerically:
@@ -724,13 +702,86 @@ def evaluate_model(spark, sf_dir):
     return TR.evaluate(W.trained(b)["model"].transform(test))
 
 
+def _trained_importance(spark, sf_dir):
+    return FO.impurity_importance(FO.saved_nodes(spark, W.trained(wb(spark, sf_dir))["nodes"], C.STANDARD_FEATURES))
+
+
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
-    """Impurity importance of the trained forest, top 10."""
+    """Impurity importance of the trained forest from its written node table, top 10."""
+    return _trained_importance(spark, sf_dir).orderBy(F.col("importance").desc(), "feature").limit(10)
+
+
+def _holdout(spark, sf_dir):
+    """(label, pred) of the test rows by the trained forest."""
+    b = wb(spark, sf_dir)
+    test = W.split_frame(b).where((F.col("split") == "test") & F.col(C.LABEL).isNotNull())
+    return W.trained(b)["model"].transform(test).select(F.col(C.LABEL).cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
+
+
+@query("holdout_report")
+def holdout_report(spark, sf_dir):
+    """The whole report of the trained forest on the rows held out."""
+    return TR.class_report(_holdout(spark, sf_dir))
+
+
+@query("holdout_confusion")
+def holdout_confusion(spark, sf_dir):
+    """Actual x predicted counts of the trained forest on the rows held out."""
+    lp = _holdout(spark, sf_dir)
+    return PR.crosstab(lp.withColumn("pred", F.concat(F.lit("pred_"), F.col("pred").cast("string"))), "label", "pred", ["pred_0", "pred_1"])
+
+
+@query("holdout_check")
+def holdout_check(spark, sf_dir):
+    """Support of each class in the report, and that matrix and report agree."""
+    matrix = holdout_confusion(spark, sf_dir)
+    right = F.when(F.col("label") == 0, F.col("pred_0")).otherwise(F.col("pred_1"))
+    name = F.when(F.col("label") == 0, F.lit("Stayed")).otherwise(F.lit("Left"))
+    own = matrix.select(name.alias("class"), (F.col("pred_0") + F.col("pred_1")).alias("n"), right.alias("right"))
+    report = holdout_report(spark, sf_dir).where(F.col("class").isin("Stayed", "Left"))
+    return report.join(own, "class").select("class", "support", ((F.col("support") == F.col("n")) & (F.abs(F.col("recall") * F.col("n") - F.col("right")) < 0.01)).alias("agrees"))
+
+
+@query("score_deep_forest")
+def score_deep_forest(spark, sf_dir):
+    """M3/M5: a forest of depth 20 fitted on the train split; test rows scored by Spark's own
+    transform and by walking the node arrays."""
+    b = wb(spark, sf_dir)
+    state = W.trained(b, W.DEEP)
+    test = TR.leave_probability(state["model"].transform(W.split_frame(b).where(F.col("split") == "test")))
+    own = state["ensemble"].predict_column([F.col(f) for f in C.STANDARD_FEATURES])
+    return test.select("id", F.round("p_leave", 9).alias("spark_probability"), F.round(own, 9).alias("score"))
+
+
+@query("score_deep_forest_check")
+def score_deep_forest_check(spark, sf_dir):
+    """M3: both scores of the deep forest agree on every test row, and trees are deeper than 8."""
+    deepest = max(len(walk.levels) for walk in W.trained(wb(spark, sf_dir), W.DEEP)["ensemble"].walks())
+    gap = F.max(F.abs(F.col("spark_probability") - F.col("score")))
+    return score_deep_forest(spark, sf_dir).agg(F.count(F.lit(1)).alias("rows"), (gap < 1e-8).alias("agrees"), F.lit(deepest > 8).alias("deep"))
+
+
+@query("column_kinds")
+def column_kinds(spark, sf_dir):
+    """Columns of each kind of type, with their cells, of the custom upload."""
+    return PR.column_kinds(wb(spark, sf_dir).workers)
+
+
+@query("encode_many_categories")
+def encode_many_categories(spark, sf_dir):
+    """Columns whose dictionaries are too large to broadcast, coded together in one shuffle:
+    every order under its customer's and its part's name and its priority, with a dictionary of
+    every second customer."""
     b = wb(spark, sf_dir)
-    imp = TR.importances(W.trained(b)["model"], C.STANDARD_FEATURES)
-    df = spark.createDataFrame(imp, "feature string, importance double")
-    return df.orderBy(F.col("importance").desc(), "feature").limit(10)
+    orders = b.table("orders").join(b.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment"), "o_custkey")
+    rows = orders.select("o_orderkey", "c_name", "c_mktsegment", "o_orderpriority")
+    cols = ["c_name", "c_mktsegment", "o_orderpriority"]
+    key = ("names", tuple(cols))
+    if key not in b._fitted:
+        b._fitted[key] = EN.Dictionary.fit(orders.where("o_custkey % 2 = 0").select(*cols), cols)
+    coded = b._fitted[key].join_codes(rows, cols, broadcast_up_to=0)
+    return coded.select("o_orderkey", *[F.col(f"__code_{c}").alias(c) for c in cols])
 
 
 @query("model_reload_check")
@@ -957,8 +1008,7 @@ def evaluate_model_check(spark, sf_dir):
 @query("feature_importance_check")
 def feature_importance_check(spark, sf_dir):
     """Importances of all features, which sum to 1."""
-    imp = TR.importances(W.trained(wb(spark, sf_dir))["model"], C.STANDARD_FEATURES)
-    all_of_them = spark.createDataFrame(imp, "feature string, importance double")
+    all_of_them = spark.createDataFrame([(f,) for f in C.STANDARD_FEATURES], "feature string").join(_trained_importance(spark, sf_dir), "feature", "left").fillna(0.0)
     return all_of_them.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 6).alias("total"), F.min(F.col("importance") >= 0).alias("none_negative"))
 
 

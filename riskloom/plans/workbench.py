@@ -234,7 +234,7 @@ def raw_value_text(wbench: Workbench, idx: Column) -> Column:
 # --- trained forest -----------------------------------------------------------------------------
 
 from riskloom.operators import training as TR  # noqa: E402
-from riskloom.session import shared_path, spread  # noqa: E402
+from riskloom.session import ensure_checkpoint_dir, shared_path, spread  # noqa: E402
 
 _TRAINED: dict[tuple, dict] = {}
 
@@ -250,24 +250,28 @@ def split_frame(wbench: Workbench) -> DataFrame:
     return state["split"]
 
 
-def trained(wbench: Workbench) -> dict:
-    """Fit the forest on the train split once: {'model', 'path', 'ensemble'}."""
-    key = session_key(wbench.spark, wbench.sf_dir)
+#: Depth of the forest of most queries, and of the deep one (the reference sets no limit).
+DEPTH, DEEP = 8, 20
+
+
+def trained(wbench: Workbench, depth: int = DEPTH) -> dict:
+    """Fit the forest on the train split once: {'model', 'path', 'nodes', 'ensemble'}."""
+    key = (*session_key(wbench.spark, wbench.sf_dir), depth)
     state = _TRAINED.setdefault(key, {})
     if "model" not in state:
         # The forest makes several passes over its input (size, split candidates, binning)
         # before it caches its own binned copy: keep the input for the duration of the fit
         # (MEMORY_AND_DISK spills instead of failing) and release it right after.
+        ensure_checkpoint_dir(wbench.spark)  # deep trees write the places of rows there
         train = spread(split_frame(wbench).where(F.col("split") == "train"), "id")
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            model = TR.forest_pipeline(C.STANDARD_FEATURES).fit(train)
+            model = TR.forest_pipeline(C.STANDARD_FEATURES, max_depth=depth).fit(train)
         finally:
             train.unpersist()
         state["model"] = model
         state["path"] = shared_path(wbench.spark, "forest")
         model.write().overwrite().save(state["path"])
-        state["ensemble"] = TreeEnsemble.from_spark_model(
-            wbench.spark, model.stages[-1], C.STANDARD_FEATURES, state["path"] + "-trees"
-        )
+        state["nodes"] = state["path"] + "-trees"
+        state["ensemble"] = TreeEnsemble.from_spark_model(wbench.spark, model.stages[-1], C.STANDARD_FEATURES, state["nodes"])
     return state

@@ -42,6 +42,28 @@ def test_many_categories_are_joined(spark):
     assert EN.encode_lenient(df, d, ["x"]).where("x != id").count() == 0
 
 
+def test_large_dictionaries_in_one_shuffle(spark):
+    """Eight columns too large to broadcast: codes as by a join each, rows and their order of
+    columns kept, the rows moved twice in all."""
+    cols = [f"t{i}" for i in range(8)]
+    df = spark.range(2000).select(
+        "id", F.lit(None).cast("string").alias("empty"), F.struct("id").alias("nested"),
+        *[F.when(F.col("id") % (i + 7) != 0, F.concat(F.lit("v"), (F.col("id") * (i + 3) % (50 * i + 9)).cast("string"))).alias(c) for i, c in enumerate(cols)],
+    )
+    d = EN.Dictionary.fit(df.where("id % 3 != 0"), cols)
+    twice = df.unionByName(df.where("id < 50"))
+    one, each = d.join_codes(twice, cols, broadcast_up_to=0), d.join_codes(twice, cols)
+    assert one.columns == each.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, each.collect()))
+    assert d.join_codes(twice.limit(0), cols, broadcast_up_to=0).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = d.join_codes(twice, cols, broadcast_up_to=0)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 3  # rows to the join, rows back, and the dictionary
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_text_is_filled_by_mode(spark):
     df = spark.createDataFrame([("Male", 1.0), ("Male", None), ("Female", 2.0), (None, 3.0)], "Gender string, Age double")
     modes = EN.training_modes(spark.createDataFrame([("b",), ("a",), ("a",), ("b",), (None,)], "Gender string"), ["Gender"])

@@ -46,7 +46,7 @@ MAY_BE_EMPTY = {"filter_employees", "search_text"}
 
 #: Queries that build a plan and nothing else once the assets are fitted.
 PLAN_ONLY = [
-    "scan_employees", "model_frame", "score_employees", "filter_employees", "filtered_view", "filter_or_all", "explain_all", "explain_topk", "global_explanations",
+    "scan_employees", "model_frame", "score_employees", "filter_employees", "filtered_view", "filter_or_all", "explain_all", "explain_topk",
     "risk_report_text", "assess_risk", "what_if", "preprocess_custom", "score_custom_upload", "harmonize", "derive_features", "fuzzy_column_map", "label_match_rate",
 ]
 

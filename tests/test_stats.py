@@ -82,3 +82,20 @@ def test_running_total_shuffles_the_data_once(spark):
     _, df = skewed(spark)
     plan = stats.running_total(df.select("id", F.lit(1).alias("w")), "id", "w")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "rangepartitioning" not in plan  # the one exchange is behind the checkpoint
+
+
+def test_all_quantiles_from_one_running_total(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from riskloom.operators.stats import interpolated, quantile_aggregates, running_total, value_counts
+
+    rng = np.random.default_rng(3)
+    rows = [(float(rng.integers(0, 9)) if rng.random() > 0.1 else None, float(rng.normal())) for _ in range(501)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    shares = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
+    cum = running_total(value_counts(df, ["a", "b"]), "key", "n", ["feature"], out="_cum", total_out="_total")
+    got = cum.groupBy("feature", "_total").agg(*quantile_aggregates(shares)).select("feature", *[interpolated(i, q).alias(f"q{i}") for i, q in enumerate(shares)])
+    for r in got.collect():
+        values = [x[0 if r.feature == "a" else 1] for x in rows]
+        np.testing.assert_allclose(list(r)[1:], np.quantile([v for v in values if v is not None], shares), atol=1e-12)

@@ -41,3 +41,39 @@ def test_reloaded_model_agrees_and_contributions_close(spark):
     ens = TreeEnsemble.from_spark_model(spark, model.stages[-1], ["a", "b", "c"], path + "-trees")
     for r in ens.explain(scored, "id", carry=["p_leave"]).collect():
         assert abs(r.base + sum(r.phi) - r.p_leave) < 1e-9
+
+
+def test_importance_equals_sparks_own(spark):
+    """From the written node table, for shallow and deep trees."""
+    import numpy as np
+
+    from riskloom.operators.forest import TreeEnsemble, impurity_importance, saved_nodes
+    from riskloom.operators.training import forest_pipeline, leave_probability
+    from riskloom.session import ensure_checkpoint_dir, shared_path
+
+    ensure_checkpoint_dir(spark)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 5))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=600) * 0.7 > 0).astype(int)
+    names = list("abcde")
+    df = spark.createDataFrame([(i, *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, c double, d double, e double, y int")
+    for depth in (3, 20):
+        model = forest_pipeline(names, "y", num_trees=10, max_depth=depth).fit(df)
+        path = shared_path(spark, "t-importance")
+        ens = TreeEnsemble.from_spark_model(spark, model.stages[-1], names, path)
+        got = {r.feature: r.importance for r in impurity_importance(saved_nodes(spark, path, names)).collect()}
+        for name, own in zip(names, model.stages[-1].featureImportances.toArray()):
+            assert abs(got.get(name, 0.0) - own) < 1e-9
+        scored = leave_probability(model.transform(df)).withColumn("own", ens.predict_column([F.col(c) for c in names]))
+        assert scored.where("abs(own - p_leave) > 1e-9").count() == 0
+        assert max(len(w.levels) for w in ens.walks()) > (8 if depth == 20 else 2)
+        for r in ens.explain(scored, "id", carry=["p_leave"]).limit(50).collect():
+            assert abs(r.base + sum(r.phi) - r.p_leave) < 1e-9
+
+
+def test_importance_without_gain(spark):
+    from riskloom.operators.forest import impurity_importance
+
+    nodes = [(0, 0, "a", 1, 2, 4.0, 2.0), (0, 1, None, -1, -1, 2.0, 1.0), (0, 2, None, -1, -1, 2.0, 1.0), (1, 0, "b", 1, 2, 4.0, 2.0), (1, 1, None, -1, -1, 2.0, 2.0), (1, 2, None, -1, -1, 2.0, 0.0)]
+    got = impurity_importance(spark.createDataFrame(nodes, "tree int, node int, feature string, left int, right int, weight double, positives double"))
+    assert [(r.feature, r.importance) for r in got.collect()] == [("b", 1.0)]
