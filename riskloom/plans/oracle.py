@@ -74,6 +74,7 @@ oracle(
     f"AND CAST(Department AS VARCHAR) = {S.q(FILTER_DEPARTMENT)} AND CAST(JobRole AS VARCHAR) = {S.q(FILTER_ROLE)}"),
 )
 oracle("search_text", S.with_scored(ENS, f"SELECT {RESULT} FROM scored WHERE {_contains(SEARCH_TERM)}"))
+oracle("search_indexed", S.with_scored(ENS, f"SELECT {RESULT} FROM scored WHERE {_contains(SEARCH_TERM)}"))
 oracle(
     "filter_or_all",
     S.with_scored(ENS, f"SELECT {RESULT} FROM scored WHERE {_contains(NO_MATCH_TERM)} "
@@ -708,3 +709,21 @@ oracle(
     + ", ".join(f"d_{c} AS (SELECT {c} AS k, CAST(row_number() OVER (ORDER BY {c}) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT {c} FROM o WHERE o_custkey % 2 = 0 AND {c} IS NOT NULL))" for c in _CODED)
     + " SELECT o_orderkey, " + ", ".join(f"d_{c}.code AS {c}" for c in _CODED) + " FROM o " + " ".join(f"LEFT JOIN d_{c} ON d_{c}.k = o.{c}" for c in _CODED),
 )
+
+_ROW_TEXT = "lower(concat_ws(' ', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in [*EMPLOYEES_COLUMNS, "PredictedOutcome", "RiskCategory"]) + "))"
+oracle(
+    "search_files",
+    S.with_scored(ENS, f"SELECT t.term, count(*) AS rows, true AS skipped FROM (SELECT DISTINCT Department AS term FROM scored WHERE Department IS NOT NULL) t JOIN scored ON contains({_ROW_TEXT}, lower(t.term)) GROUP BY t.term"),
+)
+_ONE_TREE = type(ENS)(ENS.features, ENS.trees[:1])
+oracle(
+    "kept_scores",
+    S.with_model(
+        "SELECT CAST(step AS INTEGER) AS step, reused, CASE WHEN step = 5 THEN n + n10 ELSE n END AS rows, "
+        "round(CASE WHEN step <= 2 THEN whole WHEN step <= 4 THEN one ELSE one_more END, 9) AS avg_risk, CAST(1 AS INTEGER) AS versions "
+        "FROM a CROSS JOIN (VALUES (1, false), (2, true), (3, false), (4, true), (5, false)) AS v(step, reused)",
+        f"s AS (SELECT id, {S.score_sql(ENS)} AS p, {S.score_sql(_ONE_TREE)} AS q FROM mfi), "
+        "a AS (SELECT count(*) AS n, count(*) FILTER (id % 10 = 0) AS n10, avg(p) AS whole, avg(q) AS one, "
+        "(sum(q) + coalesce(sum(q) FILTER (id % 10 = 0), 0)) / (count(*) + count(*) FILTER (id % 10 = 0)) AS one_more FROM s)",
+    ),
+)

@@ -141,6 +141,76 @@ def search_text(spark, sf_dir):
     return _result_view(s.where(V.filter_predicate(s, search=SEARCH_TERM)))
 
 
+def _indexed(b):
+    """The scored history written with the trigram bitmaps of its files, once a session."""
+    from riskloom.operators.textindex import write_indexed
+    from riskloom.session import shared_path
+
+    if "indexed" not in b._fitted:
+        b._fitted["indexed"] = shared_path(b.spark, "indexed")
+        write_indexed(b.scored, b._fitted["indexed"], ["Department", "JobRole", "EducationField"], 32)
+    return b._fitted["indexed"]
+
+
+@query("search_indexed")
+def search_indexed(spark, sf_dir):
+    """F4/C21 over a written table: files without the term's trigrams are not read."""
+    from riskloom.operators import textindex as TI
+
+    return _result_view(TI.search_indexed(spark, _indexed(wb(spark, sf_dir)), SEARCH_TERM))
+
+
+@query("search_files")
+def search_files(spark, sf_dir):
+    """of each department's name as a term, rows found, and whether files were left out."""
+    from riskloom.operators import textindex as TI
+
+    b = wb(spark, sf_dir)
+    path = _indexed(b)
+    total = spark.read.parquet(f"{path}/index").select("file").distinct().count()
+    terms = sorted(r[0] for r in b.scored.select("Department").distinct().where("Department IS NOT NULL").collect())
+    parts = []
+    for term in terms:
+        read = TI.candidate_files(spark, path, term).agg(F.count(F.lit(1)).alias("read"))
+        found = TI.search_indexed(spark, path, term).agg(F.count(F.lit(1)).alias("rows"))
+        parts.append(found.select(F.lit(term).alias("term"), "rows", (read.scalar() < total).alias("skipped")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("kept_scores")
+def kept_scores(spark, sf_dir):
+    """The scored upload kept in the shared folder: written, found again by another session,
+    replaced when the model changes and when a file is added."""
+    import uuid
+
+    from riskloom.operators.assets import keep_scored, versions
+    from riskloom.operators.forest import TreeEnsemble
+    from riskloom.session import shared_path
+
+    b = wb(spark, sf_dir)
+    source, name = shared_path(spark, "kept-source"), f"scored-{uuid.uuid4().hex[:8]}"
+    encoded = b.filled_frame
+    encoded.write.parquet(source)
+    smaller = TreeEnsemble(b.ensemble.features, b.ensemble.trees[:1])
+
+    def step(number, session, ensemble):
+        def score():
+            table = session.read.parquet(source)
+            return table.select("id", ensemble.score_expr([F.col(f) for f in ensemble.features]).alias(RISK))
+
+        kept, reused = keep_scored(session, name, [source], ensemble, score)
+        stats = kept.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(RISK), 9).alias("avg_risk")).first()
+        return (number, reused, stats["rows"], stats["avg_risk"], len(versions(session, name)))
+
+    rows = [step(1, spark, b.ensemble), step(2, spark.newSession(), b.ensemble), step(3, spark, smaller), step(4, spark.newSession(), smaller)]
+    encoded.where("id % 10 = 0").write.mode("append").parquet(source)
+    rows.append(step(5, spark, smaller))
+    return spark.createDataFrame(rows, "step int, reused boolean, rows long, avg_risk double, versions int")
+
+
 @query("filter_or_all")
 def filter_or_all(spark, sf_dir):
     """nothing matches -> the whole table (decided in-plan by a scalar subquery)."""

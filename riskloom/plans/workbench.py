@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from riskloom import config as C
 from riskloom.functions.expressions import predicted_outcome, risk_bucket
+from riskloom.operators.assets import keep_scored
 from riskloom.operators.encode import Dictionary, fill_medians, model_frame, training_medians, training_modes
 from riskloom.operators.forest import TreeEnsemble
 from riskloom.sources import tables
@@ -113,12 +114,11 @@ class Workbench:
         """Risk over an already encoded+filled frame."""
         return self.ensemble.score_expr([F.col(f) for f in self.ensemble.features])
 
-    def keep_scored(self) -> DataFrame:
-        """Persists the scored history for a session of many views; ``release_scored`` ends it."""
-        return self.scored.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def release_scored(self) -> None:
-        self.scored.unpersist()
+    def kept_scored(self) -> tuple[DataFrame, bool]:
+        """The scored history from the shared folder, and whether an earlier session (with the same
+        files and model) had written it."""
+        sources = [f"{self.sf_dir}/{t}.parquet" for t in ("orders", "customer", "nation", "region")]
+        return keep_scored(self.spark, "scored-history", sources, self.ensemble, lambda: self.scored)
 
     @cached_property
     def scored(self) -> DataFrame:

@@ -67,3 +67,11 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Deal the narrow rows of a CPU-heavy stage by a key over the shuffle partitions, whatever
     the number of files or partitions they come from."""
     return df.repartition(*columns)
+
+
+def kept_folder(spark: SparkSession) -> str:
+    """The shared folder for tables that outlive a session: beside the checkpoints, whose own
+    folder Spark makes anew for each application."""
+    own = ensure_checkpoint_dir(spark).rstrip("/")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or own.rsplit("/", 1)[0]
+    return f"{base.rstrip('/')}/riskloom-kept"
