@@ -6,7 +6,9 @@ construction, minimised by partition refinement, and flattened into one transiti
 A state of the combined automaton is a tuple with one entry per rule: the live threads of
 that rule, earliest start first. Once a thread has matched, later threads of its rule are
 cut and no new ones start until it dies, which is leftmost, longest, non-overlapping
-matching for each rule by itself. Starts are found by the rule's reversed automaton, run
+matching for each rule by itself. A match that is too short uses up its text as well: where
+a rule's head holds characters that its body lacks, the automaton tells the ends of such
+matches too, and no later match of the rule starts before them. Starts are found by the rule's reversed automaton, run
 back from the end of a match. A private key's header is found by its rule; its span then
 goes on to the END line.
 
@@ -161,17 +163,25 @@ class _RuleAutomaton:
         self.strong = at
         nfa.eps[nfa.add(body, at, False)].add(at)
         self.first = nfa.closure({self.start})
+        chars = lambda states: set().union(*(on for st in states for on, _ in nfa.step[st]))
+        inside = chars(self.weak) if self.weak else set()
+        # a match of other characters than the body's may reach back past the end of a short one
+        self.crosses = not chars(range(min(self.weak, default=0))) <= inside
         back = nfa.reversed(at)
         self.back, self.back_first = back, back.closure({at})
 
     def accepts(self, states: frozenset[int]) -> bool:
         return bool(states & self.weak)
 
+    def match(self, states: frozenset[int]) -> str:
+        return "long" if self.strong in states else "short" if self.crosses and self.accepts(states) else ""
+
 
 class SecretAutomaton:
     """The combined minimal automaton: `classes` maps bytes, `table[state + class]` is the
-    next state (states are multiples of the row width), states from `hot` on hold a match
-    that is long enough, and `ends[state + class]` names the rules whose match ends there."""
+    next state (states are multiples of the row width), states from `hot` on hold a match,
+    and `ends[state + class]` names the rules whose match ends there (a short one: the rule's
+    number and the number of rules)."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
         self.kinds = [r.kind for r in rules]
@@ -194,16 +204,17 @@ class SecretAutomaton:
         self.classes = bytes(table)
 
     @staticmethod
-    def _rule_step(p: _RuleAutomaton, threads: tuple, byte: int) -> tuple[tuple, bool]:
-        """Next threads of one rule, and whether a long-enough match ends before the byte."""
-        ended = False
+    def _rule_step(p: _RuleAutomaton, threads: tuple, byte: int) -> tuple[tuple, str]:
+        """Next threads of one rule, and what ends before the byte: a match that is long enough, one
+        that is not but uses up its text, or nothing."""
+        ended = ""
         if threads and p.accepts(threads[0]):
             to = p.nfa.move(threads[0], byte)
             if to:
                 if not p.accepts(to):
                     raise ValueError("a rule's body must go on matching until it ends")
-                return (to,), False
-            ended, threads = p.strong in threads[0], ()
+                return (to,), ""
+            ended, threads = p.match(threads[0]), ()
         seen: set[int] = set()
         out = []
         for t in (*threads, p.first):
@@ -236,7 +247,7 @@ class SecretAutomaton:
                     to, end = memo[i][key]
                     after.append(to)
                     if end:
-                        ended.append(i)
+                        ended.append(i if end == "long" else i + len(parts))
                 after = tuple(after)
                 if after not in ids:
                     ids[after] = len(ids)
@@ -245,7 +256,8 @@ class SecretAutomaton:
                 out.append(tuple(ended))
             at = ids[state]
             rows[at], outputs[at] = row, tuple(out)
-            strong[at] = tuple(i for i, p in enumerate(parts) if state[i] and p.accepts(state[i][0]) and p.strong in state[i][0])
+            held = [p.match(state[i][0]) if state[i] else "" for i, p in enumerate(parts)]
+            strong[at] = tuple(i if m == "long" else i + len(parts) for i, m in enumerate(held) if m)
         return rows, outputs, strong
 
     @staticmethod
@@ -291,7 +303,7 @@ class SecretAutomaton:
         return table, [p.start in s for s in sorted(ids, key=ids.get)]
 
     def ends_of(self, data: bytes) -> list[tuple[int, int]]:
-        """(rule, end) of every match, from one pass over the bytes."""
+        """(rule, end) of every match, short ones too, from one pass over the bytes."""
         table, hot, ends, found, state = self.table, self.hot, self.ends, [], self.start
         for i, c in enumerate(data):
             if state >= hot:
@@ -308,6 +320,9 @@ class SecretAutomaton:
         coded = data.translate(self.classes)
         spans, floor = [], [0] * len(self.kinds)
         for rule, end in self.ends_of(coded):
+            if rule >= len(self.kinds):
+                floor[rule - len(self.kinds)] = end
+                continue
             table, accept = self.back[rule]
             state, start = 0, end
             for i in range(end - 1, floor[rule] - 1, -1):

@@ -25,16 +25,24 @@ def base(spans):
     return [s for s in spans if s[0] in ("assign", "access", "hex")]
 
 
-PARTS = ["password", "passwd", "SECRET", "token", "api_key", "apikey", "AKIA", "é", "=", ":", " ", '"', "'", "abc012", "0123456789abcdef", "ABCD1234", "x", "\n", "-----BEGIN PRIVATE KEY-----", "😀"]
+PARTS = ["password", "passwd", "SECRET", "token", "api_key", "apikey", "AKIA", "é", "=", ":", " ", '"', "'", "abc012", "0123456789abcdef", "ABCD1234", "x", "\n", "-----BEGIN PRIVATE KEY-----", "😀", "secret:secret=", "token=", "secret=abc"]
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), max_size=25))
 def test_base_spans_equal_the_expressions(parts):
     text = "".join(parts)
     assert base(AUTOMATON.scan(text)) == brute(text)
 
 
+def test_short_matches_use_up_their_text():
+    assert base(AUTOMATON.scan("token=secret:secret=abcdefghijkl")) == brute("token=secret:secret=abcdefghijkl") == [("assign", 13, 32)]
+    r = random.Random(6)
+    for _ in range(20_000):
+        text = "".join(r.choice(PARTS) for _ in range(r.randint(1, 12)))
+        assert base(AUTOMATON.scan(text)) == brute(text), text
+
+
 def test_more_rules_add_spans():
     text = "é xoxb-1234567890ab and -----BEGIN RSA PRIVATE KEY-----"
     assert AUTOMATON.scan(text) == [("chat", 2, 19), ("pem", 24, 55)]
