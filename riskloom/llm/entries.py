@@ -118,10 +118,7 @@ windows AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS t FROM
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, t) AS k FROM windows) WHERE k > 1),
 again AS (SELECT r, count(DISTINCT i + o) AS n FROM twice, (VALUES (0), (1), (2)) AS v(o) GROUP BY r),
 lines AS (SELECT r, host, text, trim(regexp_replace(lower(x), '[{BLANKS}]+', ' ', 'g'), ' ') AS line FROM (SELECT r, host, text, unnest(ls) AS x FROM w)),
-hosts AS (SELECT host, count(DISTINCT text) AS documents FROM d GROUP BY host),
-shared AS (
-  SELECT l.host, l.line FROM (SELECT host, line, count(DISTINCT text) AS held_by FROM lines GROUP BY host, line) l JOIN hosts h ON h.host = l.host
-  WHERE held_by > {line_rules.MIN_DOCUMENTS} AND held_by > CAST({line_rules.MAX_SHARE} AS DOUBLE) * documents),
+shared AS (SELECT host, line FROM lines GROUP BY host, line HAVING count(DISTINCT text) > {line_rules.MIN_DOCUMENTS}),
 removed AS (SELECT r, sum(len(string_split(line, ' '))) AS n FROM lines JOIN shared USING (host, line) GROUP BY r),
 b AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,

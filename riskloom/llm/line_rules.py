@@ -2,9 +2,13 @@
 
 Rules inside a document are array expressions over its words and lines. Across documents,
 normalised lines are hashed and the distinct documents that hold each line are counted
-for each host; lines in more documents than both limits allow are taken out of the texts
-(`remove_lines` returns these); a document is rejected if too little is left of it. Exact copies (equal texts) count as one document of
-their host, so that copying alone makes no line a shared one.
+for each host; lines in more documents than the limit allows are taken out of the texts
+(`remove_lines` returns these); a document is rejected if too little is left of it. The limit
+is a number of documents, the same for hosts of every size. Exact copies (equal texts) count as
+one document of their host, so that copying alone makes no line a shared one.
+
+Only texts that may have such a line travel to the list of theirs: a filter of fixed size says
+which, and the join that follows is exact.
 
 All of it is DataFrame functions. The line counts are summed before each shuffle; nothing
 is collected for a line, a host or a group of copies.
@@ -24,9 +28,10 @@ from pyspark.sql import functions as F
 from riskloom.session import checkpoint
 
 #: A line is removed from a host's documents if it stands in more distinct documents of
-#: the host than both limits.
+#: the host than this.
 MIN_DOCUMENTS = 20
-MAX_SHARE = 0.05
+#: Bits of the filter of texts with a shared line.
+FILTER_BITS = 1 << 23
 #: A document is rejected if less than this share of its words is left.
 MIN_LEFT = 0.3
 MIN_WORDS = 50
@@ -95,11 +100,10 @@ def normal(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row for each distinct text of a host and each different normalised line in it
-    (null: a first line without a word); `first` is true on one row of each text."""
-    lines = docs.select(*TEXT_KEY, F.posexplode(F.split("text", "\n")).alias("place", "line")).withColumn("line", normal(F.col("line"))).where("line != '' or place = 0")
-    line_hash = F.when(F.col("line") != "", F.xxhash64("line"))
-    return lines.groupBy(*TEXT_KEY, line_hash.alias("line_hash")).agg(F.max(F.col("place") == 0).alias("first"))
+    """One row for each distinct text of a host and each different normalised line with a
+    word in it."""
+    lines = docs.select(*TEXT_KEY, F.explode(F.split("text", "\n")).alias("line")).withColumn("line", normal(F.col("line"))).where("line != ''")
+    return lines.select(*TEXT_KEY, F.xxhash64("line").alias("line_hash")).distinct()
 
 
 #: A text of a host, by two independent hashes.
@@ -112,11 +116,9 @@ def with_text_key(docs: DataFrame, text: str, host: str) -> DataFrame:
     return rows.withColumns({"text_hash": F.xxhash64("text"), "text_check": F.crc32(F.col("text").cast("binary"))})
 
 
-def shared_lines(lines: DataFrame, min_documents: int, max_share: float) -> DataFrame:
-    """(host, line hash) of the lines above both limits."""
-    hosts = lines.groupBy("host").agg(F.count(F.when(F.col("first"), 1)).alias("documents"))
-    held = lines.where("line_hash is not null").groupBy("host", "line_hash").agg(F.count("*").alias("held_by")).where(F.col("held_by") > min_documents)
-    return held.join(hosts, "host").where(F.col("held_by") > max_share * F.col("documents")).select("host", "line_hash")
+def shared_lines(lines: DataFrame, min_documents: int) -> DataFrame:
+    """(host, line hash) of the lines above the limit."""
+    return lines.groupBy("host", "line_hash").agg(F.count("*").alias("held_by")).where(F.col("held_by") > min_documents).select("host", "line_hash")
 
 
 def in_sorted(values: Column, bits: Column, x: Column) -> Column:
@@ -141,35 +143,52 @@ def without(text: Column, gone: Column) -> Column:
     return bind(F.struct(gone.alias("values"), bits.alias("bits")), lambda g: of(g["values"], g["bits"]))
 
 
-def with_cleaned(rows: DataFrame, keyed: DataFrame, min_documents: int, max_share: float) -> DataFrame:
+def lines_to_lose(docs: DataFrame, min_documents: int) -> DataFrame:
+    """TEXT_KEY and `gone`, the sorted hashes of the shared lines, of the texts with any."""
+    lines = checkpoint(line_table(docs))
+    found = lines.join(shared_lines(lines, min_documents), ["host", "line_hash"], "left_semi")
+    return checkpoint(found.groupBy(*TEXT_KEY).agg(F.sort_array(F.collect_list("line_hash")).alias("gone")))
+
+
+def with_possible(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Adds `possible`: true for all rows whose text is in `gone`, and for few others while
+    these are few next to FILTER_BITS. The filter is 1 MB whatever the tables."""
+    place = F.pmod(F.col("text_hash"), F.lit(FILTER_BITS)) + 1  # bitmap numbers and positions count from 1
+    maps = gone.groupBy(F.bitmap_bucket_number(place).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    at = F.bitmap_bit_position(place).cast("int")
+    numbered = rows.withColumn("number", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "number", "left")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
+    return numbered.withColumn("possible", held).drop("number", "bits")
+
+
+def with_cleaned(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """Adds `cleaned`, the text without the lines that its host's documents share, null if it
-    has none, to rows with TEXT_KEY and `text`. `keyed` has the same texts, for the lines."""
-    lines = checkpoint(line_table(keyed))
-    found = lines.join(shared_lines(lines, min_documents, max_share), ["host", "line_hash"], "left_semi")
-    gone = found.groupBy(*TEXT_KEY).agg(F.sort_array(F.collect_list("line_hash")).alias("gone"))
+    has none, to rows with TEXT_KEY and `text`, which goes."""
+    rows = with_possible(rows, gone).withColumn("text", F.when(F.col("possible"), F.col("text")))
     cleaned = F.when(F.col("gone").isNotNull(), without(F.col("text"), F.col("gone")))
-    return rows.join(gone, TEXT_KEY, "left").withColumn("cleaned", cleaned).drop("gone")
+    return rows.join(gone, TEXT_KEY, "left").withColumn("cleaned", cleaned).drop("gone", "text", "possible")
 
 
-def remove_lines(docs: DataFrame, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+def remove_lines(docs: DataFrame, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """The rows, with their columns, of the documents; texts without the lines that their
     host's documents share."""
     keyed = with_text_key(docs, text, host)
-    rows = with_cleaned(keyed, keyed, min_documents, max_share)
+    rows = with_cleaned(keyed, lines_to_lose(keyed, min_documents))
     own = {c: F.col("row")[c] for c in docs.columns}
     return rows.select(*[(F.coalesce("cleaned", v) if c.lower() == text.lower() else v).alias(c) for c, v in own.items()])
 
 
 def apply_rules(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, min_left: float = MIN_LEFT
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, the base counts, `base_failed`, `kept`, and
     the words that the cleaned text has less."""
     source = with_text_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host")), "text", "host")
-    # the texts are read twice, for their lines and for their rules, and go once through the join with their lines
+    # the texts are read twice, for their lines and for their rules
     source = source.select(F.col("row.doc_id").alias("doc_id"), "text", *TEXT_KEY)
     base = with_base_rules(source).withColumn("n_words", F.col("counts.n_words")).withColumn("n_repeat_words", F.col("counts.n_repeat_words")).drop("counts")
-    joined = with_cleaned(base, source, min_documents, max_share)
+    joined = with_cleaned(base, lines_to_lose(source, min_documents))
     n_left = F.when(F.col("cleaned").isNull(), F.col("n_words")).otherwise(F.size(words_of(F.col("cleaned"))).cast("long"))
     joined = joined.withColumn("n_removed_words", F.col("n_words") - n_left)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
