@@ -2,6 +2,7 @@
 
 import html as H
 import re
+import time
 
 import pytest
 
@@ -76,3 +77,42 @@ PLAIN = "T\nOne, two, three\nFour, five, six"
 )
 def test_sections_in_doubt_and_siblings(page, text):
     assert extract(page) == text
+
+
+LONG = "Long, text. " * 40
+WHOLE = f"T\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("name", ["nav", "header", "aside", "footer", "menu"])
+def test_sections_without_an_end(name):
+    article = f"<article><h1>T</h1><p>{LONG}</p></article>"
+    assert extract(f"<body><{name}><a href=x>Home</a>{article}</body>") == WHOLE
+    assert extract(f"<body><div><{name}><ul><li><a href=x>Home</a></div><div><h1>T</h1><p>{LONG}</p></div></body>") == WHOLE
+    assert extract(f"<body><{name}><p>x</p></{name}>{article}<{name}>last") == WHOLE
+    assert extract(f"<body><{name}><a href=x>a</a><main><h1>T</h1><p>{LONG}</p></main></{name}></body>") == WHOLE
+    assert extract(f"<body>{article}<{name}><article><p>card, card</p></article></{name}>") == WHOLE
+    assert extract(f"<{name}><p>{LONG}</p>") == LONG.strip()  # nothing else on the page
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><p>He said <span class='search-term'>hello world</span> to all</p><p>{LONG}</p></article>", f"He said hello world to all\n{LONG.strip()}"),
+        (f"<article><p>He said <span class=share>hello to all<p>{LONG}</p></article>", f"He said hello to all\n{LONG.strip()}"),
+        (f"<article><p>a <span hidden>b <span>c</span> d</span> e</p><p>{LONG}</p></article>", f"a e\n{LONG.strip()}"),
+        (f"<article><p>a <span hidden>b</p><p>{LONG}</p></article>", f"a\n{LONG.strip()}"),
+        (f"<article><p hidden>a<p>{LONG}</article>", LONG.strip()),
+        (f"<article><ul class='search-tips'><li>a<li>b</ul><p>{LONG}</p></article>", f"a\nb\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><div class='share-buttons'><p>no</p></div><div class='related posts'><p>no</p></div><div class='site-header'>no</div></article>", LONG.strip()),
+        (f"<head><title>no</title><meta charset=utf-8><body><article><h1>T</h1><p>{LONG}</p></article>", WHOLE),
+    ],
+)
+def test_names_and_inline_elements(page, text):
+    assert extract(page) == text
+
+
+@pytest.mark.parametrize("name", ["div", "div hidden", "li", "blockquote", "div class=share", "article", "nav"])
+def test_nesting_takes_time_in_proportion(name):
+    start = time.process_time()
+    extract(f"<{name}>x, y" * 50_000 + f"<p>{LONG}</p>" + "</p></li></td>" * 50_000)
+    assert time.process_time() - start < 20
