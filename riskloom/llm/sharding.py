@@ -21,7 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import checkpoint
+from riskloom.llm.common import fresh_name
+from riskloom.session import checkpoint, shared_path
 
 #: Bits of each of the four quantised dimensions: at most 4096 cells.
 BITS = 3
@@ -118,27 +119,43 @@ def positions(rows: DataFrame, order: list[str], run_rows: int = RUN_ROWS) -> Da
     return numbered.withColumn("position", F.col("cell_start") + F.col("run_start") + F.col("n")).drop("runs", "cell_start", "run_start", "run", "n")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", bits: int = BITS, run_rows: int = RUN_ROWS) -> DataFrame:
-    """One row per input row: doc_id, size, text_crc32, cell, shard, slot."""
+def narrow(doc_id: str, text: str, lang: str, source: str) -> dict[str, Column]:
+    """What places a row."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = checkpoint(docs.select(
-        F.col(doc_id).alias("doc_id"),
-        (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.col(lang).cast("string").alias("lang"),
-        F.col(source).cast("string").alias("source"),
-    ))  # the texts are read once; what follows counts and joins these narrow rows
+    return {
+        "doc_id": F.col(doc_id),
+        "size": (F.octet_length(body) + 1).cast("long"),
+        "text_crc32": F.crc32(body.cast("binary")),
+        "lang": F.col(lang).cast("string"),
+        "source": F.col(source).cast("string"),
+    }
+
+
+def place(rows: DataFrame, shards: int, bits: int, run_rows: int) -> DataFrame:
+    """Adds cell, shard and slot to rows with the columns of `narrow`; others go with them."""
     dimensions = {"size": F.col("size").cast("double"), "id": F.col("doc_id").cast("double")}
     placed = positions(grid(rows, dimensions, bits, ("lang", "source")), ["doc_id", "size", "text_crc32"], run_rows)
-    exact = placed.withColumn("shard", F.expr(f"(position * {shards}) div total").cast("int"))
     first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
-    return exact.select("doc_id", "size", "text_crc32", "cell", "shard", (F.col("position") - first).alias("slot"))
+    exact = placed.withColumn("shard", F.expr(f"(position * {shards}) div total").cast("int"))
+    return exact.withColumn("slot", F.col("position") - first).drop("position", "total")
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", bits: int = BITS, run_rows: int = RUN_ROWS) -> DataFrame:
+    """One row per input row: doc_id, size, text_crc32, cell, shard, slot."""
+    # the texts are read once; what follows counts and joins these narrow rows
+    rows = checkpoint(docs.select(*[v.alias(k) for k, v in narrow(doc_id, text, lang, source).items()]))
+    return place(rows, shards, bits, run_rows).select("doc_id", "size", "text_crc32", "cell", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, path: str, **names) -> None:
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", bits: int = BITS, run_rows: int = RUN_ROWS) -> None:
     """The documents as one folder per shard, rows in the order of the curve, so that the
-    column statistics of files and row groups bound each dimension."""
-    doc_id = names.get("doc_id", "doc_id")
-    placed = shard_documents(docs, **names).select(F.col("doc_id").alias("placed_id"), "shard", "slot").dropDuplicates(["placed_id"])
-    rows = docs.join(placed, docs[doc_id].eqNullSafe(placed["placed_id"])).drop("placed_id")
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    column statistics of files and row groups bound each dimension. A row goes where it is
+    placed itself, whatever rows share its id. The folder column is `shard`, or `shard_1`
+    and so on where the documents have such a column."""
+    spark = docs.sparkSession
+    kept = shared_path(spark, "to-shard")  # a columnar copy, of which the counting reads narrow columns
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    docs.select(*[v.alias(k) for k, v in narrow(doc_id, text, lang, source).items()], whole).write.parquet(kept)
+    folder = fresh_name(docs, "shard")
+    rows = place(spark.read.parquet(kept), shards, bits, run_rows).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    rows.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)

@@ -2,7 +2,7 @@
 
 import itertools
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,10 +42,16 @@ def test_small_and_empty_tables(spark):
 
 
 def test_files(spark, tmp_path):
-    frame = hard_frame(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    frame = hard_frame(spark).union(hard_frame(spark)).withColumn("Shard", F.lit("own"))
+    frame = frame.union(frame.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" again"))))  # ids with several texts
     write_shards(frame, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == frame.count() and back.select("shard").distinct().count() == 8
+    assert back.columns[:-1] == frame.columns and back.columns[-1].lower() != "shard"
+    rows = lambda f: Counter(f.select(F.to_json(F.struct(*[F.col(c) for c in frame.columns])).alias("j")).toPandas()["j"])
+    assert rows(back) == rows(frame)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    written = Counter(map(tuple, back.select("doc_id", crc, F.col(back.columns[-1])).collect()))
+    assert written == Counter(map(tuple, shard_documents(frame).select("doc_id", "text_crc32", "shard").collect()))
 
 
 def test_sources_with_one_prefix_have_cells_of_their_own(spark):
