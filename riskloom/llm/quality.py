@@ -136,11 +136,13 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bin
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int) -> DataFrame:
-    """doc_id, text and label (0 or 1) of at most `sample_rows` labelled rows, chosen by
-    hash of the id. The chosen ids are bounded by that number and so can be broadcast."""
+    """doc_id, text and label (0 or 1) of at most `sample_rows` labelled ids, chosen by hash of
+    the id: one row for each, with the first of its texts in order, however many rows have the
+    id. The chosen ids are bounded by that number and so can be broadcast."""
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, **settings) -> BoostedTrees:

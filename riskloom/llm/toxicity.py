@@ -32,8 +32,6 @@ from riskloom.llm.quality import SAMPLE_ROWS, labelled_sample, training_rows
 WORD = re.compile(r"[^\W_]+")
 #: Lengths of stems, written with a star at the end.
 STEMS = range(3, 9)
-#: Most terms considered and most that are kept.
-MAX_CANDIDATES, MAX_TERMS = 20_000, 2_000
 #: A term stands in this share of the toxic sample at least, and its log odds are this or
 #: more; of a small sample, three quarters of the most that its clean rows can show.
 MIN_SHARE, MIN_ODDS = 0.01, 4.0
@@ -41,11 +39,9 @@ MIN_SHARE, MIN_ODDS = 0.01, 4.0
 #: within one edit; such a hit counts by this part of the term's weight. Words of the clean
 #: sample are no misspellings of a term.
 MIN_FUZZY, FUZZY_SHARE, FUZZY_PART = 5, 0.02, 0.5
-#: Most such words that are kept, the most frequent ones first.
-MAX_ORDINARY = 20_000
-#: Characters on either side of a hit in which quotation marks are looked for.
-CONTEXT = 160
+#: Opening marks and what closes them, on the same line; a straight mark opens and closes.
 QUOTES = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‹": "›"}
+MARK = re.compile("[\"" + "".join(sorted({c for pair in QUOTES.items() for c in "".join(pair)})) + "]")
 
 
 def terms_of(words: set[str]) -> set[str]:
@@ -143,20 +139,38 @@ class TermAutomaton:
         return found
 
 
-def quoted(text: str, start: int, end: int) -> bool:
-    """Whether the hit stands in quotation marks on its line, or on a quoted line."""
-    left = text[max(0, start - CONTEXT) : start]
-    right = text[end : end + CONTEXT]
-    head, tail = left[left.rfind("\n") + 1 :], right.split("\n", 1)[0]
-    if head.count('"') % 2 and '"' in tail:
-        return True
-    if head.lstrip().startswith(">") and (len(head) < CONTEXT):
-        return True
-    for opening, closing in QUOTES.items():
-        at = head.rfind(opening)
-        if at >= 0 and not any(c in head[at + 1 :] for c in closing) and any(c in tail for c in closing):
+class Quotation:
+    """Tells for hits, asked in their order, whether they stand in quotation marks on their
+    line or on a quoted line. A mark that closes an open one opens none. Each line's marks are
+    read once, however long the line is."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.line_end = text, -1
+
+    def begin(self, start: int) -> None:
+        text = self.text
+        begin = text.rfind("\n", 0, start) + 1
+        end = text.find("\n", start)
+        self.line_end = len(text) if end < 0 else end
+        first = re.compile(r"\s*").match(text, begin, self.line_end).end()
+        self.whole = text.startswith(">", first, self.line_end)
+        self.marks = [(m.start(), m[0]) for m in MARK.finditer(text, begin, self.line_end)]
+        self.last = {c: at for at, c in self.marks}
+        self.next, self.straight, self.open = 0, False, dict.fromkeys(QUOTES, False)
+
+    def holds(self, start: int, end: int) -> bool:
+        if start >= self.line_end:
+            self.begin(start)
+        while self.next < len(self.marks) and self.marks[self.next][0] < start:
+            c = self.marks[self.next][1]
+            self.next += 1
+            if c == '"':
+                self.straight = not self.straight
+            closed = [opening for opening, closing in QUOTES.items() if self.open[opening] and c in closing]
+            self.open |= dict.fromkeys(closed, False) if closed else {c: True} if c in QUOTES else {}
+        if self.whole or self.straight and self.last.get('"', -1) >= end:
             return True
-    return False
+        return any(is_open and any(self.last.get(c, -1) >= end for c in QUOTES[opening]) for opening, is_open in self.open.items())
 
 
 SIGNS = 4
@@ -172,6 +186,7 @@ def signs(text: str, automaton: TermAutomaton) -> list[float]:
     if not any((memo[w] if w in memo else find(w)) for w in words):
         return [0.0] * SIGNS
     source = text if len(low) == len(text) else low
+    quotation = Quotation(source)
     hits = said = near = 0.0
     last = -1000
     for i, m in enumerate(WORD.finditer(low)):
@@ -179,7 +194,7 @@ def signs(text: str, automaton: TermAutomaton) -> list[float]:
         if not hit:
             continue
         weight = automaton.weight[hit[0]] * (FUZZY_PART if hit[1] else 1)
-        if quoted(source, m.start(), m.end()):
+        if quotation.holds(m.start(), m.end()):
             said += weight
             continue
         hits += weight
@@ -205,11 +220,15 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(x @ self.coef + self.base)))
 
 
-def choose_terms(counts: pd.DataFrame, toxic_rows: int, clean_rows: int, min_share: float = MIN_SHARE, min_odds: float = MIN_ODDS) -> dict[str, float]:
+def limits(toxic_rows: int, clean_rows: int) -> tuple[int, float]:
+    """Toxic rows and log odds that a term has at least."""
+    return max(2, math.ceil(MIN_SHARE * toxic_rows)), min(MIN_ODDS, 0.75 * math.log(2 * (clean_rows + 1)))
+
+
+def choose_terms(counts: pd.DataFrame, toxic_rows: int, clean_rows: int) -> dict[str, float]:
     """Terms and their log odds, from columns term, toxic, clean. A stem gives way to a
     longer term that nearly all its evidence comes from; terms under a chosen stem go."""
-    least = max(2, math.ceil(min_share * toxic_rows))
-    min_odds = min(min_odds, 0.75 * math.log(2 * (clean_rows + 1)))
+    least, min_odds = limits(toxic_rows, clean_rows)
     odds = {}
     for term, t, c in counts[["term", "toxic", "clean"]].itertuples(index=False):
         value = math.log((t + 0.5) / (toxic_rows + 1)) - math.log((c + 0.5) / (clean_rows + 1))
@@ -229,8 +248,7 @@ def choose_terms(counts: pd.DataFrame, toxic_rows: int, clean_rows: int, min_sha
         while deeper := [c for c in kids.get(term, ()) if odds[c][0] >= 0.95 * odds[term][0]]:
             term = max(deeper, key=lambda x: (odds[x][0], len(x.rstrip("*")), not x.endswith("*"), x))
         chosen[term] = odds[term][1]
-    best = sorted(chosen, key=lambda x: (-odds[x][0], x))[:MAX_TERMS]
-    return {t: chosen[t] for t in best}
+    return chosen
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, damp: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
@@ -248,8 +266,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, damp: float = 1.0, steps: int = 3
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Lexicon and score model from a sample of labelled rows. The driver gets counts of at
-    most MAX_CANDIDATES terms and a few numbers for each row of the sample."""
+    """Lexicon and score model from a sample of labelled rows. The driver gets a few numbers
+    for each row of the sample, the counts of terms that pass both limits, of which there are
+    at most 1 / MIN_SHARE times the distinct words and stems of a toxic row of the sample, and
+    the words of its clean rows that are one edit from such a term."""
     sample = labelled_sample(docs, labels, label, sample_rows).persist()
     try:
         sizes = dict(sample.groupBy("label").count().collect())
@@ -257,27 +277,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
         if not toxic_rows:
             return ToxicityModel({}, frozenset(), frozenset(), np.zeros(SIGNS), 0.0)
 
-        def toxic_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                counts: Counter = Counter()
-                for t in as_texts(b["text"]):
-                    counts.update(terms_of(set(WORD.findall(t.lower()))))
-                yield pd.DataFrame(counts.items(), columns=["term", "toxic"])
-
-        least = max(2, math.ceil(MIN_SHARE * toxic_rows))
-        found = sample.where("label = 1").select("text").mapInPandas(toxic_terms, "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("toxic"))
-        toxic = found.where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "term").limit(MAX_CANDIDATES).toPandas()
-        wanted = frozenset(toxic["term"])
-
-        def clean_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                counts: Counter = Counter()
-                for t in as_texts(b["text"]):
-                    counts.update(terms_of(set(WORD.findall(t.lower()))) & wanted)
-                yield pd.DataFrame(counts.items(), columns=["term", "clean"])
-
-        clean = sample.where("label = 0").select("text").mapInPandas(clean_terms, "term string, clean long").groupBy("term").agg(F.sum("clean").alias("clean")).toPandas()
-        counts = toxic.merge(clean, on="term", how="left").fillna({"clean": 0})
+                counts: tuple[Counter, Counter] = (Counter(), Counter())
+                for t, y in zip(as_texts(b["text"]), b["label"], strict=True):
+                    counts[y == 1].update(terms_of(set(WORD.findall(t.lower()))))
+                rows = [(term, n, 0) for term, n in counts[1].items()] + [(term, 0, n) for term, n in counts[0].items()]
+                yield pd.DataFrame(rows, columns=["term", "toxic", "clean"]).astype({"term": object, "toxic": "int64", "clean": "int64"})
+
+        least, min_odds = limits(toxic_rows, clean_rows)
+        counted = sample.where("label in (0, 1)").select("text", "label").mapInPandas(count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        odds = F.log((F.col("toxic") + 0.5) / (toxic_rows + 1)) - F.log((F.col("clean") + 0.5) / (clean_rows + 1))
+        counts = counted.where((F.col("toxic") >= least) & (odds >= min_odds - 1e-9)).toPandas()  # `choose_terms` has the last word
         terms = choose_terms(counts, toxic_rows, clean_rows)
         common = set(counts["term"][counts["toxic"] >= FUZZY_SHARE * toxic_rows])
         fuzzy_terms = frozenset(t for t in terms if t in common and len(t) >= MIN_FUZZY and not t.endswith("*"))
@@ -291,7 +302,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
                 yield pd.DataFrame(counts.items(), columns=["word", "n"])
 
         near = sample.where("label = 0").select("text").mapInPandas(near_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        ordinary = frozenset(r["word"] for r in near.orderBy(F.desc("n"), "word").limit(MAX_ORDINARY).collect())
+        ordinary = frozenset(r["word"] for r in near.select("word").collect())
         model = ToxicityModel(terms, fuzzy_terms, ordinary, np.zeros(SIGNS), 0.0)
 
         def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

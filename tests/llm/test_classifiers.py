@@ -103,3 +103,36 @@ def test_stems_misspellings_and_quotation():
     abuse, quote = T.signs("you idiot there", automaton), T.signs('he said "you idiot there" to me', automaton)
     assert abuse[0] > 0 and abuse[1] == 0 and quote[0] == 0 and quote[1] > 0
     assert T.signs("> you idiot", automaton)[1] > 0 and T.signs("«you idiot»", automaton)[1] > 0
+
+
+def test_quotation_is_found_on_lines_of_any_length():
+    automaton = T.TermAutomaton({"idiot": 5.0}, frozenset(["idiot"]))
+    far = "word " * 5_000
+    told = lambda text: [x > 0 for x in T.signs(text, automaton)[:2]]
+    assert told(f'"{far} idiot {far}"') == [False, True] and told(f"> {far} idiot") == [False, True]
+    assert told(f'"{far}" idiot "{far}"') == [True, False] and told(f'"{far}\n idiot {far}"') == [True, False]
+    assert told("„a“ idiot „b”") == [True, False] and told("„a idiot b”") == [False, True]
+    assert told("«a» idiot «b»") == [True, False] and told("»a idiot b«") == [False, True]
+    r = random.Random(4)
+    for _ in range(300):
+        head, tail = ("".join(r.choice('"\n> ab') for _ in range(40)) for _ in range(2))
+        own, after = head.rsplit("\n", 1)[-1], tail.split("\n", 1)[0]
+        expected = own.lstrip().startswith(">") or own.count('"') % 2 == 1 and '"' in after
+        assert T.Quotation(f"{head}idiot{tail}").holds(40, 45) == expected
+
+
+def test_ids_with_many_rows_give_one_row_to_learn_from(spark):
+    docs = spark.createDataFrame([(i % 50, f"text {i % 7} of {i % 50}" if i % 3 else None) for i in range(3_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = {r.doc_id: (r.text, r.label) for r in Q.labelled_sample(docs, labels, "quality", 40).collect()}
+    assert len(got) <= 40 and Q.labelled_sample(docs, labels, "quality", 1_000).count() == 50
+    assert all(y == i % 2 and t.startswith("text 0 ") for i, (t, y) in got.items())
+
+
+def test_no_term_is_dropped_for_their_number(spark):
+    rows = [(i, " ".join(f"t{k}x" for k in range(5_000)) if i % 2 else "plain words only") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    model = T.fit_toxicity(docs, labels)
+    found = model.automaton()
+    assert all(found.find(f"t{k}x") for k in range(0, 5_000, 7))
