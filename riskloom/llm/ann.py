@@ -1,11 +1,13 @@
 """Nearest neighbours by inner product: a hierarchical small-world graph for each shard.
 
 Equal vectors are indexed once, with their smallest ids: of the copies of one vector only
-that many can be in a result. Vectors are dealt to shards by hash, about SHARD_ROWS to a
-shard whatever the size of the table. In a shard, nodes are inserted in an order fixed by
-hash; each links to diverse near nodes of those before it, and these link back as far as
-they have room, on every layer that the node reaches. A layer is kept as a flat array of
-neighbours. Queries go in blocks down the layers, all of a block in step, each with a beam
+that many can be in a result. Vectors are dealt to shards by hash, SHARD_ROWS to a shard or
+as many as SHARD_BYTES hold, whatever the size of the table. In a shard, nodes are inserted
+block by block in an order fixed by hash: a block searches down the layers among the nodes
+before it; each of its nodes links to diverse near ones of those found and of its block, and
+these link back, keeping diverse ones where they run out of room, on every layer that the
+node reaches. So the work of a shard grows little faster than its rows. A layer is kept as a
+flat array of neighbours. Queries go in blocks down the layers, all of a block in step, each with a beam
 of its own; what the shards find is scored in double precision and merged for each query.
 
 For inner products of vectors of different lengths the graph is built after adding one
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from riskloom.session import checkpoint
 
 NEIGHBOURS = 20
-#: Expected vectors of a shard, queries of a block.
-SHARD_ROWS, BLOCK_ROWS = 4096, 1024
+#: Expected vectors of a shard and bytes of them at most, queries of a block, nodes inserted together.
+SHARD_ROWS, SHARD_BYTES, BLOCK_ROWS, INSERTED = 32_768, 1 << 26, 1024, 512
 #: Links of a node to earlier nodes, and with links back; candidates looked at; beams.
 LINKS, LINKS_BACK, CANDIDATES, BEAM, UPPER_BEAM = 16, 32, 48, 96, 24
 
@@ -73,40 +75,53 @@ def diverse(points: np.ndarray, near: np.ndarray, dist: np.ndarray, links: int)
     return taken
 
 
-def layer_links(points: np.ndarray, links: int, back: int) -> np.ndarray:
-    """Flat neighbour array of one layer whose nodes are inserted in the order given."""
-    n = len(points)
-    out = np.full((n, links + back), -1, dtype=np.int32)
-    if n < 2:
-        return out
-    square = (points**2).sum(axis=1)
-    width = min(CANDIDATES, n - 1)
-    for lo in range(0, n, 512):
-        hi = min(n, lo + 512)
-        dist = square[lo:hi, None] + square[None, :hi] - 2 * points[lo:hi] @ points[:hi].T
-        dist[np.arange(hi)[None, :] >= np.arange(lo, hi)[:, None]] = np.inf
-        k = min(width, hi)
-        near = np.argpartition(dist, k - 1, axis=1)[:, :k] if k < hi else np.tile(np.arange(hi), (hi - lo, 1))
-        d = np.take_along_axis(dist, near, axis=1)
-        order = np.argsort(d, axis=1, kind="stable")
-        near, d = np.take_along_axis(near, order, axis=1), np.take_along_axis(d, order, axis=1)
-        near = np.where(np.isinf(d), -1, near).astype(np.int32)
-        out[lo:hi, :links] = diverse(points, near, d, links)
-    # links back, of which each node keeps diverse near ones
-    frm = np.repeat(np.arange(n, dtype=np.int32), links)
-    to = out[:, :links].reshape(-1)
-    frm, to = frm[to >= 0], to[to >= 0]
-    d = ((points[frm] - points[to]) ** 2).sum(axis=1)
-    order = np.lexsort((d, to))
-    frm, to, d = frm[order], to[order], d[order]
-    first = np.searchsorted(to, np.arange(n))
-    place = np.arange(len(to)) - first[to]
-    most = 3 * CANDIDATES
-    keep = place < most
-    near, dist = np.full((n, most), -1, dtype=np.int32), np.full((n, most), np.inf)
-    near[to[keep], place[keep]], dist[to[keep], place[keep]] = frm[keep], d[keep]
-    out[:, links:] = diverse(points, near, dist, back)
-    return out
+class Layer:
+    """Nodes of one layer in the order of insertion, and their neighbours: links to earlier
+    nodes, then links back from later ones. Both are places in the layer."""
+
+    def __init__(self, nodes: np.ndarray, points: np.ndarray, back: int) -> None:
+        self.nodes, self.points, self.rough, self.back = nodes, points, points.astype(np.float32), back
+        self.links = np.full((len(nodes), LINKS + back), -1, dtype=np.int32)
+        self.room = np.full(len(nodes), back)
+
+    def insert(self, lo: int, hi: int, found: np.ndarray) -> None:
+        """Links the nodes lo to hi; `found` has places of near nodes below lo, or -1."""
+        points, own = self.points, np.arange(lo, hi, dtype=np.int32)
+        earlier = np.where(own[None, :] < own[:, None], own[None, :], -1)
+        near = np.concatenate([found.astype(np.int32), earlier], axis=1)
+        rough = np.concatenate([np.einsum("ijk,ik->ij", self.rough[found], self.rough[lo:hi]), self.rough[lo:hi] @ self.rough[lo:hi].T], axis=1)
+        rough[near < 0] = -np.inf
+        width = min(CANDIDATES, near.shape[1])
+        near = np.take_along_axis(near, np.argpartition(-rough, width - 1, axis=1)[:, :width], axis=1)
+        self.links[lo:hi, :LINKS] = diverse(points, *self.sorted_by_distance(own, near), LINKS)
+        self.link_back(np.repeat(own, LINKS), self.links[lo:hi, :LINKS].reshape(-1))
+
+    def sorted_by_distance(self, rows: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        dist = ((self.points[near] - self.points[rows][:, None, :]) ** 2).sum(axis=2)
+        dist[near < 0] = np.inf
+        order = np.argsort(dist, axis=1, kind="stable")
+        return np.take_along_axis(near, order, axis=1), np.take_along_axis(dist, order, axis=1)
+
+    def link_back(self, frm: np.ndarray, to: np.ndarray) -> None:
+        """Links from `to` to `frm`; a node without room for its new ones keeps diverse near
+        ones of all."""
+        frm, to = frm[to >= 0], to[to >= 0]
+        order = np.lexsort((((self.points[frm] - self.points[to]) ** 2).sum(axis=1), to))
+        frm, to = frm[order], to[order]
+        nodes, first, new = np.unique(to, return_index=True, return_counts=True)
+        rank = np.arange(len(to)) - np.repeat(first, new)
+        fits = np.repeat(new <= self.room[nodes], new)
+        self.links[to[fits], LINKS + self.back - self.room[to[fits]] + rank[fits]] = frm[fits]
+        full = nodes[new > self.room[nodes]]
+        self.room[nodes] = np.maximum(0, self.room[nodes] - new)
+        if not len(full):
+            return
+        wanted = ~fits & (rank < 3 * CANDIDATES)
+        row = np.searchsorted(full, to[wanted])
+        near = np.full((len(full), self.back + int(rank[wanted].max()) + 1), -1, dtype=np.int32)
+        near[:, : self.back] = self.links[full, LINKS:]
+        near[row, self.back + rank[wanted]] = frm[wanted]
+        self.links[full, LINKS:] = diverse(self.points, *self.sorted_by_distance(full, near), self.back)
 
 
 class Graph:
@@ -120,13 +135,40 @@ class Graph:
         """`level` is the highest layer of each node."""
         lengths = (vectors**2).sum(axis=1)
         points = np.column_stack([vectors, np.sqrt(np.maximum(0, lengths.max(initial=0) - lengths))])
-        layers = []
+        layers: list[Layer] = []
         for top in range(int(level.max(initial=0)) + 1):
             nodes = np.flatnonzero(level >= top).astype(np.int32)
-            layers.append((nodes, layer_links(points[nodes], LINKS, LINKS_BACK if top == 0 else LINKS)))
+            layers.append(Layer(nodes, points[nodes], LINKS if top else LINKS_BACK))
             if len(nodes) <= 64:
                 break
-        return cls(vectors, layers)
+        for lo in range(0, len(points), INSERTED):
+            hi = min(len(points), lo + INSERTED)
+            q = points[lo:hi].astype(np.float32)
+            best: np.ndarray | None = None
+            for depth in range(len(layers) - 1, -1, -1):
+                layer = layers[depth]
+                before, after = np.searchsorted(layer.nodes, [lo, hi])  # places of the block's own nodes
+                found = np.full((hi - lo, 1), -1)
+                if before:
+                    found = cls.near(layer, before, q, best, UPPER_BEAM if depth else CANDIDATES)
+                    best = np.where(found >= 0, layer.nodes[found], layer.nodes[found[:, :1]])
+                if after > before:
+                    layer.insert(before, after, found[layer.nodes[before:after] - lo])
+        return cls(vectors, [(x.nodes, x.links) for x in layers])
+
+    @classmethod
+    def near(cls, layer: Layer, n: int, q: np.ndarray, start: np.ndarray | None, beam: int) -> np.ndarray:
+        """Places of near nodes among the first n of a layer. All points have one length, so
+        the largest inner product is the smallest distance."""
+        vectors = layer.rough[:n]
+        if start is None:  # no node on the layers above: few on this one
+            score = q @ vectors.T
+            inside = np.argsort(-score, axis=1, kind="stable")[:, :UPPER_BEAM]
+            score = np.take_along_axis(score, inside, axis=1)
+        else:
+            inside = np.searchsorted(layer.nodes[:n], start)
+            score = np.einsum("ijk,ik->ij", vectors[inside], q)
+        return cls.walk(vectors, layer.links[:n], q, inside, score, beam)[0]
 
     def search(self, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Positions (-1: none) and single-precision scores of the best nodes of each query."""
@@ -200,7 +242,8 @@ INDEX = "width int, shard long, n int, vectors binary, ids binary, copies binary
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per shard with its graph. `vectors` has vector, ids and width."""
-    shards = max(1, math.ceil(vectors.count() / shard_rows))
+    most = F.greatest(F.lit(1), F.least(F.lit(shard_rows), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("width")))))
+    shards = vectors.groupBy("width").agg(F.ceil(F.count("*") / F.first(most)).alias("shards"))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["order"], kind="stable")
@@ -214,7 +257,7 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         return pd.DataFrame([(int(group["width"].iloc[0]), int(group["shard"].iloc[0]), len(x), x.tobytes(), ids.tobytes(), copies.tobytes(), layers)], columns=[c.split()[0] for c in INDEX.split(", ")])
 
     # the order of insertion and the layer come from two independent hashes of the vector
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards))).withColumns({"order": F.xxhash64(F.lit(17), "vector"), "height": F.xxhash64(F.lit(29), "vector")})
+    dealt = vectors.join(shards, "width").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards"))).drop("shards").withColumns({"order": F.xxhash64(F.lit(17), "vector"), "height": F.xxhash64(F.lit(29), "vector")})
     return dealt.groupBy("width", "shard").applyInPandas(build, INDEX)
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from riskloom.llm.ann import Graph, nearest
 from tests.conftest import SF_ORACLE
@@ -51,3 +52,13 @@ def test_clustered_vectors_are_reached():
     best, _ = graph.search(x[:300])
     exact = np.argsort(-(x[:300] @ x.T), axis=1)[:, :20]
     assert np.mean([len(set(a) & set(b[:32])) / 20 for a, b in zip(exact, best, strict=True)]) > 0.95
+
+
+@pytest.mark.parametrize("n", [2_000, 20_000])
+def test_recall_of_graphs_of_any_size(n):
+    g = np.random.default_rng(n)
+    x = g.normal(size=(n, 32)) @ g.normal(size=(32, 32)) * g.uniform(0.5, 2, size=(n, 1))
+    graph = Graph.build(x, np.floor(-np.log(g.random(n)) / np.log(16)).astype(int))
+    best, _ = graph.search(x[:200])
+    exact = np.argsort(-(x[:200] @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b[:32])) / 20 for a, b in zip(exact, best, strict=True)]) > 0.95
