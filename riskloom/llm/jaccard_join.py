@@ -19,6 +19,9 @@ recursively on that:
   pivots, the parts of the universe: |x & P| and |y & P| differ by no more than the
   symmetric difference of x and y has in P, so the sum over all parts bounds it. Sizes are
   the window of the empty set. Nothing that a window drops can be a link.
+* A pair is compared, with its pivot or otherwise, only if the regions in which it meets that
+  way hold as much of it as a close pair has there (`must_share`): a few equal leaves, as of
+  a common passage, don't make two long documents close.
 
 Pivots that are documents do not work at the top: texts of their own have distance 1 to
 nearly every pivot, so each window would hold nearly all of them. Hence the leaves.
@@ -263,19 +266,33 @@ def hot_share(least: int) -> float:
     return (least / 100 - other) / (1 - other)
 
 
-def without_chance_meetings(met: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+def in_region():
+    """The number of shingles that a member of a region has in its leaf."""
+    return F.col("region").bitwiseAND(_MASS)
+
+
+def without_chance_meetings(met: DataFrame, sizes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """The members of regions less those whom only chance brought into a hot one, such as a
     passage that very many documents share. Two close sets that meet in hot regions alone have
     `hot_share` of their union in them, so a set with less of it there meets all that it is close
-    to elsewhere."""
+    to elsewhere. With it, the number of shingles (missed) that each set left out has in them."""
     hot = met.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > HOT).select("region")
     told = checkpoint(met.join(hot.withColumn("hot", F.lit(True)), "region", "left"))
     inside = told.where("hot").select("region", "key")
-    mass = inside.groupBy("key").agg(F.sum(F.col("region").bitwiseAND(_MASS)).alias("mass"))
-    heavy = mass.join(sizes.select("key", "n"), "key").where(F.col("mass") >= hot_share(least) * F.col("n") - 1e-9).select("key")
-    stay = inside.join(heavy, "key", "left_semi")
+    mass = inside.groupBy("key").agg(F.sum(in_region()).alias("mass"))
+    is_heavy = F.col("mass") >= hot_share(least) * F.col("n") - 1e-9
+    weighed = checkpoint(mass.join(sizes.select("key", "n"), "key").select("key", "mass", is_heavy.alias("heavy")))
+    stay = inside.join(weighed.where("heavy"), "key", "left_semi")
     heads = stay.groupBy("region").agg(F.min("key").alias("pivot"))
-    return told.where("hot IS NULL").select("region", "key", "pivot").union(stay.join(heads, "region").select("region", "key", "pivot"))
+    left = told.where("hot IS NULL").select("region", "key", "pivot").union(stay.join(heads, "region").select("region", "key", "pivot"))
+    return left, weighed.where("NOT heavy").select("key", F.col("mass").alias("missed"))
+
+
+def must_share(least: int):
+    """Shingles that a close pair has at least in the regions where it meets the one way or the
+    other: one is the other's pivot, or neither is. Equal leaves hold `hot_share` of the union;
+    what both miss in hot regions aside, one of the two ways has half of it."""
+    return hot_share(least) / 2 * F.greatest("n_a", "n_b") - F.col("missed_a") - F.col("missed_b") - 1e-9
 
 
 def near_sizes(least: int):
@@ -290,11 +307,14 @@ def find_links(entries: DataFrame, classes: DataFrame, docs: DataFrame, words: i
     """a, b: links between keys enough to connect all that links connect, or every link.
     `entries` has the region and key of the leaves, `classes` key, id, digest, n and parts of
     the different sets."""
-    met = checkpoint(without_chance_meetings(checkpoint(region_members(entries)), classes, least))
-    narrow = classes.join(met.select("key").distinct(), "key", "left_semi").select("key", "n", "parts")
-    a, b = (narrow.select(*[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "parts")]) for side in "ab")
-    with_pivot = met.where("key != pivot").select(F.col("key").alias("key_a"), F.col("pivot").alias("key_b")).distinct()
-    first = checkpoint(with_pivot.join(a, "key_a").join(b, "key_b").where(near_sizes(least)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
+    met, left_out = without_chance_meetings(checkpoint(region_members(entries)), classes, least)
+    met = checkpoint(met)
+    narrow = classes.join(met.select("key").distinct(), "key", "left_semi").join(left_out, "key", "left")
+    narrow = narrow.select("key", "n", "parts", F.coalesce("missed", F.lit(0)).alias("missed"))
+    a, b = (narrow.select(*[F.col(c).alias(f"{c}_{side}") for c in narrow.columns]) for side in "ab")
+    with_pivot = met.where("key != pivot").groupBy(F.col("key").alias("key_a"), F.col("pivot").alias("key_b")).agg(F.sum(in_region()).alias("shared"))
+    close = near_sizes(least) & (F.col("shared") >= must_share(least))
+    first = checkpoint(with_pivot.join(a, "key_a").join(b, "key_b").where(close).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
     known = checkpoint(compared(first, sets_of(docs, of_pairs(classes, first), words)))
     links = known.where(is_link(least)).select("a", "b")
     # without labels every document is a component of its own, and only the windows drop pairs
@@ -320,8 +340,9 @@ def window_pairs(met: DataFrame, known: DataFrame, labels: DataFrame, narrow: Da
     apart = known.select(F.col("a").alias("key"), F.col("b").alias("pivot"), distance().alias("d"))
     rest = placed.where("key != pivot").join(several, "region", "left_semi").join(apart, ["key", "pivot"], "left").join(narrow, "key")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / least))).cast("long")
-    rest = checkpoint(rest.select("region", "key", "component", "main", "d", "n", "parts", band.alias("band")))
-    x, y = (rest.select("region", "band", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "component", "main", "d", "n", "parts")]) for side in "ab")
+    own = ("key", "component", "main", "d", "n", "parts", "missed")
+    rest = checkpoint(rest.select("region", *own, band.alias("band")))
+    x, y = (rest.select("region", "band", *[F.col(c).alias(f"{c}_{side}") for c in own]) for side in "ab")
     x = x.where("component_a != main_a").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
     near = (
         (F.col("component_a") != F.col("component_b"))
@@ -329,8 +350,9 @@ def window_pairs(met: DataFrame, known: DataFrame, labels: DataFrame, narrow: Da
         & (F.col("d_a").isNull() | F.col("d_b").isNull() | (F.abs(F.col("d_a") - F.col("d_b")) <= 1 - least / 100 + 1e-9))
         & near_sizes(least)
     )
-    both = x.join(y, (x["region"] == y["region"]) & (x["band"] == y["band"]) & near)
-    return both.select(F.greatest("key_a", "key_b").alias("a"), F.least("key_a", "key_b").alias("b")).distinct()
+    both = x.join(y.withColumnsRenamed({"region": "region_b", "band": "band_b"}), (F.col("region") == F.col("region_b")) & (F.col("band") == F.col("band_b")) & near)
+    ends = both.groupBy(F.greatest("key_a", "key_b").alias("a"), F.least("key_a", "key_b").alias("b"))
+    return ends.agg(F.sum(in_region()).alias("shared"), F.max(must_share(least)).alias("asked")).where("shared >= asked").select("a", "b")
 
 
 def class_links(docs: DataFrame, words: int, least: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
