@@ -42,10 +42,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import text_batches
+from riskloom.llm.common import fresh_name, text_batches
 from riskloom.session import checkpoint
 
 #: Similarity in hundredths, words of a shingle, parts of the universe used as pivots.
@@ -201,6 +201,23 @@ def id_filter(ids: DataFrame) -> dict[int, bytes]:
     return {r["number"]: bytes(r["bits"]) for r in maps.collect()}
 
 
+def split_by(rows: DataFrame, value: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose value is surely not among `ids`, and the others: all that are among them
+    and few that are not. Only the others need to be shuffled for an exact join."""
+    number, bits = fresh_name(rows, "number"), fresh_name(rows, "bits")
+
+    def place(x: Column) -> Column:
+        return F.pmod(F.xxhash64(x), F.lit(FILTER_BITS)) + 1
+
+    of_id = place(F.col("id"))
+    maps = ids.groupBy(F.bitmap_bucket_number(of_id).alias(number)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(of_id)).alias(bits))
+    at = F.bitmap_bit_position(place(value)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
+    numbered = rows.withColumn(number, F.bitmap_bucket_number(place(value))).join(F.broadcast(maps), number, "left")
+    return numbered.where(~held).select(rows.columns), numbered.where(held).select(rows.columns)
+
+
 def sets_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """key, size and set of these classes (key, id, digest). The filter of ids drops most
     other texts where they are read; the exact join by digest has only what passes."""
@@ -367,7 +384,11 @@ def class_links(docs: DataFrame, words: int, least: int, every: bool) -> tuple[D
     classes = checkpoint(same.agg(F.min("row").alias("key"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("parts").alias("parts")))
     if least >= 100:
         return base, classes, classes.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    entries = same.agg(F.min("row").alias("key"), F.first("leaves").alias("leaves")).select(F.explode("leaves").alias("region"), "key")
+    heads = classes.select(F.col("key").alias("id"))
+    repeats = checkpoint(own.select(F.col("row").alias("id")).join(heads, "id", "left_anti"))
+    sure, others = split_by(own.select("row", "leaves"), F.col("row"), repeats)
+    of_heads = sure.union(others.join(heads.withColumnRenamed("id", "row"), "row", "left_semi"))
+    entries = of_heads.select(F.explode("leaves").alias("region"), F.col("row").alias("key"))
     return base, classes, find_links(entries, classes, source.where(F.col("id").isNotNull() & F.col("text").isNotNull()), words, least, every)
 
 
@@ -381,7 +402,7 @@ def with_components(base: DataFrame, classes: DataFrame, links: DataFrame) -> Da
     own = base.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).select("id", "digest").distinct().join(classes.select("digest", "key"), "digest")
     several = own.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi")
     bridges = several.join(own, "id").select(F.col("key").alias("a"), F.col("lo").alias("b")).where("a != b")
-    labels = checkpoint(components(links.union(bridges).distinct()))
+    labels = components(checkpoint(links.union(bridges).distinct()))
     least_id = labels.join(classes.select(F.col("key").alias("id"), F.col("id").alias("smallest")), "id").groupBy("component").agg(F.min("smallest").alias("component_id"))
     of_key = labels.join(least_id, "component").select(F.col("id").alias("key"), "component_id")
     of_digest = classes.join(of_key, "key", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
@@ -421,8 +442,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     smallest id; of repeated rows of an id and text one stays, of an id with several texts
     each different text. Rows without an id stay unless their set equals that of a document
     with one; documents with the empty set all stay."""
-    found = join_documents(docs, doc_id, text, words, least)
-    gone = checkpoint(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    left = docs.join(gone, F.col(doc_id).cast("long") == gone["gone_id"], "left_anti")
-    named, unnamed = left.where(F.col(doc_id).isNotNull()), left.where(F.col(doc_id).isNull())
-    return named.dropDuplicates([doc_id, text]).unionByName(unnamed)
+    found = join_documents(docs, doc_id, text, words, least).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id"))
+    of_id = found.agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id") != F.col("component_id")).alias("gone"))
+    looked_at = checkpoint(of_id.where("gone OR rows > 1").select("id", "gone"))
+    number = F.col(doc_id).cast("long")
+    apart, others = split_by(docs.where(number.isNotNull()), number, looked_at.select("id"))
+    gone = looked_at.where("gone").select(F.col("id").alias(fresh := fresh_name(docs, "gone_id")))
+    left = others.join(gone, number == gone[fresh], "left_anti")
+    return apart.unionByName(left.dropDuplicates([doc_id, text])).unionByName(docs.where(number.isNull()))
