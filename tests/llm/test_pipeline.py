@@ -38,4 +38,4 @@ def test_stages(spark):
 
 def test_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in entries.QUERIES if k != "pipeline")
-    assert numbers == list(range(1, 11)) and "pipeline" in entries.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in entries.QUERIES
