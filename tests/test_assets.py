@@ -61,3 +61,25 @@ def test_trigrams_of_a_text(spark):
     got = spark.createDataFrame([("abcdé",), ("ab",), ("",), (None,)], "t string").select(TI.trigrams(F.col("t"))).collect()
     assert [r[0] for r in got][:3] == [["abc", "bcd", "cdé"], [], []]
     assert np.all([not r[0] for r in got[3:]])
+
+
+def test_bitmaps_of_files_have_the_trigrams_of_their_texts_and_no_others(spark):
+    """Made batch by batch inside the tasks: no row for each trigram is made."""
+    import pyarrow as pa
+
+    texts = ["", "ab", "abc", "a\U0001f600é z", "xyz xyz", "q" * 5, "", "w"] * 3
+    files = ["f1"] * 5 + ["f2", "f1", "f3"] + [f"g{i}" for i in range(8)] + ["f1"] * 8
+    batches = [pa.RecordBatch.from_arrays([pa.array(files[s : s + 7]), pa.array(texts[s : s + 7])], names=["file", "text"]) for s in range(0, 24, 7)]
+    expected, got = {}, {}
+    for file, text in zip(files, texts):
+        expected.setdefault(file, set()).update(int(TI.trigram_bits(TI.code_points(text[i : i + 3]))[0]) for i in range(len(text) - 2))
+    for batch in TI.file_bitmaps(batches):
+        for file, number, bits in zip(*[c.to_pylist() for c in batch.columns]):
+            places = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
+            got.setdefault(file, set()).update(int(p) + (number - 1) * TI.BUCKET for p in places)
+    assert got == {f: b for f, b in expected.items() if b}
+    path = shared_path(spark, "t-bitmaps")
+    TI.write_indexed(spark.createDataFrame([(t,) for t in texts], "t string"), path, ["t"], 2)
+    stored = spark.read.parquet(f"{path}/index")
+    assert stored.select(F.max(F.length("bits"))).first()[0] == TI.BUCKET // 8
+    assert stored.count() == stored.select("file", "number").distinct().count()
