@@ -77,3 +77,43 @@ def test_importance_without_gain(spark):
     nodes = [(0, 0, "a", 1, 2, 4.0, 2.0), (0, 1, None, -1, -1, 2.0, 1.0), (0, 2, None, -1, -1, 2.0, 1.0), (1, 0, "b", 1, 2, 4.0, 2.0), (1, 1, None, -1, -1, 2.0, 2.0), (1, 2, None, -1, -1, 2.0, 0.0)]
     got = impurity_importance(spark.createDataFrame(nodes, "tree int, node int, feature string, left int, right int, weight double, positives double"))
     assert [(r.feature, r.importance) for r in got.collect()] == [("b", 1.0)]
+
+
+def test_trees_of_any_depth_keep_the_places_of_rows(spark):
+    """The same trees as by walking every row from the root, which takes longer a level."""
+    import numpy as np
+
+    from riskloom.operators.training import forest_pipeline
+    from riskloom.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    x = np.random.default_rng(3).normal(size=(300, 3))
+    df = spark.createDataFrame([(*map(float, r), int(r[0] + r[1] > 0)) for r in x], "a double, b double, c double, y int").repartition(2).cache()
+    pipeline = forest_pipeline(["a", "b", "c"], "y", num_trees=5, max_depth=4)
+    forest = pipeline.getStages()[-1]
+    assert forest.getCacheNodeIds()
+    kept = pipeline.fit(df).stages[-1].toDebugString
+    forest.setCacheNodeIds(False)
+    assert kept.split("\n", 1)[1] == pipeline.fit(df).stages[-1].toDebugString.split("\n", 1)[1]
+
+
+def test_a_forest_is_read_from_the_saved_pipeline(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from riskloom.operators.forest import TreeEnsemble
+    from riskloom.operators.training import forest_pipeline, saved_stage
+    from riskloom.session import ensure_checkpoint_dir, shared_path
+
+    ensure_checkpoint_dir(spark)
+    x = np.random.default_rng(5).normal(size=(300, 2))
+    df = spark.createDataFrame([(*map(float, r), int(r[0] * r[1] > 0)) for r in x], "a double, b double, y int")
+    model = forest_pipeline(["a", "b"], "y", num_trees=4, max_depth=5).fit(df)
+    path = shared_path(spark, "t-pipeline")
+    model.write().save(path)
+    ens = TreeEnsemble.from_saved_model(spark, ["a", "b"], saved_stage(model, path, 1))
+    for tree, own in zip(ens.trees, model.stages[-1].trees):
+        assert len(tree.feature) == own.numNodes and np.array_equal(tree.feature < 0, tree.left < 0) and np.array_equal(np.isnan(tree.value), tree.feature >= 0)
+    assert ens.depth() == max(t.depth for t in model.stages[-1].trees) == max(len(w.levels) for w in ens.walks())
+    got = np.array([model.stages[-1].predictProbability(Vectors.dense(v))[1] for v in x[:50]])
+    assert np.abs(got - ens.predict_numpy(x[:50])).max() < 1e-12
