@@ -275,6 +275,13 @@ class TreeEnsemble:
         used = {int(f) for t in self.trees for f in t.feature if f >= 0}
         return [f for i, f in enumerate(self.features) if i in used]
 
+    def narrowed(self) -> "TreeEnsemble":
+        """The same trees over the features they split on and no others."""
+        used = self.used_features()
+        place = np.array([used.index(f) if f in used else -1 for f in self.features] + [-1])  # -1, a leaf, stays
+        trees = [Tree(place[t.feature], t.threshold, t.left, t.right, t.cover, t.value) for t in self.trees]
+        return TreeEnsemble(used, trees)
+
     def explain(
         self,
         df: DataFrame,
@@ -289,15 +296,17 @@ class TreeEnsemble:
         feature positions by |phi| (rounded to ``decimals``, so float noise cannot reorder
         ties) descending, then feature name. One Arrow batch at a time inside the executors;
         the forest travels with the task closure (model-sized). ``carry`` columns pass
-        through, so per-row outputs (top-k, raw values, reports) need no join back."""
+        through, so per-row outputs (top-k, raw values, reports) need no join back. Features
+        that no tree splits on contribute 0: their values are neither shuffled nor sent."""
         features = list(features or self.features)
-        ensemble = self
-        self.walks()  # computed once on the driver, shipped with the closure
+        ensemble = self.narrowed()
+        ensemble.walks()  # computed once on the driver, shipped with the closure
         base = self.base_value()
         keep = [id_col, *carry]
         fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
         n = len(self.features)
-        phi_cols = [f"__phi{i}" for i in range(n)]
+        used = [self.features.index(f) for f in ensemble.features]
+        phi_cols = [f"__phi{i}" for i in used]
         ord_cols = [f"__ord{i}" for i in range(n)]
         schema = (
             ", ".join(f"`{c}` {fields[c]}" for c in keep)
@@ -306,15 +315,16 @@ class TreeEnsemble:
             + ", "
             + ", ".join(f"{c} int" for c in ord_cols)
         )
-        feat_cols = [f"__x{i}" for i in range(len(features))]
-        name_rank = np.argsort(np.argsort(np.array(self.features, dtype=object)))
+        feat_cols = [f"__x{i}" for i in used]
+        by_name = np.argsort(np.array(self.features, dtype=object))
 
         def run(batches):
             for pdf in batches:
                 X = pdf[feat_cols].to_numpy(dtype=float)
                 phi = ensemble.contributions_numpy(X)
-                key = -np.abs(np.round(phi, decimals))  # ranking only; outputs are rounded by Spark
-                order = np.lexsort((np.broadcast_to(name_rank, phi.shape), key), axis=-1) + 1
+                key = np.zeros((len(X), n))
+                key[:, used] = -np.abs(np.round(phi, decimals))  # ranking only; outputs are rounded by Spark
+                order = by_name[np.argsort(key[:, by_name], axis=-1, kind="stable")] + 1
                 out = pd.concat(
                     [
                         pd.DataFrame(phi, columns=phi_cols, index=pdf.index),
@@ -327,11 +337,10 @@ class TreeEnsemble:
                     out.insert(0, c, pdf[c])
                 yield out
 
-        inputs = df.select(*keep, *[F.col(f).cast("double").alias(n_) for f, n_ in zip(features, feat_cols)])
+        inputs = df.select(*keep, *[F.col(features[i]).cast("double").alias(x) for i, x in zip(used, feat_cols)])
         res = spread(inputs, id_col).mapInPandas(run, schema)
-        return res.select(
-            *keep, "score", F.lit(base).alias("base"), F.array(*phi_cols).alias("phi"), F.array(*ord_cols).alias("order")
-        )
+        phi = [F.col(f"__phi{i}") if i in used else F.lit(0.0) for i in range(n)]
+        return res.select(*keep, "score", F.lit(base).alias("base"), F.array(*phi).alias("phi"), F.array(*ord_cols).alias("order"))
 
 
 def _walk_of(tree: Tree) -> Walk:

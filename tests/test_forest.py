@@ -135,3 +135,24 @@ def test_a_tree_of_one_leaf_and_deep_chains():
     np.testing.assert_allclose(chain.base_value() + phi.sum(1), chain.predict_numpy(X), atol=1e-12)
     for r in range(len(X)):
         np.testing.assert_allclose(phi[r], brute_force(chain, X[r]), atol=1e-12)
+
+
+def test_features_without_a_split_are_not_shuffled(spark):
+    """They contribute 0 and take their place by name among the others that do."""
+    ens = TreeEnsemble.from_node_rows(
+        [(0, 0, "m", 1.0, 1, 2, 4.0, None), (0, 1, "z", 1.0, 3, 4, 2.0, None), (0, 2, None, None, None, None, 2.0, 0.5), (0, 3, None, None, None, None, 1.0, 0.5), (0, 4, None, None, None, None, 1.0, 0.1)],
+        ["z", "idle_b", "m", "a_idle"],
+    )
+    X = np.array([[0.0, 9.0, 0.0, 9.0], [2.0, 9.0, 0.0, 9.0], [0.0, 9.0, 5.0, 9.0], [np.nan, 9.0, np.nan, 9.0]])
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(X)], "id long, z double, idle_b double, m double, a_idle double")
+    out = ens.explain(df, "id")
+    sent = next(line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInPandas" in line)
+    assert "__x0" in sent and "__x2" in sent and "__x1" not in sent and "__x3" not in sent
+    phi = ens.contributions_numpy(X)
+    names = np.argsort(np.argsort(np.array(ens.features, dtype=object)))
+    order = np.lexsort((np.broadcast_to(names, phi.shape), -np.abs(np.round(phi, 12))), axis=-1) + 1
+    for r in out.collect():
+        np.testing.assert_allclose(r.phi, phi[r.id], atol=1e-15)
+        assert r.order == order[r.id].tolist()
+    leaf = TreeEnsemble.from_node_rows([(0, 0, None, None, None, None, 10.0, 0.3)], ["z", "m"])
+    assert [(r.score, r.phi, r.order) for r in leaf.explain(df.limit(1), "id").collect()] == [(0.3, [0.0, 0.0], [2, 1])]
