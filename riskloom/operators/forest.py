@@ -308,12 +308,8 @@ class TreeEnsemble:
         used = [self.features.index(f) for f in ensemble.features]
         phi_cols = [f"__phi{i}" for i in used]
         ord_cols = [f"__ord{i}" for i in range(n)]
-        schema = (
-            ", ".join(f"`{c}` {fields[c]}" for c in keep)
-            + ", score double, "
-            + ", ".join(f"{c} double" for c in phi_cols)
-            + ", "
-            + ", ".join(f"{c} int" for c in ord_cols)
+        schema = ", ".join(
+            [f"`{c}` {fields[c]}" for c in keep] + ["score double"] + [f"{c} double" for c in phi_cols] + [f"{c} int" for c in ord_cols]
         )
         feat_cols = [f"__x{i}" for i in used]
         by_name = np.argsort(np.array(self.features, dtype=object))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,13 +67,28 @@ def scan_csv_text(spark: SparkSession, path: str, columns: list[str] | None = No
     return text.select(*[F.when(~F.col(f"`{c}`").isin(NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in names], CORRUPT)
 
 
+#: What a text must look like to be a whole number or a double at all: a cast that fails costs an
+#: exception, which is caught and slower than all else that a cell takes.
+MAYBE_WHOLE = r"^[^0-9A-Za-z.+-]*[+-]?[0-9]+[^0-9A-Za-z.+-]*$"
+MAYBE_DOUBLE = r"^[\x00-\x20]*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?[dDfF]?|\.[0-9].*|0[xX].*|[iI][nN][fF].*|[nN][aA][nN])[\x00-\x20]*$"
+MAYBE = {**dict.fromkeys(("tinyint", "smallint", "int", "bigint"), MAYBE_WHOLE), "double": MAYBE_DOUBLE}
+
+
+def _try_cast(column: Column, kind: str) -> Column:
+    """``try_cast`` of a text, to a number only where it may be one."""
+    return F.when(column.rlike(MAYBE[kind]), column.try_cast(kind)) if kind in MAYBE else column.try_cast(kind)
+
+
 def csv_types(text: DataFrame) -> T.StructType:
-    """Type of each text column by its values, from one aggregate: bigint, double, date or string."""
+    """Type of each text column by its values, from one aggregate over (column, value): bigint,
+    double, date or string. All columns side by side would make one method of generated code
+    that is too long to be compiled."""
     names = [c for c in text.columns if c != CORRUPT]
     kinds = ["bigint", "double", "date"]
-    fits = [F.coalesce(F.bool_and(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").try_cast(k).isNotNull()), F.lit(False)).alias(f"{i}_{k}") for i, c in enumerate(names) for k in kinds]
-    row = text.agg(*fits, *[F.count(F.col(f"`{c}`")).alias(f"{i}_n") for i, c in enumerate(names)]).first()
-    pick = lambda i: next((k for k in kinds if row[f"{i}_n"] and row[f"{i}_{k}"]), "string")
+    cells = text.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in names])).alias("i", "v")).where("v IS NOT NULL") if names else None
+    fits = [F.bool_and(_try_cast(F.col("v"), k).isNotNull()).alias(k) for k in kinds]
+    found = {r["i"]: r for r in cells.groupBy("i").agg(*fits).collect()} if names else {}  # one row a column
+    pick = lambda i: next((k for k in kinds if i in found and found[i][k]), "string")
     return T.StructType([T.StructField(c, {"bigint": T.LongType(), "double": T.DoubleType(), "date": T.DateType()}.get(pick(i), T.StringType())) for i, c in enumerate(names)])
 
 
@@ -83,7 +98,7 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     text in ``_corrupt_record`` if asked for (``csv_rejects`` counts them)."""
     text = scan_csv_text(spark, path, schema.names if schema is not None else None)
     schema = schema if schema is not None else csv_types(text)
-    cols = [(F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`").try_cast(f.dataType)).alias(f.name) for f in schema.fields]
+    cols = [(F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType) else _try_cast(F.col(f"`{f.name}`"), f.dataType.simpleString())).alias(f.name) for f in schema.fields]
     return nan_to_null(text.select(*cols, *[CORRUPT] * keep_corrupt))
 
 
