@@ -67,3 +67,19 @@ def test_filters_reach_the_scan(spark):
         plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "EqualTo(c_mktsegment,BUILDING)" in plan
         assert plan.count("orders.parquet") <= 1
+
+
+def test_texts_that_cannot_be_numbers_are_not_cast(spark):
+    """Each failed cast costs an exception; what may be a number is cast as before."""
+    from pyspark.sql import functions as F
+
+    numbers = ["1", " 7 ", "+5", "-0", "\t12\n", "007", "9223372036854775807", "\x001", "1\x7f", "1.0", "1.5", ".5", "-.5e3", "1.", "1e5", "1.e-3", "1d", "2F", "0x1p3", "-0X1.8P1", "inf", "-Infinity", "+INF", "NaN", "nan"]
+    words = ["", " ", "+", "-", ".", "Male", "1-URGENT", "2024-01-05", "Infant", "Nan1", "1 2", "1,5", "e5", "Non-Travel", "9223372036854775808", "1_0", "٣", " 1", "d"]
+    df = spark.createDataFrame([(x,) for x in [*numbers, *words, None]], "t string")
+    for kind in ("tinyint", "smallint", "int", "bigint", "double", "date"):
+        both = df.select("t", F.col("t").try_cast(kind).alias("own"), TB._try_cast(F.col("t"), kind).alias("got"))
+        assert [r.t for r in both.where("own IS DISTINCT FROM got").collect()] == [], kind
+    left_out = [r.t for r in df.where(~F.col("t").rlike(TB.MAYBE_WHOLE) & ~F.col("t").rlike(TB.MAYBE_DOUBLE)).collect()]
+    assert {"Male", "1-URGENT", "2024-01-05", "Non-Travel", ""} <= set(left_out)
+    kinds = spark.createDataFrame([("1", "1.5", "2024-01-05", "x", None, "1"), ("2", None, None, "2", None, "y")], "a string, b string, c string, d string, e string, `f.g` string")
+    assert [f.dataType.simpleString() for f in TB.csv_types(kinds)] == ["bigint", "double", "date", "string", "string", "string"]
