@@ -20,8 +20,14 @@ one walk up sums c * G over the leaves below each edge, and an edge's feature ge
 
     (o - z) * sum_t w(t) * (sum over leaves whose last split on it is this edge) / f(t)
 
-So the work is edges x points for a row, not leaves x path x points. Contributions are
-averaged over trees; base value = mean over trees of the cover-weighted leaf values; base +
+So the work is edges x points for a row, not leaves x path x points.
+
+The same integral depends on a row only through the conditions o that it meets on a leaf's path.
+For trees whose paths have few features, and rows enough to pay for it, it is worked out once for
+each leaf and each set of conditions; a row then carries its conditions down as bits and looks up
+the contributions of the leaves below each last split (``_lookup_of``).
+
+Contributions are averaged over trees; base value = mean over trees of the cover-weighted leaf values; base +
 sum(phi) = score for every row.
 """
 
@@ -40,6 +46,8 @@ from pyspark.sql import types as T
 from riskloom.functions.expressions import round_double
 from riskloom.session import spread
 
+# Numbers that the lookup tables of one tree, and those of a forest, hold at most.
+TREE_TABLES, FOREST_TABLES = 1 << 18, 1 << 24
 # Contributions are rounded to this many decimals before ranking (ties stay ties).
 RANK_DECIMALS = 12
 
@@ -74,11 +82,25 @@ class Walk:
     repeat_starts: np.ndarray
 
 
+@dataclass
+class Step:
+    """An inner node of a tree, parents first. A row's pattern holds a bit for each feature split on
+    above the node: whether the row meets all conditions of the path on it."""
+
+    feature: int
+    threshold: float
+    went_left: int  # bit that the row's own side adds to the pattern where contributions are read
+    reads: list[tuple[int, np.ndarray]]  # feature and its contributions from the leaves just below, by pattern
+    inner: list[tuple[int, bool, int, bool]]  # step below, whether to the left, bit of the feature, first split on it
+
+
 class TreeEnsemble:
     def __init__(self, features: Sequence[str], trees: list[Tree]):
         self.features = list(features)
         self.trees = trees
         self._walks: list[Walk] | None = None
+        self._lookups: dict[int, list[Step]] = {}
+        self._sizes: list[int] | None = None
 
     # -- construction ---------------------------------------------------------
 
@@ -247,15 +269,34 @@ class TreeEnsemble:
             total += float(np.nansum(tree.value[leaves] * tree.cover[leaves]) / tree.cover[0])
         return total / len(self.trees)
 
+    def table_sizes(self) -> list[int]:
+        """Numbers in the lookup tables of each tree; 0 where a tree is to have none."""
+        if self._sizes is None:
+            self._sizes, total = [], 0
+            for tree in self.trees:
+                size = _lookup_size(tree, TREE_TABLES)
+                size = size if total + size <= FOREST_TABLES else 0
+                self._sizes.append(size)
+                total += size
+        return self._sizes
+
     def contributions_numpy(self, X: np.ndarray, max_cells: int = 60_000) -> np.ndarray:
         """phi (rows x features) for the rows of X (columns in ``self.features`` order). A tree
-        takes as many rows at a time as keep its edges x points x rows within ``max_cells``."""
+        takes as many rows at a time as keep its edges x points x rows within ``max_cells``; with
+        tables, ``max_cells / 12`` rows."""
         phi = np.zeros((X.shape[1], len(X)))
         columns = np.ascontiguousarray(X.T)
-        for walk in self.walks():
-            if len(walk.feature):
-                step = max(1, 3 * max_cells // walk.ratio.size)
-                for s in range(0, len(X), step):
+        for i, (walk, size) in enumerate(zip(self.walks(), self.table_sizes())):
+            if not len(walk.feature):
+                continue
+            if i not in self._lookups and 0 < size <= len(X) * walk.ratio.size // 3:
+                self._lookups[i] = _lookup_of(self.trees[i])
+            lookup = self._lookups.get(i)
+            step = max(1, max_cells // 12 if lookup else 3 * max_cells // walk.ratio.size)
+            for s in range(0, len(X), step):
+                if lookup:
+                    _look_up_contributions(lookup, columns[:, s : s + step], phi[:, s : s + step])
+                else:
                     _add_contributions(walk, columns[:, s : s + step], phi[:, s : s + step])
         return phi.T / len(self.trees)
 
@@ -300,7 +341,8 @@ class TreeEnsemble:
         that no tree splits on contribute 0: their values are neither shuffled nor sent."""
         features = list(features or self.features)
         ensemble = self.narrowed()
-        ensemble.walks()  # computed once on the driver, shipped with the closure
+        ensemble.walks()  # computed once on the driver, shipped with the closure; tables are made in the tasks
+        ensemble.table_sizes()
         base = self.base_value()
         keep = [id_col, *carry]
         fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -411,6 +453,87 @@ def _add_contributions(walk: Walk, columns: np.ndarray, phi: np.ndarray) -> None
     phi[walk.feature[walk.by_feature[walk.starts]]] += np.add.reduceat(of_edge[walk.by_feature], walk.starts, axis=0)
 
 
+def _lookup_size(tree: Tree, limit: int) -> int:
+    """Numbers in the tree's lookup tables, 0 if there are none or more than ``limit``."""
+    total, frontier = 0, [(0, frozenset())] if tree.feature[0] >= 0 else []
+    while frontier:
+        node, above = frontier.pop()
+        here = above | {int(tree.feature[node])}
+        below = [(int(c), here) for c in (tree.left[node], tree.right[node]) if tree.feature[c] >= 0]
+        if len(below) < 2:
+            total += len(here) << (len(above) + 1)
+        if total > limit:
+            return 0
+        frontier += below
+    return total
+
+
+def _lookup_of(tree: Tree) -> list[Step]:
+    """The inner nodes with the contributions of the leaves below them. A table has an entry for
+    each pattern of the node and, as its highest bit, whether the row goes left there."""
+    steps, leaves = [], []  # leaves: step, value, z of each feature, place of each entry in the leaf's own table
+    frontier = [(0, {})]  # node, {feature: z} in the order of their bits
+    for at, (node, above) in enumerate(frontier):
+        f, k = int(tree.feature[node]), len(above)
+        first = f not in above
+        bit = 1 << (k if first else list(above).index(f))
+        pattern = np.arange(1 << k)
+        met, missed = pattern | bit if first else pattern, pattern & ~bit
+        step = Step(f, float(tree.threshold[node]), 1 << k, [], [])
+        for child, to_left in ((int(tree.left[node]), True), (int(tree.right[node]), False)):
+            z = above.get(f, 1.0) * (tree.cover[child] / tree.cover[node] if tree.cover[node] else 0.0)
+            below = {**above, f: z}
+            if tree.feature[child] >= 0:
+                step.inner.append((len(frontier), to_left, bit, first))
+                frontier.append((child, below))
+            else:
+                leaves.append((at, tree.value[child], below, np.concatenate([missed, met] if to_left else [met, missed])))
+        steps.append(step)
+    for k in sorted({len(leaf[2]) for leaf in leaves}):
+        own = [leaf for leaf in leaves if len(leaf[2]) == k]
+        tables = _leaf_tables(np.array([leaf[1] for leaf in own]), np.array([list(leaf[2].values()) for leaf in own]))
+        for (at, _, below, entries), table in zip(own, tables):
+            had, got = steps[at].reads, table[:, entries]
+            steps[at].reads = [(f, x + had[i][1] if had else x) for i, (f, x) in enumerate(zip(below, got))]
+    return steps
+
+
+def _leaf_tables(values: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """(leaves, k features, 2^k): contributions of leaves with k features on their paths, for every
+    pattern of conditions met; z is (leaves, k)."""
+    n, k = z.shape
+    m = max(1, math.ceil(k / 2))
+    nodes, weights = np.polynomial.legendre.leggauss(m)
+    t, w = (nodes + 1.0) / 2.0, weights / 2.0
+    fails = z[:, :, None] * (1 - t)  # (n, k, m)
+    holds = t + fails
+    products = np.ones((n, 1, m))
+    for j in range(k):
+        products = np.concatenate([products * fails[:, None, j], products * holds[:, None, j]], axis=1)
+    gain = np.stack([np.broadcast_to(-w / (1 - t), holds.shape), (1 - z[:, :, None]) * w / holds], axis=2)
+    out = np.empty((n, k, 1 << k))
+    for i in range(k):
+        parts = products.reshape(n, 1 << (k - 1 - i), 2, 1 << i, m)
+        out[:, i] = np.einsum("nabcm,nbm->nabc", parts, gain[:, i]).reshape(n, -1)
+    return values[:, None, None] * out
+
+
+def _look_up_contributions(steps: list[Step], columns: np.ndarray, phi: np.ndarray) -> None:
+    """Adds one tree's contributions for the rows in ``columns`` (features, rows) to ``phi``."""
+    patterns = [np.zeros(columns.shape[1], dtype=np.int64)] + [None] * (len(steps) - 1)
+    found = np.empty(columns.shape[1])
+    for i, step in enumerate(steps):
+        pattern, patterns[i] = patterns[i], None
+        left = columns[step.feature] <= step.threshold  # NaN goes right, as in scoring
+        if step.reads:
+            place = pattern + left * step.went_left
+            for f, table in step.reads:
+                phi[f] += np.take(table, place, out=found, mode="clip")
+        for below, to_left, bit, first in step.inner:
+            meets = left if to_left else ~left
+            patterns[below] = pattern | meets * bit if first else pattern & (meets * bit | ~bit)
+
+
 def saved_nodes(spark: SparkSession, path: str, features: Sequence[str] | None = None) -> DataFrame:
     """(tree, node, feature_index, threshold, left, right, weight, positives[, feature]) of a saved
     Spark forest, left and right -1 at leaves. Layout (Spark 4.x): ``treeID, nodeData{id,

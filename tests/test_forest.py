@@ -156,3 +156,30 @@ def test_features_without_a_split_are_not_shuffled(spark):
         assert r.order == order[r.id].tolist()
     leaf = TreeEnsemble.from_node_rows([(0, 0, None, None, None, None, 10.0, 0.3)], ["z", "m"])
     assert [(r.score, r.phi, r.order) for r in leaf.explain(df.limit(1), "id").collect()] == [(0.3, [0.0, 0.0], [2, 1])]
+
+
+def test_looked_up_contributions_equal_the_walk_and_brute_force(monkeypatch):
+    """Trees with and without tables, features split on again, rows with NaN, nodes without cover."""
+    from riskloom.operators import forest as FO
+
+    rng = np.random.default_rng(11)
+    rows = [r for t in range(6) for r in random_tree_rows(rng, 6, 7, t)]
+    rows += [(6, 0, "f1", 3.0, 1, 2, 10.0, None), (6, 1, None, None, None, None, 0.0, 0.9), (6, 2, None, None, None, None, 10.0, 0.2), (7, 0, None, None, None, None, 5.0, 0.4)]
+    names = [f"f{i}" for i in range(6)]
+    X = rng.integers(0, 10, size=(3000, 6)).astype(float)
+    X[::7, 2] = np.nan
+    looked_up, walked = (TreeEnsemble.from_node_rows(rows, names) for _ in range(2))
+    phi = looked_up.contributions_numpy(X)
+    made = [i for i, size in enumerate(looked_up.table_sizes()) if size]
+    assert sorted(looked_up._lookups) == made and len(made) > 4 and 6 in made and 7 not in made
+    assert all(sum(t.size for s in looked_up._lookups[i] for _, t in s.reads) == looked_up.table_sizes()[i] for i in looked_up._lookups)
+    monkeypatch.setattr(FO, "TREE_TABLES", 0)
+    np.testing.assert_allclose(phi, walked.contributions_numpy(X), atol=1e-12)
+    assert not walked._lookups
+    for r in range(0, 40):
+        np.testing.assert_allclose(phi[r], brute_force(looked_up, X[r]), atol=1e-12)
+    monkeypatch.setattr(FO, "TREE_TABLES", 1 << 18)
+    monkeypatch.setattr(FO, "FOREST_TABLES", looked_up.table_sizes()[made[0]])
+    partly = TreeEnsemble.from_node_rows(rows, names)
+    np.testing.assert_allclose(phi, partly.contributions_numpy(X), atol=1e-12)
+    assert list(partly._lookups)[0] == made[0] and len(partly._lookups) < len(made)
