@@ -756,7 +756,7 @@ def train_forest(spark, sf_dir):
     """M3/M4/M5: random forest (100 trees, seed 42) fitted on the train split; test predictions."""
     b = wb(spark, sf_dir)
     model = W.trained(b)["model"]
-    test = W.split_frame(b).where(F.col("split") == "test")
+    test = W.test_rows(b)
     pred = TR.leave_probability(model.transform(test))
     return pred.select(
         "id", C.LABEL, F.col("prediction").cast("int").alias("prediction"), F.round("p_leave", 9).alias("p_leave"),
@@ -768,7 +768,7 @@ def train_forest(spark, sf_dir):
 def evaluate_model(spark, sf_dir):
     """Hold-out accuracy of the trained forest."""
     b = wb(spark, sf_dir)
-    test = W.split_frame(b).where(F.col("split") == "test")
+    test = W.test_rows(b)
     return TR.evaluate(W.trained(b)["model"].transform(test))
 
 
@@ -785,7 +785,7 @@ def feature_importance(spark, sf_dir):
 def _holdout(spark, sf_dir):
     """(label, pred) of the test rows by the trained forest."""
     b = wb(spark, sf_dir)
-    test = W.split_frame(b).where((F.col("split") == "test") & F.col(C.LABEL).isNotNull())
+    test = W.test_rows(b).where(F.col(C.LABEL).isNotNull())
     return W.trained(b)["model"].transform(test).select(F.col(C.LABEL).cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
 
 
@@ -819,7 +819,7 @@ def score_deep_forest(spark, sf_dir):
     transform and by walking the node arrays."""
     b = wb(spark, sf_dir)
     state = W.trained(b, W.DEEP)
-    test = TR.leave_probability(state["model"].transform(W.split_frame(b).where(F.col("split") == "test")))
+    test = TR.leave_probability(state["model"].transform(W.test_rows(b)))
     own = state["ensemble"].predict_column([F.col(f) for f in C.STANDARD_FEATURES])
     return test.select("id", F.round("p_leave", 9).alias("spark_probability"), F.round(own, 9).alias("score"))
 
@@ -862,7 +862,7 @@ def model_reload_check(spark, sf_dir):
     b = wb(spark, sf_dir)
     state = W.trained(b)
     reloaded = PipelineModel.load(state["path"])
-    test = W.split_frame(b).where(F.col("split") == "test").select("id", *C.STANDARD_FEATURES, C.LABEL)
+    test = W.test_rows(b).select("id", *C.STANDARD_FEATURES, C.LABEL)
     first = state["model"].transform(test).withColumnRenamed("prediction", "p1").drop("features", "rawPrediction", "probability")
     both = reloaded.transform(first)
     return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p1") != F.col("prediction")).alias("mismatches"))
@@ -874,7 +874,7 @@ def explain_trained(spark, sf_dir):
     close to Spark's own probability for every test row (closure error reported)."""
     b = wb(spark, sf_dir)
     state = W.trained(b)
-    test = W.split_frame(b).where(F.col("split") == "test")
+    test = W.test_rows(b)
     both = TR.leave_probability(state["model"].transform(test)).select("id", *C.STANDARD_FEATURES, "p_leave")
     out = state["ensemble"].explain(both, "id", carry=["p_leave"]).select(
         "id", F.round("p_leave", 9).alias("spark_probability"), F.round("score", 9).alias("score"),
@@ -1066,7 +1066,7 @@ def train_forest_check(spark, sf_dir):
 def evaluate_model_check(spark, sf_dir):
     """Accuracy equals that of the confusion counts and beats guessing the larger class."""
     b = wb(spark, sf_dir)
-    test = W.split_frame(b).where(F.col("split") == "test")
+    test = W.test_rows(b)
     right = (F.col("prediction") == F.col(C.LABEL)).cast("int")
     counts = W.trained(b)["model"].transform(test).groupBy(C.LABEL).agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("right"))
     own = counts.agg(F.sum("n").alias("rows"), (F.sum("right") / F.sum("n")).alias("from_counts"), (F.max("n") / F.sum("n")).alias("guess"))

@@ -250,6 +250,23 @@ def split_frame(wbench: Workbench) -> DataFrame:
     return state["split"]
 
 
+def kept_split(wbench: Workbench) -> DataFrame:
+    """The split frame, written once a session: the fit and everything that scores the rows held
+    out read numbers from files, by split and column, and join, encode and rank no row again."""
+    state = _TRAINED.setdefault(session_key(wbench.spark, wbench.sf_dir), {})
+    if "kept" not in state:
+        split = split_frame(wbench)
+        path = shared_path(wbench.spark, "split")
+        split.write.partitionBy("split").parquet(path)
+        state["kept"] = wbench.spark.read.schema(split.schema).parquet(path)
+    return state["kept"]
+
+
+def test_rows(wbench: Workbench) -> DataFrame:
+    """The rows held out of the fit."""
+    return kept_split(wbench).where(F.col("split") == "test")
+
+
 #: Depth of the forest of most queries, and of the deep one (the reference sets no limit).
 DEPTH, DEEP = 8, 20
 
@@ -263,7 +280,7 @@ def trained(wbench: Workbench, depth: int = DEPTH) -> dict:
         # before it caches its own binned copy, which every level reads: the input is kept on
         # disk for the duration of the fit, so that the memory is left to that copy.
         ensure_checkpoint_dir(wbench.spark)  # trees write the places of rows there
-        train = spread(split_frame(wbench).where(F.col("split") == "train"), "id")
+        train = spread(kept_split(wbench).where(F.col("split") == "train"), "id")
         train = train.persist(StorageLevel.DISK_ONLY)
         try:
             model = TR.forest_pipeline(C.STANDARD_FEATURES, max_depth=depth).fit(train)

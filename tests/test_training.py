@@ -117,3 +117,19 @@ def test_a_forest_is_read_from_the_saved_pipeline(spark):
     assert ens.depth() == max(t.depth for t in model.stages[-1].trees) == max(len(w.levels) for w in ens.walks())
     got = np.array([model.stages[-1].predictProbability(Vectors.dense(v))[1] for v in x[:50]])
     assert np.abs(got - ens.predict_numpy(x[:50])).max() < 1e-12
+
+
+def test_the_split_is_written_once_and_read_by_the_queries(spark):
+    """Rows held out come from files of their own, equal to the split, without joins or ranks."""
+    from riskloom.plans import workbench as W
+    from tests.conftest import SF_SMALL
+
+    b = W.Workbench.get(spark, SF_SMALL)
+    rows = W.test_rows(b)
+    assert W.kept_split(b) is W.kept_split(b)
+    own = W.split_frame(b)
+    assert W.kept_split(b).columns == own.columns
+    assert W.kept_split(b).exceptAll(own).count() == 0 and own.exceptAll(W.kept_split(b)).count() == 0
+    assert rows.where("split != 'test'").count() == 0 and rows.count() == own.where("split = 'test'").count()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" not in plan and "PartitionFilters: [isnotnull(split" in plan
