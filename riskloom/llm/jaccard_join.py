@@ -18,7 +18,9 @@ recursively on that:
   that of the region's pivot p, |d(x,p) - d(y,p)| <= radius, and those of PARTS fixed
   pivots, the parts of the universe: |x & P| and |y & P| differ by no more than the
   symmetric difference of x and y has in P, so the sum over all parts bounds it. Sizes are
-  the window of the empty set. Nothing that a window drops can be a link.
+  the window of the empty set. SIGNS finer parts tell only whether |x & P| is odd: each in which
+  x and y differ holds one of their symmetric difference at least, and few hold two, so near
+  texts that are no link seldom pass. Nothing that a window drops can be a link.
 * A pair is compared, with its pivot or otherwise, only if the regions in which it meets that
   way hold as much of it as a close pair has there (`must_share`): a few equal leaves, as of
   a common passage, don't make two long documents close.
@@ -48,8 +50,9 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import fresh_name, text_batches
 from riskloom.session import checkpoint
 
-#: Similarity in hundredths, words of a shingle, parts of the universe used as pivots.
-LEAST, WORDS, PARTS = 90, 3, 64
+#: Similarity in hundredths, words of a shingle, parts of the universe used as pivots, and the
+#: finer parts of which only odd or even is kept.
+LEAST, WORDS, PARTS, SIGNS = 90, 3, 64, 2048
 
 _U = np.uint64
 _PRIME, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -132,12 +135,12 @@ def digest_of(values: np.ndarray) -> bytes | None:
 #: Largest size that a region's hash can carry in its low bits.
 _MASS = 127
 
-ROWS = "id long, n long, digest binary, parts array<tinyint>, leaves array<long>"
+ROWS = "id long, n long, digest binary, parts array<tinyint>, signs array<long>, leaves array<long>"
 
 
 def document_rows(docs: DataFrame, words: int, size: int) -> DataFrame:
     """id, set size and digest of each row; of the sets that are not empty also their counts in
-    the parts of the universe (up to 127) and the leaves."""
+    the parts of the universe (up to 127), their signs and the leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,9 +152,10 @@ def document_rows(docs: DataFrame, words: int, size: int) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest_of(s) for s in sets], pa.binary()),
                     pa.array([None if s is None else part_counts(s) for s in own], pa.list_(pa.int8())),
+                    pa.array([None if s is None else odd_parts(s) for s in own], pa.list_(pa.int64())),
                     pa.array([None if s is None else leaves(s, size).astype(np.int64) for s in own], pa.list_(pa.int64())),
                 ],
-                names=["id", "n", "digest", "parts", "leaves"],
+                names=["id", "n", "digest", "parts", "signs", "leaves"],
             )
 
     return docs.select("id", "text").mapInArrow(run, ROWS)
@@ -162,6 +166,12 @@ def part_counts(values: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(place, minlength=PARTS), 127).astype(np.int8)
 
 
+def odd_parts(values: np.ndarray) -> np.ndarray:
+    """A bit for each of the SIGNS parts of the universe: whether it holds an odd number."""
+    place = (values >> _U(8) & _U(SIGNS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=SIGNS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def region_members(members: DataFrame) -> DataFrame:
     """region, key and pivot (the smallest key) of the regions with two members or more, from
     (region, key): one shuffle, then one pass along the sorted partitions, a batch at a time."""
@@ -313,21 +323,23 @@ def must_share(least: int):
 
 
 def near_sizes(least: int):
-    """Whether the windows of the fixed pivots (set sizes and counts in the parts) let a pair be
-    close; columns n and parts with the endings _a and _b."""
+    """Whether the windows of the fixed pivots (set sizes, counts in the parts and odd ones of the
+    finer parts) let a pair be close; columns n, parts and signs with the endings _a and _b."""
     n_a, n_b = F.col("n_a"), F.col("n_b")
     differ = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, v: s + v)
-    return (100 * F.least(n_a, n_b) >= least * F.greatest(n_a, n_b)) & ((100 + least) * differ <= (100 - least) * (n_a + n_b))
+    odd = F.aggregate(F.zip_with("signs_a", "signs_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    most = (100 - least) * (n_a + n_b)
+    return (100 * F.least(n_a, n_b) >= least * F.greatest(n_a, n_b)) & ((100 + least) * differ <= most) & ((100 + least) * odd <= most)
 
 
 def find_links(entries: DataFrame, classes: DataFrame, docs: DataFrame, words: int, least: int, every: bool = False) -> DataFrame:
     """a, b: links between keys enough to connect all that links connect, or every link.
-    `entries` has the region and key of the leaves, `classes` key, id, digest, n and parts of
-    the different sets."""
+    `entries` has the region and key of the leaves, `classes` key, id, digest, n, parts and
+    signs of the different sets."""
     met, left_out = without_chance_meetings(checkpoint(region_members(entries)), classes, least)
     met = checkpoint(met)
     narrow = classes.join(met.select("key").distinct(), "key", "left_semi").join(left_out, "key", "left")
-    narrow = narrow.select("key", "n", "parts", F.coalesce("missed", F.lit(0)).alias("missed"))
+    narrow = narrow.select("key", "n", "parts", "signs", F.coalesce("missed", F.lit(0)).alias("missed"))
     a, b = (narrow.select(*[F.col(c).alias(f"{c}_{side}") for c in narrow.columns]) for side in "ab")
     with_pivot = met.where("key != pivot").groupBy(F.col("key").alias("key_a"), F.col("pivot").alias("key_b")).agg(F.sum(in_region()).alias("shared"))
     close = near_sizes(least) & (F.col("shared") >= must_share(least))
@@ -357,7 +369,7 @@ def window_pairs(met: DataFrame, known: DataFrame, labels: DataFrame, narrow: Da
     apart = known.select(F.col("a").alias("key"), F.col("b").alias("pivot"), distance().alias("d"))
     rest = placed.where("key != pivot").join(several, "region", "left_semi").join(apart, ["key", "pivot"], "left").join(narrow, "key")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / least))).cast("long")
-    own = ("key", "component", "main", "d", "n", "parts", "missed")
+    own = ("key", "component", "main", "d", "n", "parts", "signs", "missed")
     rest = checkpoint(rest.select("region", *own, band.alias("band")))
     x, y = (rest.select("region", "band", *[F.col(c).alias(f"{c}_{side}") for c in own]) for side in "ab")
     x = x.where("component_a != main_a").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
@@ -374,14 +386,14 @@ def window_pairs(met: DataFrame, known: DataFrame, labels: DataFrame, narrow: Da
 
 def class_links(docs: DataFrame, words: int, least: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows (id, n, digest), the classes of equal sets that have an id (key, smallest id,
-    digest, n and parts), and links between keys. The key of a class is the number of one of its rows."""
+    digest, n, parts and signs), and links between keys. The key of a class is the number of one of its rows."""
     text_batches(docs.sparkSession)
     source = docs.select("id", "text")
     rows = checkpoint(document_rows(source, words, leaf_size(least))).withColumn("row", F.monotonically_increasing_id())
     base = rows.select("id", "n", "digest")
     own = rows.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
     same = own.groupBy("digest")
-    classes = checkpoint(same.agg(F.min("row").alias("key"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("parts").alias("parts")))
+    classes = checkpoint(same.agg(F.min("row").alias("key"), F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "parts", "signs")]))
     if least >= 100:
         return base, classes, classes.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
     heads = classes.select(F.col("key").alias("id"))

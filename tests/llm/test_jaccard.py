@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from riskloom.llm.jaccard_join import all_links, join_documents, keep_one, leaf_size, leaves, link_documents, shingles
+from riskloom.llm.jaccard_join import all_links, join_documents, keep_one, leaf_size, leaves, link_documents, near_sizes, odd_parts, part_counts, shingles
 from tests.llm.helpers import hard_frame, hard_rows
 
 
@@ -173,3 +173,30 @@ def test_three_near_copies_have_three_links(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.a, r.b) for r in all_links(frame).collect()) == [(1, 0), (2, 0), (2, 1)]
     assert all(r.n_links == 2 for r in link_documents(frame).collect())
+
+
+@pytest.mark.parametrize("least", [90, 80])
+def test_windows_leave_few_pairs_that_are_no_links(spark, least):
+    """A group of near texts of which hardly two are close enough: its pairs grow with the square
+    of the group, so the windows have to drop them before they are rows. No link is dropped."""
+    r = random.Random(8)
+    base = [r.getrandbits(64) for _ in range(400)]
+    sets = []
+    for _ in range(60):
+        own = [r.getrandbits(64) if r.random() < (100 - least) * 0.0045 else v for v in base]
+        sets.append(np.unique(np.array(own, dtype=np.uint64)))
+    sets.append(np.append(sets[0], np.uint64((1 << 64) - 1)))  # a link of the first
+    rows = [(k, len(s), part_counts(s).tolist(), odd_parts(s).tolist()) for k, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "key long, n long, parts array<tinyint>, signs array<long>")
+    a, b = (frame.select(*[frame[c].alias(f"{c}_{side}") for c in frame.columns]) for side in "ab")
+    passed = {(x.key_a, x.key_b) for x in a.join(b, a.key_a < b.key_b).where(near_sizes(least)).collect()}
+    links, far = set(), 0
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            common = len(np.intersect1d(x, sets[j]))
+            if 100 * common >= least * (len(x) + len(sets[j]) - common):
+                links.add((i, j))
+            else:
+                far += 1
+    assert links and links <= passed
+    assert len(passed - links) <= far / 10
