@@ -17,11 +17,12 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,12 +50,14 @@ class WordIds:
 
     WHOLE = re.compile("<\\||[\x1c-\x1f\u03a3\u0130]")
 
-    def __init__(self, tokenizer_file: str, kept: int = 1_600_000) -> None:
+    def __init__(self, tokenizer_file: str, kept: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.kept, self.young, self.old = kept // 2, {}, {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or "\0"
+        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
 
     @staticmethod
     def packed(ids) -> bytes:
@@ -71,39 +74,67 @@ class WordIds:
     #: A word and the marks after it: the splitter always parts these.
     TAIL = re.compile(r"(\w+?)([^\w\s]+)")
 
+    def encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word of letters. The library gets many as one text; it marks the last
+        token of a word, which tells them apart again."""
+        for i in range(0, len(words), 5000):
+            block = words[i : i + 5000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(ends) == len(block):
+                raw = ids.tobytes()
+                yield from (raw[at:end] for at, end in zip([0, *ends], ends))
+            else:  # some are parted by the splitter
+                yield from self.encode_each(block)
+
+    def encode_each(self, words: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(words), 5000):
+            for e in self.tokenizer.encode_batch_fast(words[i : i + 5000], add_special_tokens=False):
+                yield self.packed(e.ids)
+
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that `young` does not hold, most of which it will."""
-        known = lambda w: self.young.get(w, self.old.get(w))
-        found, parted, wanted = {}, [], {}
+        """Ids of words that `young` does not hold, most of which it will: a word with marks
+        after it only if the word alone was known, as a rare one need not be held twice."""
+        found, parted, letters, others = {}, [], {}, {}
         for w in words:
             if (b := self.old.get(w)) is not None:
                 found[w] = b
+            elif w.isalpha():
+                letters[w] = None
             elif (m := self.TAIL.fullmatch(w)) and m[1].isalpha():
                 parted.append((w, m[1], m[2]))
-                wanted[m[1]] = wanted[m[2]] = None
             else:
-                wanted[w] = None
-        new = [w for w in wanted if w not in found and known(w) is None]
-        for i in range(0, len(new), 5000):
-            block = new[i : i + 5000]
-            for w, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                found[w] = self.packed(e.ids)
-        for w, head, tail in parted:
-            found[w] = b"".join([found[x] if x in found else known(x) for x in (head, tail)])
+                others[w] = None
+        for _, head, tail in parted:
+            for w, new in ((head, letters), (tail, others)):
+                if (b := self.young.get(w, self.old.get(w))) is None:
+                    new[w] = None
+                else:
+                    found[w] = b
+        found.update(zip(letters, self.encode_words(list(letters)), strict=True))
+        found.update(zip(others, self.encode_each(list(others)), strict=True))
+        joined = {w: found[head] + found[tail] for w, head, tail in parted}
         if len(self.young) >= self.kept:
             self.old, self.young = self.young, {}
         self.young.update((w, b) for w, b in found.items() if len(w) <= 64)
-        return found
+        self.young.update((w, joined[w]) for w, head, _ in parted if head not in letters and len(w) <= 64)
+        return found | joined
 
-    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+    @staticmethod
+    def blocks(texts: Iterable[str]) -> Iterator[list[str]]:
+        block, size = [], 0
+        for t in texts:
+            block.append(t)
+            size += len(t)
+            if size >= 300_000:
+                yield block
+                block, size = [], 0
+        if block:
+            yield block
+
+    def encode_many(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        at = 0
-        while at < len(texts):
-            block, size = [], 0
-            while at < len(texts) and (not block or size < 1_000_000):
-                block.append(texts[at])
-                size += len(texts[at])
-                at += 1
+        for block in self.blocks(texts):
             split = [self.words(t) for t in block]
             parts = [None if s is None else list(map(self.young.get, s)) for s in split]
             missing = {w for s, p in zip(split, parts, strict=True) if p and None in p for w, b in zip(s, p, strict=True) if b is None}
@@ -152,8 +183,14 @@ def place_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW,
     """Pieces of the documents in windows numbered by partition, `leftover` where the window
     was still open at the end. With `with_ids`, each piece also carries its ids."""
     schema = PIECES + (", ids array<long>" if with_ids else "")
+    fields = [c.split() for c in schema.split(", ")]
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+
+    def texts_of(column: pa.Array) -> Iterator[str]:
+        for at in range(0, len(column), 100):  # not all of a batch as Python strings at once
+            yield from as_texts(column.slice(at, 100).to_pylist())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = per_worker(f"words {tokenizer_file}", lambda: WordIds(tokenizer_file))
         part, end = TaskContext.get().partitionId(), np.array([end_id], dtype="<u4").tobytes()
         windows, n, rows = OpenWindows(window, n_open), 0, []
@@ -168,15 +205,14 @@ def place_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW,
                 rows.append((*p[:5], part, n, offset, leftover, *p[5:]))
                 offset += p[2]
 
-        def frame() -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
+        def frame() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)], [name for name, _ in fields])
             rows.clear()
             return out
 
         for batch in batches:
-            ids_of = coder.encode_many(as_texts(batch["text"]))
-            for doc_id, ids in zip(batch["doc_id"].astype("Int64"), ids_of, strict=True):
+            ids_of = coder.encode_many(texts_of(batch.column("text")))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of, strict=True):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):
@@ -189,14 +225,14 @@ def place_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW,
                         emit([piece], False)
                     elif out := windows.put(length, piece):
                         emit(out, False)
-                if len(rows) >= 20_000:
+                if len(rows) >= 5_000:
                     yield frame()
         for held in windows.held:
             emit(held, True)
         if rows:
             yield frame()
 
-    return docs.select(F.col("doc_id"), F.col("text")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(run, schema)
 
 
 def merge_windows(fills: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -86,3 +86,44 @@ def test_open_windows_stay_bounded():
         for p in windows.put(length, length) or []:
             total += p or 0
         assert len(windows.room) <= 5 and all(0 < x < 100 for x in windows.room)
+
+
+def letters(n, length=9):
+    """Distinct words of letters."""
+    r, out = random.Random(n), {}
+    while len(out) < n:
+        out["".join(r.choices("abcdeéñßœя", k=length))] = None
+    return list(out)
+
+
+def test_rare_words_with_marks_are_held_once():
+    coder, words = WordIds(FILE), letters(12_000)
+    texts = [" ".join(w + "," for w in words[i : i + 100]) for i in range(0, len(words), 100)]
+    expected = [np.asarray(library_ids(t), dtype="<u4").tobytes() for t in texts]
+    assert list(coder.encode_many(texts)) == expected
+    assert len(coder.young) + len(coder.old) == len(words) + 1
+    assert list(coder.encode_many(texts[:1])) == expected[:1] and all(w + "," in coder.young for w in words[:100])
+
+
+def test_held_words_stay_bounded():
+    coder, words = WordIds(FILE, kept=2000), letters(9_000)
+    for i in range(0, len(words), 100):
+        text = " ".join(words[i : i + 100] + words[:50])
+        assert next(coder.encode_many([text])) == np.asarray(library_ids(text), dtype="<u4").tobytes()
+        assert len(coder.young) + len(coder.old) <= 2 * (1000 + 150)
+        assert words[0] in coder.young or words[0] in coder.old
+
+
+def test_texts_are_taken_as_needed():
+    taken = []
+    texts = ((taken.append(n), "ab " * 40_000)[1] for n in range(50))
+    assert len(next(CODER.encode_many(texts))) == 4 * 40_000
+    assert len(taken) <= 3
+
+
+def test_words_that_the_splitter_parts_or_keeps():
+    """`encode_words` may only tell words apart where each has one last token."""
+    words = letters(6_000)
+    for odd in ([], ["ab1", "x-y", "don't"], ["ª", "ǆ", "中文", "x", "x"]):
+        mixed = words[:40] + odd + words[40:]
+        assert list(CODER.encode_words(mixed)) == [np.asarray(library_ids(w), dtype="<u4").tobytes() for w in mixed]
