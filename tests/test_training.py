@@ -5,6 +5,7 @@ import math
 import pandas as pd
 from pyspark.sql import functions as F
 
+from riskloom.operators.encode import model_frame
 from riskloom.operators.training import stratified_split
 
 
@@ -133,3 +134,40 @@ def test_the_split_is_written_once_and_read_by_the_queries(spark):
     assert rows.where("split != 'test'").count() == 0 and rows.count() == own.where("split = 'test'").count()
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "MapInArrow" not in plan and "PartitionFilters: [isnotnull(split" in plan
+
+
+def test_the_deep_forest_scores_in_more_than_one_task(spark):
+    """However small the files: rows held out are dealt out to score, each once, and so are the
+    orders that the frame to fit on is made from."""
+    from riskloom.plans import queries as Q
+    from riskloom.plans import workbench as W
+    from tests.conftest import SF_SMALL
+
+    b = W.Workbench.get(spark, SF_SMALL)
+    scored, held_out = Q.score_deep_forest(spark, SF_SMALL), W.test_rows(b)
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert scored.rdd.getNumPartitions() == asked > held_out.rdd.getNumPartitions()
+    assert scored.select("id").exceptAll(held_out.select("id")).count() == 0 and scored.count() == held_out.count()
+    assert scored.where("abs(spark_probability - score) > 1e-8").count() == 0
+    assert "hashpartitioning(o_orderkey" in b.model_frame._jdf.queryExecution().executedPlan().toString()
+    assert b.model_frame.exceptAll(model_frame(b.employees, b.dictionary)).count() == 0 and b.model_frame.count() == b.employees.count()
+
+
+def test_no_more_tasks_to_fit_than_cores(spark):
+    """Each task of a level makes statistics of all its nodes: where many shuffle partitions are
+    asked for, a fit takes one a core, more where there are rows for more."""
+    from riskloom.plans import workbench as W
+    from riskloom.session import FEW_TASKS, TASK_ROWS, few_tasks
+    from tests.conftest import SF_SMALL
+
+    cores, asked = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    rows = W.test_rows(W.Workbench.get(spark, SF_SMALL))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "500")
+        assert W.in_few_tasks(rows).rdd.getNumPartitions() == max(FEW_TASKS, cores) < 500
+        assert few_tasks(spark, 40 * cores * TASK_ROWS + 1) == min(500, 40 * cores + 1)
+        assert few_tasks(spark, 10_000 * TASK_ROWS) == 500
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        assert W.in_few_tasks(rows).rdd.getNumPartitions() == 3 and W.in_few_tasks(rows).exceptAll(rows).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", asked)
