@@ -153,6 +153,16 @@ def test_the_deep_forest_scores_in_more_than_one_task(spark):
     assert b.model_frame.exceptAll(model_frame(b.employees, b.dictionary)).count() == 0 and b.model_frame.count() == b.employees.count()
 
 
+def test_the_check_of_the_deep_forest_scores_every_row_dealt_out(spark):
+    from riskloom.plans import queries as Q
+    from riskloom.plans import workbench as W
+    from tests.conftest import SF_SMALL
+
+    check = Q.score_deep_forest_check(spark, SF_SMALL)
+    assert check._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(id") >= 1
+    assert [tuple(r) for r in check.collect()] == [(W.test_rows(W.Workbench.get(spark, SF_SMALL)).count(), True, True)]
+
+
 def test_no_more_tasks_to_fit_than_cores(spark):
     """Each task of a level makes statistics of all its nodes: where many shuffle partitions are
     asked for, a fit takes one a core, more where there are rows for more."""
